@@ -7,8 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
+from .chat import op8_chat_format
 from .quality_rules import op9_quality_rules
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op9_quality_rules": op9_quality_rules}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_chat_format": op8_chat_format,
+    "op9_quality_rules": op9_quality_rules,
+}
 
-ORACLES: dict[str, str] = {"op9_quality_rules": oracles.OP9}
+ORACLES: dict[str, str] = {
+    "op8_chat_format": oracles.OP8,
+    "op9_quality_rules": oracles.OP9,
+}
