@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from . import oracles
 from .chat import op8_chat_format
 from .quality_rules import op9_quality_rules
+from .simhash import op3_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_simhash": op3_simhash,
     "op8_chat_format": op8_chat_format,
     "op9_quality_rules": op9_quality_rules,
 }
