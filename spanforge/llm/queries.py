@@ -10,14 +10,17 @@ from . import oracles
 from .chat import op8_chat_format
 from .quality_rules import op9_quality_rules
 from .simhash import op3_simhash
+from .decontaminate import op5_decontaminate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op8_chat_format": op8_chat_format,
     "op9_quality_rules": op9_quality_rules,
+    "op5_decontaminate": op5_decontaminate,
 }
 
 ORACLES: dict[str, str] = {
     "op8_chat_format": oracles.OP8,
     "op9_quality_rules": oracles.OP9,
+    "op5_decontaminate": oracles.OP5,
 }
