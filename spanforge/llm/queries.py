@@ -11,12 +11,14 @@ from .chat import op8_chat_format
 from .quality_rules import op9_quality_rules
 from .simhash import op3_simhash
 from .decontaminate import op5_decontaminate
+from .repair import op4_repair_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op8_chat_format": op8_chat_format,
     "op9_quality_rules": op9_quality_rules,
     "op5_decontaminate": op5_decontaminate,
+    "op4_repair_tokens": op4_repair_tokens,
 }
 
 ORACLES: dict[str, str] = {
