@@ -12,6 +12,7 @@ from .quality_rules import op9_quality_rules
 from .simhash import op3_simhash
 from .decontaminate import op5_decontaminate
 from .repair import op4_repair_tokens
+from .packing import op6_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op5_decontaminate": op5_decontaminate,
     "op4_repair_tokens": op4_repair_tokens,
+    "op6_packing": op6_packing,
 }
 
 ORACLES: dict[str, str] = {
