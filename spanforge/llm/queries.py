@@ -13,6 +13,7 @@ from .simhash import op3_simhash
 from .decontaminate import op5_decontaminate
 from .repair import op4_repair_tokens
 from .packing import op6_packing
+from .unit_dedup import op2_unit_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
@@ -21,10 +22,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontaminate": op5_decontaminate,
     "op4_repair_tokens": op4_repair_tokens,
     "op6_packing": op6_packing,
+    "op2_unit_dedup": op2_unit_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op8_chat_format": oracles.OP8,
     "op9_quality_rules": oracles.OP9,
     "op5_decontaminate": oracles.OP5,
+    "op2_unit_dedup": oracles.OP2,
 }
