@@ -14,6 +14,7 @@ from .decontaminate import op5_decontaminate
 from .repair import op4_repair_tokens
 from .packing import op6_packing
 from .unit_dedup import op2_unit_dedup
+from .toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_repair_tokens": op4_repair_tokens,
     "op6_packing": op6_packing,
     "op2_unit_dedup": op2_unit_dedup,
+    "op7_toxicity": op7_toxicity,
 }
 
 ORACLES: dict[str, str] = {
