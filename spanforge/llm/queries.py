@@ -15,6 +15,7 @@ from .repair import op4_repair_tokens
 from .packing import op6_packing
 from .unit_dedup import op2_unit_dedup
 from .toxicity import op7_toxicity
+from .byte_cnn import op10_byte_cnn
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6_packing,
     "op2_unit_dedup": op2_unit_dedup,
     "op7_toxicity": op7_toxicity,
+    "op10_byte_cnn": op10_byte_cnn,
 }
 
 ORACLES: dict[str, str] = {
