@@ -16,6 +16,7 @@ from .packing import op6_packing
 from .unit_dedup import op2_unit_dedup
 from .toxicity import op7_toxicity
 from .byte_cnn import op10_byte_cnn
+from .license_scan import op1_license_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
@@ -27,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_unit_dedup": op2_unit_dedup,
     "op7_toxicity": op7_toxicity,
     "op10_byte_cnn": op10_byte_cnn,
+    "op1_license_scan": op1_license_scan,
 }
 
 ORACLES: dict[str, str] = {
