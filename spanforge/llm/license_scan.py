@@ -126,8 +126,11 @@ class Scanner:
             for share, item in self.rank(text)[:TRIED]:
                 if share <= 0:
                     break
-                if (c := self.confirm(item, words)) and (found is None or (len(c[2]) + len(c[3]), -len(self.items[item][1])) < found[0]):
-                    found = ((len(c[2]) + len(c[3]), -len(self.items[item][1])), item, share, c)
+                if c := self.confirm(item, words):
+                    # the wording of which most words are there, and of those the one with fewest differences
+                    order = (len(c[2]) - len(self.items[item][1]), len(c[2]) + len(c[3]))
+                    if found is None or order < found[0]:
+                        found = (order, item, share, c)
             if not found:
                 return
             _, item, share, (lo, hi, missing, extra) = found
