@@ -141,10 +141,13 @@ class Shard:
     def ids(self, i: int, start: int, stop: int) -> np.ndarray:
         """Ids start to stop of document i; only the symbols that hold them are expanded."""
         own = self.symbols[self.cuts[i] : self.cuts[i + 1]].astype(np.int64)
-        size = np.where(own >= self.base, self.lengths[np.maximum(own - self.base, 0)] if len(self.lengths) else 1, 1)
+        size = np.ones(len(own), dtype=np.int64)
+        deep = own >= self.base
+        size[deep] = self.lengths[own[deep] - self.base]
         ends = np.cumsum(size)
-        a, b = np.searchsorted(ends, start, side="right"), np.searchsorted(ends, stop, side="left") + 1
-        return expand(own[a:b], self.rules, self.base)[start - (ends[a] - size[a] if a < len(ends) else 0) :][: max(0, stop - start)]
+        a, b = int(np.searchsorted(ends, start, side="right")), int(np.searchsorted(ends, stop, side="left")) + 1
+        before = int(ends[a] - size[a]) if a < len(ends) else start
+        return expand(own[a:b], self.rules, self.base)[start - before :][: max(0, stop - start)]
 
 
 def write_shards(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
