@@ -47,6 +47,33 @@ def by_document_chars(docs: DataFrame, gold: DataFrame, found: DataFrame) -> Dat
     return n.select("doc_id", ratio(both, F.col("g")).alias("char_recall"), ratio(both, F.col("p")).alias("char_precision"), ratio(F.col("p") - both, F.col("n") - F.col("g")).alias("char_overmask"))
 
 
+def _characters(spans: DataFrame, keys: Sequence[str], mark: str) -> DataFrame:
+    return spans.select(*keys, F.explode(F.sequence("start", F.col("stop") - 1)).alias("p")).distinct().withColumn(mark, F.lit(True))
+
+
+def by_category_chars(gold: DataFrame, found: DataFrame) -> DataFrame:
+    """category, n_gold, n_found, n_both of character offsets, documents thrown together."""
+    j = _characters(gold, ["category"], "g").join(_characters(found, ["category"], "f"), ["category", "p"], "full")
+    return j.groupBy("category").agg(F.count("g").alias("n_gold"), F.count("f").alias("n_found"), F.count_if(F.col("g") & F.col("f")).alias("n_both"))
+
+
+def nonspace_chars(docs: DataFrame, gold: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, missing, unexpected, exact over characters that aren't white space."""
+    j = _characters(gold, ["doc_id"], "g").join(_characters(found, ["doc_id"], "f"), ["doc_id", "p"], "full").join(docs.select("doc_id", "text"), "doc_id")
+    j = j.filter(F.substring(F.col("text"), F.col("p") + 1, F.lit(1)).rlike(r"(?U)\S"))
+    return j.groupBy("doc_id").agg(F.count_if(F.col("f").isNull()).alias("missing"), F.count_if(F.col("g").isNull()).alias("unexpected"), (F.count_if(F.col("f").isNull() | F.col("g").isNull()) == 0).alias("exact"))
+
+
+def mask_accepted(text: Column, resolved: Column, masked: Column) -> Column:
+    """Whether masked is text with every resolved span replaced by one or more tokens, white space between them allowed."""
+    starts = F.concat(F.array(F.lit(0)), F.transform(resolved, lambda r: r["stop"]))
+    stops = F.concat(F.transform(resolved, lambda r: r["start"]), F.array(F.length(text)))
+    quoted = lambda x: F.concat(F.lit("\\Q"), F.replace(x, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    gaps = F.zip_with(starts, stops, lambda a, b: quoted(F.substring(text, a + 1, b - a)))
+    token = r"⟦PII:[A-Z_]+:[A-Za-z0-9_-]+⟧"
+    return F.regexp_like(masked, F.concat(F.lit("^"), F.array_join(gaps, rf"{token}(?:\s*{token})*"), F.lit("$")))
+
+
 def outcome_of_gold(gold: DataFrame, found: DataFrame) -> DataFrame:
     """gold with outcome: exact, partial (some character found) or missed; concealed: covered as a whole by a span of its category."""
     keys = ["doc_id", "category", "start", "stop"]

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 WINDOW, OVERLAP = 254, 48
-PRIVATE = (0.80, 0.50)  # least entailment, least margin over contradiction
+PRIVATE = (0.80, 0.50)  # least entailment, least margin over the other two
 PUBLIC = {"default": (0.80, 0.50), "education": (0.55, 0.10)}
 
 
@@ -61,12 +61,12 @@ def join_names(spans: DataFrame, text: str = "text") -> DataFrame:
 
 
 def decide(scores: DataFrame) -> DataFrame:
-    """span_id, decision, reason from scores (span_id, hyp, kind, topic, entail, contra); kind is private or public, hyp the order of asking.
+    """span_id, decision, reason from scores (span_id, hyp, kind, topic, entail, neutral, contra); kind is private or public, hyp the order of asking.
 
-    A confident private answer protects; else the first public answer that qualifies for its topic releases; else the span stays protected."""
-    margin = F.col("entail") - F.col("contra")
-    private = (F.col("kind") == "private") & (F.col("entail") >= PRIVATE[0]) & (margin >= PRIVATE[1])
+    A confident private answer protects, unless the passage is plain teaching material; else the first public answer that qualifies for its topic releases; else the span stays protected."""
+    margin = F.col("entail") - F.greatest("neutral", "contra")
     education = F.col("topic") == "education"
+    private = (F.col("kind") == "private") & (F.col("entail") >= PRIVATE[0]) & (margin >= PRIVATE[1]) & ~education
     least = lambda i: F.when(education, PUBLIC["education"][i]).otherwise(PUBLIC["default"][i])
     public = (F.col("kind") == "public") & (F.col("entail") >= least(0)) & (margin >= least(1))
     got = scores.groupBy("span_id").agg(F.max(private).alias("veto"), F.min(F.when(public, F.col("hyp"))).alias("first"))

@@ -46,7 +46,10 @@ GOLD: tuple[tuple[int, str, int, int], ...] = ((0, "EMAIL", 15, 39), (2, "CARD",
 FOUND: tuple[tuple[int, str, int, int], ...] = ((0, "EMAIL", 15, 39), (2, "CARD", 7, 26), (2, "CARD", 30, 48), (6, "INN", 13, 25), (15, "PASSPORT", 28, 40), (16, "CVV", 5, 8), (16, "CVV", 18, 22), (18, "CARD", 6, 22), (18, "PIN", 28, 32), (18, "PIN", 28, 32))
 TAGS: tuple[tuple[int, int, int, int, str, float], ...] = ((1, 0, 0, 4, "B-PER", 0.9), (1, 1, 5, 9, "I-PER", 0.7), (1, 2, 10, 12, "O", 0.5), (1, 3, 13, 17, "I-PER", 0.6), (1, 4, 17, 20, "B-PER", 0.8), (1, 5, 21, 25, "B-LOC", 0.9), (2, 0, 0, 3, "O", 0.9), (2, 1, 4, 8, "B-ORG", 0.75))
 PREDICTIONS: tuple[tuple[int, int, int, int, str], ...] = ((1, 0, 0, 5, "B-PER"), (1, 0, 1, 9, "O"), (1, 1, 0, 7, "I-PER"), (1, 1, 1, 3, "B-PER"), (2, 0, 0, 1, "O"))
-SCORES: tuple[tuple[int, int, str, str, float, float], ...] = ((1, 0, "private", "-", 0.9, 0.05), (1, 1, "public", "-", 0.95, 0.01), (2, 0, "private", "-", 0.5, 0.4), (2, 1, "public", "-", 0.85, 0.1), (2, 2, "public", "-", 0.9, 0.1), (3, 1, "public", "education", 0.6, 0.2), (4, 1, "public", "-", 0.6, 0.2))
+SCORES: tuple[tuple[int, int, str, str, float, float, float], ...] = (
+    (1, 0, "private", "-", 0.9, 0.05, 0.05), (1, 1, "public", "-", 0.95, 0.04, 0.01), (2, 0, "private", "-", 0.5, 0.1, 0.4), (2, 1, "public", "-", 0.65, 0.25, 0.1), (2, 2, "public", "-", 0.9, 0.0, 0.1),
+    (3, 0, "private", "education", 0.9, 0.05, 0.05), (3, 1, "public", "education", 0.6, 0.2, 0.2), (4, 1, "public", "-", 0.6, 0.2, 0.2),
+)
 LIFECYCLE: tuple[tuple[str, str, int, str, str], ...] = (("a", "p", 1, "email a@b.com", "email X"), ("a", "p", 2, "email a@b.com", "email X"), ("a", "p", 3, "email X", "email X"), ("a", "p", 4, "email X", "email X"), ("a", "p", 5, "other", "other"), ("b", "p", 1, "no data", "no data"), ("b", "p", 2, "no data", "no data"), ("b", "q", 7, "other", "other"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanforge.functions import scalars as S
 from spanforge.functions.spans import cut_of, find
-from spanforge.operators import core, detectors, evaluate, joins, lifecycle, models, mutate
+from spanforge.operators import core, detectors, evaluate, joins, lifecycle, models, mutate, semantic
 
 from . import duck, fixtures
 from .fixtures import TEXTS_SQL, values
@@ -317,9 +317,10 @@ def agg_cat_prf(spark, d):
     return evaluate.by_category(*_labelled(spark))
 
 
-@query(_PRF + " SELECT avg(precision) AS macro_precision, avg(recall) AS macro_recall, avg(f1) AS macro_f1 FROM f")
+@query(_PRF + " SELECT round(avg(precision), 9) AS macro_precision, round(avg(recall), 9) AS macro_recall, round(avg(f1), 9) AS macro_f1 FROM f")
 def agg_macro(spark, d):
-    return evaluate.macro(evaluate.by_category(*_labelled(spark)))
+    out = evaluate.macro(evaluate.by_category(*_labelled(spark)))
+    return out.select(*[F.round(c, 9).alias(c) for c in out.columns])
 
 
 @query(
@@ -345,9 +346,10 @@ def agg_false_pos(spark, d):
     return evaluate.false_positives(*_labelled(spark)).select("doc_id", "category", "start", "stop")
 
 
-@query("SELECT event_type, count(value)::BIGINT AS n, avg(value) AS mean, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99, max(value) AS max FROM events GROUP BY 1")
+@query("SELECT event_type, count(value)::BIGINT AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, max(value) AS max FROM events GROUP BY 1")
 def agg_timing(spark, d):
-    return evaluate.timing(table(spark, d, "events"), ["event_type"], "value")
+    out = evaluate.timing(table(spark, d, "events"), ["event_type"], "value")
+    return out.withColumns({c: F.round(c, 6) for c in ("mean", "p50", "p95", "p99")})
 
 
 @query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1")
@@ -360,9 +362,9 @@ def agg_pctl_floor(spark, d):
     return evaluate.percentile_floor(table(spark, d, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
 
 
-@query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) SELECT event_type, count(*)::BIGINT AS n, quantile_cont(value, 0.95) AS p95 FROM r WHERE k <= 1024 GROUP BY 1")
+@query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) SELECT event_type, count(*)::BIGINT AS n, round(quantile_cont(value, 0.95), 6) AS p95 FROM r WHERE k <= 1024 GROUP BY 1")
 def win_last_n(spark, d):
-    return evaluate.last_n(table(spark, d, "events"), ["event_type"], ["ts", "event_id"], 1024).groupBy("event_type").agg(F.count("*").alias("n"), evaluate.percentile_interpolated("value", 0.95).alias("p95"))
+    return evaluate.last_n(table(spark, d, "events"), ["event_type"], ["ts", "event_id"], 1024).groupBy("event_type").agg(F.count("*").alias("n"), F.round(evaluate.percentile_interpolated("value", 0.95), 6).alias("p95"))
 
 
 @query("WITH r AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rank FROM events) SELECT event_type, event_id, rank::INT AS rank FROM r WHERE rank <= 10")
@@ -471,20 +473,20 @@ def ml_ner_select(spark, d):
     f"""WITH t AS (SELECT *, substr(tag, 3) AS label FROM {values(fixtures.TAGS, 'doc_id, token, start, stop, tag, score')} WHERE tag <> 'O'),
 j AS (SELECT *, CASE WHEN lag(label) OVER w = label AND lag(token) OVER w = token - 1 AND (starts_with(tag, 'I-') OR lag(stop) OVER w = start) THEN 0 ELSE 1 END AS fresh FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY start, stop)),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY start, stop) AS entity FROM j)
-SELECT doc_id, entity::BIGINT AS entity, min(start) AS start, max(stop) AS stop, any_value(label) AS label, avg(score::DOUBLE) AS score FROM s GROUP BY doc_id, entity"""
+SELECT doc_id, entity::BIGINT AS entity, min(start) AS start, max(stop) AS stop, any_value(label) AS label, round(avg(score::DOUBLE), 9) AS score FROM s GROUP BY doc_id, entity"""
 )
 def ml_bio_merge(spark, d):
-    return models.merge_tags(fixtures.rows(spark, fixtures.TAGS, "doc_id int, token int, start int, stop int, tag string, score double"))
+    return models.merge_tags(fixtures.rows(spark, fixtures.TAGS, "doc_id int, token int, start int, stop int, tag string, score double")).withColumn("score", F.round("score", 9))
 
 
 @query(
-    f"""WITH s AS {values(fixtures.SCORES, 'span_id, hyp, kind, topic, entail, contra')}, q AS (SELECT *, kind = 'private' AND entail >= 0.8 AND entail - contra >= 0.5 AS veto,
-kind = 'public' AND entail >= CASE topic WHEN 'education' THEN 0.55 ELSE 0.8 END AND entail - contra >= CASE topic WHEN 'education' THEN 0.1 ELSE 0.5 END AS pub FROM s),
+    f"""WITH s AS {values(fixtures.SCORES, 'span_id, hyp, kind, topic, entail, neutral, contra')}, q AS (SELECT *, kind = 'private' AND entail >= 0.8 AND entail - greatest(neutral, contra) >= 0.5 AND topic <> 'education' AS veto,
+kind = 'public' AND entail >= CASE topic WHEN 'education' THEN 0.55 ELSE 0.8 END AND entail - greatest(neutral, contra) >= CASE topic WHEN 'education' THEN 0.1 ELSE 0.5 END AS pub FROM s),
 g AS (SELECT span_id, bool_or(veto) AS veto, min(hyp) FILTER (pub) AS first FROM q GROUP BY 1)
 SELECT span_id, CASE WHEN veto OR first IS NULL THEN 'MASK' ELSE 'KEEP' END AS decision, CASE WHEN veto THEN 'private' WHEN first IS NOT NULL THEN 'public:' || first ELSE 'uncertain-protected' END AS reason FROM g"""
 )
 def sem_decide(spark, d):
-    return models.decide(fixtures.rows(spark, fixtures.SCORES, "span_id int, hyp int, kind string, topic string, entail double, contra double"))
+    return models.decide(fixtures.rows(spark, fixtures.SCORES, "span_id int, hyp int, kind string, topic string, entail double, neutral double, contra double"))
 
 
 # Mutations over labelled texts.
@@ -521,3 +523,67 @@ def lab_action_a(spark, d):
     done = core.restore(core.mask(core.resolve(core.detect(docs, ("email", "card", "inn", "driver_license", "cvv", "pin"))), KEY))
     hidden = F.size(F.filter("gold", lambda g: F.exists("resolved", lambda r: (r["start"] <= g["start"]) & (g["stop"] <= r["stop"]))))
     return done.groupBy("mutation").agg(F.sum(F.size("gold")).alias("n_gold"), F.sum(hidden).alias("n_concealed"), F.count_if(F.col("restored") != F.col("text")).alias("n_broken"))
+
+
+# More aggregates and the parts around the scorer.
+@query(f"""WITH g AS {_GOLD}, f AS {_FOUND}, o AS (SELECT g.doc_id, EXISTS (SELECT 1 FROM f WHERE f.doc_id = g.doc_id AND f.category = g.category AND f.start = g.start AND f.stop = g.stop) AS ok FROM g)
+SELECT count(*)::BIGINT AS n_docs, count(*) FILTER (bad)::BIGINT AS n_with_miss FROM (SELECT doc_id, bool_or(NOT ok) AS bad FROM o GROUP BY 1)""")
+def agg_req_miss(spark, d):
+    o = evaluate.outcome_of_gold(*_labelled(spark)).groupBy("doc_id").agg(F.max(F.col("outcome") != "exact").alias("bad"))
+    return o.agg(F.count("*").alias("n_docs"), F.count_if("bad").alias("n_with_miss"))
+
+
+@query(f"""WITH g AS (SELECT DISTINCT category, unnest(range(start, stop)) AS p FROM {_GOLD}), f AS (SELECT DISTINCT category, unnest(range(start, stop)) AS p FROM {_FOUND})
+SELECT category, count(g.p)::BIGINT AS n_gold, count(f.p)::BIGINT AS n_found, count(*) FILTER (g.p IS NOT NULL AND f.p IS NOT NULL)::BIGINT AS n_both
+FROM (SELECT category, p, true AS x FROM g) g FULL JOIN (SELECT category, p, true AS y FROM f) f USING (category, p) GROUP BY category""")
+def agg_char_cat(spark, d):
+    """Character sets of a category over all documents at once, by raw offset."""
+    return evaluate.by_category_chars(*_labelled(spark))
+
+
+@query(f"""WITH t AS (SELECT * FROM {TEXTS_SQL}), c AS (SELECT DISTINCT s.doc_id, p, k FROM (SELECT doc_id, unnest(range(start, stop)) AS p, 1 AS k FROM {_GOLD} UNION ALL SELECT doc_id, unnest(range(start, stop)), 2 FROM {_FOUND}) s JOIN t USING (doc_id) WHERE regexp_matches(substr(text, p + 1, 1), '[^ ]')),
+b AS (SELECT doc_id, p, sum(k) AS k FROM c GROUP BY ALL) SELECT doc_id, count(*) FILTER (k = 1)::BIGINT AS missing, count(*) FILTER (k = 2)::BIGINT AS unexpected, count(*) FILTER (k <> 3) = 0 AS exact FROM b GROUP BY 1""")
+def agg_nonspace_chars(spark, d):
+    return evaluate.nonspace_chars(fixtures.texts(spark), *_labelled(spark))
+
+
+@query(_ISLANDS + " SELECT category, count(*)::BIGINT AS n FROM r GROUP BY 1")
+def token_category_count(spark, d):
+    """Categories counted from the tokens that stand in the masked texts."""
+    masked = core.mask(_resolved(spark, d), KEY)
+    names = F.regexp_extract_all("masked_text", F.lit("⟦PII:([A-Z_]+):[A-Za-z0-9_-]+⟧"), F.lit(1))
+    return masked.select(F.explode(names).alias("category")).groupBy("category").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*)::BIGINT AS n, 1.0::DOUBLE AS share_restored FROM documents")
+def agg_roundtrip(spark, d):
+    out = core.restore(core.mask(_resolved(spark, d), KEY))
+    return out.agg(F.count("*").alias("n"), F.avg((F.col("restored") == F.col("text")).cast("double")).alias("share_restored"))
+
+
+@query(_ISLANDS + " SELECT doc_id, true AS accepted FROM (SELECT DISTINCT doc_id FROM r)")
+def mask_oracle(spark, d):
+    """Whether a masked text is the original with each value replaced by tokens, by a pattern made for each row."""
+    masked = core.mask(_resolved(spark, d), KEY).filter("size(resolved) > 0")
+    return masked.select("doc_id", evaluate.mask_accepted(F.col("text"), F.col("resolved"), F.col("masked_text")).alias("accepted"))
+
+
+@query(f"WITH t AS (SELECT * FROM {TEXTS_SQL}), g AS {_GOLD}, n AS (SELECT *, lead(start) OVER w AS s, lead(stop) OVER w AS e FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY start)) SELECT n.doc_id, start, e AS stop FROM n JOIN t USING (doc_id) WHERE s > stop AND trim(substr(text, stop + 1, s - stop)) = ''")
+def sem_join_names(spark, d):
+    return models.join_names(_labelled(spark)[0].join(fixtures.texts(spark), "doc_id"))
+
+
+_SEM = [(1, "Музей имени Ивана Петрова открыт."), (2, "Анкета клиента Ивана Петрова."), (3, "Учебник: теория Ивана Петрова о рефлексах."), (4, "Встретили Ивана Петрова. В газете опубликовано интервью."), (5, "В открытом каталоге указан автор Иван Петров.")]
+_SEM_SPANS = [(1, "FULL_NAME", 12, 25), (2, "FULL_NAME", 15, 28), (3, "FULL_NAME", 16, 29), (4, "FULL_NAME", 10, 23), (5, "FULL_NAME", 33, 44)]
+
+
+def stub_scorer(pairs: DataFrame) -> DataFrame:
+    """Public questions are answered with yes, the private one with no."""
+    yes = F.col("hypothesis") != semantic.PRIVATE_QUESTION
+    return pairs.select("premise", "hypothesis", F.when(yes, 0.9).otherwise(0.1).alias("entail"), F.lit(0.05).alias("neutral"), F.when(yes, 0.05).otherwise(0.85).alias("contra"))
+
+
+@query(f"SELECT * FROM {values([(1, 'KEEP', 'institution-dedication'), (2, 'MASK', 'private-record'), (3, 'KEEP', 'public:0'), (4, 'MASK', 'uncertain-protected'), (5, 'KEEP', 'public-catalog-credit')], 'doc_id, decision, reason')}")
+def sem_refine(spark, d):
+    docs = fixtures.rows(spark, _SEM, "doc_id int, text string")
+    return semantic.refine(docs, fixtures.rows(spark, _SEM_SPANS, _SPAN), stub_scorer).select("doc_id", "decision", "reason")
