@@ -17,7 +17,7 @@ def brute(text):
 
 
 def test_metrics_by_brute_force(simple):
-    from conftest import ODD
+    from odd_rows import ODD
 
     r = random.Random(2)
     texts = list(ODD) + [" ".join(r.choice("abc") for _ in range(n)) for n in (7, 8, 9, 16, 17, 100)] + ["x|y # <b>\n" * 5, "a b c d e f g h a b c d e f g h i", "\n \n a \n a \n"]

@@ -9,9 +9,9 @@ from tokenizers import Tokenizer
 from spanforge.llm import packing, repair
 from spanforge.llm.tokens import Encoder
 
-from conftest import ODD
+from odd_rows import ODD
 
-TEXTS = [t or "" for t in ODD] + ["a\n\nb", "\na", "a\n", "a \nb c", "\x00n a", "don't I'll 's", "İstanbul ẞ", "é á.", "H̱i", "a\xa0b", "x  y", "<|endoftext|> a", "日本 語", "Foo.\nBar baz.\n\nQux", "a\tb  ", "q \x00nab", "ΑΣ ΟΔΟΣ", "3.5 A1b2"]
+TEXTS = [t or "" for t in ODD] + ["a\n\nb", "\na", "a\n", "a \nb c", "\x00n a", "don't I'll 's", "İstanbul ẞ", "é á.", "H̱i", "a\xa0b", "x  y", "<|endoftext|> a", "日本 語", "Foo.\nBar baz.\n\nQux", "a\tb  ", "q \x00nab", "ΑΣ ΟΔΟΣ", "3.5 A1b2", "in%%% | a|b || x., 'tis it's, (a) <b> |", "|", "", "...", "a _b_ #c"]
 
 
 @pytest.mark.parametrize(("name", "spaced"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
