@@ -1,23 +1,27 @@
 """License scans by conditional compression.
 
 A candidate block is a run of lines of which each, or the one before or behind it, has a cue word (license, copyright, warranty and the like);
-the cue filter and the cut run in Spark. For every template the block is compressed with the template as a zstandard raw dictionary: the
-bytes this saves over compressing it alone, as a share of what the template itself takes up, rank the templates. The first TRIED of
-them are confirmed by exact wording differences: the template's words are aligned with the block's, and the license is reported if at
-least MATCHED of them appear in order within a stretch of the block that has few others; the report names the differing words.
+the cue filter and the cut run in Spark. Within a block every wording of which enough words are there (an exact bound: no other can match)
+is aligned word by word from each place where it can begin, and matches if at least MATCHED of its words appear in order within a stretch
+that has few others. The stretch is then compressed with the template as a zstandard raw dictionary: the bytes this saves over
+compressing it alone, as a share of what the template itself takes up, are reported and decide between wordings that match equally well.
+Only stretches are compressed, never a whole block, so the figures don't depend on how long a block is and no match hangs on them. Of
+overlapping matches the one with most words counts, and of those the one with fewest differences; the report names the differing words.
 Confirmed words are taken out of the block and the rest is tried again, so a block may hold several licenses.
 
 Templates are short notices and the openings of common licenses; callers may pass their own.
 
-Edge cases: a null or empty text has no blocks; a block is never cut short, however long; ties in rank go to the template that comes first by
-id; rows that repeat an id are reported each; an empty table gives no rows; extra columns are ignored.
+Edge cases: a null or empty text has no blocks; a block is never cut short, however long; ties go to the match that comes first, then to the
+template that comes first by id; rows that repeat an id are reported each; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import zstandard
@@ -69,7 +73,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "Proprietary": ("All rights reserved.",),
 }
 CUE = r"(?i)licen[cs]|copyright|all rights reserved|spdx|warrant|permission (?:is|to use)|redistribut|creative commons|public domain|\bCC0?[ -](?:BY|1)"
-TRIED, MATCHED, MAX_EXTRA = 12, 0.9, 0.25
+MATCHED, MAX_EXTRA = 0.9, 0.25
 LEVEL = 3
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 
@@ -78,6 +82,32 @@ def words_at(text: str) -> list[tuple[str, int, int]]:
     return [(m[0].lower(), m.start(), m.end()) for m in _WORD.finditer(text)]
 
 
+@dataclass(frozen=True)
+class Wording:
+    name: str
+    words: tuple[str, ...]
+    #: How many of the words a match has at least, and how many words of the text it spans at most.
+    need: int
+    reach: int
+    counts: Counter
+    own: zstandard.ZstdCompressor
+    size: int
+
+    @property
+    def first(self) -> set[str]:
+        """Words that a match can begin with: no more may be missing before it than in the whole."""
+        return set(self.words[: len(self.words) - self.need + 1])
+
+
+@dataclass(frozen=True)
+class Match:
+    item: int
+    lo: int
+    hi: int
+    missing: list[str]
+    extra: list[str]
+
+
 class Scanner:
     def __init__(self, templates: dict[str, tuple[str, ...]] = TEMPLATES):
         self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
@@ -85,60 +115,60 @@ class Scanner:
         self.items = []
         for name in sorted(templates):
             for wording in templates[name]:
-                raw = wording.lower().encode()
+                raw, words = wording.lower().encode(), tuple(w for w, _, _ in words_at(wording))
+                if not words:
+                    continue
                 own = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
-                self.items.append((name, [w for w, _, _ in words_at(wording)], own, max(1, len(self.plain.compress(raw)) - self.least)))
-
-    def rank(self, block: str) -> list[tuple[float, int]]:
-        """Shares of each template's size that it saves on the block, best first, with the template's place."""
-        raw = block.lower().encode("utf-8", "surrogatepass")
-        alone = len(self.plain.compress(raw))
-        saved = [((alone - len(own.compress(raw))) / size, i) for i, (_, _, own, size) in enumerate(self.items)]
-        return sorted(saved, key=lambda x: (-x[0], x[1]))
-
-    def confirm(self, item: int, words: list[tuple[str, int, int]]) -> tuple[int, int, list[str], list[str]] | None:
-        """First and last word of the block that the template covers, its words that are missing and the words that stand between."""
-        wanted = self.items[item][1]
-        have = [w for w, _, _ in words]
-        anchors = [i for i, w in enumerate(have) if w == wanted[0] or (len(wanted) > 1 and w == wanted[1])]
-        best = None
-        for a in anchors:
-            a = a - (have[a] != wanted[0]) if a else a
-            part = have[max(0, a) : a + len(wanted) + max(2, int(len(wanted) * MAX_EXTRA))]
-            blocks = [m for m in difflib.SequenceMatcher(None, wanted, part, autojunk=False).get_matching_blocks() if m.size]
-            hit = sum(m.size for m in blocks)
-            if hit < MATCHED * len(wanted):
-                continue
-            lo, hi = blocks[0].b, blocks[-1].b + blocks[-1].size
-            extra = hi - lo - hit
-            if extra > MAX_EXTRA * len(wanted) or (best and best[0] >= (hit, -extra)):
+                need = next(h for h in range(1, len(words) + 1) if h >= MATCHED * len(words))
+                self.items.append(Wording(name, words, need, len(words) + max(2, int(len(words) * MAX_EXTRA)), Counter(words), own, max(1, len(self.plain.compress(raw)) - self.least)))
+
+    def saved(self, item: int, stretch: str) -> float:
+        """The share of the template's size that it saves on the stretch."""
+        raw = stretch.lower().encode("utf-8", "surrogatepass")
+        return (len(self.plain.compress(raw)) - len(self.items[item].own.compress(raw))) / self.items[item].size
+
+    def matches(self, have: list[str]) -> Iterator[Match]:
+        """Every stretch of the words that a wording matches, one at most for each place where it can begin."""
+        at: dict[str, list[int]] = {}
+        for i, w in enumerate(have):
+            at.setdefault(w, []).append(i)
+        for item, x in enumerate(self.items):
+            if sum(min(n, len(at.get(w, ()))) for w, n in x.counts.items()) < x.need:
                 continue
-            seen = {i for m in blocks for i in range(m.a, m.a + m.size)}
-            used = {i for m in blocks for i in range(m.b, m.b + m.size)}
-            best = ((hit, -extra), max(0, a) + lo, max(0, a) + hi, [w for i, w in enumerate(wanted) if i not in seen], [part[i] for i in range(lo, hi) if i not in used])
-        return best[1:] if best else None
+            for a in sorted(i for w in x.first for i in at.get(w, ())):
+                part = have[a : a + x.reach]
+                if sum(w in x.counts for w in part) < x.need:
+                    continue
+                runs = [m for m in difflib.SequenceMatcher(None, x.words, part, autojunk=False).get_matching_blocks() if m.size]
+                hit = sum(m.size for m in runs)
+                if hit < x.need:
+                    continue
+                lo, hi = runs[0].b, runs[-1].b + runs[-1].size
+                if hi - lo - hit > MAX_EXTRA * len(x.words):
+                    continue
+                seen = {i for m in runs for i in range(m.a, m.a + m.size)}
+                used = {i for m in runs for i in range(m.b, m.b + m.size)}
+                yield Match(item, a + lo, a + hi, [w for i, w in enumerate(x.words) if i not in seen], [part[i] for i in range(lo, hi) if i not in used])
 
     def scan(self, block: str) -> Iterator[dict]:
         """The licenses of a block: license, start, stop (code points), saved share, missing and extra words."""
-        words, text = words_at(block), block
+        words = words_at(block)
         while True:
-            found = None
-            for share, item in self.rank(text)[:TRIED]:
-                if share <= 0:
-                    break
-                if c := self.confirm(item, words):
-                    # the wording of which most words are there, and of those the one with fewest differences
-                    order = (len(c[2]) - len(self.items[item][1]), len(c[2]) + len(c[3]))
-                    if found is None or order < found[0]:
-                        found = (order, item, share, c)
-            if not found:
+            ranked = []
+            for m in self.matches([w for w, _, _ in words]):
+                share = self.saved(m.item, block[words[m.lo][1] : words[m.hi - 1][2]])
+                # the wording of which most words are there, and of those the one with fewest differences
+                ranked.append(((len(m.missing) - len(self.items[m.item].words), len(m.missing) + len(m.extra), -share, m.lo, m.item), share, m))
+            if not ranked:
                 return
-            _, item, share, (lo, hi, missing, extra) = found
-            yield {"license": self.items[item][0], "start": words[lo][1], "stop": words[hi - 1][2], "saved": round(share, 4), "missing": missing, "extra": extra}
-            # what is confirmed is blanked out, with offsets kept
-            a, b = words[lo][1], words[hi - 1][2]
-            text = text[:a] + " " * (b - a) + text[b:]
-            words = words[:lo] + words[hi:]
+            taken = bytearray(len(words))
+            for _, share, m in sorted(ranked, key=lambda x: x[0]):
+                if any(taken[m.lo : m.hi]):
+                    continue
+                taken[m.lo : m.hi] = b"\1" * (m.hi - m.lo)
+                yield {"license": self.items[m.item].name, "start": words[m.lo][1], "stop": words[m.hi - 1][2], "saved": round(share, 4), "missing": m.missing, "extra": m.extra}
+            # what is confirmed is taken out
+            words = [w for w, t in zip(words, taken) if not t]
 
 
 def blocks(docs: DataFrame) -> DataFrame:

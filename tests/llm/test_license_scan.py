@@ -1,3 +1,5 @@
+import random
+
 from spanforge.llm import license_scan as L
 
 
@@ -25,3 +27,12 @@ def test_odd_rows(odd):
     rows = L.scan(odd).collect()
     assert {r["license"] for r in rows} == {"MIT"} and len(rows) == 4
     assert L.scan(odd.filter("false")).count() == 0
+
+
+def test_every_wording_is_found_in_a_long_line(simple):
+    r = random.Random(3)
+    prose = lambda n: " ".join("".join(r.choice("abcdefghijklmnoprstuvw") for _ in range(r.randint(2, 9))) for _ in range(n))
+    wordings = [(name, w) for name in L.TEMPLATES for w in L.TEMPLATES[name]]
+    texts = [f"{prose(n)} {w} {prose(n)}" for _, w in wordings for n in (300, 3000)]
+    rows = sorted((r["doc_id"], r["license"], r["start"], r["missing"] + r["extra"]) for r in L.scan(simple(texts)).collect())
+    assert rows == [(2 * i + k, name, texts[2 * i + k].index(w), []) for i, (name, w) in enumerate(wordings) for k in (0, 1)]
