@@ -1,7 +1,9 @@
 """License scans by conditional compression.
 
-A candidate block is a run of lines of which each, or the one before or behind it, has a cue word (license, copyright, warranty and the like);
-the cue filter and the cut run in Spark. Within a block every wording of which enough words are there (an exact bound: no other can match)
+Cue words are chosen from the wordings: of each, so many that no match can do without all of them (a match may lack a tenth of the
+words). Spark passes on the texts that have a cue, and a block is the words around one, as many on either side as the longest match spans,
+with overlapping blocks joined. So every match lies in a block, wherever the text has its line breaks, and a block is never cut short.
+Within a block every wording of which enough words are there (an exact bound: no other can match)
 is aligned word by word from each place where it can begin, and matches if at least MATCHED of its words appear in order within a stretch
 that has few others. The stretch is then compressed with the template as a zstandard raw dictionary: the bytes this saves over
 compressing it alone, as a share of what the template itself takes up, are reported and decide between wordings that match equally well.
@@ -11,7 +13,7 @@ Confirmed words are taken out of the block and the rest is tried again, so a blo
 
 Templates are short notices and the openings of common licenses; callers may pass their own.
 
-Edge cases: a null or empty text has no blocks; a block is never cut short, however long; ties go to the match that comes first, then to the
+Edge cases: a null or empty text has no blocks; ties go to the match that comes first, then to the
 template that comes first by id; rows that repeat an id are reported each; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -25,7 +27,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
@@ -72,7 +74,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
     "Proprietary": ("All rights reserved.",),
 }
-CUE = r"(?i)licen[cs]|copyright|all rights reserved|spdx|warrant|permission (?:is|to use)|redistribut|creative commons|public domain|\bCC0?[ -](?:BY|1)"
+#: Words that are cues by preference, as other prose seldom has them.
+RARE = re.compile(r"licen[cs]|copyright|reserved|spdx|warrant|redistribut|unencumbered|dedicated|cc0")
 MATCHED, MAX_EXTRA = 0.9, 0.25
 LEVEL = 3
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
@@ -93,6 +96,17 @@ class Wording:
     own: zstandard.ZstdCompressor
     size: int
 
+    @property
+    def cues(self) -> set[str]:
+        """The rarest words, as far as it seems, of which a match has at least one: more than may be missing."""
+        out, n = set(), 0
+        for w in sorted(self.counts, key=lambda w: (not RARE.search(w), -len(w), w)):
+            if n > len(self.words) - self.need:
+                break
+            out.add(w)
+            n += self.counts[w]
+        return out
+
     @property
     def first(self) -> set[str]:
         """Words that a match can begin with: no more may be missing before it than in the whole."""
@@ -122,6 +136,22 @@ class Scanner:
                 need = next(h for h in range(1, len(words) + 1) if h >= MATCHED * len(words))
                 self.items.append(Wording(name, words, need, len(words) + max(2, int(len(words) * MAX_EXTRA)), Counter(words), own, max(1, len(self.plain.compress(raw)) - self.least)))
 
+        self.cues = set().union(*[x.cues for x in self.items])
+        self.reach = max((x.reach for x in self.items), default=0)
+
+    def blocks(self, text: str) -> Iterator[list[tuple[str, int, int]]]:
+        """The words around each cue, those of overlapping blocks together."""
+        words, lo, hi = words_at(text), 0, 0
+        for i in [i for i, (w, _, _) in enumerate(words) if w in self.cues]:
+            if i - self.reach > hi:
+                if hi:
+                    yield words[lo:hi]
+                lo = i - self.reach
+            hi = min(len(words), i + self.reach)
+            lo = max(0, lo)
+        if hi:
+            yield words[lo:hi]
+
     def saved(self, item: int, stretch: str) -> float:
         """The share of the template's size that it saves on the stretch."""
         raw = stretch.lower().encode("utf-8", "surrogatepass")
@@ -150,13 +180,16 @@ class Scanner:
                 used = {i for m in runs for i in range(m.b, m.b + m.size)}
                 yield Match(item, a + lo, a + hi, [w for i, w in enumerate(x.words) if i not in seen], [part[i] for i in range(lo, hi) if i not in used])
 
-    def scan(self, block: str) -> Iterator[dict]:
-        """The licenses of a block: license, start, stop (code points), saved share, missing and extra words."""
-        words = words_at(block)
+    def scan(self, text: str) -> Iterator[dict]:
+        """The licenses of a text: license, start, stop (code points), saved share, missing and extra words."""
+        for words in self.blocks(text):
+            yield from self.scan_block(text, words)
+
+    def scan_block(self, text: str, words: list[tuple[str, int, int]]) -> Iterator[dict]:
         while True:
             ranked = []
             for m in self.matches([w for w, _, _ in words]):
-                share = self.saved(m.item, block[words[m.lo][1] : words[m.hi - 1][2]])
+                share = self.saved(m.item, text[words[m.lo][1] : words[m.hi - 1][2]])
                 # the wording of which most words are there, and of those the one with fewest differences
                 ranked.append(((len(m.missing) - len(self.items[m.item].words), len(m.missing) + len(m.extra), -share, m.lo, m.item), share, m))
             if not ranked:
@@ -171,26 +204,10 @@ class Scanner:
             words = [w for w, t in zip(words, taken) if not t]
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """doc_id, start (code point of the text) and block: runs of lines near a cue, in texts that have one."""
-    lines = F.split("text", "\n")
-    with_cue = docs.select("doc_id", "text").filter(F.col("text").rlike(CUE)).withColumn("lines", lines)
-    near = F.transform("lines", lambda x, i: x.rlike(CUE) | F.coalesce(F.get("lines", i - 1).rlike(CUE), F.lit(False)) | F.coalesce(F.get("lines", i + 1).rlike(CUE), F.lit(False)))
-    marked = with_cue.withColumn("near", near)
-    # one pass over the lines: (end of text so far, blocks); a line that is near joins the last block if that ends just before it
-    grown = F.aggregate(
-        F.arrays_zip("lines", "near"),
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,stop:int>>)").alias("out")),
-        lambda s, x: F.struct(
-            (s["at"] + F.length(x["lines"]) + 1).alias("at"),
-            F.when(~x["near"], s["out"])
-            .when((F.size(s["out"]) > 0) & (F.coalesce(F.get(s["out"], F.size(s["out"]) - 1)["stop"], F.lit(-9)) + 1 == s["at"]), F.concat(F.slice(s["out"], F.lit(1), F.size(s["out"]) - 1), F.array(F.struct(F.get(s["out"], F.size(s["out"]) - 1)["start"].alias("start"), (s["at"] + F.length(x["lines"])).alias("stop")))))
-            .otherwise(F.concat(s["out"], F.array(F.struct(s["at"].alias("start"), (s["at"] + F.length(x["lines"])).alias("stop")))))
-            .alias("out"),
-        ),
-    )
-    cuts = marked.select("doc_id", "text", F.explode(grown["out"]).alias("b"))
-    return cuts.select("doc_id", F.col("b.start").alias("start"), F.substring(F.col("text"), F.col("b.start") + 1, F.col("b.stop") - F.col("b.start")).alias("block"))
+def has_cue(text: Column, scanner: Scanner) -> Column:
+    """Whether the text has a cue; word boundaries are looser than those of words_at."""
+    cues = "|".join(re.sub(r"([^\w])", r"\\\1", w) for w in sorted(scanner.cues))
+    return text.rlike(r"(?iu)(?<![A-Za-z0-9])(?:" + cues + ")") if cues else F.lit(False)
 
 
 _FOUND = pa.struct([("license", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("saved", pa.float64()), ("missing", pa.list_(pa.string())), ("extra", pa.list_(pa.string()))])
@@ -203,12 +220,12 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates)
         for b in batches:
-            rows = [list(scanner.scan(t.as_py())) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.list_(_FOUND))], names=["doc_id", "at", "found"])
+            rows = [list(scanner.scan(t.as_py())) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(_FOUND))], names=["doc_id", "found"])
 
-    found = blocks(docs).mapInArrow(run, f"doc_id {kind}, at int, found array<struct<license:string,start:bigint,stop:bigint,saved:double,missing:array<string>,extra:array<string>>>")
-    each = found.select("doc_id", "at", F.explode("found").alias("f"))
-    return each.select("doc_id", "f.license", (F.col("at") + F.col("f.start")).alias("start"), (F.col("at") + F.col("f.stop")).alias("stop"), "f.saved", "f.missing", "f.extra")
+    with_cue = docs.select("doc_id", "text").filter(has_cue(F.col("text"), Scanner(templates)))
+    found = with_cue.mapInArrow(run, f"doc_id {kind}, found array<struct<license:string,start:bigint,stop:bigint,saved:double,missing:array<string>,extra:array<string>>>")
+    return found.select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.license", "f.start", "f.stop", "f.saved", "f.missing", "f.extra")
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import textwrap
 
 from spanforge.llm import license_scan as L
 
@@ -36,3 +37,19 @@ def test_every_wording_is_found_in_a_long_line(simple):
     texts = [f"{prose(n)} {w} {prose(n)}" for _, w in wordings for n in (300, 3000)]
     rows = sorted((r["doc_id"], r["license"], r["start"], r["missing"] + r["extra"]) for r in L.scan(simple(texts)).collect())
     assert rows == [(2 * i + k, name, texts[2 * i + k].index(w), []) for i, (name, w) in enumerate(wordings) for k in (0, 1)]
+
+
+def test_wrapped_wordings_are_whole(simple):
+    wordings = [(name, w) for name in L.TEMPLATES for w in L.TEMPLATES[name] if len(w) > 40]
+    cases = [(name, "\n".join(mark + x for x in textwrap.wrap(w, width, break_long_words=False, break_on_hyphens=False))) for name, w in wordings for width in range(40, 81, 5) for mark in ("", " * ")]
+    rows = sorted((r["doc_id"], r["license"], r["missing"], r["extra"]) for r in L.scan(simple([f"some prose\n\n{x}\n\nmore prose" for _, x in cases])).collect())
+    assert rows == [(i, name, [], []) for i, (name, _) in enumerate(cases)]
+
+
+def test_matches_that_lack_words_and_own_templates_have_cues(simple):
+    scanner = L.Scanner()
+    for x in scanner.items:
+        assert sum(x.counts[w] for w in x.cues) > len(x.words) - x.need
+    own = {"Mine": ("Anyone may bake this cake on sundays",)}
+    assert [r["license"] for r in L.scan(simple(["First words.\nAnyone may bake\nthis cake\non sundays.", "bread"]), own).collect()] == ["Mine"]
+    assert [r["license"] for r in L.scan(simple(["Released under CC0 version 1.0.", "released into the public\n\nAll\nrights\nreserved"])).collect()] == ["CC0-1.0", "Proprietary"]
