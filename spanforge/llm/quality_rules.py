@@ -6,7 +6,14 @@ delta / (rules x strata), where n is the number of good labelled rows of the str
 Cutoffs are tested from the mildest to the harshest and testing stops at the first that isn't safe (fixed-sequence testing), so the
 correction over rules and strata (Bonferroni) controls the chance of any unsafe cutoff at delta. alpha is max_false_rejection divided
 by the number of rules, so that all rules together stay within max_false_rejection in each stratum. Without enough labelled rows
-no cutoff is safe and only the base rules act.
+no cutoff is safe and only the base rules act. certify() and judge() do this, as the query's SQL has it; it takes over 1400 good rows.
+
+keep() needs fewer (certify_jointly): all rules are tested as one, on the rows that any of them rejects, so alpha is the whole of
+max_false_rejection, and there is one sequence for each stratum, whose steps tighten rule after rule in the order of SEQUENCE. delta is shared
+by the strata, the languages and the whole. A stratum with too few good rows to certify anything even without a false rejection
+takes its language's setting, and a language with too few that of the whole; it then has the bound of what it takes the setting from (at most
+that share of the language's good rows, or of all), none of its own. One with enough rows that fails its tests takes nothing,
+nor do other languages than the listed ones and those without a good row take the setting of the whole.
 
 Everything runs in DataFrame functions: one scan computes the metrics, one aggregate the counts (at most strata x rules x cutoffs
 rows), and the certified cutoffs (at most one row for each stratum) are broadcast; strata are a fixed list, so the size is bounded.
@@ -28,6 +35,8 @@ from .common import SPACE, SPACE_RUN, WORD, cut, let, table
 
 SYMBOLS = "#*$%&|<>"
 REPEAT_WINDOW = 8
+#: The order in which certify_jointly() tightens rules; repeats come last, as a base rule bounds them already.
+SEQUENCE = ("symbol_share", "mean_word", "dup_line_share", "repeat_share")
 
 
 @dataclass(frozen=True)
@@ -155,6 +164,35 @@ def certify(measured: DataFrame, labels: DataFrame, p: Params = DEFAULT) -> Data
     return safe.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"__cut_{r}") for r, _ in p.cutoffs])
 
 
+def certify_jointly(measured: DataFrame, labels: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """As certify(), with all rules tested together and coarser strata where one is too small; a row for each stratum."""
+    values, cutoffs = rule_values(), dict(p.cutoffs)
+    good = labels.groupBy("doc_id").agg(F.max("quality").alias("__q")).filter("__q = 1").select("doc_id")
+    # the first step of the sequence that rejects the row; cutoffs fall, so the later ones reject it too
+    rules = sorted(cutoffs, key=lambda r: SEQUENCE.index(r))
+    begin = {r: sum(len(cutoffs[x]) for x in rules[:i]) for i, r in enumerate(rules)}
+    steps = sum(map(len, cutoffs.values()))
+    first = F.least(F.lit(steps), *[F.when(values[r] > c, begin[r] + j).otherwise(steps) for r in rules for j, c in enumerate(cutoffs[r])])
+    s = stratum(p)
+    groups = F.array(s, F.substring_index(s, ":", 1), F.lit("all"))
+    held = measured.filter(~F.col("base_failed")).select("doc_id", groups.alias("groups"), first.alias("first")).join(good, "doc_id")
+    counts = held.select(F.explode("groups").alias("g"), "first").groupBy("g", "first").agg(F.count("*").alias("n"))
+    by = counts.groupBy("g").agg(F.sum("n").alias("total"), F.collect_list(F.struct("first", "n")).alias("by"))
+    level = p.delta / ((len(p.languages) + 1) * (len(p.bands) + 1) + len(p.languages) + 2)
+    rejected = F.aggregate("by", F.lit(0).cast("long"), lambda a, x: a + F.when(x["first"] <= F.col("step"), x["n"]).otherwise(0))
+    grid = by.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))).withColumn("tail", binomial_tail(F.col("total"), rejected, p.max_false_rejection))
+    # tails grow along the sequence, so the last safe step has only safe ones before it; -1: none though there are rows enough, null: too few
+    enough = F.pow(F.lit(1.0 - p.max_false_rejection), F.col("total")) <= level
+    last = grid.groupBy("g").agg(F.max(F.when(enough, F.when(F.col("tail") <= level, F.col("step")).otherwise(-1))).alias("last"))
+    found = last.agg(F.map_from_entries(F.collect_list(F.struct("g", "last"))).alias("found"))
+    names = [(x, f"{x}:{b}") for x in (*p.languages, "other") for b in range(len(p.bands) + 1)]
+    each = found.select("found", F.explode(F.array(*[F.struct(F.lit(x).alias("lang"), F.lit(name).alias("stratum")) for x, name in names])).alias("s"))
+    whole = (F.col("s.lang") != "other") & F.map_contains_key("found", F.col("s.lang"))
+    settled = each.select("s.stratum", F.coalesce(F.col("found")[F.col("s.stratum")], F.col("found")[F.col("s.lang")], F.when(whole, F.col("found")["all"]), F.lit(-1)).alias("last"))
+    cut_of = lambda r: F.when(F.col("last") >= begin[r], F.element_at(F.array(*[F.lit(float(c)) for c in cutoffs[r]]), F.least(F.col("last") - begin[r] + 1, F.lit(len(cutoffs[r])))))
+    return settled.select("stratum", *[cut_of(r).alias(f"__cut_{r}") for r, _ in p.cutoffs])
+
+
 def decide(measured: DataFrame, cutoffs: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """measured with kept and failed_rules added. cutoffs has at most one row for each stratum of the fixed list, so it is broadcast."""
     values = rule_values()
@@ -174,7 +212,7 @@ def keep(docs: DataFrame, labels: DataFrame, p: Params = DEFAULT) -> DataFrame:
     mine = ["n_words", "n_repeat_words", "n_lines", "n_dup_lines", "word_chars", "n_symbols", "base_failed"]
     packed = docs.select(F.struct("*").alias("__row"), "doc_id", "lang", "text")
     measured = cut(metrics(packed, p).drop("text"), "quality-rows")
-    kept = decide(measured, certify(measured.select("doc_id", "lang", *mine), labels, p), p)
+    kept = decide(measured, certify_jointly(measured.select("doc_id", "lang", *mine), labels, p), p)
     return kept.filter("kept").select("__row.*")
 
 

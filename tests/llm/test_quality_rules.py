@@ -53,3 +53,18 @@ def test_odd_rows_and_empty_tables(spark, odd):
     assert Q.judge(odd, labels).count() == odd.count()
     assert Q.keep(odd.withColumn("n_words", F.lit("mine")), labels).columns[-1] == "n_words"
     assert Q.judge(odd.filter("false"), labels.filter("false")).count() == 0
+
+
+def test_small_strata_get_cutoffs_together(spark, make):
+    clean, junk = "the quick brown fox jumps over some lazy dogs while %d people look on and wonder about it all day %d", "a | b # c | d & e | f * g | h < i > j | k | l | m | n %d %d | o | p | q | r | s"
+    # 320 good rows of en, 100 each of de and fr: too few for four rules apart, or for one language
+    rows = [(i, (junk if i % 5 == 0 else clean) % (i, i + 1), "en" if i < 400 else "de" if i < 525 else "fr", "s", 1) for i in range(650)]
+    docs = make(rows)
+    label = lambda good: spark.createDataFrame([(i, int(bool(good(i))), 0) for i in range(650)], "doc_id long, quality int, toxic int")
+    ids = lambda labels: {r["doc_id"] for r in Q.keep(docs, labels).collect()}
+    assert ids(label(lambda i: i % 5)) == {i for i in range(650) if i % 5}
+    # a stratum with rows enough whose labels call the junk good takes no setting of a coarser one; nor do small ones, as the whole isn't safe
+    assert ids(label(lambda i: i % 5 or i < 400)) == set(range(650))
+    # too few rows for the whole
+    few = label(lambda i: i % 5).filter("doc_id < 350")
+    assert ids(few) == set(range(650))
