@@ -1,13 +1,16 @@
 """Mixture-controlled packing: deficit round-robin over source queues.
 
-Every source is a queue of its documents (in the order they were read), cut into units of at most UNIT ids: the smaller they are, the closer
-each window comes to the target, and the more pieces a document has. Round by round each queue
-gains a quantum in proportion to its share of all ids (or to given weights) and is served units while its credit lasts; what is left is
-its deficit and carries over to the next round, across windows and partitions. All queues hold their documents from the start, so a
-unit is served in the first round whose credit covers the ids of its queue up to and including it: round = ceil(ids so far / quantum).
-That closed form is the same schedule without a sequential pass; the running sums it needs are computed in blocks, so no source, however
-large, lies in one task. The served units, in order of round and source, are laid end to end and cut at every window's end, so all
-windows but the very last are full.
+Every source is a queue of its documents (in the order they were read), whose ids are served in units of UNIT, documents joined end to end.
+Round by round each queue gains a quantum, its target share of ROUND ids, and is served whole units while its credit lasts; what is
+left is its deficit and carries over to the next round, across windows and partitions. An exhausted queue drops out and the others go on
+at the same proportions to each other. Targets are given weights or, without them, shares of ids to the power TEMPER, which gives small
+sources more room than they have in the data, until they are used up.
+
+All queues hold their documents from the start, so a unit is served in the first round whose credit covers the units of its queue up to
+and including it: round = ceil((units before + 1) * UNIT / quantum). That closed form is the same schedule without a sequential pass; the
+running sums it needs are computed in blocks, so no source, however large, lies in one task. What is served, in order of round and
+source, is laid end to end and cut at every window's end, so all windows but the very last are full. A round is one window long (longer
+only where there are more sources than a window has units), so every window has each active source's share, give or take a unit.
 
 Texts are encoded once, into a table with a key for each row; only keys and lengths are scheduled, and the places found are joined back.
 
@@ -33,8 +36,9 @@ from .tokens import encoder
 
 VOCABULARY = "byte_bpe_50k.json"
 WINDOW = 2048
-UNIT = 256
-#: Rounds whose units are put in order by one task.
+UNIT = 32
+TEMPER = 0.7
+#: Rounds whose pieces are put in order by one task.
 ROUNDS_A_BLOCK = 64
 
 
@@ -63,67 +67,78 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return cut(docs.select("doc_id", "text", queue.alias("queue")).mapInArrow(run, f"key long, doc_id {kind}, queue string, n long, before long, ids binary"), "packing-ids")
 
 
-def schedule(rows: DataFrame, window: int = WINDOW, unit: int = UNIT, weights: dict[str, float] | None = None) -> DataFrame:
-    """key, at (of a unit in its document), n and place (ids served before it, over all) of every unit. rows: key, queue, n, before.
-
-    weights, by queue, replace the shares of ids as targets; a queue without one keeps its share."""
-    share = F.col("total")
+def _quanta(totals: DataFrame, window: int, unit: int, temper: float, weights: dict[str, float] | None) -> DataFrame:
+    """queue and quantum (ids a round, a whole number of one or more) from queue and total."""
+    weight = F.pow("total", F.lit(temper))
     if weights:
-        share = F.coalesce(*[F.when(F.col("queue") == q, F.lit(float(x)) * F.col("all")) for q, x in weights.items()], F.col("total"))
+        weight = F.coalesce(*[F.when(F.col("queue") == q, F.lit(float(x))) for q, x in weights.items()], F.lit(0.0))
+    weighed = totals.select("queue", weight.alias("weight"), F.lit(1).alias("one"))
+    over_all = F.broadcast(weighed.groupBy("one").agg(F.sum("weight").alias("all"), F.count("*").alias("queues")))  # one row
+    round_ids = F.greatest(F.lit(window).cast("long"), F.col("queues") * unit)
+    return weighed.join(over_all, "one").select("queue", F.greatest(F.lit(1).cast("long"), F.round(round_ids * F.col("weight") / F.col("all")).cast("long")).alias("quantum"))
+
+
+def schedule(rows: DataFrame, window: int = WINDOW, unit: int = UNIT, temper: float = TEMPER, weights: dict[str, float] | None = None) -> DataFrame:
+    """key, at (of a piece in its document), n, sequence_id and offset of every piece. rows: key, queue, n, before.
+
+    weights, by queue ("source:" and the source, or "none"), are the targets; a queue without one is served one id a round at least."""
     part = F.shiftright("key", 33)
     sums = rows.groupBy("queue", part.alias("part")).agg(F.sum("n").alias("ids"))
-    totals = sums.groupBy("queue").agg(F.sum("ids").alias("total")).withColumn("all", F.sum("total").over(W.partitionBy())).select("queue", (window * share / F.col("all")).alias("quantum"))
-    base = cut(running_totals(sums, ["queue"], "part", "ids", "base").join(totals, "queue").select("queue", "part", "base", "quantum"), "packing-base")
-    start = F.col("base") + F.col("before")
-    units = rows.withColumn("part", part).join(base, ["queue", "part"]).select("key", "queue", "n", start.alias("start"), "quantum", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(unit).cast("long"))).alias("at"))
-    units = units.select("key", "queue", "at", F.least(F.lit(unit).cast("long"), F.col("n") - F.col("at")).alias("n"), (F.col("start") + F.col("at")).alias("from"), "quantum")
-    units = units.withColumn("round", F.ceil((F.col("from") + F.col("n")) / F.col("quantum"))).withColumn("block", F.floor(F.col("round") / ROUNDS_A_BLOCK)).drop("quantum")
-    units = cut(units, "packing-units")
-    blocks = running_totals(units.groupBy("block").agg(F.sum("n").alias("ids")), [], "block", "ids", "block_base").select("block", "block_base")
+    quanta = _quanta(sums.groupBy("queue").agg(F.sum("ids").alias("total")), window, unit, temper, weights)
+    base = cut(running_totals(sums, ["queue"], "part", "ids", "base").join(quanta, "queue").select("queue", "part", "base", "quantum"), "packing-base")
+    placed = rows.withColumn("part", part).join(base, ["queue", "part"]).select("key", "queue", "n", (F.col("base") + F.col("before")).alias("start"), "quantum")
+    served = lambda u: F.expr(f"(({u} + 1) * {unit} + quantum - 1) div quantum")
+    first, last = f"start div {unit}", f"(start + n - 1) div {unit}"
+    # the rounds that serve a document; where a quantum is less than a unit there is one for each unit, and rounds between serve none
+    rounds = F.when(F.col("quantum") >= unit, F.sequence(served(first), served(last))).otherwise(F.expr(f"transform(sequence({first}, {last}), u -> ((u + 1) * {unit} + quantum - 1) div quantum)"))
+    each = placed.select("key", "queue", "n", "start", "quantum", F.explode(rounds).alias("round"))
+    upto = lambda r: F.expr(f"{unit} * ((({r}) * quantum) div {unit})")
+    each = each.withColumns({"from": F.greatest(F.col("start"), upto("round - 1")), "to": F.least(F.col("start") + F.col("n"), upto("round"))})
+    pieces = cut(each.select("key", "queue", "round", "from", (F.col("from") - F.col("start")).alias("at"), (F.col("to") - F.col("from")).alias("n")).withColumn("block", F.expr(f"round div {ROUNDS_A_BLOCK}")), "packing-pieces")
+    blocks = running_totals(pieces.groupBy("block").agg(F.sum("n").alias("ids")), [], "block", "ids", "block_base").select("block", "block_base")
     w = W.partitionBy("block").orderBy("round", "queue", "from").rowsBetween(W.unboundedPreceding, -1)
-    local = units.withColumn("local", F.coalesce(F.sum("n").over(w), F.lit(0).cast("long")))
-    return local.join(blocks, "block").select("key", "at", "n", (F.col("block_base") + F.col("local")).alias("place"))
-
-
-def _joined(units: list[dict]) -> list[tuple[int, int, int]]:
-    """at, n and place of units in order, those that lie end to end in both the document and the windows made one."""
-    out: list[tuple[int, int, int]] = []
-    for u in sorted(units, key=lambda u: u["at"]):
-        if out and out[-1][2] + out[-1][1] == u["place"]:
-            out[-1] = (out[-1][0], out[-1][1] + u["n"], out[-1][2])
-        else:
-            out.append((u["at"], u["n"], u["place"]))
-    return out
+    local = pieces.withColumn("local", F.coalesce(F.sum("n").over(w), F.lit(0).cast("long")))
+    laid = local.join(blocks, "block").select("key", "at", "n", (F.col("block_base") + F.col("local")).alias("place"))
+    cuts = laid.select("*", F.explode(F.sequence(F.expr(f"place div {window}"), F.expr(f"(place + n - 1) div {window}"))).alias("sequence_id"))
+    low, high = F.greatest(F.col("place"), F.col("sequence_id") * window), F.least(F.col("place") + F.col("n"), (F.col("sequence_id") + 1) * window)
+    return cuts.select("key", (F.col("at") + low - F.col("place")).alias("at"), (high - low).alias("n"), "sequence_id", (low - F.col("sequence_id") * window).alias("offset"))
 
 
-def _cutter(window: int):
+def _cutter(with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[] for _ in range(9)]
-            for name, queue, n, ids, units in zip(*(b.column(c) for c in ("doc_id", "queue", "n", "ids", "units")), strict=True):
-                blob, name, queue, n = ids.as_py(), name.as_py(), queue.as_py(), n.as_py()
-                own = np.frombuffer(blob, dtype=np.uint16 if len(blob) == 2 * n else np.uint32).astype("<u4")
-                for at, left, place in _joined(units.as_py()):
-                    while left:
-                        m = min(left, window - place % window)
-                        piece = own[at : at + m].tobytes()
-                        for column, x in zip(out, (name, at, m, zlib.crc32(piece), n, place // window, place % window, queue, piece), strict=True):
-                            column.append(x)
-                        at, left, place = at + m, left - m, place + m
-            kinds = [b.column("doc_id").type, *[pa.int64()] * 6, pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue", "ids"])
+            pieces = b.column("pieces")
+            rows = np.repeat(np.arange(b.num_rows), pieces.value_lengths().to_numpy())
+            flat = pieces.flatten()
+            at, n = (flat.field(c).to_numpy() for c in ("at", "n"))
+            sizes, crc, blobs = b.column("n").to_pylist(), np.empty(len(rows), dtype=np.int64), []
+            own: np.ndarray = np.zeros(0, dtype="<u4")
+            before = -1
+            for i, (row, a, z) in enumerate(zip(rows.tolist(), at.tolist(), (at + n).tolist(), strict=True)):
+                if row != before:
+                    blob, before = b.column("ids")[row].as_py(), row
+                    own = np.frombuffer(blob, dtype=np.uint16 if len(blob) == 2 * sizes[row] else np.uint32).astype("<u4")
+                crc[i] = zlib.crc32(own[a:z])
+                if with_ids:
+                    blobs.append(own[a:z].tobytes())
+            pick = pa.array(rows)
+            columns = {"doc_id": b.column("doc_id").take(pick), "start": flat.field("at"), "length": flat.field("n"), "ids_crc32": pa.array(crc), "doc_tokens": b.column("n").take(pick)}
+            columns |= {"sequence_id": flat.field("sequence_id"), "offset": flat.field("offset"), "queue": b.column("queue").take(pick)}
+            if with_ids:
+                columns["ids"] = pa.array(blobs, pa.binary())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return run
 
 
-def pack(docs: DataFrame, window: int = WINDOW, unit: int = UNIT, vocabulary: str = VOCABULARY, weights: dict[str, float] | None = None) -> DataFrame:
-    """All pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue and ids (little-endian, 32 bits)."""
+def pack(docs: DataFrame, window: int = WINDOW, unit: int = UNIT, vocabulary: str = VOCABULARY, temper: float = TEMPER, weights: dict[str, float] | None = None, with_ids: bool = True) -> DataFrame:
+    """All pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue and, with_ids, ids (little-endian, 32 bits)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = encode(docs, vocabulary)
-    places = schedule(rows.select("key", "queue", "n", "before"), window, unit, weights)
-    units = places.groupBy("key").agg(F.collect_list(F.struct("at", "n", "place")).alias("units"))
-    placed = rows.select("key", "doc_id", "queue", "n", "ids").join(units, "key").drop("key")
-    return placed.mapInArrow(_cutter(window), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long, queue string, ids binary")
+    pieces = schedule(rows.select("key", "queue", "n", "before"), window, unit, temper, weights)
+    of = pieces.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("at", "n", "sequence_id", "offset"))).alias("pieces"))
+    placed = rows.select("key", "doc_id", "queue", "n", "ids").join(of, "key").drop("key")
+    return placed.mapInArrow(_cutter(with_ids), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long, queue string" + ", ids binary" * with_ids)
 
 
 def sequences(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -136,5 +151,5 @@ def sequences(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pack(table(spark, sf_dir, "documents"))
+    out = pack(table(spark, sf_dir, "documents"), with_ids=False)
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", F.regexp_replace("queue", "^source:", "").alias("source"))

@@ -3,7 +3,7 @@
 Texts are cut at single spaces and newlines, where both tokenizers used here part tokens anyway, and the distinct pieces of a batch are looked up in a
 bounded cache; only misses reach the tokenizer. Pieces of Latin letters with ASCII signs behind (no apostrophe) go straight to its BPE model (pre-tokenizing
 and normalizing change nothing in them but the case), all others through the whole tokenizer. Texts in which the cut isn't known to be
-safe (spaces beside other white space) are encoded whole. Tests hold the result against Tokenizer.encode.
+safe (spaces beside other white space, NULs, strings of special tokens) are encoded whole. Tests hold the result against Tokenizer.encode.
 """
 
 from __future__ import annotations
@@ -16,9 +16,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Ids of this many distinct pieces are held; the cache then starts anew.
+#: Ids of up to twice this many distinct pieces are held, and of as many words.
 CACHE_PIECES = 200_000
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 3_000_000
 END_ID = 1
 #: Stands for a newline and no space before a piece; texts that hold a NUL are encoded whole.
 NEWLINE = "\0n"
@@ -36,32 +36,50 @@ def _byte_chars() -> list[str]:
     return out
 
 
+class Recent(dict):
+    """The ids of up to 2 * limit keys. When limit new ones have come, those not used since the last such time go."""
+
+    def __init__(self, limit: int):
+        self.limit, self.older = limit, {}
+
+    def __missing__(self, key: str) -> bytes | None:
+        ids = self.older.get(key)
+        if ids is not None:
+            self[key] = ids
+        return ids
+
+    def trim(self) -> None:
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+
+
 class Encoder:
     """encode(texts) gives the ids of every text as one array, and how many each text has."""
 
-    def __init__(self, path: str, spaced: bool):
-        """spaced: pieces but the first carry the space before them (byte-level); else white space is dropped and letters lower-cased."""
+    def __init__(self, path: str, spaced: bool, plain_specials: bool = False):
+        """spaced: pieces but the first carry the space before them (byte-level); else white space is dropped and letters lower-cased.
+
+        A special token's string in a text becomes that token, as the library has it, or with plain_specials is text as any other."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain_specials
+        self.specials = [] if plain_specials else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.spaced = self.tokenizer.model, spaced
         self.model._resize_cache(0)  # the cache here takes its place
         self.bytes = _byte_chars()
         self.space = self.bytes[0x20] if spaced else ""
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.newline = self._whole(["\n"])[0]
-        self.cache: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.cache, self.words = Recent(CACHE_PIECES), Recent(CACHE_PIECES)
         self.code = "H" if self.kind is np.uint16 else "I"
 
     def _bpe(self, word: str, space: str) -> bytes:
         key = space + (word if self.spaced else word.lower())
-        ids = self.words.get(key)
+        ids = self.words[key]
         if ids is None:
-            if len(self.words) >= CACHE_PIECES:
-                self.words.clear()
             mapped = key if word.isascii() else space + "".join([self.bytes[b] for b in key[len(space) :].encode()])
             ids = self.words[key] = array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
         return ids
@@ -77,10 +95,10 @@ class Encoder:
     def _pieces(self, pieces: list[str]) -> list[bytes | None]:
         """Ids of each piece with the space before it; None where the cut isn't known to be safe."""
         cache, lead = self.cache, " " if self.spaced else ""
-        out: list[bytes | None] = [cache.get(p) for p in pieces]
+        cache.trim()
+        self.words.trim()
+        out: list[bytes | None] = [cache[p] for p in pieces]
         missing = [i for i, x in enumerate(out) if x is None]
-        if len(cache) + len(missing) > CACHE_PIECES:
-            cache.clear()
         hard = []
         for i in missing:
             p = pieces[i]
@@ -99,8 +117,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text. A text may have none."""
-        marked = [t if "\n" not in t else t.replace("\n", " " + NEWLINE if self.spaced else " ") if "\0" not in t else "" for t in texts]
-        odd = np.array(["\0" in t for t in texts], dtype=bool)
+        odd = np.array(["\0" in t or any(x in t for x in self.specials) for t in texts], dtype=bool)
+        marked = ["" if o else t.replace("\n", " " + NEWLINE if self.spaced else " ") for t, o in zip(texts, odd, strict=True)]
         split = pc.split_pattern(pa.array(marked, pa.large_string()), " ")
         starts = split.offsets.to_numpy().astype(np.int64)
         coded = split.flatten().dictionary_encode()
@@ -161,14 +179,14 @@ class Encoder:
             yield out
 
 
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+_ENCODERS: dict[tuple[str, bool, bool], Encoder] = {}
 
 
-def encoder(name: str, spaced: bool) -> Encoder:
+def encoder(name: str, spaced: bool, plain_specials: bool = False) -> Encoder:
     """One for each Python worker; name is a file of the public tokenizers, or a path."""
-    key = (name, spaced)
+    key = (name, spaced, plain_specials)
     if key not in _ENCODERS:
         import public_tokenizers
 
-        _ENCODERS[key] = Encoder(name if os.path.isabs(name) else public_tokenizers.path(name), spaced)
+        _ENCODERS[key] = Encoder(name if os.path.isabs(name) else public_tokenizers.path(name), spaced, plain_specials)
     return _ENCODERS[key]

@@ -4,6 +4,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from spanforge.llm import packing, repair
@@ -18,10 +19,21 @@ TEXTS = [t or "" for t in ODD] + ["a\n\nb", "\na", "a\n", "a \nb c", "\x00n a",
 def test_batches_equal_the_tokenizer(duck, name, spaced):
     texts = TEXTS + [r[0] for r in duck.execute("SELECT text FROM documents").fetchall()]
     plain = Tokenizer.from_file(public_tokenizers.path(name))
-    plain.encode_special_tokens = True
-    ids, counts = Encoder(public_tokenizers.path(name), spaced).encode(texts)
-    cuts = np.cumsum(counts)
-    assert [ids[e - n : e].tolist() for n, e in zip(counts, cuts)] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    for as_text in (False, True):
+        plain.encode_special_tokens = as_text
+        ids, counts = Encoder(public_tokenizers.path(name), spaced, as_text).encode(texts)
+        cuts = np.cumsum(counts)
+        assert [ids[e - n : e].tolist() for n, e in zip(counts, cuts)] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_old_pieces_are_looked_up_again(duck):
+    texts = [r[0] or "" for r in duck.execute("SELECT text FROM documents").fetchall()]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    small, large = Encoder(path, True), Encoder(path, True)
+    small.cache.limit = small.words.limit = 50
+    for t in texts:
+        assert small.encode([t])[0].tolist() == large.encode([t])[0].tolist()
+    assert len(small.words.older) and len(small.words) < len(large.words)
 
 
 def test_grammar_round_trip():
@@ -48,7 +60,6 @@ def test_small_and_uniform_shards(ids):
 
 def plain_ids(text, name):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, 1]
 
 
@@ -84,23 +95,89 @@ def check_pieces(rows, window):
 
 
 def test_packing_of_odd_rows(odd):
-    rows = packing.pack(odd, window=64, unit=16).collect()
+    rows = packing.pack(odd.withColumn("key", F.lit("mine")).withColumn("queue", F.lit(1)), window=64, unit=16).collect()
     check_pieces(rows, 64)
-    assert sum(r["length"] for r in rows if r["start"] == 0 or True) == sum(2 * len(plain_ids(t, "byte_bpe_50k.json")) for t in ODD) + len(plain_ids("no id at all in this row", "byte_bpe_50k.json")) + 1
+    copies = defaultdict(list)
+    for i, t in [*enumerate(ODD)] * 2 + [(None, "no id at all in this row"), (None, None)]:
+        copies[i].append(plain_ids(t, "byte_bpe_50k.json"))
+    found = defaultdict(list)
+    for r in rows:
+        found[r["doc_id"]].append(r)
+    assert found.keys() == copies.keys()
+    for i, want in copies.items():
+        assert sum(r["length"] for r in found[i]) == sum(map(len, want))
+        texts = [w for w in want for r in found[i] if r["start"] == 0 and r["doc_tokens"] == len(w)]
+        assert texts
+        for r in found[i]:
+            fits = [w for w in want if len(w) == r["doc_tokens"] and w[r["start"] : r["start"] + r["length"]] == np.frombuffer(r["ids"], "<u4").tolist()]
+            assert fits and r["ids_crc32"] == zlib.crc32(r["ids"])
+    bare = packing.pack(odd, window=64, unit=16, with_ids=False)
+    assert "ids" not in bare.columns and bare.count() == len(rows)
     assert packing.pack(odd.filter("false")).count() == 0
 
 
+def round_robin(lengths, quanta, unit):
+    """Served (queue, from, to) of deficit round-robin over queues of the given lengths, round by round."""
+    at, credit, out, turn = dict.fromkeys(lengths, 0), dict.fromkeys(lengths, 0), [], 0
+    while any(at[q] < n for q, n in lengths.items()):
+        turn += 1
+        for q in sorted(lengths):
+            if at[q] >= lengths[q]:
+                continue
+            credit[q] += quanta[q]
+            while credit[q] >= unit and at[q] < lengths[q]:
+                end = min(lengths[q], at[q] + unit)
+                out.append((q, at[q], end))
+                credit[q] -= unit
+                at[q] = end
+    return out
+
+
+@pytest.mark.parametrize("weights", [None, {"source:a": 5.0, "source:b": 1.0, "source:c": 0.01, "none": 2.0}])
+def test_schedule_is_the_sequential_round_robin(spark, weights):
+    r = np.random.default_rng(3)
+    docs, before, lengths = [], defaultdict(int), defaultdict(int)
+    for k in range(300):
+        part, queue, n = k // 100, ["source:a", "source:b", "source:c", "none"][min(3, int(r.integers(0, 10)) // 2)], int(r.integers(1, 90))
+        docs.append(((part << 33) + k % 100, queue, n, before[part, queue]))
+        before[part, queue] += n
+        lengths[queue] += n
+    df = spark.createDataFrame(docs, "key long, queue string, n long, before long")
+    totals = spark.createDataFrame(list(lengths.items()), "queue string, total long")
+    quanta = {x["queue"]: x["quantum"] for x in packing._quanta(totals, 64, 8, 0.7, weights).collect()}
+    start, queue_of = {}, {}
+    so_far = defaultdict(int)
+    for key, queue, n, _ in sorted(docs):
+        start[key], queue_of[key] = so_far[queue], queue
+        so_far[queue] += n
+    place, at = {}, 0
+    for q, a, z in round_robin(dict(lengths), quanta, 8):
+        for x in range(a, z):
+            place[q, x] = at
+            at += 1
+    rows = packing.schedule(df, 64, 8, 0.7, weights).collect()
+    got = {(queue_of[x["key"]], start[x["key"]] + x["at"] + i): x["sequence_id"] * 64 + x["offset"] + i for x in rows for i in range(x["n"])}
+    assert got == place and sum(x["n"] for x in rows) == len(place)
+
+
 def test_windows_keep_the_mixture(make):
-    docs = make([(i, "word and more " * (5 + i % 7), "en", "big" if i % 4 else "small", 1) for i in range(400)])
-    rows = packing.pack(docs, window=256, unit=8).collect()
-    check_pieces(rows, 256)
-    total, by = defaultdict(int), defaultdict(lambda: defaultdict(int))
-    for r in rows:
-        total[r["queue"]] += r["length"]
-        by[r["sequence_id"]][r["queue"]] += r["length"]
-    share = total["source:small"] / sum(total.values())
+    """Production parameters, 20 sources of very different sizes: windows hold the targets of the sources that aren't used up yet."""
+    r = np.random.default_rng(5)
+    docs = make([(i, "word and more " * int(r.integers(5, 400)), "en", f"s{min(19, int(r.geometric(0.15)))}", 1) for i in range(1500)])
+    rows = packing.pack(docs, with_ids=False).collect()
+    check_pieces(rows, packing.WINDOW)
+    total, by, last = defaultdict(int), defaultdict(lambda: defaultdict(int)), {}
+    for x in rows:
+        total[x["queue"]] += x["length"]
+        by[x["sequence_id"]][x["queue"]] += x["length"]
+        last[x["queue"]] = max(last.get(x["queue"], 0), x["sequence_id"])
+    assert len(total) > 15 and len({*last.values()}) > 3
+    far = []
     for s in sorted(by)[:-1]:
-        assert abs(by[s]["source:small"] / 256 - share) < 0.08
+        active = {q: total[q] ** packing.TEMPER for q in total if last[q] > s}
+        if active and not any(last[q] == s for q in total):
+            far.append(sum(abs(by[s][q] / packing.WINDOW - w / sum(active.values())) for q, w in active.items()) / 2)
+    assert len(far) > 50 and np.mean(far) < 0.1
 
 
 def test_sequences_are_padded(simple):
