@@ -81,21 +81,17 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN hw USING (rid) LEFT JOIN it USING (rid)
 """
 
-#: Units, first occurrences and the units to remove; sentence ends are marked, as RE2 has no lookbehind (texts hold no U+0001).
-UNIT_REPEATS = r"""
-t AS (SELECT DISTINCT doc_id, text FROM documents WHERE text <> ''),
-ls AS (SELECT doc_id, text, list_transform(string_split(text, chr(10)), lambda x: {'x': x, 'n': length(x)}) AS l FROM t),
-ln AS (SELECT doc_id, text, unnest(l).x AS unit, unnest(list_transform(range(1, len(l) + 1), lambda i: coalesce(list_sum(list_transform(list_slice(l, 1, i - 1), lambda y: y.n + 1)), 0))) AS line_start FROM ls),
-lw AS (SELECT *, len(regexp_extract_all(unit, '[^\x20\x09-\x0D]+')) AS w FROM ln),
-sx AS (SELECT doc_id, text, line_start, string_split(regexp_replace(unit, '([.!?])([\x20\x09\x0B-\x0D])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS s FROM lw WHERE w > {long}),
-st AS (SELECT doc_id, text, line_start, unnest(s) AS unit, unnest(list_transform(range(1, len(s) + 1), lambda i: coalesce(list_sum(list_transform(list_slice(s, 1, i - 1), lambda y: length(y))), 0))) AS pos FROM sx),
-u AS (SELECT doc_id, text, line_start, 0 AS tier, line_start AS start, unit FROM lw WHERE w >= {least}
-      UNION ALL SELECT doc_id, text, line_start, 1, line_start + pos, unit FROM st),
-un AS (SELECT *, lower(regexp_replace(trim(unit, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM u),
-uw AS (SELECT *, len(regexp_extract_all(norm, '[^ ]+')) AS words, md5(tier::VARCHAR || norm) AS digest FROM un),
-ur AS (SELECT *, row_number() OVER (PARTITION BY digest ORDER BY doc_id NULLS LAST, start) AS k, first_value(doc_id) OVER (PARTITION BY digest ORDER BY doc_id NULLS LAST, start) AS kept_doc_id,
-              first_value(start) OVER (PARTITION BY digest ORDER BY doc_id NULLS LAST, start) AS kept_start FROM uw WHERE words >= {least}),
-cutout AS (SELECT * FROM (SELECT *, min(tier) OVER (PARTITION BY doc_id, text, line_start) AS top FROM ur WHERE k > 1) WHERE tier = top)
-"""
-
-OP2 = "WITH " + UNIT_REPEATS.strip().replace("{long}", "50").replace("{least}", "8") + " SELECT doc_id, start::BIGINT AS start, (start + length(unit))::BIGINT AS stop, tier::BIGINT AS tier, words::BIGINT AS words, digest, kept_doc_id, kept_start::BIGINT AS kept_start FROM cutout"
+#: Pieces, units, first occurrences and the units to remove; the ends of pieces are marked, as RE2 has no lookahead (texts hold no U+0001).
+OP2 = r"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, text FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text <> '')),
+ls AS (SELECT rid, doc_id, string_split(replace(regexp_replace(text, '([.!?,;:])([\x20\x09\x0B-\x0D])', '\1' || chr(1) || '\2', 'g'), chr(10), chr(10) || chr(1)), chr(1)) AS l FROM t),
+pc AS (SELECT rid, doc_id, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS k FROM ls),
+po AS (SELECT *, coalesce(sum(length(x)) OVER (PARTITION BY rid ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS w FROM pc),
+pw AS (SELECT *, sum(w) OVER (PARTITION BY rid ORDER BY k) AS upto, row_number() OVER (PARTITION BY rid ORDER BY k) AS i,
+              translate(array_to_string(regexp_extract_all(x, '[^\x20\x09-\x0D]+'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM po WHERE w > 0),
+al AS (SELECT rid, list(norm ORDER BY i) AS norms FROM pw GROUP BY rid),
+un AS (SELECT a.rid, a.doc_id, a.start, b.start + length(b.x) AS stop, a.i, b.i AS j FROM (SELECT *, upto - w + {least} AS need FROM pw) a ASOF JOIN pw b ON a.rid = b.rid AND a.need <= b.upto),
+ud AS (SELECT un.*, t.text, md5(array_to_string(list_slice(norms, i, j), ' ')) AS digest FROM un JOIN al USING (rid) JOIN t USING (rid)),
+ur AS (SELECT *, row_number() OVER w AS k, first_value(doc_id) OVER w AS kept_doc_id, first_value(start) OVER w AS kept_start, first_value(rid) OVER w AS kept_rid, first_value(stop) OVER w AS kept_stop FROM ud WINDOW w AS (PARTITION BY digest ORDER BY doc_id NULLS LAST, start))
+SELECT doc_id, start::BIGINT AS start, stop::BIGINT AS stop, digest, kept_doc_id, kept_start::BIGINT AS kept_start FROM ur WHERE rid <> kept_rid OR start >= kept_stop
+""".replace("{least}", "16")

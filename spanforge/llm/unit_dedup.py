@@ -1,84 +1,122 @@
-"""Substring dedup by hashing lines and, within long lines, sentences.
-
-Units are the lines of a text, and the sentences of lines with more than LONG_LINE words (a passage can hide in such a line). A unit is
-normalised (lower case, runs of white space made one space) and hashed; units of fewer than MIN_WORDS words are left alone, so that
-short lines that recur by chance stay. Over all documents the occurrence of a digest that ranks first (least doc_id, then the earliest
-place) is kept and every other one removed, with its offsets in the original text. A sentence of a removed line isn't reported again.
-
-Grouping by digest keeps one minimum for each, combined before the shuffle; the join back reads both sides from tables, so that a digest
-that thousands of documents share can be split over tasks. Digests are 128 bits.
-
-Edge cases: null and empty texts have no units; rows that repeat a doc_id and a text are one document (none of them is cut because of the other, each gets
-the same result); of different texts under one id the one with the smaller hash ranks first; a null doc_id ranks last; very long texts and empty tables
-are as any other; extra columns are ignored by repeats() and kept by clean().
+"""Substring dedup by hashing stretches of lines and clauses.
+
+A text is cut behind every newline and behind every sign of . ! ? , ; : that white space follows. From each such piece on, a unit takes as
+many whole pieces as it needs to reach MIN_WORDS words: a long line or sentence is a unit by itself, short ones are joined with what
+follows, over line ends too, so that none is exempt and a passage is found wherever the lines around it are broken. A unit is normalised
+(A-Z in lower case, runs of white space made one space) and hashed with MD5. Over all documents the occurrence of a digest that ranks
+first (least doc_id, then the earliest place) is kept and every other one removed, with its offsets in the original text; units overlap,
+and what is cut out of a text is the union of its removed ones. A unit that overlaps the kept occurrence of its digest stays.
+
+Pieces and digests are made once and lie in a table with a row for each document. Half digests that occur twice are counted first (a hash
+aggregate of longs, combined before the shuffle), so that only units which may repeat are ranked. Every join reads both sides from tables, so that
+a digest that thousands of documents share can be split over tasks, and ranks are aggregated, never gathered.
+
+Edge cases: null and empty texts, and those of fewer than MIN_WORDS words, have no units; rows that repeat a doc_id and a text are one document (none of
+them is cut because of the other, each gets the same result); of different texts under one id the one with the smaller hash ranks first;
+a null doc_id ranks last; a text without any of the signs is one unit, however long; very long texts and empty tables are as any other;
+extra columns are ignored by repeats() and kept by clean().
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from .common import SPACE, SPACE_RUN, cut, table
-
-MIN_WORDS, LONG_LINE = 8, 50
-#: A sentence ends at one of these signs with white space behind it.
-SENTENCE_END = r"(?<=[.!?])(?=[\x20\x09\x0B-\x0D])"
+import hashlib
+import re
+from collections.abc import Iterator
 
-
-def _normal(x: Column) -> Column:
-    return F.lower(F.regexp_replace(F.btrim(x, F.lit(SPACE)), SPACE_RUN, " "))
-
-
-def units(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, start, stop (code points), line_start, tier (0 line, 1 sentence), digest and words of every unit of MIN_WORDS words or more."""
-    text = docs.filter("text <> ''").select("doc_id", "text").withColumn("text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "text_hash"])
-    line = text.select("doc_id", "text_hash", F.explode(_offsets(F.split("text", "\n"), 1)).alias("x")).select("doc_id", "text_hash", F.col("x.text").alias("unit"), F.col("x.start").alias("start"))
-    line = line.withColumn("words", F.regexp_count("unit", F.lit(r"[^\x20\x09-\x0D]+"))).filter(F.col("words") >= MIN_WORDS)
-    whole = F.array(F.struct(F.col("unit").alias("text"), F.lit(0).alias("start"), F.lit(0).alias("tier")))
-    inner = F.transform(_offsets(F.split("unit", SENTENCE_END), 0), lambda x: F.struct(x["text"].alias("text"), x["start"].alias("start"), F.lit(1).alias("tier")))
-    both = line.select("doc_id", "text_hash", F.col("start").alias("line_start"), F.explode(F.when(F.col("words") > LONG_LINE, F.concat(whole, inner)).otherwise(whole)).alias("u"))
-    flat = both.select("doc_id", "text_hash", "line_start", F.col("u.tier").alias("tier"), (F.col("line_start") + F.col("u.start")).alias("start"), F.length("u.text").alias("n"), _normal(F.col("u.text")).alias("norm"))
-    counted = flat.withColumn("words", F.regexp_count("norm", F.lit("[^ ]+"))).filter(F.col("words") >= MIN_WORDS)
-    return counted.select("doc_id", "text_hash", "line_start", "tier", "start", (F.col("start") + F.col("n")).alias("stop"), "words", F.unhex(F.md5(F.concat(F.col("tier").cast("string"), F.col("norm")))).alias("digest"))
-
-
-def _offsets(pieces: Column, gap: int) -> Column:
-    """array<struct<text, start>> of pieces that follow each other gap characters apart."""
-    ends = F.aggregate(pieces, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x) + gap)))
-    return F.zip_with(pieces, F.slice(ends, F.lit(1), F.size(pieces)), lambda x, at: F.struct(x.alias("text"), at.alias("start")))
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import cut, table
+
+MIN_WORDS = 16
+#: Where a piece ends: behind these signs, if white space follows, and behind a newline.
+PIECE_END = re.compile(r"[.!?,;:](?=[ \t\x0b-\r])|\n")
+
+
+def units_of(text: str) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """starts and stops (code points) of a text's units and their digests, 16 bytes each, end to end."""
+    bounds = [m.end() for m in PIECE_END.finditer(text)]
+    bounds.append(len(text))
+    starts, stops, norms, counts = [], [], [], []
+    a = 0
+    for b in bounds:
+        words = text[a:b].encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z change, and only ASCII white space parts words
+        if words:
+            starts.append(a)
+            stops.append(b)
+            norms.append(b" ".join(words))
+            counts.append(len(words))
+        a = b
+    upto = np.cumsum(counts, dtype=np.int64)
+    ends = np.searchsorted(upto, upto - np.array(counts, dtype=np.int64) + MIN_WORDS)  # the piece with which each unit is long enough
+    n = int(np.searchsorted(ends, len(counts)))
+    md5 = hashlib.md5
+    digests = b"".join([md5(norms[i] if i == e else b" ".join(norms[i : e + 1])).digest() for i, e in enumerate(ends[:n].tolist())])
+    return np.array(starts[:n], dtype=np.int32), np.array(stops, dtype=np.int32)[ends[:n]], digests
+
+
+def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = [units_of(t) for t in b.column("text").to_pylist()]
+        offsets = pa.array(np.cumsum([0, *(len(s) for s, _, _ in found)]), pa.int32())
+        halves = np.frombuffer(b"".join(d for _, _, d in found), dtype=">i8").astype(np.int64).reshape(-1, 2)
+        flat = [np.concatenate([np.zeros(0, np.int32), *(f[k] for f in found)]) for k in (0, 1)] + [halves[:, 0], halves[:, 1]]
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(x))) for x in flat]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), *lists], names=["doc_id", "text_hash", "starts", "stops", "high", "low"])
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """The units to remove: doc_id, text_hash, start, stop, tier, words, digest and of the one that is kept kept_doc_id, kept_start."""
-    all_units = cut(units(docs), "dedup-units")
-    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "start")
-    firsts = cut(all_units.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("copies")).filter("copies > 1").drop("copies"), "dedup-firsts")
-    later = all_units.join(firsts, "digest").filter(rank != F.col("first"))
-    removed = later.select("doc_id", "text_hash", "line_start", "start", "stop", "tier", "words", "digest", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"))
-    # a removed line takes its sentences along; the lines of one text are few
-    by = ["doc_id", "text_hash", "line_start"]
-    grouped = removed.groupBy(*by).agg(F.min("tier").alias("least"), F.collect_list(F.struct("start", "stop", "tier", "words", "digest", "kept_doc_id", "kept_start")).alias("u"))
-    return grouped.select("doc_id", "text_hash", F.explode("u").alias("u"), "least").select("doc_id", "text_hash", "u.*", "least").filter(F.col("tier") == F.col("least")).drop("least")
+    """The units to remove: doc_id, text_hash, start, stop, high and low (the halves of the digest) and of the one that is kept kept_doc_id, kept_start."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.filter("text <> ''").select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    made = texts.mapInArrow(_extract, f"doc_id {kind}, text_hash long, starts array<int>, stops array<int>, high array<long>, low array<long>")
+    held = cut(made.withColumn("row", F.monotonically_increasing_id()), "dedup-units")
+    twice = cut(held.select(F.explode("high").alias("high")).groupBy("high").agg(F.count("*").alias("n")).filter("n > 1").select("high"), "dedup-twice")
+    flat = held.select("row", F.explode(F.arrays_zip("high", "low", "starts", "stops")).alias("u")).select("row", "u.high", "u.low", F.col("u.starts").alias("start"), F.col("u.stops").alias("stop"))
+    found = cut(flat.join(twice, "high"), "dedup-candidates")
+    # of rows that repeat an id and a text one stands for all
+    rows = cut(held.groupBy("doc_id", "text_hash").agg(F.min("row").alias("row")), "dedup-rows")
+    ranked = cut(found.join(rows, "row").withColumn("rank", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "start", "stop")), "dedup-ranked")
+    firsts = cut(ranked.groupBy("high", "low").agg(F.min("rank").alias("first"), F.max("rank").alias("last"), F.min_by("row", "rank").alias("first_row")).filter("first <> last").drop("last"), "dedup-firsts")
+    # a text that repeats itself at once keeps the first occurrence whole
+    later = ranked.join(firsts, ["high", "low"]).filter("row <> first_row OR start >= first.stop")
+    return later.select("doc_id", "text_hash", "start", "stop", "high", "low", F.col("first.doc_id").alias("kept_doc_id"), F.col("first.start").alias("kept_start"))
+
+
+@F.pandas_udf(T.StringType())
+def _without(texts: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.Series:
+    """texts without the stretches from starts (ascending) to stops."""
+
+    def one(text, a, b):
+        if a is None:
+            return text
+        kept, at = [], 0
+        for x, y in zip(a, b, strict=True):
+            kept.append(text[at:x])  # empty where stretches overlap
+            at = max(at, y)
+        return "".join([*kept, text[at:]])
+
+    return pd.Series([one(t, a, b) for t, a, b in zip(texts, starts, stops, strict=True)], dtype=object)
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """docs with repeated units cut from their texts (a removed line goes with its newline) and n_chars, where it is there, counted anew.
+    """docs with repeated units cut from their texts and n_chars, where it is there, counted anew.
 
     Rows are never dropped; a text of which nothing stays becomes empty."""
-    spans = repeats(docs).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "tier"))).alias("spans"))
-    spans = cut(spans.withColumnsRenamed({"doc_id": "__id", "text_hash": "__h"}), "dedup-spans")
-    packed = docs.select(F.struct("*").alias("__row"), F.col("doc_id").alias("__d"), F.col("text").alias("__t")).withColumn("__x", F.xxhash64("__t"))
-    joined = packed.join(spans, (F.col("__x") == F.col("__h")) & F.col("__d").eqNullSafe(F.col("__id")), "left")
-    # what stays: from the end of a span (and a removed line's newline) to the start of the next
-    starts = F.concat(F.array(F.lit(0)), F.transform("spans", lambda s: s["stop"] + F.when(s["tier"] == 0, 1).otherwise(0)))
-    stops = F.concat(F.transform("spans", lambda s: s["start"]), F.array(F.length("__t")))
-    kept = F.array_join(F.zip_with(starts, stops, lambda a, b: F.substring(F.col("__t"), a + 1, F.greatest(b - a, F.lit(0)))), "")
-    text = F.when(F.col("spans").isNull(), F.col("__t")).otherwise(kept)
-    out = joined.withColumn("__new", text)
+    spans = repeats(docs).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h")).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("__s"))
+    spans = cut(spans.select("__id", "__h", F.col("__s.start").alias("__a"), F.col("__s.stop").alias("__b")), "dedup-spans")
+    packed = docs.select(F.struct("*").alias("__row"), F.xxhash64("text").alias("__x"))
+    joined = packed.join(spans, (F.col("__x") == F.col("__h")) & F.col("__row.doc_id").eqNullSafe(F.col("__id")), "left")
+    out = joined.withColumn("__new", _without("__row.text", "__a", "__b"))
     fields = [F.col("__new").alias("text") if c == "text" else F.length("__new").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("__row")[c].alias(c) for c in docs.columns]
     return out.select(*fields)
 
 
 def op2_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each removed unit, with its offsets in the original text."""
-    return repeats(table(spark, sf_dir, "documents")).select("doc_id", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), F.col("tier").cast("long").alias("tier"), F.col("words").cast("long").alias("words"), F.lower(F.hex("digest")).alias("digest"), "kept_doc_id", F.col("kept_start").cast("long").alias("kept_start"))
+    digest = F.concat(*[F.lower(F.lpad(F.hex(c), 16, "0")) for c in ("high", "low")])
+    return repeats(table(spark, sf_dir, "documents")).select("doc_id", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), digest.alias("digest"), "kept_doc_id", F.col("kept_start").cast("long").alias("kept_start"))
