@@ -5,9 +5,9 @@ have it set. Documents whose fingerprints differ in at most two bits are linked.
 
 Candidates: a fingerprint is cut into two segments of 32 bits, so of two linked ones at least one segment differs in at most one bit.
 Each distinct fingerprint is indexed under every segment with one bit wildcarded (64 keys); an equality grouping on the key brings
-candidates together and each pair is verified by its Hamming distance. A pair is reported from one key only. Buckets of more than
-bucket_limit fingerprints aren't paired up: their members are indexed a second time under their own value and its 64 one-bit
-deletions-and-flips. Two values share such a point exactly if they differ in at most two bits, a point holds at most 65 values, and
+candidates together and each pair is verified by its Hamming distance. A pair is reported from one key only. Buckets are counted first, with
+partial sums before the shuffle, and only those of BUCKET_LIMIT fingerprints or less are gathered. Larger ones aren't paired up: their
+members are indexed a second time under their own value and its 64 one-bit flips. Two values share such a point exactly if they differ in at most two bits, a point holds at most 65 values, and
 every member is linked to the point's least, so that a hot bucket costs work in proportion to its size and loses no link.
 
 Groups are connected components of distinct fingerprints, found by hooking and pointer jumping on tables in the shared folder; exact
@@ -27,7 +27,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, table
@@ -96,11 +95,11 @@ def _segment(x: Column, s: int) -> Column:
 
 def links(fps: DataFrame) -> DataFrame:
     """a and b, different fingerprints at distance two or less: all such pairs from small buckets, spanning ones from large buckets."""
-    w = W.partitionBy("key")
-    order = w.orderBy("fp").rowsBetween(-BUCKET_LIMIT, -1)
-    found = variants(fps).withColumn("size", F.count("*").over(w)).filter("size > 1").withColumn("before", F.when(F.col("size") <= BUCKET_LIMIT, F.collect_list("fp").over(order)))
-    found = cut(found.withColumn("before", F.expr("filter(before, x -> bit_count(x ^ fp) <= 2)")).filter("size > %d or size(before) > 0" % BUCKET_LIMIT), "simhash-buckets")
-    pairs = found.filter(f"size <= {BUCKET_LIMIT}").select("key", F.col("fp").alias("b"), F.explode("before").alias("a"))
+    sizes = cut(variants(fps).groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "simhash-keys")
+    members = cut(variants(fps).join(sizes, "key"), "simhash-members")
+    small = members.filter(f"size <= {BUCKET_LIMIT}").groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("m"))
+    near = "flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> bit_count(x ^ y) <= 2), y -> named_struct('a', x, 'b', y))))"
+    pairs = small.select("key", F.explode(F.expr(near)).alias("p")).select("key", "p.a", "p.b")
     x = F.col("a").bitwiseXOR(F.col("b"))
     s, bit = F.shiftright("key", 37), F.shiftright("key", 32).bitwiseAND(F.lit(31))
     low, high = _segment(x, 0), _segment(x, 1)
@@ -109,7 +108,7 @@ def links(fps: DataFrame) -> DataFrame:
     first = (s == 0) | (F.bit_count(low) > 1)
     at = F.when(mine == 0, bit == 0).otherwise(mine == F.expr("shiftleft(1L, cast(shiftright(key, 32) & 31 as int))"))
     small = pairs.filter(first & at).select("a", "b")
-    hot = found.filter(f"size > {BUCKET_LIMIT}").select("fp").distinct()
+    hot = members.filter(f"size > {BUCKET_LIMIT}").select("fp").distinct()
     flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(BITS)])
     points = cut(hot.select("fp", F.explode(flips).alias("point")), "simhash-points")
     least = points.groupBy("point").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1").select("point", "a")
@@ -138,25 +137,32 @@ def components(edges: DataFrame) -> DataFrame:
     raise RuntimeError("components did not settle; raise MAX_ROUNDS")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (long) and component_id (least doc_id of the group) of every row of docs."""
-    of = cut(fingerprints(docs), "simhash-fp")
+def groups(of: DataFrame) -> DataFrame:
+    """fp, label (one for each group) and component_id (the group's least doc_id) of every fingerprint of of (doc_id, fp)."""
     distinct = cut(of.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     labels = components(links(distinct.select("fp")))
     named = cut(distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label")), "simhash-labels")
     least = cut(named.groupBy("label").agg(F.min("first").alias("component_id")), "simhash-least")
-    group = cut(named.join(least, "label").select("fp", "component_id"), "simhash-groups")
-    return of.join(group, "fp").select("doc_id", "fp", "component_id")
+    return cut(named.join(least, "label").select("fp", "label", "component_id"), "simhash-groups")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fp (long) and component_id (least doc_id of the group) of every row of docs."""
+    of = cut(fingerprints(docs), "simhash-fp")
+    return of.join(groups(of), "fp").select("doc_id", "fp", "component_id")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose id is their group's least; of repeated rows with that id, one (the least text). Rows without an id stay."""
-    groups = near_duplicates(docs)
-    chosen = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    packed = docs.select(F.struct("*").alias("__row"), "doc_id", "text")
-    ranked = packed.join(chosen, "doc_id", "left_semi")
-    one = ranked.groupBy("doc_id").agg(F.min_by("__row", F.struct(F.length("text").alias("n"), F.col("text").alias("t"))).alias("__row"))
-    return one.select("__row.*").unionByName(docs.filter(F.col("doc_id").isNull()))
+    """One row of docs for each group: the one with the least id (a null one last), of several texts under it the one with the least hash.
+
+    A row belongs to the group of its own text, whatever else its id names; of rows equal in id and text any one stays."""
+    named = docs.withColumn("__h", F.xxhash64("text"))
+    of = cut(fingerprints(named.select(F.struct("doc_id", "__h").alias("doc_id"), "text")).select("doc_id.*", "fp"), "simhash-fp")
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__h")
+    chosen = cut(of.join(groups(of), "fp").groupBy("label").agg(F.min(rank).alias("r")).select(F.col("r.doc_id").alias("__id"), F.col("r.__h").alias("__own")), "simhash-chosen")
+    packed = named.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").alias("__d"), "__h")
+    kept = packed.join(chosen, (F.col("__h") == F.col("__own")) & F.col("__d").eqNullSafe(F.col("__id")), "left_semi")
+    return kept.groupBy("__d", "__h").agg(F.first("__row").alias("__row")).select("__row.*")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

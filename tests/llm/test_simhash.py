@@ -83,6 +83,21 @@ def test_one_representative_stays(simple):
     assert sorted(r["doc_id"] for r in simhash.representatives(docs).collect()) == [0, 1]
 
 
+def test_each_group_keeps_one_of_its_own_texts(make):
+    a, b = "one text of a group of its own", "quite another text that others share"
+    row = lambda i, t: (i, t, "en", "s", 1)
+    kept = lambda rows: sorted((r["doc_id"] or -1, r["text"]) for r in simhash.representatives(make(rows)).collect())
+    assert kept([row(2, b), row(5, b), row(5, a)]) == [(2, b), (5, a)]
+    assert kept([row(5, a), row(5, a), row(5, b), row(5, b)]) == [(5, a), (5, b)]
+    assert kept([row(None, a), row(None, a), row(7, a), row(None, b)]) == [(-1, b), (7, a)]
+
+
+def test_a_hot_key_is_split(spark):
+    # all share their low segment, so that each of its keys holds all of them
+    r = random.Random(8)
+    check_links(spark, {r.getrandbits(32) << 32 | 7 for _ in range(300)} | {1 << 40 | 7, 1 << 41 | 7, 1 << 42 | 7 | 8})
+
+
 def test_empty_and_extra_columns(simple):
     docs = simple(["a b c"]).withColumn("fp", F.lit("mine")).withColumn("label", F.lit(1))
     assert simhash.near_duplicates(docs).count() == 1
