@@ -7,7 +7,7 @@ but the last return the columns of documents:
 2. simhash_near_dedup keeps the document with the least id of every near-duplicate group;
 3. substring_dedup cuts repeated lines and sentences out of the texts, keeping their first occurrence;
 4. decontamination drops documents in which a window of a benchmark item occurs;
-5. packing lays the ids of what is left into full windows at the sources' proportions.
+5. packing lays the ids of what is left into full windows at the sources' target proportions.
 
 Null and empty texts fail the quality rules; rows without a doc_id pass through stages 1 to 5 as far as their text lets them; an empty
 table gives empty tables; further columns of documents are carried along to packing, which ignores them.
@@ -41,7 +41,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return packing.pack(docs, with_ids=False)
 
 
 STAGES = [
@@ -58,4 +58,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir).drop("ids")
+    return STAGES[-1][1](spark, docs, sf_dir)
