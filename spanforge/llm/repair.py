@@ -1,8 +1,10 @@
 """Token-id files compressed by Re-Pair grammars.
 
 Texts are range-partitioned into ascending doc_id order, encoded, and packed into shards of about SHARD_IDS ids. In every shard frequent
-pairs of symbols are replaced by new symbols (nonterminals), round after round: a round counts all pairs in hashed bins, counts the pairs of the fullest
-bins exactly, and replaces the most frequent ones together, from the left where they overlap. No pair spans two documents.
+pairs of symbols are replaced by new symbols (nonterminals), round after round, until no pair occurs MIN_COUNT times (each replaced one
+saves a symbol of two bytes, a rule takes twelve). The first rounds replace those together that reach a bound, which falls to an eighth each time; then one
+replaces all frequent ones, and from then on only pairs with a symbol of the round before can be frequent: they are counted where these
+symbols stand. Of overlapping pairs the left one counts. No pair spans two documents.
 
 A shard is one value: a header, the rules (two symbols each), the length of every rule's expansion, where each document starts in the
 compressed symbols and among the ids, the documents' ids, and the symbols. A document is decoded by expanding its own symbols alone,
@@ -33,50 +35,71 @@ VOCABULARY = "word_bpe_49k.json"
 SHARD_IDS = 2_000_000
 #: Shards of one partition have consecutive numbers below this factor.
 PER_PARTITION = 1 << 16
-ROUNDS, RULES_A_ROUND, MIN_COUNT, BINS = 6, 1024, 48, 1 << 20
+MIN_COUNT, STEP, BIN_BITS = 16, 8, 20
 _MAGIC, _HEAD = b"RPSH", struct.Struct("<4sIQQQQ")  # magic, first nonterminal, documents, rules, symbols, ids
 
 
+def _frequent(keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys that occur MIN_COUNT times, and of the places at those where one stands, with its number among them."""
+    pairs, which, times = np.unique(keys, return_inverse=True, return_counts=True)
+    good = times >= MIN_COUNT
+    hit = good[which]
+    return pairs[good], at[hit], (np.cumsum(good) - 1)[which[hit]]
+
+
+def _at_least(keys: np.ndarray, edges: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As _frequent for all places but edges: all pairs if least is MIN_COUNT, else only some of those that occur least times."""
+    n = 1 << BIN_BITS
+    bins = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BIN_BITS)).astype(np.int64)
+    bins[edges] = n
+    counts = np.bincount(bins, minlength=n + 1)
+    counts[n] = 0
+    at = np.flatnonzero((counts >= least)[bins])
+    if least == MIN_COUNT:
+        return _frequent(keys[at], at)
+    own, where = keys[at], bins[at]
+    held = np.zeros(n + 1, dtype=np.uint64)
+    held[where] = own  # one pair stands for a bin
+    same = held[where] == own
+    at, where = at[same], where[same]
+    good = np.bincount(where, minlength=n + 1) >= least
+    hit = good[where]
+    return held[good], at[hit], (np.cumsum(good) - 1)[where[hit]]
+
+
 def compress(ids: np.ndarray, starts: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """symbols, where each document starts in them, and rules (n, 2); nonterminal base + i stands for rules[i]. starts ascend from 0."""
     seq = ids.astype(np.uint32)
     fresh = np.zeros(len(seq), dtype=bool)
     fresh[starts] = True
     rules: list[np.ndarray] = []
-    symbol = base
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
-        left, right, free = seq[:-1], seq[1:], ~fresh[1:]
-        bins = ((left * np.uint32(2654435761)) ^ (right * np.uint32(2246822519))) >> np.uint32(12)
-        counts = np.bincount(bins[free], minlength=BINS)
-        least = max(MIN_COUNT, int(np.partition(counts, BINS - RULES_A_ROUND)[BINS - RULES_A_ROUND]))
-        at = np.flatnonzero((counts >= least)[bins] & free)
-        if not len(at):
-            break
-        keys = left[at].astype(np.uint64) << np.uint64(32) | right[at]
-        pairs, which, times = np.unique(keys, return_inverse=True, return_counts=True)
-        order = np.lexsort((pairs, -times))[:RULES_A_ROUND]
-        order = order[times[order] >= MIN_COUNT]
-        rank = np.full(len(pairs), -1, dtype=np.int64)
-        rank[order] = np.arange(len(order))
-        chosen = rank[which]
-        at, chosen = at[chosen >= 0], chosen[chosen >= 0]
-        if not len(at):
-            break
-        # of overlapping pairs every second one, counted from the left end of their run
+    symbol, newest, least = base, base, max(len(seq), STEP * MIN_COUNT)
+    while len(seq) > 1:
+        if least == MIN_COUNT:
+            # all frequent pairs have been replaced, so only one with a symbol of the last round can have become frequent
+            new = np.flatnonzero(seq >= newest)
+            at = np.unique(np.concatenate([new - 1, new]))
+            at = at[(at >= 0) & (at < len(seq) - 1)]
+            at = at[~fresh[at + 1]]
+            pairs, at, chosen = _frequent(seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1], at)
+        else:
+            least = max(MIN_COUNT, least // STEP)
+            pairs, at, chosen = _at_least(seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:], np.flatnonzero(fresh[1:]), least)
+        if not len(pairs):
+            if least == MIN_COUNT:
+                break
+            continue
+        # of overlapping pairs every second one, counted from the left end of their run; so each is replaced or broken up
         first = np.concatenate(([True], np.diff(at) > 1))
         run = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
         even = (np.arange(len(at)) - run) % 2 == 0
         at, chosen = at[even], chosen[even]
-        new = np.stack([pairs[order] >> np.uint64(32), pairs[order] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
-        rules.append(new)
-        seq = seq.copy()
+        rules.append(np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
         seq[at] = (symbol + chosen).astype(np.uint32)
         keep = np.ones(len(seq), dtype=bool)
         keep[at + 1] = False
         seq, fresh = seq[keep], fresh[keep]
-        symbol += len(new)
+        newest, symbol = symbol, symbol + len(pairs)
     return seq, np.flatnonzero(fresh), np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.uint32)
 
 
