@@ -6,11 +6,11 @@ max-pooled over a chunk. The chunk values are combined over the whole text by th
 unit make one probability of them.
 
 Training (Adam on the log loss; the gradient passes through the maxima only) runs in one task on a bounded sample: the TRAIN_ROWS labelled
-ids with the least hash among those whose crc32(doc_id) mod FOLDS isn't HELD, and at most TRAIN_CHUNKS chunks of each, spread evenly. Scoring
-always covers whole texts. The model has a fixed size (under 200 kB) and is broadcast.
+ids with the least hash among those whose crc32(doc_id) mod FOLDS isn't HELD, one row of each and TRAIN_BYTES of text at most. Training and
+scoring cover whole texts, every chunk at every byte position. The model has a fixed size (under 200 kB) and is broadcast.
 
 Edge cases: a null or empty text is one chunk of zero bytes, as short texts are padded with them; without labelled rows every score is 0.5; a
-null label is left out; of several labels of an id the largest counts; rows that repeat an id are scored each; a null doc_id is
+null label is left out; of several labels of an id the largest counts; rows that repeat an id are scored each and one of them is trained on; a null doc_id is
 scored, counts as held out, and is never trained on; extra columns are ignored.
 """
 
@@ -25,15 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-from .toxicity import fold
+from .common import fold, table, training_sample
 
 WIDTH, FILTERS, HIDDEN = 6, 16, 16
-CHUNK, OVERLAP, STRIDE = 512, 64, 2
-TRAIN_ROWS, TRAIN_CHUNKS, EPOCHS, BATCH, RATE = 6000, 6, 8, 32, 0.006
+CHUNK, OVERLAP = 512, 64
+TRAIN_ROWS, TRAIN_BYTES, EPOCHS, BATCH, RATE = 3000, 32 << 20, 6, 32, 0.008
 FOLDS, HELD = 3, 1
 #: Texts are convolved in runs of this many bytes, a whole number of chunk steps.
 RUN = (CHUNK - OVERLAP) * 256
+#: Chunks that are convolved together in training.
+TOGETHER = 128
 
 
 @dataclass
@@ -65,13 +66,23 @@ def starts_of(x: np.ndarray) -> np.ndarray:
 
 def convolve(m: Model, chunks: np.ndarray) -> np.ndarray:
     """chunks (n, CHUNK) to (n, positions, FILTERS), before bias and rectification."""
-    positions = (CHUNK - WIDTH) // STRIDE + 1
-    out = m.tables[0][chunks[:, 0 : positions * STRIDE : STRIDE]]
+    positions = CHUNK - WIDTH + 1
+    out = m.tables[0][chunks[:, :positions]]
     for k in range(1, WIDTH):
-        out += m.tables[k][chunks[:, k : k + positions * STRIDE : STRIDE][:, :positions]]
+        out += m.tables[k][chunks[:, k : k + positions]]
     return out
 
 
+def strongest(m: Model, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each filter is largest in each chunk, and how large, before bias and rectification."""
+    at, top = [], []
+    for a in range(0, len(chunks), TOGETHER):
+        conv = convolve(m, chunks[a : a + TOGETHER])
+        at.append(conv.argmax(axis=1))
+        top.append(np.take_along_axis(conv, at[-1][:, None, :], axis=1)[:, 0])
+    return np.concatenate(at), np.concatenate(top)
+
+
 def head(m: Model, pooled: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
     """Pooled chunk values, and where each text's chunks start, to features, hidden values and probabilities."""
     counts = np.diff(np.append(rows, len(pooled)))[:, None]
@@ -93,14 +104,13 @@ class Scorer:
         out = []
         for a in range(0, len(x) - OVERLAP, RUN):
             part = x[a : a + RUN + OVERLAP]
-            two = part.view("<u2") if len(part) % 2 == 0 else part[:-1].view("<u2")
-            n = len(two) - WIDTH // 2 + 1
+            n = len(part) - WIDTH + 1
+            two = part[:-1].astype(np.uint16) | part[1:].astype(np.uint16) << 8
             conv = self.pairs[0].take(two[:n], axis=0)
             for k in range(1, WIDTH // 2):
-                conv += self.pairs[k].take(two[k : k + n], axis=0)
-            positions, step = (CHUNK - WIDTH) // STRIDE + 1, (CHUNK - OVERLAP) // STRIDE
-            at = np.arange(0, len(two) - OVERLAP // 2, step)
-            bounds = np.stack([at, np.minimum(at + positions, n)], axis=1).ravel()
+                conv += self.pairs[k].take(two[2 * k : 2 * k + n], axis=0)
+            at = np.arange(0, len(part) - OVERLAP, CHUNK - OVERLAP)
+            bounds = np.stack([at, np.minimum(at + CHUNK - WIDTH + 1, n)], axis=1).ravel()
             # reduceat takes every second slice; the last one ends at n
             conv = np.concatenate([conv, conv[-1:]])
             out.append(np.maximum.reduceat(conv, bounds, axis=0)[::2])
@@ -114,6 +124,33 @@ class Scorer:
         return head(self.m, np.concatenate(pooled), np.cumsum([0, *sizes[:-1]]))[2].astype(np.float64)
 
 
+def gradient(m: Model, texts: list[np.ndarray], labels: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean weighted log loss of texts, each given as its chunks (n, CHUNK)."""
+    chunks = np.concatenate(texts)
+    sizes = np.array([len(t) for t in texts])
+    at, raw = strongest(m, chunks)
+    raw = raw + m.bias
+    pooled = np.maximum(raw, 0)
+    rows = np.cumsum(sizes) - sizes
+    x, h, p = head(m, pooled, rows)
+    d = ((p - labels) * weight / len(texts)).astype(m.out.dtype)
+    g = {"out": h.T @ d, "out_bias": d.sum(keepdims=True)}
+    dh = np.outer(d, m.out) * (h > 0)
+    g["hidden"], g["hidden_bias"] = x.T @ dh, dh.sum(axis=0)
+    dx = dh @ m.hidden.T
+    which = np.repeat(np.arange(len(texts)), sizes)
+    top = (pooled == x[which, FILTERS:]).astype(m.out.dtype)
+    top /= np.add.reduceat(top, rows, axis=0)[which]  # chunks that share the maximum share its gradient
+    dp = (dx[which, :FILTERS] / sizes[which, None] + dx[which, FILTERS:] * top) * (raw > 0)
+    g["bias"] = dp.sum(axis=0)
+    g["tables"] = np.zeros_like(m.tables)
+    row, col = np.nonzero(dp)
+    start = at[row, col]
+    for k in range(WIDTH):
+        np.add.at(g["tables"][k], (chunks[row, start + k], col), dp[row, col])
+    return g
+
+
 def train(texts: list[str | None], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Model:
     m = fresh(seed)
     if not texts:
@@ -122,9 +159,7 @@ def train(texts: list[str | None], labels: np.ndarray, epochs: int = EPOCHS, see
     data = []
     for t in texts:
         x = as_bytes(t)
-        s = starts_of(x)
-        s = s[np.unique(np.linspace(0, len(s) - 1, min(len(s), TRAIN_CHUNKS)).astype(int))]
-        data.append(np.stack([x[a : a + CHUNK] for a in s]))
+        data.append(np.stack([x[a : a + CHUNK] for a in starts_of(x)]))
     rate = labels.mean()
     m.out_bias[:] = np.log((rate + 0.01) / (1.01 - rate))
     m.out[:] = r.normal(0, 0.2, HIDDEN)
@@ -136,28 +171,7 @@ def train(texts: list[str | None], labels: np.ndarray, epochs: int = EPOCHS, see
         order = r.permutation(len(data))
         for a in range(0, len(order), BATCH):
             own = order[a : a + BATCH]
-            chunks = np.concatenate([data[i] for i in own])
-            sizes = np.array([len(data[i]) for i in own])
-            rows = np.cumsum(sizes) - sizes
-            conv = convolve(m, chunks)
-            at = conv.argmax(axis=1)
-            raw = np.take_along_axis(conv, at[:, None, :], axis=1)[:, 0] + m.bias
-            pooled = np.maximum(raw, 0)
-            x, h, p = head(m, pooled, rows)
-            d = ((p - labels[own]) * weight[own] / len(own)).astype(np.float32)
-            g = {"out": h.T @ d, "out_bias": d.sum(keepdims=True)}
-            dh = np.outer(d, m.out) * (h > 0)
-            g["hidden"], g["hidden_bias"] = x.T @ dh, dh.sum(axis=0)
-            dx = dh @ m.hidden.T
-            which = np.repeat(np.arange(len(own)), sizes)
-            top = pooled == x[which, FILTERS:]
-            dp = (dx[which, :FILTERS] / sizes[which, None] + dx[which, FILTERS:] * top) * (raw > 0)
-            g["bias"] = dp.sum(axis=0)
-            g["tables"] = np.zeros_like(m.tables)
-            row, col = np.nonzero(dp)
-            start = at[row, col] * STRIDE
-            for k in range(WIDTH):
-                np.add.at(g["tables"][k], (chunks[row, start + k], col), dp[row, col])
+            g = gradient(m, [data[i] for i in own], labels[own], weight[own])
             step += 1
             pace = RATE * (1 - 0.9 * epoch / epochs)
             for k in names:
@@ -169,9 +183,7 @@ def train(texts: list[str | None], labels: np.ndarray, epochs: int = EPOCHS, see
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Trains in one task on the bounded sample and brings the model, of fixed size, to the driver."""
-    marked = labels.groupBy("doc_id").agg(F.max("quality").alias("y")).filter("y IS NOT NULL AND doc_id IS NOT NULL").filter(fold(F.col("doc_id"), FOLDS) != HELD)
-    sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
-    picked = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.xxhash64("doc_id", "text").alias("rank"), "y", "text")
+    picked = training_sample(docs, labels, "quality", FOLDS, HELD, TRAIN_ROWS, TRAIN_BYTES)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted(((r["rank"], r["y"], r["text"]) for b in batches for r in b.to_pylist()), key=lambda r: (r[0], r[1]))

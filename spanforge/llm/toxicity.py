@@ -5,12 +5,13 @@ Features of a text: its words (ASCII lower case, signs dropped), pairs of neighb
 coordinate and L1 and L2 terms; L1 leaves few weights that aren't 0, so the model is a small sorted table of coordinates and weights
 (at most 2^HASH_BITS pairs, 12 MB) that is broadcast for scoring.
 
-The model is fitted on a bounded sample: the TRAIN_ROWS labelled ids with the least hash among those whose crc32(doc_id) mod FOLDS isn't HELD.
+The model is fitted on a bounded sample: the TRAIN_ROWS labelled ids with the least hash among those whose crc32(doc_id) mod FOLDS isn't HELD,
+one row of each and TRAIN_BYTES of text at most.
 Features are extracted where the rows are, as coordinate arrays; one task of that bounded size trains. Every document is scored over its whole text.
 
 Edge cases: a null or wordless text has no features and gets the score of the bias; without labelled rows (or an empty table) the bias
 alone scores, under 0.5; a null label is left out; of several labels of an id the largest counts; rows that repeat an id are scored each
-and, where sampled, trained on each; a null doc_id is scored, counts as held out, and is never trained on; extra columns are ignored.
+and one of them is trained on; a null doc_id is scored, counts as held out, and is never trained on; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,14 +23,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fold, table, training_sample
 from .decontaminate import words_of
 
 HASH_BITS = 20
-TRAIN_ROWS = 15_000
+TRAIN_ROWS, TRAIN_BYTES = 15_000, 256 << 20
 FOLDS, HELD = 5, 0
 #: Words whose hashes a worker holds.
 CACHE_WORDS = 400_000
@@ -44,10 +45,6 @@ class Params:
     epochs: int = 6
 
 
-def fold(doc_id: Column, folds: int) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % folds
-
-
 class Features:
     def __init__(self) -> None:
         self.cache: dict[bytes, int] = {}
@@ -96,15 +93,13 @@ def train(rows: list[tuple[int, np.ndarray]], p: Params = Params()) -> tuple[flo
 
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> tuple[float, np.ndarray, np.ndarray]:
     """Trains in one task on the bounded sample and brings the sparse weights to the driver."""
-    marked = labels.groupBy("doc_id").agg(F.max("toxic").alias("y")).filter("y IS NOT NULL AND doc_id IS NOT NULL").filter(fold(F.col("doc_id"), FOLDS) != HELD)
-    sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
-    picked = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.xxhash64("doc_id", "text").alias("rank"), "y", "text")
+    picked = training_sample(docs, labels, "toxic", FOLDS, HELD, TRAIN_ROWS, TRAIN_BYTES)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for b in batches:
             blobs = [features(t.as_py()).astype("<u4").tobytes() for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.int32()), pa.array(blobs, pa.binary())], names=["rank", "y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(blobs, pa.binary())], names=["rank", "y", "x"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((r["rank"], r["y"], r["x"]) for b in batches for r in b.to_pylist())

@@ -1,10 +1,14 @@
+import math
 import random
+import zlib
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from spanforge.llm import byte_cnn as B
 from spanforge.llm import toxicity as X
+from spanforge.llm.common import training_sample
 
 
 def labelled(spark, make, bad, n=400):
@@ -64,3 +68,87 @@ def test_odd_rows_and_no_labels(spark, odd):
         assert b.filter("score < 0 OR score > 1 OR score IS NULL").count() == 0
     assert X.score(odd, X.fit(odd, none)).filter("score >= 0.5").count() == 0
     assert X.score(odd.filter("false"), X.train([])).count() == 0
+
+
+def test_the_sample_is_bounded(spark, make):
+    """Repeated rows of an id count once, and texts that don't fit are left out whole."""
+    docs = make([(1, "some text", "en", "s", 9)] * 500 + [(i, "x" * 100, "en", "s", 1) for i in range(2, 40)] + [(40, "y" * 100_000, "en", "s", 1), (41, None, "en", "s", 0)]).withColumn("rank", F.lit("mine")).withColumn("y", F.lit(3))
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 42)], "doc_id long, quality int, toxic int")
+    wanted = {i for i in range(1, 42) if zlib.crc32(str(i).encode()) % 3 != 1}
+    rows = training_sample(docs, labels, "quality", 3, 1, 1000, 1 << 20).collect()
+    assert len(rows) == len(wanted)
+    rows = training_sample(docs, labels, "quality", 3, 1, 1000, 1500).collect()
+    assert 10 <= len(rows) < len(wanted) and sum(len(r["text"] or "") for r in rows) <= 1500
+    assert len(training_sample(docs, labels, "quality", 3, 1, 7, 1 << 20).collect()) == 7
+
+
+def test_ftrl_by_plain_arithmetic():
+    """The update written out for one coordinate at a time, as published, beside the vectorised one."""
+    r = random.Random(3)
+    rows = [(r.random() < 0.4, np.array(sorted(r.sample(range(30), r.randint(0, 8))), dtype=np.int64)) for _ in range(200)]
+    rows = [(int(y), x) for y, x in rows]
+    p = X.Params(alpha=0.5, beta=1.0, l1=0.3, l2=0.1, epochs=2)
+    z, n = [0.0] * 30, [0.0] * 30
+    positive = sum(y for y, _ in rows)
+    bias, bias_n = math.log((positive + 1) / (len(rows) - positive + 20)), 0.0
+
+    def weight(i):
+        if abs(z[i]) <= p.l1:
+            return 0.0
+        return -(z[i] - math.copysign(p.l1, z[i])) / ((p.beta + math.sqrt(n[i])) / p.alpha + p.l2)
+
+    for _ in range(p.epochs):
+        for y, at in rows:
+            w = {i: weight(i) for i in at.tolist()}
+            g = 1 / (1 + math.exp(-(bias + sum(w.values())))) - y
+            for i in w:
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / p.alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+            bias_n += g * g
+            bias -= 0.05 * g / (1 + math.sqrt(bias_n))
+    got_bias, at, w = X.train(rows, p)
+    assert abs(got_bias - bias) < 1e-9 and at.tolist() == [i for i in range(30) if abs(z[i]) > p.l1]
+    assert np.allclose(w, [weight(i) for i in at])
+
+
+def test_features_by_brute_force():
+    f = X.Features()
+    for text in (None, "", "a", "a b", "The cat, the CAT sat on a mat.", "x " * 500):
+        words = X.words_of(text)
+        h = [xxhash.xxh64_intdigest(w) for w in words]
+        m = (1 << 64) - 1
+        raw = h + [(a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F + k) & m for k in (1, 2) for a, b in zip(h, h[k:])]
+        assert f(text).tolist() == sorted({((x ^ x >> 29) * 0xD6E8FEB86659FD93 & m) >> 64 - X.HASH_BITS for x in raw})
+
+
+def test_gradient_by_differences():
+    """The gradient against finite differences of the loss."""
+    texts, labels = ["abc " * 300, "xyz", "some other words " * 40], np.array([1, 0, 1], dtype=np.float32)
+    m = B.fresh()
+    for k in vars(m):
+        setattr(m, k, getattr(m, k).astype(np.float64))
+    m.out_bias[:] = 0.1
+    m.out[:] = np.random.default_rng(1).normal(0, 0.5, B.HIDDEN)
+    data = [np.stack([B.as_bytes(t)[a : a + B.CHUNK] for a in B.starts_of(B.as_bytes(t))]) for t in texts]
+    weight = np.ones(3)
+
+    def loss():
+        sizes = np.array([len(d) for d in data])
+        _, top = B.strongest(m, np.concatenate(data))
+        p = B.head(m, np.maximum(top + m.bias, 0), np.cumsum(sizes) - sizes)[2]
+        return -np.mean(labels * np.log(p) + (1 - labels) * np.log(1 - p))
+
+    grads = B.gradient(m, data, labels, weight)
+    r = np.random.default_rng(2)
+    for k in ("out", "out_bias", "hidden", "hidden_bias", "bias", "tables"):
+        x = getattr(m, k)
+        flat = np.flatnonzero(grads[k].ravel()) if k == "tables" else np.arange(x.size)
+        for i in r.choice(flat, min(6, len(flat)), replace=False):
+            keep, e = x.flat[i], 1e-5
+            x.flat[i] = keep + e
+            up = loss()
+            x.flat[i] = keep - e
+            down = loss()
+            x.flat[i] = keep
+            assert abs((up - down) / (2 * e) - grads[k].flat[i]) < 1e-5, k
