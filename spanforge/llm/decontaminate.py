@@ -5,8 +5,10 @@ table: the shift of a block of two words says how far the search may jump, block
 a suffix-hash bucket (the last block, then the first word) selects patterns where the shift is 0, and a direct comparison of the
 words confirms. The alphabet is words, so that a jump passes over up to ten words and most words of a text are never looked at.
 
-Items are a stated query set and every document is searched for all of them. They are compiled in blocks of at most BLOCK_BYTES of text
-(or one item), each broadcast by itself; with more than one block the documents pass through one search after the other, hits merged.
+Items are a stated query set and every document is searched for all of them. They are compiled in blocks of about BLOCK_BYTES of text, each
+broadcast by itself; a compiled block takes about 50 times that in a worker. A long item lies in several blocks, as runs of words that
+overlap by a window less a word. With more than one block the documents pass through one search after the other, each written before the
+next, hits merged.
 
 Edge cases: a null or wordless text has no words and isn't contaminated; null or wordless items have no pattern; rows that repeat an item_id add
 their windows to the same item; an item without an id marks words but names no item; repeated documents each get a row; empty tables give
@@ -25,7 +27,9 @@ from pyspark.sql import functions as F
 from .common import cut, table
 
 WINDOW = 10
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 2 << 20
+#: Windows of an item that may lie in one block.
+RUN = 20_000
 #: Maps A-Z to a-z and every byte that is no ASCII letter, digit or part of a longer character to a space.
 _TABLE = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in bytes(range(256)).lower())
 
@@ -35,25 +39,41 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class WuManber:
-    """Finds all occurrences of word sequences; patterns maps a tuple of words to what is reported for it."""
-
-    def __init__(self, patterns: dict[tuple[bytes, ...], tuple[int, ...]]):
-        self.tables = []
-        lengths = sorted({len(p) for p in patterns})
-        for m in lengths:
-            own = [p for p in patterns if len(p) == m]
-            if m == 1:
-                self.tables.append((1, {p[0]: patterns[p] for p in own}, {}))
+    """Finds all occurrences of windows of items; an item is its words, and a window is kept as its place in them."""
+
+    def __init__(self, items: Iterable[tuple[int, list[bytes]]]):
+        """items: a number that is reported, and words."""
+        self.tables: list[tuple[int, dict, dict]] = []
+        by_length: dict[int, tuple[dict, dict]] = {}
+        for number, words in items:
+            if not words:
                 continue
-            shift: dict[bytes, dict[bytes | None, int]] = {}
-            bucket: dict[tuple[bytes, bytes], dict[bytes, list]] = {}
-            for p in own:
-                shift.setdefault(p[0], {})[None] = m - 1
-                for j in range(1, m):
-                    blocks = shift.setdefault(p[j], {})
-                    blocks[p[j - 1]] = min(blocks.get(p[j - 1], m), m - 1 - j)
-                bucket.setdefault((p[-2], p[-1]), {}).setdefault(p[0], []).append((list(p), patterns[p]))
-            self.tables.append((m, shift, bucket))
+            m = min(WINDOW, len(words))
+            shift, bucket = by_length.setdefault(m, ({}, {}))
+            for i in range(len(words) - m + 1):
+                self._add(shift, bucket, words, i, m, number)
+        self.tables = [(m, *by_length[m]) for m in sorted(by_length)]
+
+    @staticmethod
+    def _add(shift: dict, bucket: dict, words: list[bytes], i: int, m: int, number: int) -> None:
+        if m == 1:
+            shift[words[i]] = tuple(sorted({*shift.get(words[i], ()), number}))
+            return
+        key = (words[i + m - 2], words[i + m - 1], words[i])
+        held = bucket.get(key, ())
+        own = words[i : i + m]
+        for k, (other, at, numbers) in enumerate(held):
+            if other[at : at + m] == own:
+                if number not in numbers:
+                    bucket[key] = (*held[:k], (other, at, (*numbers, number)), *held[k + 1 :])
+                return
+        bucket[key] = (*held, (words, i, (number,)))
+        # shift by the last word of a block, then by the one before it (None: any other)
+        shift.setdefault(words[i], {})[None] = m - 1
+        for j in range(1, m):
+            blocks = shift.setdefault(words[i + j], {})
+            before = words[i + j - 1]
+            blocks[before] = min(blocks.get(before, m), m - 1 - j)
 
     def find(self, words: list[bytes]) -> Iterator[tuple[int, int, tuple[int, ...]]]:
         """start, end (in words) and the report of every occurrence; by length, then start."""
@@ -77,8 +97,8 @@ class WuManber:
                     i += jump
                 else:
                     first = i - m + 1
-                    for p, report in bucket[words[i - 1], words[i]].get(words[first], ()):
-                        if words[first : i + 1] == p:
+                    for own, at, report in bucket.get((words[i - 1], words[i], words[first]), ()):
+                        if words[first : i + 1] == own[at : at + m]:
                             yield first, i + 1, report
                     i += 1
 
@@ -92,12 +112,9 @@ def windows(words: list[bytes]) -> Iterable[tuple[bytes, ...]]:
 def compile_items(items: Iterable[tuple[object, str | None]]) -> tuple[WuManber, list[str | None]]:
     """The search for (item_id, text) rows and the ids that its reports point to."""
     names: dict[str | None, int] = {}
-    patterns: dict[tuple[bytes, ...], set[int]] = {}
-    for name, text in items:
-        at = names.setdefault(None if name is None else str(name), len(names))
-        for p in windows(words_of(text)):
-            patterns.setdefault(p, set()).add(at)
-    return WuManber({p: tuple(sorted(s)) for p, s in patterns.items()}), list(names)
+    same: dict[bytes, bytes] = {}
+    numbered = [(names.setdefault(None if name is None else str(name), len(names)), [same.setdefault(w, w) for w in words_of(text)]) for name, text in items]
+    return WuManber(numbered), list(names)
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -110,10 +127,22 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """item_id and text of runs of at most RUN windows of an item's words, in order."""
+    for b in batches:
+        names, runs = [], []
+        for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            words = words_of(text)
+            for a in range(0, max(1, len(words) - WINDOW + 1), RUN):
+                names.append(name)
+                runs.append(b" ".join(words[a : a + RUN + WINDOW - 1]).decode("utf-8", "surrogatepass"))
+        yield pa.RecordBatch.from_arrays([pa.array(names, b.column(0).type), pa.array(runs, pa.string())], names=["item_id", "text"])
+
+
 def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[object, str | None]]]:
-    """The items in blocks of about BLOCK_BYTES of text at most, one at a time."""
-    items = benchmark.select("item_id", "text")
-    size = items.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 16)).first()[0] or 0
+    """The items, long ones as overlapping runs, in blocks of about BLOCK_BYTES of text, one at a time."""
+    items = benchmark.select("item_id", "text").mapInArrow(_runs, f"item_id {benchmark.schema['item_id'].dataType.simpleString()}, text string")
+    size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     n = max(1, math.ceil(size / BLOCK_BYTES))
     for k in range(n):
         yield [(r[0], r[1]) for r in (items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)).collect()]
@@ -170,8 +199,10 @@ def _cleaner(held):
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs in which no window of an item occurs."""
     sc = docs.sparkSession.sparkContext
-    out = docs
+    out, first = docs, True
     for block in item_blocks(benchmark):
+        out = out if first else cut(out, "decontaminate-clean")
+        first = False
         held = sc.broadcast(compile_items(block))
 
         out = out.mapInArrow(_cleaner(held), docs.schema)

@@ -35,6 +35,7 @@ def test_search_by_brute_force(spark, simple, monkeypatch):
     want = brute(enumerate(texts), items)
     assert rows_of(D.search(docs, bench)) == want
     monkeypatch.setattr(D, "BLOCK_BYTES", 100)
+    monkeypatch.setattr(D, "RUN", 4)
     assert len(list(D.item_blocks(bench))) > 2
     assert rows_of(D.search(docs, bench)) == want
     assert {x["doc_id"] for x in D.clean(docs, bench).collect()} == {i for i, v in want.items() if not v[1]}
@@ -47,3 +48,17 @@ def test_odd_rows_and_empty_tables(spark, odd):
     assert D.search(odd, none).filter("size(items) > 0").count() == 0
     assert D.clean(odd, none).count() == odd.count()
     assert D.search(odd.filter("false"), bench).count() == 0
+
+
+def test_a_compiled_block_is_bounded():
+    import pickle
+    import tracemalloc
+
+    r = random.Random(2)
+    items = [(i, " ".join("".join(r.choices("abcdefghij", k=6)) for _ in range(100))) for i in range(300)]
+    size = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    held = D.compile_items(items)
+    used = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert used < 120 * size and len(pickle.dumps(held)) < 20 * size
