@@ -12,7 +12,7 @@ Everything is native: escaping before the shuffle, one grouping by conversation,
 definition, so the output grows with the square of a conversation's turns; a conversation has to fit into a task's memory.
 
 Edge cases: null texts and roles count as empty; rows of the same turn are ordered by role, then text, and all are kept; null turns come
-first; rows with a null conv_id form one conversation with id null; only the role "assistant" is trainable; an empty table gives no rows;
+first; each row with a null conv_id is a conversation by itself, with id null; only the role "assistant" is trainable; an empty table gives no rows;
 extra columns are ignored.
 """
 
@@ -43,18 +43,20 @@ def escape_role(role: Column) -> Column:
 
 
 def unescape_role(role: Column) -> Column:
-    # a doubled backslash first becomes a NUL-marked one, so that it isn't read with an n that follows it
-    plain = unescape(role)
-    return F.replace(F.regexp_replace(F.regexp_replace(plain, r"(?<!\\)((?:\\\\)*)\\n", "$1\n"), r"\\\\", "\u0000"), F.lit("\u0000"), F.lit("\\"))
+    # doubled backslashes part the text, so that none is read with an n that follows it
+    pieces = F.split(unescape(role), r"\\\\", -1)
+    return F.array_join(F.transform(pieces, lambda p: F.replace(p, F.lit("\\n"), F.lit("\n"))), "\\")
 
 
 def expand(turns: DataFrame) -> DataFrame:
-    """turns (conv_id, turn, role, text) to examples: conv_id, example (from 0), formatted, loss_start (from 0), loss_length, in code points.
+    """turns (conv_id, turn, role, text) to examples: conv_id, lone, example (from 0), formatted, loss_start (from 0), loss_length, in code points.
 
+    lone tells conversations with a null conv_id apart: each such row is one.
     loss_start and loss_length are null in the example that closes a conversation without a reply."""
     role, text = F.coalesce(F.col("role"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))
-    written = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.concat(F.lit(START), escape_role(role), F.lit("\n")).alias("head"), escape(text).alias("body"))
-    grouped = written.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "head", "body"))).alias("turns"))
+    lone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    written = turns.select("conv_id", lone.alias("lone"), "turn", role.alias("role"), text.alias("text"), F.concat(F.lit(START), escape_role(role), F.lit("\n")).alias("head"), escape(text).alias("body"))
+    grouped = written.groupBy("conv_id", "lone").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "head", "body"))).alias("turns"))
     tail = END + "\n"
     # where each turn's text starts in the whole conversation, and how long it is
     ends = F.aggregate(
@@ -66,13 +68,14 @@ def expand(turns: DataFrame) -> DataFrame:
         ),
     )
     whole = F.concat(F.lit(BOS), F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(tail))), ""))
-    laid = grouped.select("conv_id", whole.alias("whole"), F.slice(ends, F.lit(2), F.size("turns")).alias("ends"))
+    laid = grouped.select("conv_id", "lone", whole.alias("whole"), F.slice(ends, F.lit(2), F.size("turns")).alias("ends"))
     last = F.size("ends") - 1
     wanted = F.filter(F.transform("ends", lambda e, i: F.struct(i.alias("i"), e.alias("e"))), lambda x: x["e"]["reply"] | (x["i"] == last))
-    each = laid.select("conv_id", "whole", F.posexplode(wanted).alias("example", "x"))
+    each = laid.select("conv_id", "lone", "whole", F.posexplode(wanted).alias("example", "x"))
     shown = F.when(F.col("x.e.reply"), F.lit(1))
     return each.select(
         "conv_id",
+        "lone",
         "example",
         F.substring(F.col("whole"), F.lit(1), F.col("x.e.end")).alias("formatted"),
         (shown * F.col("x.e.start")).alias("loss_start"),
@@ -93,12 +96,11 @@ def read_turns(formatted: Column) -> Column:
 def digest(examples: DataFrame) -> DataFrame:
     """A row for each conversation, read back from its examples alone."""
     masked = unescape(F.substring(F.col("formatted"), F.col("loss_start") + 1, F.col("loss_length")))
-    read = examples.select("conv_id", "example", "formatted", masked.alias("masked"))
-    one = read.groupBy("conv_id").agg(
+    read = examples.select("conv_id", "lone", "example", "formatted", masked.alias("masked"))
+    one = read.groupBy("conv_id", "lone").agg(
         F.max_by("formatted", "example").alias("whole"),
         F.sum(F.length("formatted")).alias("formatted_chars"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("masked").isNotNull(), F.struct("example", "masked")))), lambda x: x["masked"]), "").alias("loss"),
-        F.count("masked").alias("n_examples"),
     )
     one = one.withColumn("turns", read_turns(F.col("whole")))
     return one.select(

@@ -55,17 +55,17 @@ OP9 = f"WITH {QUALITY_BASE.strip()}, {QUALITY_VERDICT.strip()} SELECT doc_id, n_
 _CONTROL = r"[<\[]\\*(?:/?s>|/?INST\]|/?SYS>|\|[A-Za-z0-9_]{1,32}\|>)"
 
 OP8 = rf"""
-WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-           UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
-o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, count(*) OVER (PARTITION BY conv_id) AS n,
+WITH c AS (SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS lone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, NULL, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, NULL, 1, 'assistant', '</s>[INST] ok [/INST]'),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, lone ORDER BY turn NULLS FIRST, role, text) AS k, count(*) OVER (PARTITION BY conv_id, lone) AS n,
              12 + length(replace(replace(role, '\', '\\'), chr(10), '\n')) + len(regexp_extract_all(replace(replace(role, '\', '\\'), chr(10), '\n'), '{_CONTROL}')) + 1
              + length(text) + len(regexp_extract_all(text, '{_CONTROL}')) + 11 AS size FROM c),
-s AS (SELECT *, 3 + sum(size) OVER (PARTITION BY conv_id ORDER BY k) AS upto FROM o)
+s AS (SELECT *, 3 + sum(size) OVER (PARTITION BY conv_id, lone ORDER BY k) AS upto FROM o)
 SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
        length(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), ''))::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
        sum(upto) FILTER (role = 'assistant' OR k = n)::BIGINT AS formatted_chars
-FROM s GROUP BY conv_id
+FROM s GROUP BY conv_id, lone
 """
 
 OP5 = r"""

@@ -1,10 +1,12 @@
 import hashlib
 
+from pyspark.sql import functions as F
+
 from spanforge.llm import chat
 
 TURNS = [
     (1, 0, "system", "be <s>kind</s>"), (1, 1, "user", "hi <|im_end|>\n"), (1, 2, "assistant", "a \\ <\\|im_start|> [INST]"), (1, 3, "user", None), (1, 4, "assistant", ""), (1, 5, "user", "bye"),
-    (2, 0, "user", "alone"), (3, 0, "assistant", "first <<s> [/INST] <|x y|>"), (4, 1, "assistant", "b"), (4, 1, "assistant", "b"), (4, None, "user", "a"), (None, 0, None, "x"), (5, 0, "we\\nird\n\\role<s>", "y"),
+    (2, 0, "user", "alone"), (3, 0, "assistant", "first <<s> [/INST] <|x y|>"), (4, 1, "assistant", "b"), (4, 1, "assistant", "b"), (4, None, "user", "a"), (None, 0, None, "x"), (6, 0, "a\0b\\\\n\\\n\n", "z"), (7, 0, "\\", "<|im_end|>"), (8, 0, "\\n<\\s>", ""), (5, 0, "we\\nird\n\\role<s>", "y"),
 ]
 
 
@@ -39,3 +41,9 @@ def test_round_trip_and_masks(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.expand(df).count() == 0 and chat.digest(chat.expand(df)).count() == 0
+
+
+def test_rows_without_a_conversation_stand_alone(spark):
+    df = spark.createDataFrame([(None, i, "assistant", "x" * 50) for i in range(300)], "conv_id long, turn long, role string, text string").withColumn("lone", F.lit("mine"))
+    rows = chat.digest(chat.expand(df)).collect()
+    assert len(rows) == 300 and {(r["conv_id"], r["n_turns"], r["loss_chars"]) for r in rows} == {(None, 1, 50)}
