@@ -33,9 +33,11 @@ from .tokens import encoder
 
 VOCABULARY = "word_bpe_49k.json"
 SHARD_IDS = 2_000_000
+#: Pieces whose ids a worker holds, twice over; there is more room for them here than where texts are packed.
+CACHE_PIECES = 500_000
 #: Shards of one partition have consecutive numbers below this factor.
 PER_PARTITION = 1 << 16
-MIN_COUNT, STEP, BIN_BITS = 16, 8, 20
+MIN_COUNT, STEP, BIN_BITS = 24, 8, 19
 _MAGIC, _HEAD = b"RPSH", struct.Struct("<4sIQQQQ")  # magic, first nonterminal, documents, rules, symbols, ids
 
 
@@ -47,17 +49,22 @@ def _frequent(keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return pairs[good], at[hit], (np.cumsum(good) - 1)[which[hit]]
 
 
-def _at_least(keys: np.ndarray, edges: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As _frequent for all places but edges: all pairs if least is MIN_COUNT, else only some of those that occur least times."""
+def _pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return left.astype(np.uint64) << np.uint64(32) | right
+
+
+def _at_least(seq: np.ndarray, edges: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As _frequent for the pairs at all places of seq but edges: all pairs if least is MIN_COUNT, else only some of those that occur least times."""
     n = 1 << BIN_BITS
-    bins = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BIN_BITS)).astype(np.int64)
+    left, right = seq[:-1], seq[1:]
+    bins = ((left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA77)) >> np.uint32(32 - BIN_BITS)).astype(np.int64)
     bins[edges] = n
     counts = np.bincount(bins, minlength=n + 1)
     counts[n] = 0
     at = np.flatnonzero((counts >= least)[bins])
     if least == MIN_COUNT:
-        return _frequent(keys[at], at)
-    own, where = keys[at], bins[at]
+        return _frequent(_pair_keys(left[at], right[at]), at)
+    own, where = _pair_keys(left[at], right[at]), bins[at]
     held = np.zeros(n + 1, dtype=np.uint64)
     held[where] = own  # one pair stands for a bin
     same = held[where] == own
@@ -73,7 +80,7 @@ def compress(ids: np.ndarray, starts: np.ndarray, base: int) -> tuple[np.ndarray
     fresh = np.zeros(len(seq), dtype=bool)
     fresh[starts] = True
     rules: list[np.ndarray] = []
-    symbol, newest, least = base, base, max(len(seq), STEP * MIN_COUNT)
+    symbol, newest, least = base, base, max(len(seq) // 32, STEP * MIN_COUNT)
     while len(seq) > 1:
         if least == MIN_COUNT:
             # all frequent pairs have been replaced, so only one with a symbol of the last round can have become frequent
@@ -81,10 +88,10 @@ def compress(ids: np.ndarray, starts: np.ndarray, base: int) -> tuple[np.ndarray
             at = np.unique(np.concatenate([new - 1, new]))
             at = at[(at >= 0) & (at < len(seq) - 1)]
             at = at[~fresh[at + 1]]
-            pairs, at, chosen = _frequent(seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1], at)
+            pairs, at, chosen = _frequent(_pair_keys(seq[at], seq[at + 1]), at)
         else:
             least = max(MIN_COUNT, least // STEP)
-            pairs, at, chosen = _at_least(seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:], np.flatnonzero(fresh[1:]), least)
+            pairs, at, chosen = _at_least(seq, np.flatnonzero(fresh[1:]), least)
         if not len(pairs):
             if least == MIN_COUNT:
                 break
@@ -129,6 +136,27 @@ def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     return seq
 
 
+class Expander:
+    """Expands symbols with the expansions of all rules, made once."""
+
+    def __init__(self, rules: np.ndarray, lengths: np.ndarray, base: int):
+        self.base, self.lengths = base, lengths.astype(np.int64)
+        self.flat = expand(base + np.arange(len(rules)), rules, base)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def __call__(self, symbols: np.ndarray) -> np.ndarray:
+        deep = np.flatnonzero(symbols >= self.base)
+        rule = symbols[deep].astype(np.int64) - self.base
+        took = self.lengths[rule]
+        sizes = np.ones(len(symbols), dtype=np.int64)
+        sizes[deep] = took
+        out = np.repeat(symbols.astype(np.uint32), sizes)
+        before = np.cumsum(took) - took
+        inside = np.arange(int(took.sum())) - np.repeat(before, took)
+        out[np.repeat((np.cumsum(sizes) - sizes)[deep], took) + inside] = self.flat[np.repeat(self.starts[rule], took) + inside]
+        return out
+
+
 class Shard:
     """A written shard; documents and ranges of their ids are decoded one by one."""
 
@@ -150,6 +178,7 @@ class Shard:
         self.starts = np.append(take(docs, "<u8"), ids).astype(np.int64)
         wide = self.base + rules > 1 << 16
         self.symbols = take(symbols, "<u4" if wide else "<u2")
+        self.expand = Expander(self.rules, self.lengths, self.base)
 
     @staticmethod
     def pack(ids: np.ndarray, starts: np.ndarray, base: int) -> bytes:
@@ -159,7 +188,7 @@ class Shard:
         return _HEAD.pack(_MAGIC, base, len(starts), len(rules), len(symbols), len(ids)) + b"".join(a.tobytes() for a in arrays)
 
     def document(self, i: int) -> np.ndarray:
-        return expand(self.symbols[self.cuts[i] : self.cuts[i + 1]], self.rules, self.base)
+        return self.expand(self.symbols[self.cuts[i] : self.cuts[i + 1]])
 
     def ids(self, i: int, start: int, stop: int) -> np.ndarray:
         """Ids start to stop of document i; only the symbols that hold them are expanded."""
@@ -170,7 +199,7 @@ class Shard:
         ends = np.cumsum(size)
         a, b = int(np.searchsorted(ends, start, side="right")), int(np.searchsorted(ends, stop, side="left")) + 1
         before = int(ends[a] - size[a]) if a < len(ends) else start
-        return expand(own[a:b], self.rules, self.base)[start - before :][: max(0, stop - start)]
+        return self.expand(own[a:b])[start - before :][: max(0, stop - start)]
 
 
 def write_shards(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -178,7 +207,7 @@ def write_shards(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(vocabulary, False)
+        coder = encoder(vocabulary, False, pieces=CACHE_PIECES)
         base = coder.tokenizer.get_vocab_size()
         names, held, size, k = [], [], 0, 0
         part = TaskContext.get().partitionId()
@@ -210,7 +239,7 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for shard, names, payload in zip(b.column("shard"), b.column("doc_ids"), b.column("payload"), strict=True):
             s = Shard(payload.as_py())
-            whole = expand(s.symbols, s.rules, s.base).astype("<u4")
+            whole = s.expand(s.symbols).astype("<u4")
             crc = [zlib.crc32(whole[x:y]) for x, y in zip(s.starts[:-1], s.starts[1:], strict=True)]
             n = len(crc)
             columns = [pa.array([shard.as_py()] * n, pa.int64()), names.values, pa.array(s.starts[:-1]), pa.array(np.diff(s.starts)), pa.array(crc, pa.int64())]

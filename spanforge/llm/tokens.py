@@ -57,7 +57,7 @@ class Recent(dict):
 class Encoder:
     """encode(texts) gives the ids of every text as one array, and how many each text has."""
 
-    def __init__(self, path: str, spaced: bool, plain_specials: bool = False):
+    def __init__(self, path: str, spaced: bool, plain_specials: bool = False, pieces: int = CACHE_PIECES):
         """spaced: pieces but the first carry the space before them (byte-level); else white space is dropped and letters lower-cased.
 
         A special token's string in a text becomes that token, as the library has it, or with plain_specials is text as any other."""
@@ -73,7 +73,7 @@ class Encoder:
         self.space = self.bytes[0x20] if spaced else ""
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.newline = self._whole(["\n"])[0]
-        self.cache, self.words = Recent(CACHE_PIECES), Recent(CACHE_PIECES)
+        self.cache, self.words = Recent(pieces), Recent(pieces)
         self.code = "H" if self.kind is np.uint16 else "I"
 
     def _bpe(self, word: str, space: str) -> bytes:
@@ -179,14 +179,14 @@ class Encoder:
             yield out
 
 
-_ENCODERS: dict[tuple[str, bool, bool], Encoder] = {}
+_ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder(name: str, spaced: bool, plain_specials: bool = False) -> Encoder:
+def encoder(name: str, spaced: bool, plain_specials: bool = False, pieces: int = CACHE_PIECES) -> Encoder:
     """One for each Python worker; name is a file of the public tokenizers, or a path."""
-    key = (name, spaced, plain_specials)
+    key = (name, spaced, plain_specials, pieces)
     if key not in _ENCODERS:
         import public_tokenizers
 
-        _ENCODERS[key] = Encoder(name if os.path.isabs(name) else public_tokenizers.path(name), spaced, plain_specials)
+        _ENCODERS[key] = Encoder(name if os.path.isabs(name) else public_tokenizers.path(name), spaced, plain_specials, pieces)
     return _ENCODERS[key]
