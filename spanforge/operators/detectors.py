@@ -51,16 +51,29 @@ WORDS_DATE = (r"\b\d{1,2}", r"\s+", f"(?:{_MONTH})", r"\s+", r"\d{4}", r"(?:\s+
 ISSUE_NEAR = r"дата\s+выдачи|выдан|выдана|выдано"
 BIRTH_NEAR = r"родился|родилась|дата\s+рождения|д\.?\s*р\.?|день\s+рождения"
 NEUTRAL_NEAR = r"\b(?:встреча|срок\s+действия|год|заказ|порт|собрание|конференция|концерт|праздник|событие|мероприятие)\b"
-ADDRESS_NEAR = r"адресом|адресу|адреса|адрес|проживает|проживающ|зарегистрирована|зарегистрирован|место\s+жительства|место\s+проживания|\bиз\s+дома\b"
+ADDRESS_NEAR = (
+    r"адрес|адреса|адресу|адресом|проживает|проживающ|зарегистрирован|"
+    r"зарегистрирована|место\s+жительства|место\s+проживания|\bиз\s+дома\b"
+)
 OFFICE_NEAR = (
-    r"адрес\s+(?:отделения|офиса|банка|филиала|организации|компании|представительства)|(?:отделение|офис|филиал)\s+банка|"
-    r"банк\s+расположен|отделение\s+расположено|офис\s+расположен|банкомат\s+расположен"
+    r"адрес\s+отделения|адрес\s+офиса|адрес\s+банка|адрес\s+филиала|"
+    r"адрес\s+организации|адрес\s+компании|адрес\s+представительства|"
+    r"отделение\s+банка|офис\s+банка|филиал\s+банка|банк\s+расположен|"
+    r"отделение\s+расположено|офис\s+расположен|банкомат\s+расположен"
+)
+PERSONAL_NEAR = (
+    r"адрес\s+клиента|адрес\s+проживания|адрес\s+регистрации|"
+    r"проживает|проживающ|зарегистрирован|зарегистрирована|"
+    r"место\s+жительства|место\s+проживания|домашний\s+адрес|\bиз\s+дома\b"
 )
-PERSONAL_NEAR = r"адрес\s+(?:клиента|проживания|регистрации)|проживает|проживающ|зарегистрирована|зарегистрирован|место\s+жительства|место\s+проживания|домашний\s+адрес|\bиз\s+дома\b"
 COUNTRIES = (
-    "россия рф беларусь белоруссия казахстан украина германия франция италия испания сша китай индия турция польша чехия финляндия швеция "
-    "норвегия великобритания англия япония корея израиль грузия армения азербайджан узбекистан таджикистан киргизия молдова латвия литва эстония"
-).split()
+    "россия", "рф", "беларусь", "белоруссия", "казахстан", "украина",
+    "германия", "франция", "италия", "испания", "сша", "китай", "индия",
+    "турция", "польша", "чехия", "финляндия", "швеция", "норвегия",
+    "великобритания", "англия", "япония", "корея", "израиль", "грузия",
+    "армения", "азербайджан", "узбекистан", "таджикистан", "киргизия",
+    "молдова", "латвия", "литва", "эстония",
+)
 ADDRESS_PARTS = (
     ((r"(?:г\.|город)\s*", r"[А-ЯЁ][а-яё\-]+(?:\s+[А-ЯЁ][а-яё\-]+)?"), "", ""),
     ((r"(?:ул\.|улица|пер\.|переулок)\s*", r"[А-ЯЁ0-9][а-яё0-9\-]*(?:\s+[А-ЯЁ0-9][а-яё0-9\-]+)?"), "", ""),
