@@ -6,9 +6,17 @@ and one window by key is enough: a text equal to the masked one restores (tested
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from . import core
 
 RETENTION_SECONDS, GRACE_SECONDS = 3600, 300
 
@@ -25,26 +33,132 @@ def process(events: DataFrame) -> DataFrame:
     return out.withColumn("result", result).drop("__first", "__masked", "__rank")
 
 
-def live(writes: DataFrame, now: Column, ttl_seconds: int = RETENTION_SECONDS) -> DataFrame:
-    """The store at a time: the last write of each key, expired ones left out. writes: namespace, key, ts, value, size_bytes."""
+def live(writes: DataFrame, now: Column | DataFrame, ttl_seconds: int = RETENTION_SECONDS) -> DataFrame:
+    """The store at a time: the last write of each key, expired ones left out. writes: namespace, key, ts, value, size_bytes.
+
+    now may be a table of one row and column."""
     last = writes.groupBy("namespace", "key").agg(F.max_by(F.struct("ts", "value", "size_bytes"), "ts").alias("r")).select("namespace", "key", "r.*")
-    return last.filter(F.col("ts") + F.make_dt_interval(secs=F.lit(float(ttl_seconds))) > now)
+    if isinstance(now, DataFrame):
+        last, now = last.join(F.broadcast(now.toDF("__now"))), F.col("__now")
+    return last.filter(F.col("ts") + F.make_dt_interval(secs=F.lit(float(ttl_seconds))) > now).select("namespace", "key", "ts", "value", "size_bytes")
+
+
+def in_order(rows: DataFrame, keys: Sequence[str], order: str, fold: Callable[[], Callable[[dict], Any]], out: str, kind: str) -> DataFrame:
+    """rows with out: what fold() makes of each row of its keys, called in order.
+
+    Each outcome depends on all before it, so a key's rows pass one task, but as a stream: nothing is held but the fold's own state. Rows
+    are shuffled by key and sorted there, with spill; ties in order are taken by the rows' hash."""
+    columns = rows.columns
+    placed = rows.withColumn("__tie", F.xxhash64(*columns)).repartition(*keys).sortWithinPartitions(*keys, order, "__tie").drop("__tie")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, step = None, None
+        for b in batches:
+            made = []
+            for row in b.to_pylist():
+                own = tuple(row[k] for k in keys)
+                if step is None or own != at:
+                    at, step = own, fold()
+                made.append(step(row))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, schema_type)], names=[*columns, out])
+
+    schema = T.StructType([*placed.schema.fields, *T._parse_datatype_string(f"`{out}` {kind}").fields])  # noqa: SLF001
+    schema_type = to_arrow_type(schema[out].dataType)
+    return placed.mapInArrow(run, schema)
 
 
 def within_capacity(writes: DataFrame, max_entries: int, max_bytes: int, order: str = "seq") -> DataFrame:
-    """writes of one namespace with accepted: whether entries and bytes written so far leave room. A key that was written before adds bytes but no entry.
+    """writes (namespace, key, size_bytes) with accepted: whether entries and bytes held leave room. A rejected write changes nothing.
+
+    A key that is held is replaced: it adds no entry, and its old size goes. A namespace is one store; its fold holds max_entries sizes at most."""
+
+    def store() -> Callable[[dict], bool]:
+        held: dict[Any, int] = {}
+        used = 0
+
+        def write(row: dict) -> bool:
+            nonlocal used
+            old = held.get(row["key"])
+            after = used - (old or 0) + row["size_bytes"]
+            if (old is None and len(held) >= max_entries) or after > max_bytes:
+                return False
+            held[row["key"]], used = row["size_bytes"], after
+            return True
+
+        return write
+
+    return in_order(writes, ["namespace"], order, store, "accepted", "boolean")
+
 
-    Totals run by namespace; a namespace is one store, whose limits bound the rows that can be accepted."""
-    key = W.partitionBy("namespace", "key").orderBy(order)
-    run = W.partitionBy("namespace").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    w = writes.withColumn("__new", (F.row_number().over(key) == 1).cast("long")).withColumn("__delta", F.col("size_bytes") - F.coalesce(F.lag("size_bytes").over(key), F.lit(0)))
-    return w.withColumn("accepted", (F.sum("__new").over(run) <= max_entries) & (F.sum("__delta").over(run) <= max_bytes)).drop("__new", "__delta")
+def records(operations: DataFrame) -> DataFrame:
+    """operations on records (namespace, key, seq, action, owner, at, lease_seconds, ttl_seconds) with done: whether each took effect.
+
+    claim creates a record in work if there is none; commit and release, which completes or deletes it, take its owner; reclaim gives a record in
+    work to another owner once its lease has run out (at its very end, too); get finds it; delete removes it. A record is gone when its
+    ttl_seconds (null: never) since the last write have passed. One record is held for each key."""
+
+    def record() -> Callable[[dict], bool]:
+        held: dict | None = None
+
+        def step(row: dict) -> bool:
+            nonlocal held
+            at, action = row["at"], row["action"]
+            if held and held["gone"] is not None and held["gone"] <= at:
+                held = None
+            mine = held is not None and held["owner"] == row["owner"]
+            done = {
+                "claim": held is None,
+                "commit": mine,
+                "release": mine,
+                "reclaim": held is not None and held["working"] and held["lease"] is not None and held["lease"] <= at,
+                "get": held is not None,
+                "delete": held is not None,
+            }[action]
+            if done and action in ("release", "delete"):
+                held = None
+            elif done and action != "get":
+                until = lambda seconds: None if seconds is None else at + seconds
+                held = {"owner": row["owner"], "working": action != "commit", "lease": until(row["lease_seconds"]), "gone": until(row["ttl_seconds"])}
+            return done
+
+        return step
+
+    return in_order(operations, ["namespace", "key"], "seq", record, "done", "boolean")
 
 
 def claims(requests: DataFrame) -> DataFrame:
-    """Per key, the owner of the first request holds the claim; a later one takes it over only where the lease has run out by its time.
+    """Per key, the first request's owner holds the claim; a later request, of any owner, takes it over only once the lease has run out.
 
     requests: namespace, key, seq, owner, at, lease_seconds. Adds granted. A lease ends at its time: at that very moment it can be taken over."""
-    step = "aggregate(r, named_struct('until', -1.0D, 'who', cast(null as string), 'out', cast(array() as array<struct<seq:bigint,granted:boolean>>)), (s, x) -> case when s.until <= x.at or s.who = x.owner then named_struct('until', x.at + x.lease_seconds, 'who', x.owner, 'out', concat(s.out, array(named_struct('seq', x.seq, 'granted', true)))) else named_struct('until', s.until, 'who', s.who, 'out', concat(s.out, array(named_struct('seq', x.seq, 'granted', false)))) end, s -> s.out)"
-    grouped = requests.groupBy("namespace", "key").agg(F.sort_array(F.collect_list(F.struct(F.col("seq").cast("long").alias("seq"), "owner", F.col("at").cast("double").alias("at"), F.col("lease_seconds").cast("double").alias("lease_seconds")))).alias("r"))
-    return grouped.select("namespace", "key", F.explode(F.expr(step)).alias("o")).select("namespace", "key", "o.seq", "o.granted")
+
+    def holder() -> Callable[[dict], bool]:
+        until: float | None = None
+
+        def ask(row: dict) -> bool:
+            nonlocal until
+            if until is not None and until > row["at"]:
+                return False
+            until = row["at"] + row["lease_seconds"]
+            return True
+
+        return ask
+
+    kinds = requests.select("namespace", "key", F.col("seq").cast("long").alias("seq"), "owner", F.col("at").cast("double").alias("at"), F.col("lease_seconds").cast("double").alias("lease_seconds"))
+    return in_order(kinds, ["namespace", "key"], "seq", holder, "granted", "boolean").select("namespace", "key", "seq", "granted")
+
+
+def unmask(requests: DataFrame, stored: DataFrame) -> DataFrame:
+    """requests (namespace, payload_id, text) with outcome and result: RESTORED and the original where text is exactly the masked one, CONFLICT where it differs,
+    CONTEXT_MISSING where there is no record. stored: namespace, payload_id, original, masked_text, a row for each key."""
+    r = stored.select("namespace", "payload_id", F.col("original").alias("__original"), F.col("masked_text").alias("__masked"), F.lit(True).alias("__found"))
+    both = requests.join(r, ["namespace", "payload_id"], "left")
+    outcome = F.when(F.col("__found").isNull(), "CONTEXT_MISSING").when(F.col("text") == F.col("__masked"), "RESTORED").otherwise("CONFLICT")
+    return both.withColumn("outcome", outcome).withColumn("result", F.when(F.col("outcome") == "RESTORED", F.col("__original"))).drop("__original", "__masked", "__found")
+
+
+def restore_tokens(requests: DataFrame, stored: DataFrame) -> DataFrame:
+    """requests (namespace, payload_id, text) with restored: the known tokens of the record put back into a text that may have changed; null without a record.
+
+    stored: namespace, payload_id, mapping."""
+    found = requests.join(stored.select("namespace", "payload_id", "mapping", F.lit(True).alias("__found")), ["namespace", "payload_id"], "left")
+    return core.restore(found, "text", "restored").withColumn("restored", F.when(F.col("__found"), F.col("restored"))).drop("mapping", "__found")

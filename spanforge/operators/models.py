@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spanforge.functions.spans import let
+
 WINDOW, OVERLAP = 254, 48
 PRIVATE = (0.80, 0.50)  # least entailment, least margin over the other two
 PUBLIC = {"default": (0.80, 0.50), "education": (0.55, 0.10)}
@@ -42,9 +44,11 @@ def merge_tags(rows: DataFrame) -> DataFrame:
 
 
 def softmax(x: Column) -> Column:
-    """Probabilities of an array of logits, shifted by their maximum."""
-    shifted = F.transform(x, lambda v: F.exp(v.cast("double") - F.array_max(x).cast("double")))
-    return F.transform(shifted, lambda v: v / F.aggregate(shifted, F.lit(0.0), lambda a, b: a + b))
+    """Probabilities of an array of logits, shifted by their maximum; a logit that isn't finite is an error."""
+    odd = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    shifted = let(F.array_max(x).cast("double"), lambda top: F.transform(x, lambda v: F.exp(v.cast("double") - top)))
+    shares = let(shifted, lambda e: let(F.aggregate(e, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(e, lambda v: v / total)))
+    return F.when(odd, F.raise_error(F.lit("logits have to be finite")).cast("array<double>")).otherwise(shares)
 
 
 def argmax(x: Column) -> Column:

@@ -435,21 +435,54 @@ def life_process_conversations(spark, d):
 @query("WITH l AS (SELECT event_type AS namespace, user_id AS key, max(ts) AS ts, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY ALL) SELECT namespace, key, value FROM l WHERE ts + INTERVAL 3600 SECONDS > (SELECT max(ts) FROM events)")
 def vault_ttl_state(spark, d):
     e = table(spark, d, "events")
-    now = e.agg(F.max("ts")).first()[0]
+    now = e.agg(F.max("ts").alias("now"))  # one row
     writes = e.groupBy(F.col("event_type").alias("namespace"), F.col("user_id").alias("key")).agg(F.max_by(F.struct("ts", "value"), F.struct("ts", "event_id")).alias("r")).select("namespace", "key", "r.ts", "r.value", F.lit(8).alias("size_bytes"))
-    return lifecycle.live(writes, F.lit(now)).select("namespace", "key", "value")
+    return lifecycle.live(writes, now).select("namespace", "key", "value")
 
 
-@query("WITH w AS (SELECT event_type AS namespace, user_id AS key, event_id AS seq, 100 + user_id % 7 AS size_bytes FROM events), x AS (SELECT *, row_number() OVER (PARTITION BY namespace, key ORDER BY seq) = 1 AS fresh, size_bytes - coalesce(lag(size_bytes) OVER (PARTITION BY namespace, key ORDER BY seq), 0) AS delta FROM w) SELECT namespace, key, seq, sum(fresh::INT) OVER (PARTITION BY namespace ORDER BY seq) <= 50 AND sum(delta) OVER (PARTITION BY namespace ORDER BY seq) <= 5000 AS accepted FROM x")
+@query("""WITH RECURSIVE e AS (SELECT event_type AS namespace, user_id AS key, event_id AS seq, 100 + user_id % 7 AS size, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events),
+r AS (SELECT DISTINCT namespace, 0::BIGINT AS n, MAP([]::BIGINT[], []::BIGINT[]) AS held, NULL::BIGINT AS key, NULL::BIGINT AS seq, NULL::BOOLEAN AS accepted FROM e
+UNION ALL SELECT namespace, n, CASE WHEN fits THEN then_held ELSE held END, key, seq, fits FROM (SELECT *, cardinality(then_held) <= 50 AND list_sum(map_values(then_held)) <= 5000 AS fits
+FROM (SELECT r.namespace, e.n, r.held, e.key, e.seq, map_concat(r.held, MAP([e.key], [e.size])) AS then_held FROM r JOIN e ON e.namespace = r.namespace AND e.n = r.n + 1)))
+SELECT namespace, key, seq, accepted FROM r WHERE n > 0""")
 def vault_capacity(spark, d):
     w = table(spark, d, "events").select(F.col("event_type").alias("namespace"), F.col("user_id").alias("key"), F.col("event_id").alias("seq"), (100 + F.col("user_id") % 7).alias("size_bytes"))
     return lifecycle.within_capacity(w, 50, 5000).select("namespace", "key", "seq", "accepted")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT event_type AS namespace, user_id AS key, event_id AS seq, event_id::DOUBLE AS t, 100.0 * (1 + event_id % 4) AS lease, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS n FROM events),
+r AS (SELECT namespace, key, seq, n, true AS granted, t + lease AS until FROM e WHERE n = 1
+UNION ALL SELECT e.namespace, e.key, e.seq, e.n, r.until <= e.t, CASE WHEN r.until <= e.t THEN e.t + e.lease ELSE r.until END FROM r JOIN e ON e.namespace = r.namespace AND e.key = r.key AND e.n = r.n + 1)
+SELECT namespace, key, seq, granted FROM r""")
 def vault_claims(spark, d):
-    rows = [("a", "k", 1, "w1", 0.0, 10.0), ("a", "k", 2, "w2", 5.0, 10.0), ("a", "k", 3, "w2", 10.0, 10.0), ("a", "k", 4, "w1", 12.0, 10.0), ("a", "j", 1, "w1", 0.0, 10.0)]
-    return lifecycle.claims(fixtures.rows(spark, rows, "namespace string, key string, seq long, owner string, at double, lease_seconds double"))
+    e = table(spark, d, "events")
+    return lifecycle.claims(e.select(F.col("event_type").alias("namespace"), F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.lit("w").alias("owner"), F.col("event_id").cast("double").alias("at"), (100.0 * (1 + F.col("event_id") % 4)).alias("lease_seconds")))
+
+
+@query("""WITH RECURSIVE e AS (SELECT event_type AS namespace, user_id AS key, event_id AS seq, ['claim', 'commit', 'reclaim', 'release', 'get', 'claim'][(event_id % 6 + 1)::INT] AS action, 'w' || ((event_id // 6) % 2) AS owner, event_id::DOUBLE AS t,
+row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS n FROM events),
+r AS (SELECT namespace, key, seq, n, action, action = 'claim' AS done, CASE WHEN action = 'claim' THEN {'owner': owner, 'working': true, 'lease': t + 300, 'gone': t + 2000} END AS held FROM e WHERE n = 1
+UNION ALL SELECT namespace, key, seq, n, action, done, CASE WHEN done AND action = 'release' THEN NULL WHEN done AND action <> 'get' THEN {'owner': owner, 'working': action <> 'commit', 'lease': t + 300, 'gone': t + 2000} ELSE live END
+FROM (SELECT *, CASE action WHEN 'claim' THEN live IS NULL WHEN 'get' THEN live IS NOT NULL WHEN 'reclaim' THEN live IS NOT NULL AND live.working AND live.lease <= t ELSE live IS NOT NULL AND live.owner = owner END AS done
+FROM (SELECT e.*, CASE WHEN r.held.gone > e.t THEN r.held END AS live FROM r JOIN e ON e.namespace = r.namespace AND e.key = r.key AND e.n = r.n + 1)))
+SELECT namespace, key, seq, action, done FROM r""")
+def vault_records(spark, d):
+    """Claim, commit, reclaim, release and get of records by two owners, with leases and expiry."""
+    actions = F.array(*[F.lit(a) for a in ("claim", "commit", "reclaim", "release", "get", "claim")])
+    n = F.col("event_id")
+    e = table(spark, d, "events").select(F.col("event_type").alias("namespace"), F.col("user_id").alias("key"), n.alias("seq"), F.get(actions, (n % 6).cast("int")).alias("action"), F.concat(F.lit("w"), (F.floor(n / 6) % 2).cast("string")).alias("owner"), n.cast("double").alias("at"), F.lit(300.0).alias("lease_seconds"), F.lit(2000.0).alias("ttl_seconds"))
+    return lifecycle.records(e).select("namespace", "key", "seq", "action", "done")
+
+
+@query("""WITH s AS (SELECT conv_id, max(text) FILTER (turn = 0) AS original, upper(max(text) FILTER (turn = 0)) AS masked FROM conversations WHERE conv_id % 3 <> 0 GROUP BY conv_id),
+q AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN upper(text) ELSE text END AS text FROM conversations)
+SELECT q.conv_id, turn, CASE WHEN s.conv_id IS NULL THEN 'CONTEXT_MISSING' WHEN text = masked THEN 'RESTORED' ELSE 'CONFLICT' END AS outcome, CASE WHEN text = masked THEN original END AS result FROM q LEFT JOIN s USING (conv_id)""")
+def life_unmask(spark, d):
+    c = table(spark, d, "conversations").withColumn("namespace", F.lit("n"))
+    first = F.max(F.when(F.col("turn") == 0, F.col("text")))
+    stored = c.filter("conv_id % 3 <> 0").groupBy("namespace", F.col("conv_id").alias("payload_id")).agg(first.alias("original"), F.upper(first).alias("masked_text"))
+    asked = c.select("namespace", F.col("conv_id").alias("payload_id"), "turn", F.when(F.col("turn") % 2 == 0, F.upper("text")).otherwise(F.col("text")).alias("text"))
+    return lifecycle.unmask(asked, stored).select(F.col("payload_id").alias("conv_id"), "turn", "outcome", "result")
 
 
 # Model parts: embeddings stand in for logits.

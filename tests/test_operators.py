@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from spanforge.functions import scalars as S
@@ -94,3 +95,44 @@ def test_rolling_rate_counts_each_event_in_every_window(spark, tmp_path):
     q.awaitTermination(120)
     assert spark.table("rate_out").agg(F.sum("n")).first()[0] == 20
     assert bucket_rate(events).count() == 5
+
+
+def test_a_rejected_write_changes_nothing(spark):
+    rows = [("n", "a", 1, 90), ("n", "b", 2, 50), ("n", "c", 3, 10), ("n", "a", 4, 95), ("n", "a", 5, 20), ("n", "d", 6, 70), ("m", "a", 1, 101)]
+    df = spark.createDataFrame(rows, "namespace string, key string, seq int, size_bytes int")
+    got = {(r["namespace"], r["seq"]): r["accepted"] for r in lifecycle.within_capacity(df, 3, 100).collect()}
+    assert got == {("n", 1): True, ("n", 2): False, ("n", 3): True, ("n", 4): False, ("n", 5): True, ("n", 6): True, ("m", 1): False}
+    assert lifecycle.within_capacity(df.filter("false"), 3, 100).count() == 0
+
+
+def test_records_are_worked_on_by_their_owner(spark):
+    steps = [
+        ("claim", "a", 0, True), ("claim", "a", 1, False), ("commit", "b", 2, False), ("reclaim", "b", 9, False), ("reclaim", "b", 10, True), ("commit", "a", 11, False), ("commit", "b", 12, True),
+        ("reclaim", "a", 90, False), ("get", None, 91, True), ("get", None, 112, False), ("claim", "c", 113, True), ("release", "b", 114, False), ("release", "c", 115, True), ("get", None, 116, False),
+        ("claim", "d", 117, True), ("delete", None, 118, True), ("delete", None, 119, False),
+    ]
+    df = spark.createDataFrame([("n", "k", i, a, o, float(t), 10.0, 100.0) for i, (a, o, t, _) in enumerate(steps)], "namespace string, key string, seq int, action string, owner string, at double, lease_seconds double, ttl_seconds double")
+    assert [r["done"] for r in lifecycle.records(df).orderBy("seq").collect()] == [s[3] for s in steps]
+
+
+def test_changed_texts_get_their_tokens_back(spark):
+    docs = core.mask(core.resolve(core.detect(spark.createDataFrame([(1, "write to a@b.org now")], "doc_id int, text string"), ("email",))), b"k")
+    stored = docs.select(F.lit("n").alias("namespace"), F.col("doc_id").alias("payload_id"), "mapping")
+    token = docs.first()["mapping"][0]["token"]
+    asked = spark.createDataFrame([("n", 1, f"I wrote to {token}, not ⟦PII:EMAIL:xxxxxxxxxxxxxxxxxxxxxx⟧"), ("n", 2, token)], "namespace string, payload_id int, text string")
+    got = {r["payload_id"]: r["restored"] for r in lifecycle.restore_tokens(asked, stored).collect()}
+    assert got == {1: "I wrote to a@b.org, not ⟦PII:EMAIL:xxxxxxxxxxxxxxxxxxxxxx⟧", 2: None}
+
+
+def test_answers_are_guarded(spark):
+    docs = core.mask(core.resolve(core.detect(spark.createDataFrame([(1, "a@b.org")], "doc_id int, text string"), ("email",))), b"k").select("doc_id", "mapping")
+    token = docs.first()["mapping"][0]["token"]
+    out = core.guard_output(docs.withColumn("text", F.lit(f"ask {token} or new@c.org")), b"other", ("email",)).first()
+    assert token in out["guarded"] and "new@c.org" not in out["guarded"] and out["guarded"].count("⟦") == 2
+
+
+def test_logits_have_to_be_finite(spark):
+    ok = spark.createDataFrame([([1.0, 2.0],)], "x array<double>").select(models.softmax(F.col("x")).alias("p")).first()["p"]
+    assert abs(sum(ok) - 1) < 1e-12
+    with pytest.raises(Exception, match="finite"):
+        spark.createDataFrame([([1.0, float("inf")],)], "x array<double>").select(models.softmax(F.col("x"))).collect()
