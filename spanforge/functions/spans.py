@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Case-insensitive, with \\s, \\d, \\w and \\b over all of Unicode, as in the patterns' definitions.
 ANY_CASE, EXACT_CASE = "(?iU)", "(?U)"
+#: Values in a slice of running(), and code points in a block of cuts_of().
+SLICE, BLOCK = 64, 1024
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -21,6 +23,22 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
+def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """Inclusive running op (associative, over whole numbers from 0 up, with 0 as its neutral value) of an array of int.
+
+    An array that grows in aggregate() is copied at each step, so the steps run over slices of 64 values and then over the slices' totals:
+    copies grow with the values times 64, not with their square."""
+    step = lambda acc, v: F.concat(acc, F.array(op(F.element_at(acc, -1), v)))
+    starts = F.sequence(F.lit(1), F.size(values), F.lit(SLICE))
+
+    def joined(slices: Column) -> Column:
+        bases = F.aggregate(slices, F.array(F.lit(0)), lambda acc, s: step(acc, F.element_at(s, -1)))
+        return F.flatten(F.zip_with(slices, F.slice(bases, F.lit(1), F.size(slices)), lambda s, b: F.transform(F.slice(s, F.lit(2), F.lit(SLICE)), lambda v: op(b, v))))
+
+    slices = F.transform(starts, lambda i: F.aggregate(F.slice(values, i, F.lit(SLICE)), F.array(F.lit(0)), step))
+    return F.when(F.size(values) == 0, F.expr("cast(array() as array<int>)")).otherwise(let(slices, joined))
+
+
 def tiled(tiles: Sequence[str], before: str = "", behind: str = "", flags: str = ANY_CASE) -> str:
     return flags + before + "".join(f"({t})" for t in tiles) + behind
 
@@ -34,9 +52,9 @@ def find(text: Column, tiles: Sequence[str], before: str = "", behind: str = "",
 
     def places(m: Column) -> Column:
         gaps = F.split(text, tiled(tiles, before, behind, flags))
-        lengths = F.zip_with(F.slice(gaps, F.lit(1), F.size(m)), m, lambda g, x: F.struct(F.length(g).alias("g"), F.length(x).alias("m")))
-        ends = F.aggregate(lengths, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x["g"] + x["m"])))
-        return F.zip_with(m, F.slice(ends, F.lit(2), F.size(m)), lambda x, e: F.struct((e - F.length(x)).alias("start"), e.alias("stop")))
+        lengths = F.zip_with(F.slice(gaps, F.lit(1), F.size(m)), m, lambda g, x: F.length(g) + F.length(x))
+        ends = let(lengths, lambda n: running(n, lambda a, b: a + b))
+        return F.zip_with(m, ends, lambda x, e: F.struct((e - F.length(x)).alias("start"), e.alias("stop")))
 
     sizes = F.arrays_zip(*[F.transform(g, lambda x: F.length(x)).alias(f"g{i}") for i, g in enumerate(groups[1:])])
 
@@ -54,3 +72,17 @@ def find(text: Column, tiles: Sequence[str], before: str = "", behind: str = "",
 
 def cut_of(text: Column, start: Column, stop: Column) -> Column:
     return F.substring(text, start + 1, stop - start)
+
+
+def cuts_of(text: Column, pieces: Column) -> Column:
+    """array<string> of the pieces (array<struct<start, stop>>) of text.
+
+    substring() walks from the text's start; here it walks within the blocks of BLOCK code points that a piece touches, so that all pieces
+    together cost the text once and a block or two each."""
+
+    def piece(blocks: Column, s: Column) -> Column:
+        first = F.floor(s["start"] / BLOCK).cast("int")
+        touched = F.slice(blocks, first + 1, F.floor(s["stop"] / BLOCK).cast("int") - first + 1)
+        return F.substring(F.array_join(touched, ""), s["start"] - first * BLOCK + 1, s["stop"] - s["start"])
+
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), lambda blocks: F.transform(pieces, lambda s: piece(blocks, s)))

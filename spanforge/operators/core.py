@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanforge.functions.scalars import hmac_sha256
-from spanforge.functions.spans import cut_of, let
+from spanforge.functions.spans import cuts_of, let, running
 
 from .detectors import NATIVE, NONE, RegexDetector
 
@@ -93,21 +93,31 @@ def combine(docs: DataFrame, rules: Sequence[CombinationRule]) -> DataFrame:
 def _merged(ordered: Column) -> Column:
     """Spans in order to islands: a span that starts at or before the last end joins, so touching ones merge too; the first gives the category."""
 
-    def step(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["stop"], s["stop"]).alias("stop"), last["category"].alias("category"), F.array_union(last["detector_ids"], F.array(s["detector_id"])).alias("detector_ids"))
-        fresh = F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["category"].alias("category"), F.array(s["detector_id"]).alias("detector_ids"))
-        return F.when(F.size(acc) == 0, F.array(fresh)).when(s["start"] <= last["stop"], F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(fresh)))
+    def islands(spans: Column, upto: Column) -> Column:
+        n = F.size(spans)
+        places = F.when(n == 0, F.expr("cast(array() as array<int>)")).otherwise(F.sequence(F.lit(0), n - 1))
+        firsts = F.filter(places, lambda i: (i == 0) | (F.get(spans, i)["start"] > F.get(upto, i - 1)))
 
-    return F.aggregate(ordered, F.expr(f"cast(array() as {RESOLVED})"), lambda a, s: F.when(F.lit(True), step(a, s)).cast(RESOLVED))
+        def island(first: Column, behind: Column) -> Column:
+            ids = F.array_distinct(F.transform(F.slice(spans, first + 1, behind - first), lambda s: s["detector_id"]))
+            return F.struct(F.get(spans, first)["start"].alias("start"), F.get(upto, behind - 1).alias("stop"), F.get(spans, first)["category"].alias("category"), ids.alias("detector_ids"))
+
+        return let(firsts, lambda f: F.zip_with(f, F.concat(F.slice(f, F.lit(2), F.greatest(F.size(f) - 1, F.lit(0))), F.array(n)), lambda a, b: F.when(a.isNotNull(), island(a, b))))
+
+    found = let(ordered, lambda spans: let(running(F.transform(spans, lambda s: s["stop"]), F.greatest), lambda upto: islands(spans, upto)))
+    return F.filter(found, lambda s: s.isNotNull()).cast(RESOLVED)
 
 
 def resolve(docs: DataFrame) -> DataFrame:
     """docs with resolved spans: sorted by start, the longer first, ties in detection order, and merged. An invalid span is an error."""
-    flat = F.flatten(F.transform("detections", lambda d, i: F.transform(d["sensitive"], lambda s, k: F.struct(s["start"].alias("start"), (s["start"] - s["stop"]).alias("shorter"), i.alias("i"), k.alias("k"), s["stop"].alias("stop"), d["category"].alias("category"), d["detector_id"].alias("detector_id")))))
-    bad = F.exists(flat, lambda s: (s["start"] < 0) | (s["stop"] <= s["start"]) | (s["stop"] > F.length("text")))
-    checked = F.when(bad, F.raise_error(F.lit("invalid span")).cast(RESOLVED)).otherwise(_merged(F.sort_array(flat)))
-    return docs.withColumn("resolved", F.when(F.size("detections") == 0, F.expr(f"cast(array() as {RESOLVED})")).otherwise(checked))
+
+    def islands(detections: Column) -> Column:
+        flat = F.flatten(F.transform(detections, lambda d, i: F.transform(d["sensitive"], lambda s, k: F.struct(s["start"].alias("start"), (s["start"] - s["stop"]).alias("shorter"), i.alias("i"), k.alias("k"), s["stop"].alias("stop"), d["category"].alias("category"), d["detector_id"].alias("detector_id")))))
+        bad = lambda spans: F.exists(spans, lambda s: (s["start"] < 0) | (s["stop"] <= s["start"]) | (s["stop"] > F.length("text")))
+        return let(flat, lambda spans: F.when(bad(spans), F.raise_error(F.lit("invalid span")).cast(RESOLVED)).otherwise(_merged(F.sort_array(spans))))
+
+    # a column used once: a filter pushed below the projections would otherwise copy the detectors' expressions once for each use
+    return docs.withColumn("resolved", let(F.col("detections"), islands))
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -135,39 +145,48 @@ def token(key: bytes, namespace: Column, context: Column, category: Column, valu
 
 def mask(docs: DataFrame, key: bytes, namespace: str = "default", context: str = "doc_id", action: str = "tokenize_full") -> DataFrame:
     """docs with masked_text and mapping (array<struct<token, value>>, in order). action opaque_token_full numbers the spans instead."""
-    text = F.col("text")
-    value = lambda r: cut_of(text, r["start"], r["stop"])
-    if action.strip().lower() == "opaque_token_full":
+    text, opaque = F.col("text"), action.strip().lower() == "opaque_token_full"
+
+    def numbers(resolved: Column) -> Column:
         # numbers count up from the span's place, past any that the text holds or an earlier span took
         name = lambda n: F.concat(F.lit("[REDACTED-"), n.cast("string"), F.lit("]"))
-        free = F.filter(F.sequence(F.lit(0), 2 * F.size("resolved") + F.size(F.regexp_extract_all(text, F.lit(MARKER), F.lit(0)))), lambda n: ~F.contains(text, name(n)))
-        tokens = let(free, lambda f: F.transform("resolved", lambda r, i: name(F.get(f, i))))
-        plain = F.transform("resolved", lambda r, i: name(i))
-        tokens = F.when(text.rlike(MARKER), tokens).otherwise(plain)
-    else:
-
-        def named(r: Column) -> Column:
-            made = lambda salt: token(key, F.lit(namespace), F.concat(F.col(context).cast("string"), F.lit(salt)), r["category"], value(r))
-            free = [let(made(salt), lambda t: F.when(~F.contains(text, t), t)) for salt in ("", "/1", "/2")]
-            # three digests of 128 bits in one text are no chance: somebody has planted them
-            return F.coalesce(*free, F.raise_error(F.lit("the text holds all tokens of a value")).cast("string"))
-
-        tokens = F.transform("resolved", lambda r: named(r))
-    withs = docs.withColumn("mapping", F.zip_with(tokens, F.transform("resolved", value), lambda t, v: F.struct(t.alias("token"), v.alias("value"))))
-    starts = F.concat(F.array(F.lit(0)), F.transform("resolved", lambda r: r["stop"]))
-    gaps = F.zip_with(starts, F.concat(F.transform("resolved", lambda r: r["start"]), F.array(F.length(text))), lambda a, b: cut_of(text, a, b))
-    masked = F.array_join(F.zip_with(gaps, F.transform("mapping", lambda m: m["token"]), lambda g, t: F.concat(g, F.coalesce(t, F.lit("")))), "")
-    return withs.withColumn("masked_text", F.when(text.isNull(), None).when(F.size("resolved") == 0, text).otherwise(masked))
+        taken = F.regexp_extract_all(text, F.lit(MARKER), F.lit(0))
+        free = let(taken, lambda t: F.array_except(F.transform(F.sequence(F.lit(0), F.size(resolved) + F.size(t)), name), t))
+        return let(free, lambda f: F.transform(resolved, lambda r, i: F.get(f, i)))
+
+    def named(category: Column, value: Column) -> Column:
+        made = lambda salt: token(key, F.lit(namespace), F.concat(F.col(context).cast("string"), F.lit(salt)), category, value)
+        free = [let(made(salt), lambda t: F.when(~F.contains(text, F.lit("⟦PII:")) | ~F.contains(text, t), t)) for salt in ("", "/1", "/2")]
+        # three digests of 128 bits in one text are no chance: somebody has planted them
+        return F.coalesce(*free, F.raise_error(F.lit("the text holds all tokens of a value")).cast("string"))
+
+    def replaced(x: Column) -> Column:
+        """From the spans and their values: the mapping and the text between the spans."""
+        tokens = numbers(x["r"]) if opaque else F.zip_with(x["v"], x["r"], lambda v, r: named(r["category"], v))
+        starts, stops = F.concat(F.array(F.lit(0)), F.transform(x["r"], lambda r: r["stop"])), F.concat(F.transform(x["r"], lambda r: r["start"]), F.array(F.length(text)))
+        gaps = cuts_of(text, F.zip_with(starts, stops, lambda a, b: F.struct(a.alias("start"), b.alias("stop"))))
+        return F.struct(F.zip_with(tokens, x["v"], lambda t, v: F.struct(t.alias("token"), v.alias("value"))).alias("mapping"), gaps.alias("gaps"))
+
+    def masked(y: Column) -> Column:
+        whole = F.array_join(F.zip_with(y["gaps"], F.transform(y["mapping"], lambda m: m["token"]), lambda g, t: F.concat(g, F.coalesce(t, F.lit("")))), "")
+        return F.struct(y["mapping"].alias("mapping"), F.when(text.isNotNull(), whole).alias("masked_text"))
+
+    made = let(let(let(F.col("resolved"), lambda r: F.struct(r.alias("r"), cuts_of(text, r).alias("v"))), replaced), masked)
+    rest = [c for c in docs.columns if c not in ("mapping", "masked_text")]
+    return docs.withColumn("__masked", made).select(*rest, F.col("__masked.mapping").alias("mapping"), F.col("__masked.masked_text").alias("masked_text"))
 
 
 def restore(docs: DataFrame, source: str = "masked_text", out: str = "restored") -> DataFrame:
     """docs with every known token of mapping replaced by its value, in one pass from the left; unknown tokens stay."""
     either = f"(?:{TOKEN}|{MARKER})"
-    found = F.regexp_extract_all(F.col(source), F.lit(either), F.lit(0))
-    known = lambda t: F.get(F.transform(F.filter("mapping", lambda m: m["token"] == t), lambda m: m["value"]), F.lit(0))
-    values = F.transform(found, lambda t: F.coalesce(known(t), t))
-    whole = F.array_join(F.zip_with(F.split(F.col(source), either), values, lambda g, v: F.concat(g, F.coalesce(v, F.lit("")))), "")
-    return docs.withColumn(out, F.when(F.size("mapping") == 0, F.col(source)).otherwise(whole))
+
+    def whole(x: Column) -> Column:
+        known = lambda t: F.get(F.transform(F.filter(x["m"], lambda m: m["token"] == t), lambda m: m["value"]), F.lit(0))
+        values = F.transform(F.regexp_extract_all(x["t"], F.lit(either), F.lit(0)), lambda t: F.coalesce(known(t), t))
+        joined = F.array_join(F.zip_with(F.split(x["t"], either), values, lambda g, v: F.concat(g, F.coalesce(v, F.lit("")))), "")
+        return F.when(F.size(x["m"]) == 0, x["t"]).otherwise(joined)
+
+    return docs.withColumn(out, let(F.struct(F.col("mapping").alias("m"), F.col(source).alias("t")), whole))
 
 
 def guard_output(docs: DataFrame, key: bytes, detectors: Sequence[str | RegexDetector] = tuple(NATIVE), text: str = "text") -> DataFrame:

@@ -197,16 +197,16 @@ def _distance(position: Column, marks: Column) -> Column:
 def passport_issue_date(text: Column) -> Column:
     """Dates to which an issue mark is nearer than any birth mark and at least as near as any neutral one (three nearest joins on arrays)."""
 
+    kinds = {"numeric": NUMERIC_DATE, "iso": ISO_DATE, "words": WORDS_DATE}
+
     def gated(marks: Column) -> Column:
-        kinds = ((NUMERIC_DATE, "numeric"), (ISO_DATE, "iso"), (WORDS_DATE, "words"))
-        out = []
-        for tiles, kind in kinds:
-            is_issue = lambda m: let(_distance(m["start"], marks["issue"]), lambda d: d.isNotNull() & ~F.coalesce(_distance(m["start"], marks["neutral"]) < d, F.lit(False)) & F.coalesce(d < _distance(m["start"], marks["birth"]), F.lit(True)))  # noqa: E731, B023
-            made = lambda m: detection("PASSPORT_ISSUE_DATE", "passport_issue_date", f"passport-issue-date-{kind}", 0.9, m["start"], m["stop"], F.array(span(m["start"], m["stop"])), signals(("issue_context", 1.0), (f"{kind}_date", 1.0)))  # noqa: E731, B023
-            out.append(F.transform(F.filter(dated(text, tiles, kind), lambda m: is_issue(m)), lambda m: made(m)))
-        return F.concat(*out)
-
-    marks = F.struct(find(text, (ISSUE_NEAR,)).alias("issue"), find(text, (BIRTH_NEAR,)).alias("birth"), find(text, (NEUTRAL_NEAR,)).alias("neutral"))
+        is_issue = lambda m: let(_distance(m["start"], marks["issue"]), lambda d: d.isNotNull() & ~F.coalesce(_distance(m["start"], marks["neutral"]) < d, F.lit(False)) & F.coalesce(d < _distance(m["start"], marks["birth"]), F.lit(True)))
+        made = lambda m, kind: detection("PASSPORT_ISSUE_DATE", "passport_issue_date", f"passport-issue-date-{kind}", 0.9, m["start"], m["stop"], F.array(span(m["start"], m["stop"])), signals(("issue_context", 1.0), (f"{kind}_date", 1.0)))
+        return F.concat(*[F.transform(F.filter(marks[kind], is_issue), lambda m: made(m, kind)) for kind in kinds])  # noqa: B023
+
+    # the finds stand beside each other in one struct: inside gated() each of them would be analysed again at every level of functions
+    near = [find(text, (p,)).alias(n) for n, p in (("issue", ISSUE_NEAR), ("birth", BIRTH_NEAR), ("neutral", NEUTRAL_NEAR))]
+    marks = F.struct(*near, *[dated(text, tiles, kind).alias(kind) for kind, tiles in kinds.items()])
     return F.when(text.rlike("(?iU)" + ISSUE_NEAR), let(marks, gated)).otherwise(F.expr(NONE))
 
 
@@ -216,10 +216,11 @@ def address(text: Column) -> Column:
     def one(marks: Column) -> Column:
         near = lambda at: F.exists(marks["near"], lambda c: at.between(c["start"] - 30, c["stop"] + 120))  # noqa: E731, B023
         office = lambda at: F.exists(marks["office"], lambda o: at.between(o["start"] - 5, o["stop"] + 120) & ~F.exists(marks["personal"], lambda p: (p["start"] > o["stop"]) & (p["stop"] <= at)))  # noqa: E731, B023
-        parts = [F.transform(F.filter(find(text, tiles, before, behind), lambda m: near(m["start"]) & ~office(m["start"])), lambda m: span(m["cuts"][0], m["cuts"][1])) for tiles, before, behind in ADDRESS_PARTS]
+        parts = [F.transform(F.filter(marks[f"part{i}"], lambda m: near(m["start"]) & ~office(m["start"])), lambda m: span(m["cuts"][0], m["cuts"][1])) for i in range(len(ADDRESS_PARTS))]
         return let(F.sort_array(F.concat(*parts)), lambda s: F.when(F.size(s) > 0, F.array(detection("ADDRESS", "address", "address-components-context", 0.8, s[0]["start"], F.array_max(F.transform(s, lambda x: x["stop"])), s, signals(("address_context", 1.0))))).otherwise(F.expr(NONE)))
 
-    marks = F.struct(find(text, (ADDRESS_NEAR,)).alias("near"), find(text, (OFFICE_NEAR,)).alias("office"), find(text, (PERSONAL_NEAR,)).alias("personal"))
+    near = [find(text, (p,)).alias(n) for n, p in (("near", ADDRESS_NEAR), ("office", OFFICE_NEAR), ("personal", PERSONAL_NEAR))]
+    marks = F.struct(*near, *[find(text, *part).alias(f"part{i}") for i, part in enumerate(ADDRESS_PARTS)])
     return F.when(text.rlike("(?iU)" + ADDRESS_NEAR), let(marks, one)).otherwise(F.expr(NONE))
 
 
