@@ -1,7 +1,8 @@
 """Interval, nearest and as-of joins over span rows.
 
 Every join has the document (or another key) as an equality, so it is a hash or merge join with a residual condition, never a product.
-As-of joins run as one union and one window instead of a range join: work and memory grow with the rows, not with the pairs.
+As-of joins run as a union and windows over blocks instead of a range join: work grows with the rows, not with the pairs, and no task
+holds a whole key.
 """
 
 from __future__ import annotations
@@ -34,17 +35,24 @@ def exact(left: DataFrame, right: DataFrame, how: str = "inner", key: str = "doc
     return left.join(right, [key, "category", "start", "stop"], how)
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str, forward: bool = False, tie: str | None = None) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str, forward: bool = False, width: float = 4096) -> DataFrame:
     """left with value of the latest right row at or before its place at (with forward, the earliest at or after it), and that row's place.
 
-    Adds <value> and <at>_found, null if there is none. Of right rows at one place the largest value counts (forward: the least).
-    One shuffle by key; for a key that holds a large part of the rows, salt by ranges of at first."""
+    Adds <value> and <at>_found, null if there is none, as for a null key or place. Of right rows at one place the largest value counts
+    (forward: the least). No task gets all rows of a key, but those of a block of width places (seconds, for timestamps), and of a key's
+    blocks one row each; what a block doesn't hold itself comes from the nearest block before it. width should hold some thousand rows."""
+    b = right.filter(F.col(key).isNotNull() & F.col(at).isNotNull())
     a = left.select(F.lit(1).alias("__side"), F.col(key).alias("__k"), F.col(at).alias("__at"), F.struct("*").alias("__row"), F.lit(None).cast(right.schema[value].dataType).alias("__v"))
-    b = right.select(F.lit(0).alias("__side"), F.col(key).alias("__k"), F.col(at).alias("__at"), F.lit(None).cast(a.schema["__row"].dataType).alias("__row"), F.col(value).alias("__v"))
+    b = b.select(F.lit(0).alias("__side"), F.col(key).alias("__k"), F.col(at).alias("__at"), F.lit(None).cast(a.schema["__row"].dataType).alias("__row"), F.col(value).alias("__v"))
+    both = a.unionByName(b).withColumn("__block", F.floor(F.col("__at").cast("double") / width))
+    seen = F.when(F.col("__side") == 0, F.struct(F.col("__at").alias("at"), F.col("__v").alias("v")))
     order = [F.col("__at").desc(), F.col("__side"), F.col("__v").desc()] if forward else [F.col("__at"), F.col("__side"), F.col("__v")]
-    w = W.partitionBy("__k").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    hit = F.last(F.when(F.col("__side") == 0, F.struct(F.col("__at").alias("at"), F.col("__v").alias("v"))), ignorenulls=True).over(w)
-    return a.unionByName(b).withColumn("__hit", hit).filter("__side = 1").select("__row.*", F.col("__hit.v").alias(value), F.col("__hit.at").alias(f"{at}_found"))
+    inside = both.withColumn("__hit", F.last(seen, ignorenulls=True).over(W.partitionBy("__k", "__block").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))).filter("__side = 1")
+    blocks = both.filter("__k IS NOT NULL AND __block IS NOT NULL").groupBy("__k", "__block").agg((F.min if forward else F.max)(seen).alias("best"))
+    before = W.partitionBy("__k").orderBy(F.col("__block").desc() if forward else F.col("__block")).rowsBetween(W.unboundedPreceding, -1)
+    carried = blocks.select("__k", "__block", F.last("best", ignorenulls=True).over(before).alias("__carried")).filter("__carried IS NOT NULL")
+    found = inside.join(carried, ["__k", "__block"], "left").withColumn("__hit", F.coalesce("__hit", "__carried"))
+    return found.select("__row.*", F.col("__hit.v").alias(value), F.col("__hit.at").alias(f"{at}_found"))
 
 
 def nearest(left: DataFrame, marks: DataFrame, key: str = "doc_id") -> DataFrame:

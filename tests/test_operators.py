@@ -191,3 +191,22 @@ def test_time_grows_with_the_text_only(spark):
         assert out.select("masked_text").first()[0].endswith(f"write to [REDACTED-{n - 1}], я ")
         took[n] = time.time() - began
     assert took[80000] < 8 * took[20000] + 2
+
+
+@pytest.mark.parametrize("forward", [False, True])
+def test_as_of_equals_a_loop(spark, forward):
+    """One key holds most rows, over many blocks of which some hold no right rows; keys and places are null, places tie."""
+    r = random.Random(8)
+    draw = lambda n: [(r.choice([1, 1, 1, 2, None]), r.choice([None, *range(0, 400, 7)]), i) for i in range(n)]
+    left, right = draw(150), draw(25)
+    a = spark.createDataFrame(left, "k int, at int, row int")
+    b = spark.createDataFrame(right, "k int, at int, v int")
+    for width in (10, 4096):
+        got = {x["row"]: (x["at_found"], x["v"]) for x in joins.as_of(a, b, "k", "at", "v", forward, width).collect()}
+        want = {}
+        for k, at, row in left:
+            fits = [(p, v) for k2, p, v in right if None not in (k, at, p) and k == k2 and (p >= at if forward else p <= at)]
+            want[row] = (min if forward else max)(fits) if fits else (None, None)
+        assert got == want
+    assert joins.as_of(a.filter("false"), b, "k", "at", "v", forward).count() == 0
+    assert joins.as_of(a, b.filter("false"), "k", "at", "v", forward).filter("v IS NULL").count() == 150
