@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from spanforge.functions import scalars as S
-from spanforge.functions.spans import EXACT_CASE, cut_of, find, let
+from spanforge.functions.spans import EXACT_CASE, cut_of, cuts_of, find, let
 
 DETECTION = (
     "struct<category:string,detector_id:string,rule_id:string,score:double,start:int,stop:int,"
@@ -113,6 +113,11 @@ def outside_orders(text: Column, found: Column) -> Column:
     return F.when(F.size(found) == 0, found).otherwise(let(find(text, (ORDER_LABEL,)), lambda orders: F.filter(found, lambda m: ~F.exists(orders, lambda o: m["start"].between(o["stop"], o["stop"] + 40)))))
 
 
+def with_values(text: Column, found: Column, made: Callable[[Column, Column], Column]) -> Column:
+    """made(match, its text) for all matches."""
+    return let(found, lambda ms: F.when(F.size(ms) == 0, F.expr(NONE)).otherwise(F.zip_with(ms, cuts_of(text, ms), made)))
+
+
 def email(text: Column) -> Column:
     return labelled(text, (EMAIL,), (0,), "EMAIL", "email", "email-structure", 0.95, "email_structure", EMAIL_BEFORE, EMAIL_BEHIND, "")
 
@@ -122,19 +127,19 @@ def phone(text: Column) -> Column:
 
 
 def card(text: Column) -> Column:
-    def made(m: Column) -> Column:
-        ok = S.luhn(F.regexp_replace(cut_of(text, m["start"], m["stop"]), "[ \\-\u00a0]", ""))
+    def made(m: Column, value: Column) -> Column:
+        ok = S.luhn(F.regexp_replace(value, "[ \\-\u00a0]", ""))
         return detection("CARD", "card", "card-digits", F.when(ok, 0.85).otherwise(0.6), m["start"], m["stop"], F.array(span(m["start"], m["stop"])), F.when(ok, signals(("card_digits", 1.0), ("luhn_valid", 1.0))).otherwise(signals(("card_digits", 1.0), ("luhn_invalid", -0.2))))
 
-    return F.transform(let(find(text, (CARD,), r"(?<!\d)", r"(?!\d)", ""), lambda found: outside_orders(text, found)), made)
+    return with_values(text, let(find(text, (CARD,), r"(?<!\d)", r"(?!\d)", ""), lambda found: outside_orders(text, found)), made)
 
 
 def inn(text: Column) -> Column:
-    def made(m: Column) -> Column:
-        ok = S.inn_valid(cut_of(text, m["start"], m["stop"]))
+    def made(m: Column, value: Column) -> Column:
+        ok = S.inn_valid(value)
         return detection("INN", "inn", "inn-structure", F.when(ok, 0.8).otherwise(0.55), m["start"], m["stop"], F.array(span(m["start"], m["stop"])), F.when(ok, signals(("inn_length", 1.0), ("inn_checksum_valid", 1.0))).otherwise(signals(("inn_length", 1.0), ("inn_checksum_invalid", -0.2))))
 
-    return F.transform(let(find(text, (INN,), r"(?<!\d)", r"(?!\d)", ""), lambda found: outside_orders(text, found)), made)
+    return with_values(text, let(find(text, (INN,), r"(?<!\d)", r"(?!\d)", ""), lambda found: outside_orders(text, found)), made)
 
 
 def passport(text: Column) -> Column:
