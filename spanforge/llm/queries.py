@@ -17,6 +17,7 @@ from .unit_dedup import op2_unit_dedup
 from .toxicity import op7_toxicity
 from .byte_cnn import op10_byte_cnn
 from .license_scan import op1_license_scan
+from .whitening import op12_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op10_byte_cnn": op10_byte_cnn,
     "op1_license_scan": op1_license_scan,
+    "op12_whitening": op12_whitening,
 }
 
 ORACLES: dict[str, str] = {
