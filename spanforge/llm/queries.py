@@ -18,6 +18,7 @@ from .toxicity import op7_toxicity
 from .byte_cnn import op10_byte_cnn
 from .license_scan import op1_license_scan
 from .whitening import op12_whitening
+from .vector_codes import op13_vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_byte_cnn": op10_byte_cnn,
     "op1_license_scan": op1_license_scan,
     "op12_whitening": op12_whitening,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLES: dict[str, str] = {
