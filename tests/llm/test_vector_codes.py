@@ -83,7 +83,8 @@ def test_trees_by_brute_force(kind):
 
 def test_boxes_save_comparisons():
     """Far clusters: whole subtrees are assigned, so no leaf is compared point by point."""
-    points = np.repeat(np.array([[0, 0], [10_000, 0], [0, 10_000]]), 500, axis=0) + np.random.default_rng(1).integers(0, 9, size=(1500, 2))
-    tree, book = V.Tree.build(points), np.array([[0, 0], [10_000, 0], [0, 10_000]])
+    book = np.array([[0, 0], [10_000, 0], [0, 10_000], [10_000, 10_000]])
+    points = np.repeat(book, 512, axis=0) + np.random.default_rng(1).integers(0, 9, size=(2048, 2))
+    tree = V.Tree.build(points)
     tree.points = None  # only boxes, sums and counts are left
-    assert tree.assign(book, np.float64, each=False)[2].tolist() == [500, 500, 500]
+    assert tree.assign(book, np.float64, each=False)[2].tolist() == [512] * 4
