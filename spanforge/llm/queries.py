@@ -17,6 +17,7 @@ from .unit_dedup import op2_unit_dedup
 from .toxicity import op7_toxicity
 from .byte_cnn import op10_byte_cnn
 from .license_scan import op1_license_scan
+from .suffix_dedup import op11_suffix_dedup
 from .whitening import op12_whitening
 from .vector_codes import op13_vector_codes
 
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op10_byte_cnn": op10_byte_cnn,
     "op1_license_scan": op1_license_scan,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_whitening": op12_whitening,
     "op13_vector_codes": op13_vector_codes,
 }
