@@ -64,18 +64,23 @@ def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+#: A text of a training sample has at most this part of the sample's bytes.
+LONGEST_SHARE = 16
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, rows: int, size: int) -> DataFrame:
     """rank, y and text of the rows to train on: one for each of the rows labelled ids with the least hash among those whose fold isn't held,
-    as many of them, by hash, as have size bytes of text together.
+    as many of them, by hash, as have size bytes of text together. A text of more than size / LONGEST_SHARE bytes is left out by itself, so no
+    single text shuts out those behind it.
 
     A null label is left out; of several labels of an id the largest counts; of several rows of an id the one with the least hash is taken."""
     marked = labels.groupBy("doc_id").agg(F.max(label).alias("y")).filter("y IS NOT NULL AND doc_id IS NOT NULL").filter(fold(F.col("doc_id"), folds) != held)
     sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     found = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rank")).join(F.broadcast(sample), "doc_id")
     one = found.groupBy("doc_id").agg(F.min("rank").alias("rank"), F.min_by(F.coalesce(F.octet_length("text"), F.lit(0)), "rank").cast("long").alias("bytes"))
-    fits = one.withColumn("upto", F.sum("bytes").over(W.orderBy("rank", "doc_id"))).filter(F.col("upto") <= size).select("doc_id", "rank")  # of at most rows ids
+    fits = one.filter(F.col("bytes") <= size // LONGEST_SHARE).withColumn("upto", F.sum("bytes").over(W.orderBy("rank", "doc_id"))).filter(F.col("upto") <= size).select("doc_id", "rank")  # of at most rows ids
     return found.join(F.broadcast(fits), ["doc_id", "rank"]).dropDuplicates(["doc_id"]).select("rank", F.col("y").cast("int").alias("y"), "text")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .quality_rules import DEFAULT as RULES
+from .quality_rules import SEQUENCE
 
 #: Words, base metrics and base verdict of every document; ends in the relation base.
 QUALITY_BASE = r"""
@@ -21,8 +22,11 @@ base AS (SELECT *, n_words < {min_words} OR 100 * n_repeat_words > {percent} * n
 """.format(min_words=RULES.min_words, percent=RULES.max_repeat_percent)
 
 
-def _cuts() -> str:
-    return ", ".join(f"('{r}', {j}, {len(cs)}, {float(c)!r}::DOUBLE)" for r, cs in RULES.cutoffs for j, c in enumerate(cs))
+def _first_step() -> str:
+    """The first step of the sequence that rejects a row; the number of steps if none does."""
+    cutoffs = dict(RULES.cutoffs)
+    steps = [(r, float(c)) for r in SEQUENCE for c in cutoffs[r]]
+    return f"least({len(steps)}, {', '.join(f'CASE WHEN {r} > {c!r}::DOUBLE THEN {i} ELSE {len(steps)} END' for i, (r, c) in enumerate(steps))})"
 
 
 def _stratum() -> str:
@@ -31,25 +35,27 @@ def _stratum() -> str:
     return f"CASE WHEN lang IN ({langs}) THEN lang ELSE 'other' END || ':' || ({bands})::VARCHAR"
 
 
-_ALPHA = RULES.max_false_rejection / len(RULES.cutoffs)
-_LEVEL = RULES.delta / (len(RULES.cutoffs) * (len(RULES.languages) + 1) * (len(RULES.bands) + 1))
+_ALPHA, _STEPS = RULES.max_false_rejection, sum(len(cs) for _, cs in RULES.cutoffs)
+_LEVEL = RULES.delta / ((len(RULES.languages) + 1) * (len(RULES.bands) + 1) + len(RULES.languages) + 2)
+_NAMES = ", ".join(f"('{x}', '{x}:{b}')" for x in (*RULES.languages, "other") for b in range(len(RULES.bands) + 1))
 
-#: Certified cutoffs of each stratum and rule, from base; ends in the relation judged with kept.
+#: The last safe step of each stratum, from base; ends in the relation judged with kept.
 QUALITY_VERDICT = f"""
 v AS (SELECT *, {_stratum()} AS stratum, n_symbols / greatest(n_words, 1)::DOUBLE AS symbol_share, n_dup_lines / greatest(n_lines, 1)::DOUBLE AS dup_line_share,
              n_repeat_words / greatest(n_words, 1)::DOUBLE AS repeat_share, word_chars / greatest(n_words, 1)::DOUBLE AS mean_word FROM base),
-long AS (SELECT rid, doc_id, stratum, base_failed, unnest(['symbol_share', 'dup_line_share', 'repeat_share', 'mean_word']) AS rule,
-                unnest([symbol_share, dup_line_share, repeat_share, mean_word]) AS x FROM v),
+f AS (SELECT *, {_first_step()} AS first FROM v),
 good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING max(quality) = 1),
-grid AS (SELECT * FROM (VALUES {_cuts()}) AS g(rule, j, m, cutoff)),
-k AS (SELECT stratum, l.rule, j, cutoff, count(*) AS n, count(*) FILTER (x > cutoff) AS k FROM long l JOIN good USING (doc_id) JOIN grid USING (rule) WHERE NOT base_failed GROUP BY ALL),
-p AS (SELECT *, CASE WHEN k >= n * {_ALPHA!r} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_ALPHA!r}) + (n - i) * ln({1.0 - _ALPHA!r})))) END AS p FROM k),
-cuts AS (SELECT stratum, rule, min(cutoff) AS cut FROM (SELECT *, max(p) OVER (PARTITION BY stratum, rule ORDER BY j) AS worst FROM p) WHERE worst <= {_LEVEL!r} GROUP BY ALL),
-bad AS (SELECT DISTINCT rid FROM long JOIN cuts USING (stratum, rule) WHERE x > cut),
-judged AS (SELECT base.*, NOT base_failed AND bad.rid IS NULL AS kept FROM base LEFT JOIN bad USING (rid))
+held AS (SELECT unnest([stratum, split_part(stratum, ':', 1), 'all']) AS g, first FROM f JOIN good USING (doc_id) WHERE NOT base_failed),
+k AS (SELECT g, step, count(*) AS n, count(*) FILTER (first <= step) AS k FROM held, range({_STEPS}) AS s(step) GROUP BY ALL),
+p AS (SELECT *, CASE WHEN k >= n * {_ALPHA!r} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_ALPHA!r}) + (n - i) * ln({1.0 - _ALPHA!r})))) END AS tail FROM k),
+safe AS (SELECT g, max(CASE WHEN pow({1.0 - _ALPHA!r}, n) > {_LEVEL!r} THEN NULL WHEN tail <= {_LEVEL!r} THEN step ELSE -1 END) AS last FROM p GROUP BY g),
+each AS (SELECT s.stratum, own.last AS own, lang.last AS of_lang, CASE WHEN s.lang <> 'other' AND lang.g IS NOT NULL THEN (SELECT last FROM safe WHERE g = 'all') END AS of_all
+         FROM (VALUES {_NAMES}) AS s(lang, stratum) LEFT JOIN safe own ON own.g = s.stratum LEFT JOIN safe lang ON lang.g = s.lang),
+settled AS (SELECT stratum, coalesce(own, of_lang, of_all, -1) AS last, CASE WHEN own IS NOT NULL THEN 'stratum' WHEN of_lang IS NOT NULL THEN 'language' ELSE 'all' END AS by_whom FROM each),
+judged AS (SELECT f.*, NOT base_failed AND first > last AS kept, CASE WHEN last >= 0 THEN by_whom END AS certified_by FROM f JOIN settled USING (stratum))
 """
 
-OP9 = f"WITH {QUALITY_BASE.strip()}, {QUALITY_VERDICT.strip()} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged"
+OP9 = f"WITH {QUALITY_BASE.strip()}, {QUALITY_VERDICT.strip()} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, certified_by FROM judged"
 
 #: One opening character, backslashes and the rest of a control string; the escape adds a character to each.
 _CONTROL = r"[<\[]\\*(?:/?s>|/?INST\]|/?SYS>|\|[A-Za-z0-9_]{1,32}\|>)"

@@ -1,19 +1,18 @@
 """Quality rules with risk-controlled thresholds (native).
 
-Fixed base rules reject a document outright. On top of them each rule (a metric of the text, the larger the worse) gets a cutoff for
-every stratum from labelled holdout rows: a cutoff counts as safe if the exact binomial tail P(Bin(n, alpha) <= k) is at most
-delta / (rules x strata), where n is the number of good labelled rows of the stratum and k how many of them the cutoff would reject.
-Cutoffs are tested from the mildest to the harshest and testing stops at the first that isn't safe (fixed-sequence testing), so the
-correction over rules and strata (Bonferroni) controls the chance of any unsafe cutoff at delta. alpha is max_false_rejection divided
-by the number of rules, so that all rules together stay within max_false_rejection in each stratum. Without enough labelled rows
-no cutoff is safe and only the base rules act. certify() and judge() do this, as the query's SQL has it; it takes over 1400 good rows.
-
-keep() needs fewer (certify_jointly): all rules are tested as one, on the rows that any of them rejects, so alpha is the whole of
-max_false_rejection, and there is one sequence for each stratum, whose steps tighten rule after rule in the order of SEQUENCE. delta is shared
-by the strata, the languages and the whole. A stratum with too few good rows to certify anything even without a false rejection
-takes its language's setting, and a language with too few that of the whole; it then has the bound of what it takes the setting from (at most
-that share of the language's good rows, or of all), none of its own. One with enough rows that fails its tests takes nothing,
-nor do other languages than the listed ones and those without a good row take the setting of the whole.
+Fixed base rules reject a document outright. On top of them each rule (a metric of the text, the larger the worse) has cutoffs, and labelled
+holdout rows settle which of them act in a stratum. All rules are tested as one, on the good rows that any of them rejects: a sequence of steps
+tightens rule after rule, from the mildest cutoff on, in the order of SEQUENCE, and a step is safe if the exact binomial tail
+P(Bin(n, alpha) <= k) is at most the level, where n is the number of good labelled rows of the stratum and k how many of them the step would
+reject. Testing stops at the first step that isn't safe (fixed-sequence testing), so a sequence needs no correction within itself, and
+delta is shared equally by all sequences (Bonferroni over the strata, the languages and the whole): with confidence 1 - delta no group
+loses more than max_false_rejection of its good rows to its own setting.
+
+A stratum with too few good rows to certify anything even without a false rejection takes its language's setting, and a language with too few
+that of the whole; it then has the bound of what it takes the setting from (at most that share of the language's good rows, or of all), none of its
+own. certified_by names it for every row: stratum, language, all, or null where no cutoff acts. A group with enough rows that fails its tests takes
+nothing, nor do other languages than the listed ones and those without a good row take the setting of the whole. Without enough labelled
+rows nothing is certified and only the base rules act.
 
 Everything runs in DataFrame functions: one scan computes the metrics, one aggregate the counts (at most strata x rules x cutoffs
 rows), and the certified cutoffs (at most one row for each stratum) are broadcast; strata are a fixed list, so the size is bounded.
@@ -35,7 +34,7 @@ from .common import SPACE, SPACE_RUN, WORD, cut, let, table
 
 SYMBOLS = "#*$%&|<>"
 REPEAT_WINDOW = 8
-#: The order in which certify_jointly() tightens rules; repeats come last, as a base rule bounds them already.
+#: The order in which certify() tightens rules; repeats come last, as a base rule bounds them already.
 SEQUENCE = ("symbol_share", "mean_word", "dup_line_share", "repeat_share")
 
 
@@ -141,31 +140,7 @@ def binomial_tail(n: Column, k: Column, alpha: float) -> Column:
 
 
 def certify(measured: DataFrame, labels: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """One row for each stratum that has good labelled rows, with a column for each rule: its cutoff, or null where none is safe."""
-    values = rule_values()
-    good = labels.groupBy("doc_id").agg(F.max("quality").alias("__q")).filter("__q = 1").select("doc_id")
-    held = measured.filter(~F.col("base_failed")).select("doc_id", stratum(p).alias("stratum"), *[v.alias(k) for k, v in values.items()]).join(good, "doc_id")
-    # how many of a rule's cutoffs, mildest first, reject the row
-    level = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), sum(((F.col(r) > c).cast("int") for c in cs[1:]), start=(F.col(r) > cs[0]).cast("int")).alias("hits")) for r, cs in p.cutoffs]))
-    counts = held.select("stratum", level.alias("x")).groupBy("stratum", "x.rule", "x.hits").agg(F.count("*").alias("n"))
-    total = counts.groupBy("stratum", "rule").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("hits", "n"))).alias("by"))
-    alpha, level_p = p.max_false_rejection / len(p.cutoffs), p.delta / (len(p.cutoffs) * (len(p.languages) + 1) * (len(p.bands) + 1))
-    tests = []
-    for rule, cs in p.cutoffs:
-        # cutoffs fall, so a row above cutoff j is above all the m - j from there on
-        m = len(cs)
-        for j, c in enumerate(cs):
-            rejected = sum((F.coalesce(F.element_at("by", F.lit(h)), F.lit(0).cast("long")) for h in range(m - j, m + 1)), start=F.lit(0).cast("long"))
-            tests.append(F.struct(F.lit(rule).alias("rule"), F.lit(j).alias("j"), F.lit(float(c)).alias("cutoff"), rejected.alias("k")))
-    grid = total.select("stratum", "rule", "total", F.explode(F.filter(F.array(*tests), lambda x: x["rule"] == F.col("rule"))).alias("t")).select("stratum", "rule", "total", "t.j", "t.cutoff", "t.k")
-    tested = grid.withColumn("p", binomial_tail(F.col("total"), F.col("k"), alpha))
-    w = W.partitionBy("stratum", "rule").orderBy("j").rowsBetween(W.unboundedPreceding, 0)
-    safe = tested.withColumn("worst", F.max("p").over(w)).filter(F.col("worst") <= level_p)
-    return safe.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"__cut_{r}") for r, _ in p.cutoffs])
-
-
-def certify_jointly(measured: DataFrame, labels: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """As certify(), with all rules tested together and coarser strata where one is too small; a row for each stratum."""
+    """A row for each stratum: certified_by and, for each rule, its cutoff, or null where none acts."""
     values, cutoffs = rule_values(), dict(p.cutoffs)
     good = labels.groupBy("doc_id").agg(F.max("quality").alias("__q")).filter("__q = 1").select("doc_id")
     # the first step of the sequence that rejects the row; cutoffs fall, so the later ones reject it too
@@ -188,13 +163,15 @@ def certify_jointly(measured: DataFrame, labels: DataFrame, p: Params = DEFAULT)
     names = [(x, f"{x}:{b}") for x in (*p.languages, "other") for b in range(len(p.bands) + 1)]
     each = found.select("found", F.explode(F.array(*[F.struct(F.lit(x).alias("lang"), F.lit(name).alias("stratum")) for x, name in names])).alias("s"))
     whole = (F.col("s.lang") != "other") & F.map_contains_key("found", F.col("s.lang"))
-    settled = each.select("s.stratum", F.coalesce(F.col("found")[F.col("s.stratum")], F.col("found")[F.col("s.lang")], F.when(whole, F.col("found")["all"]), F.lit(-1)).alias("last"))
+    own, of_language, of_all = F.col("found")[F.col("s.stratum")], F.col("found")[F.col("s.lang")], F.when(whole, F.col("found")["all"])
+    by_whom = F.when(own.isNotNull(), "stratum").when(of_language.isNotNull(), "language").when(of_all.isNotNull(), "all")
+    settled = each.select("s.stratum", by_whom.alias("by_whom"), F.coalesce(own, of_language, of_all, F.lit(-1)).alias("last"))
     cut_of = lambda r: F.when(F.col("last") >= begin[r], F.element_at(F.array(*[F.lit(float(c)) for c in cutoffs[r]]), F.least(F.col("last") - begin[r] + 1, F.lit(len(cutoffs[r])))))
-    return settled.select("stratum", *[cut_of(r).alias(f"__cut_{r}") for r, _ in p.cutoffs])
+    return settled.select("stratum", F.when(F.col("last") >= 0, F.col("by_whom")).alias("certified_by"), *[cut_of(r).alias(f"__cut_{r}") for r, _ in p.cutoffs])
 
 
 def decide(measured: DataFrame, cutoffs: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """measured with kept and failed_rules added. cutoffs has at most one row for each stratum of the fixed list, so it is broadcast."""
+    """measured with kept, failed_rules and certified_by added. cutoffs has at most one row for each stratum of the fixed list, so it is broadcast."""
     values = rule_values()
     joined = measured.withColumn("__s", stratum(p)).join(F.broadcast(cutoffs.withColumnRenamed("stratum", "__s")), "__s", "left")
     failed = F.array_compact(F.array(*[F.when(values[r] > F.col(f"__cut_{r}"), F.lit(r)) for r, _ in p.cutoffs]))
@@ -202,7 +179,7 @@ def decide(measured: DataFrame, cutoffs: DataFrame, p: Params = DEFAULT) -> Data
 
 
 def judge(docs: DataFrame, labels: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """A row for each document: doc_id, the metrics, base_failed, failed_rules and kept."""
+    """A row for each document: doc_id, the metrics, base_failed, failed_rules, certified_by and kept."""
     measured = cut(metrics(docs.select("doc_id", "lang", "text"), p).drop("text"), "quality-metrics")
     return decide(measured, certify(measured, labels, p), p)
 
@@ -212,10 +189,10 @@ def keep(docs: DataFrame, labels: DataFrame, p: Params = DEFAULT) -> DataFrame:
     mine = ["n_words", "n_repeat_words", "n_lines", "n_dup_lines", "word_chars", "n_symbols", "base_failed"]
     packed = docs.select(F.struct("*").alias("__row"), "doc_id", "lang", "text")
     measured = cut(metrics(packed, p).drop("text"), "quality-rows")
-    kept = decide(measured, certify_jointly(measured.select("doc_id", "lang", *mine), labels, p), p)
+    kept = decide(measured, certify(measured.select("doc_id", "lang", *mine), labels, p), p)
     return kept.filter("kept").select("__row.*")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "certified_by")

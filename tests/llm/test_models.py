@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -77,11 +78,21 @@ def test_the_sample_is_bounded(spark, make):
     wanted = {i for i in range(1, 42) if zlib.crc32(str(i).encode()) % 3 != 1}
     rows = training_sample(docs, labels, "quality", 3, 1, 1000, 1 << 20).collect()
     assert len(rows) == len(wanted)
-    rows = training_sample(docs, labels, "quality", 3, 1, 1000, 1500).collect()
-    assert 10 <= len(rows) < len(wanted) and sum(len(r["text"] or "") for r in rows) <= 1500
+    rows = training_sample(docs, labels, "quality", 3, 1, 1000, 2000).collect()
+    assert 10 <= len(rows) < len(wanted) and sum(len(r["text"] or "") for r in rows) <= 2000
     assert len(training_sample(docs, labels, "quality", 3, 1, 7, 1 << 20).collect()) == 7
 
 
+@pytest.mark.parametrize("long_id", range(1, 42, 4))
+def test_a_long_text_costs_its_own_row_only(spark, make, long_id):
+    """Wherever its hash puts it, in front of all others too."""
+    docs = make([(i, "x" * 100 if i != long_id else "y" * 100_000, "en", "s", 1) for i in range(1, 42)])
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 42)], "doc_id long, quality int, toxic int")
+    for label, folds, held in (("quality", 3, 1), ("toxic", 5, 0)):
+        wanted = {i for i in range(1, 42) if zlib.crc32(str(i).encode()) % folds != held} - {long_id}
+        assert training_sample(docs, labels, label, folds, held, 1000, 50_000).count() == len(wanted)
+
+
 def test_ftrl_by_plain_arithmetic():
     """The update written out for one coordinate at a time, as published, beside the vectorised one."""
     r = random.Random(3)

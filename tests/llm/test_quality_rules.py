@@ -40,6 +40,7 @@ def test_cutoffs_reject_junk_and_keep_clean(spark, make):
     rows = [(i, (junk if i % 5 == 0 else clean) % (i, i + 1), "en", "s", 1) for i in range(4000)]
     docs = make(rows)
     labels = spark.createDataFrame([(i, int(i % 5 != 0), 0) for i in range(4000)], "doc_id long, quality int, toxic int")
+    assert {r["certified_by"] for r in Q.judge(docs, labels).select("certified_by").distinct().collect()} == {"stratum"}
     out = Q.judge(docs, labels)
     kept = {r["doc_id"] for r in out.filter("kept").select("doc_id").collect()}
     assert kept == {i for i in range(4000) if i % 5}
@@ -68,3 +69,36 @@ def test_small_strata_get_cutoffs_together(spark, make):
     # too few rows for the whole
     few = label(lambda i: i % 5).filter("doc_id < 350")
     assert ids(few) == set(range(650))
+
+
+def test_query_and_stage_with_certified_cutoffs(spark, make, tmp_path):
+    """Tables that certify cutoffs of strata, of a language and of the whole go through the query, its SQL and the pipeline's first stage."""
+    import duckdb
+
+    import corpus_pipeline
+    from compare import same
+    from spanforge.llm import oracles
+
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 7)))
+    rows, labels = [], []
+    for i in range(2600):
+        lang = "en" if i < 1500 else "de" if i < 2150 else "fr" if i < 2300 else r.choice(["es", "xx", None])
+        n, bad = (60, 200, 600)[i % 3 if lang != "de" else 0], i % 10 == 0
+        words = [word() + (r.choice("|#$%&") * 3 if bad and k % 2 else "|" if r.random() < 0.02 else "") for k in range(n)]
+        lines = [" ".join(words[k : k + 10]) for k in range(0, n, 10)]
+        rows.append((i, "\n".join(lines + lines[:1] * (i % 4)), lang, "s", 1))
+        if i % 7:
+            labels.append((i, int(not bad), 0))
+    make(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    duck = duckdb.connect()
+    for t in ("documents", "labels"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    out = Q.op9_quality_rules(spark, str(tmp_path))
+    same(out, duck, oracles.OP9)
+    held = {(x["kept"], x["base_failed"], x["certified_by"]) for x in out.collect()}
+    assert {x[2] for x in held} >= {"stratum", "language", "all", None} and (False, False, "stratum") in held
+    kept = {x["doc_id"] for x in out.filter("kept").collect()}
+    stage = corpus_pipeline.quality_stage(spark, make(rows), str(tmp_path))
+    assert {x["doc_id"] for x in stage.collect()} == kept
