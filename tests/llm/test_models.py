@@ -76,7 +76,7 @@ def test_the_sample_is_bounded(spark, make):
     docs = make([(1, "some text", "en", "s", 9)] * 500 + [(i, "x" * 100, "en", "s", 1) for i in range(2, 40)] + [(40, "y" * 100_000, "en", "s", 1), (41, None, "en", "s", 0)]).withColumn("rank", F.lit("mine")).withColumn("y", F.lit(3))
     labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 42)], "doc_id long, quality int, toxic int")
     wanted = {i for i in range(1, 42) if zlib.crc32(str(i).encode()) % 3 != 1}
-    rows = training_sample(docs, labels, "quality", 3, 1, 1000, 1 << 20).collect()
+    rows = training_sample(docs, labels, "quality", 3, 1, 1000, 1 << 21).collect()
     assert len(rows) == len(wanted)
     rows = training_sample(docs, labels, "quality", 3, 1, 1000, 2000).collect()
     assert 10 <= len(rows) < len(wanted) and sum(len(r["text"] or "") for r in rows) <= 2000
