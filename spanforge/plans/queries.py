@@ -60,38 +60,38 @@ for _name, _how, _category, _rule, _gate in (
 ):
     query(_spans_sql("documents", _how, _category, _rule, _gate), f"{_name}_spans")(lambda spark, d, n=_name: span_rows(table(spark, d, "documents"), n))
     query(_spans_sql(_PAGES, _how, _category, _rule, _gate), f"pages_{_name}_spans")(lambda spark, d, n=_name: span_rows(table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")), n))
-    query(_spans_sql(TEXTS_SQL, _how, _category, _rule, _gate), f"det_{_name}")(lambda spark, d, n=_name: span_rows(fixtures.texts(spark), n))
+    query(_spans_sql(TEXTS_SQL, _how, _category, _rule, _gate), f"det_{_name}")(lambda spark, d, n=_name: span_rows(fixtures.texts(spark, d), n))
 
-# Labelled detectors over the inline texts.
+# Labelled detectors over the forms of orders.
 for _name, _tiles, _at, _category, _rule in (
     ("department_code", detectors.DEPARTMENT, (1,), "DEPARTMENT_CODE", "department-code-context"), ("driver_license", detectors.LICENSE, (1,), "DRIVER_LICENSE", "driver-license-context"),
     ("cvv", detectors.CVV, (1,), "CVV", "cvv-context"), ("pin", detectors.PIN, (1,), "PIN", "pin-context"), ("citizenship", detectors.CITIZENSHIP, (1,), "CITIZENSHIP", "citizenship-context"),
     ("synthetic_client_id", detectors.CLIENT_ID, (2,), "SYNTHETIC_CLIENT_ID", ""),
 ):
-    query(duck.tiles(TEXTS_SQL, _tiles, _at, _category, _rule), f"det_{_name}")(lambda spark, d, n=_name: span_rows(fixtures.texts(spark), n))
+    query(duck.tiles(TEXTS_SQL, _tiles, _at, _category, _rule), f"det_{_name}")(lambda spark, d, n=_name: span_rows(fixtures.texts(spark, d), n))
 
 query(
     f"SELECT * FROM ({duck.tiles(TEXTS_SQL, detectors.PASSPORT_LABEL, (1, 3), 'PASSPORT', 'passport-series-number')}) UNION ALL SELECT * FROM ({duck.tiles(TEXTS_SQL, detectors.PASSPORT_BARE, (1, 3), 'PASSPORT', 'passport-bare-label')}) UNION ALL "
     f"SELECT * FROM (WITH RECURSIVE {duck.scan(TEXTS_SQL, name='f', **RAW_SCAN)}, g AS (SELECT doc_id, start, stop, substr(text, start + 1, stop - start) AS v FROM f), h AS (SELECT *, length(regexp_extract(v, '^{detectors.SERIES}')) AS n FROM g) "
     "SELECT doc_id, 'PASSPORT' AS category, 'passport-raw-series-number' AS rule_id, start, (start + n)::INT AS stop, substr(v, 1, n) AS value FROM h UNION ALL SELECT doc_id, 'PASSPORT', 'passport-raw-series-number', (stop - 6)::INT, stop, right(v, 6) FROM h)",
     "det_passport",
-)(lambda spark, d: span_rows(fixtures.texts(spark), "passport"))
+)(lambda spark, d: span_rows(fixtures.texts(spark, d), "passport"))
 
 query(
     f"WITH a AS ({duck.tiles(TEXTS_SQL, detectors.ISSUER, (1,), 'PASSPORT_ISSUER', 'passport-issuer-context')}), b AS (SELECT doc_id, category, rule_id, start, regexp_replace(regexp_replace(value, {fixtures.quoted(detectors.ISSUER_STOP.replace('(?iU)', '(?i)').replace(chr(92) + 'b', ''))}, ''), '\\s+$', '') AS value FROM a "
     f"WHERE regexp_matches(value, {fixtures.quoted(detectors.ISSUER_START.replace('(?iU)', '(?i)').replace(chr(92) + 'b', '(?:$|[^а-яё])'))})) SELECT doc_id, category, rule_id, start, (start + length(value))::INT AS stop, value FROM b WHERE value <> ''",
     "det_passport_issuer",
-)(lambda spark, d: span_rows(fixtures.texts(spark), "passport_issuer"))
+)(lambda spark, d: span_rows(fixtures.texts(spark, d), "passport_issuer"))
 
 for _name in ("address", "passport_issue_date", "full_name", "cardholder_name", "birth_date", "birth_place"):
-    query(None, f"det_{_name}")(lambda spark, d, n=_name: span_rows(fixtures.texts(spark), n))
+    query(None, f"det_{_name}")(lambda spark, d, n=_name: span_rows(fixtures.texts(spark, d), n))
 
 ACCOUNT = detectors.RegexDetector("account_number", "ACCOUNT_NUMBER", r"[0-9]{20}", "(?i)(?:счёт|счет|account)", 40)
 query(
     f"WITH m AS ({duck.tiles(TEXTS_SQL, ('[0-9]{20}',), (0,), 'ACCOUNT_NUMBER', 'config-regex-account_number')}), c AS ({duck.tiles(TEXTS_SQL, ('счёт|счет|account',), (0,), 'c', 'c')}) "
     "SELECT m.* FROM m WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = m.doc_id) OR EXISTS (SELECT 1 FROM c WHERE c.doc_id = m.doc_id AND m.start BETWEEN c.start - 10 AND c.stop + 40)",
     "det_regex_config",
-)(lambda spark, d: span_rows(fixtures.texts(spark), ACCOUNT))
+)(lambda spark, d: span_rows(fixtures.texts(spark, d), ACCOUNT))
 
 # Core pipeline over documents: two detectors whose spans DuckDB finds, too.
 _ISLANDS = f"""WITH RECURSIVE {duck.scan('documents', name='e', **EMAIL_SCAN)}, {duck.scan('documents', name='c', **CARD_SCAN)},
@@ -159,7 +159,7 @@ def mask_all_categories(spark, d):
     """All detectors, the Arrow ones too, over the inline texts, masked with tokens and restored."""
     from spanforge.operators.names import ARROW
 
-    return _roundtrip(core.mask(core.resolve(core.detect(fixtures.texts(spark), (*detectors.NATIVE, *ARROW))), KEY))
+    return _roundtrip(core.mask(core.resolve(core.detect(fixtures.texts(spark, d), (*detectors.NATIVE, *ARROW))), KEY))
 
 
 @query(
@@ -176,7 +176,7 @@ def record_index(spark, d):
     "cl AS (SELECT c.doc_id, len(string_split(substr(text, 1, start), chr(10))) AS line FROM c) SELECT l.doc_id, l.start, l.stop, EXISTS (SELECT 1 FROM cl WHERE cl.doc_id = l.doc_id AND cl.line = l.line) AS masked FROM l"
 )
 def core_combination(spark, d):
-    found = core.detect(fixtures.texts(spark), ("card", "pin"))
+    found = core.detect(fixtures.texts(spark, d), ("card", "pin"))
     after = core.combine(found, (core.CombinationRule("pin_requires_related_card", "PIN", "CARD"),))
     before = found.select("doc_id", F.explode("detections").alias("d")).filter("d.category = 'PIN'").select("doc_id", F.col("d.start").alias("at"), F.col("d.sensitive")[0].alias("s"))
     now = after.select("doc_id", F.explode("detections").alias("d")).filter("d.category = 'PIN'").select("doc_id", F.col("d.start").alias("at"), (F.size("d.sensitive") > 0).alias("masked"))
@@ -213,40 +213,39 @@ def card_luhn_share(spark, d):
     return c.agg(F.count("*").alias("n"), F.count_if(ok).alias("n_valid"))
 
 
-_INNS = [("7707083893",), ("7707083894",), ("119098818444",), ("500100732259",), ("500100732258",), ("123",), ("",)]
-
-
 def _inn_sql(weights, upto: str) -> str:
     total = " + ".join(f"{w} * substr(inn, {i + 1}, 1)::INT" for i, w in enumerate(weights))
     return f"(({total}) % 11 % 10 = {upto})"
 
 
-@query(f"SELECT inn, CASE length(inn) WHEN 10 THEN {_inn_sql(S.INN_10, 'substr(inn, 10, 1)::INT')} WHEN 12 THEN {_inn_sql(S.INN_12A, 'substr(inn, 11, 1)::INT')} AND {_inn_sql(S.INN_12B, 'substr(inn, 12, 1)::INT')} ELSE false END AS valid FROM {values(_INNS, 'inn')}")
+@query(f"SELECT inn, CASE length(inn) WHEN 10 THEN {_inn_sql(S.INN_10, 'substr(inn, 10, 1)::INT')} WHEN 12 THEN {_inn_sql(S.INN_12A, 'substr(inn, 11, 1)::INT')} AND {_inn_sql(S.INN_12B, 'substr(inn, 12, 1)::INT')} ELSE false END AS valid, o_orderkey FROM {fixtures.INNS_SQL} AS i")
 def inn_checksum(spark, d):
-    return fixtures.rows(spark, _INNS, "inn string").select("inn", S.inn_valid(F.col("inn")).alias("valid"))
-
-
-_DATES = [("numeric", "12", "04", "1990"), ("numeric", "04", "13", "1990"), ("numeric", "31", "02", "1991"), ("numeric", "40", "41", "1991"), ("iso", "2015", "13", "04"), ("iso", "2015", "04", "13"), ("iso", "1850", "01", "01")]
+    return fixtures.relation(spark, d, fixtures.INNS_SQL, "orders").select("o_orderkey", "inn", S.inn_valid(F.col("inn")).alias("valid"))
 
 
 @query(
-    f"WITH t AS (SELECT kind, a::INT AS a, b::INT AS b, c::INT AS c FROM {values(_DATES, 'kind, a, b, c')}), p AS (SELECT *, CASE WHEN kind = 'numeric' THEN CASE WHEN b BETWEEN 1 AND 12 THEN a WHEN a BETWEEN 1 AND 12 THEN b END ELSE CASE WHEN b > 12 AND c BETWEEN 1 AND 12 THEN b ELSE c END END AS day, "
+    f"WITH t AS (SELECT o_orderkey, kind, a::INT AS a, b::INT AS b, c::INT AS c FROM {fixtures.DATES_SQL} AS r), p AS (SELECT *, CASE WHEN kind = 'numeric' THEN CASE WHEN b BETWEEN 1 AND 12 THEN a WHEN a BETWEEN 1 AND 12 THEN b END ELSE CASE WHEN b > 12 AND c BETWEEN 1 AND 12 THEN b ELSE c END END AS day, "
     "CASE WHEN kind = 'numeric' THEN CASE WHEN b BETWEEN 1 AND 12 THEN b WHEN a BETWEEN 1 AND 12 THEN a END ELSE CASE WHEN b > 12 AND c BETWEEN 1 AND 12 THEN c ELSE b END END AS month FROM t) "
-    "SELECT kind, a, b, c, day, month, coalesce(day BETWEEN 1 AND 31 AND month BETWEEN 1 AND 12 AND CASE WHEN kind = 'numeric' THEN c ELSE a END BETWEEN 1900 AND 2026, false) AS plausible FROM p"
+    "SELECT o_orderkey, kind, a, b, c, day, month, coalesce(day BETWEEN 1 AND 31 AND month BETWEEN 1 AND 12 AND CASE WHEN kind = 'numeric' THEN c ELSE a END BETWEEN 1900 AND 2026, false) AS plausible FROM p"
 )
 def date_parse(spark, d):
-    t = fixtures.rows(spark, _DATES, "kind string, a string, b string, c string")
+    t = fixtures.relation(spark, d, fixtures.DATES_SQL, "orders")
     when = F.when(F.col("kind") == "numeric", S.parse_date("numeric", F.col("a"), F.col("b"), F.col("c"))).otherwise(S.parse_date("iso", F.col("a"), F.col("b"), F.col("c")))
     x = t.withColumn("d", when)
-    return x.select("kind", *[F.col(n).cast("int").alias(n) for n in "abc"], "d.day", "d.month", F.coalesce(S.date_plausible(F.col("d.day"), F.col("d.month"), F.col("d.year")), F.lit(False)).alias("plausible"))
+    return x.select("o_orderkey", "kind", *[F.col(n).cast("int").alias(n) for n in "abc"], "d.day", "d.month", F.coalesce(S.date_plausible(F.col("d.day"), F.col("d.month"), F.col("d.year")), F.lit(False)).alias("plausible"))
 
 
-_WORDS = [("АПРЕЛЯ", "двенадцатого"), ("май", "двадцать третьего"), ("foo", "тридцать первого"), ("декабря", "четвёртого")]
+#: The day of an order in words, as tens and unit from 21 on, and its month in one of two cases.
+_UNITS = sorted(S.DAY_UNITS, key=S.DAY_UNITS.get)
+_DAY_WORDS = [w for w, _ in sorted(((w, n) for w, n in S.DAYS.items() if n <= 20 or n == 30), key=lambda x: x[1])]
+_DAY_WORDS = {S.DAYS[w]: w for w in _DAY_WORDS} | {t + S.DAY_UNITS[u]: f"{name} {u}" for t, name in ((20, "двадцать"), (30, "тридцать")) for u in _UNITS if t + S.DAY_UNITS[u] <= 31}
+_BY = lambda part, table: f"CASE {part}(o_orderdate) {' '.join(f'WHEN {k} THEN {fixtures.quoted(v)}' for k, v in table.items())} END"
+_WORDS_SQL = f"(SELECT o_orderkey, o_orderdate, CASE o_orderkey % 3 WHEN 0 THEN upper({_BY('month', dict(enumerate(S.MONTHS, 1)))}) WHEN 1 THEN {_BY('month', dict(enumerate(S.MONTHS_NOMINATIVE, 1)))} ELSE 'foo' END AS month, {_BY('day', _DAY_WORDS)} AS day FROM orders)"
 
 
-@query(f"SELECT month, day, coalesce(list_position([{', '.join(map(fixtures.quoted, S.MONTHS))}], lower(month)), list_position([{', '.join(map(fixtures.quoted, S.MONTHS_NOMINATIVE))}], lower(month)), 0)::INT AS month_number, CASE day WHEN 'двенадцатого' THEN 12 WHEN 'двадцать третьего' THEN 23 WHEN 'тридцать первого' THEN 31 WHEN 'четвёртого' THEN 4 END::INT AS day_number FROM {values(_WORDS, 'month, day')}")
+@query(f"SELECT o_orderkey, month, day, CASE o_orderkey % 3 WHEN 2 THEN 0 ELSE month(o_orderdate) END::INT AS month_number, day(o_orderdate)::INT AS day_number FROM {_WORDS_SQL} AS w")
 def date_words(spark, d):
-    return fixtures.rows(spark, _WORDS, "month string, day string").select("month", "day", S.month_index(F.col("month")).alias("month_number"), S.day_number(F.col("day")).alias("day_number"))
+    return fixtures.relation(spark, d, _WORDS_SQL, "orders").select("o_orderkey", "month", "day", S.month_index(F.col("month")).alias("month_number"), S.day_number(F.col("day")).alias("day_number"))
 
 
 @query()
@@ -297,12 +296,11 @@ def join_sentence(spark, d):
 
 
 # Evaluation over labelled spans.
-_GOLD, _FOUND = values(fixtures.GOLD, "doc_id, category, start, stop"), values(fixtures.FOUND, "doc_id, category, start, stop")
-_SPAN = "doc_id int, category string, start int, stop int"
+_GOLD, _FOUND = (f"(SELECT * FROM {x} AS r)" for x in (fixtures.GOLD_SQL, fixtures.FOUND_SQL))
 
 
-def _labelled(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    return fixtures.rows(spark, fixtures.GOLD, _SPAN), fixtures.rows(spark, fixtures.FOUND, _SPAN)
+def _labelled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return fixtures.relation(spark, d, fixtures.GOLD_SQL, "orders"), fixtures.relation(spark, d, fixtures.FOUND_SQL, "orders")
 
 
 _PRF = f"""WITH gs AS {_GOLD}, fs AS {_FOUND}, g AS (SELECT category, count(*) AS n_gold FROM gs GROUP BY 1), p AS (SELECT category, count(*) AS n_found FROM fs GROUP BY 1),
@@ -314,12 +312,12 @@ f AS (SELECT *, 2 * precision * recall / nullif(precision + recall, 0) AS f1, 2
 
 @query(_PRF + " SELECT * FROM f")
 def agg_cat_prf(spark, d):
-    return evaluate.by_category(*_labelled(spark))
+    return evaluate.by_category(*_labelled(spark, d))
 
 
 @query(_PRF + " SELECT round(avg(precision), 9) AS macro_precision, round(avg(recall), 9) AS macro_recall, round(avg(f1), 9) AS macro_f1 FROM f")
 def agg_macro(spark, d):
-    out = evaluate.macro(evaluate.by_category(*_labelled(spark)))
+    out = evaluate.macro(evaluate.by_category(*_labelled(spark, d)))
     return out.select(*[F.round(c, 9).alias(c) for c in out.columns])
 
 
@@ -329,7 +327,7 @@ c AS (SELECT doc_id, length(text) AS n, (SELECT count(*) FROM g WHERE g.doc_id =
 SELECT doc_id, b / nullif(g, 0)::DOUBLE AS char_recall, b / nullif(f, 0)::DOUBLE AS char_precision, (f - b) / nullif(n - g, 0)::DOUBLE AS char_overmask FROM c"""
 )
 def agg_char_doc(spark, d):
-    return evaluate.by_document_chars(fixtures.texts(spark), *_labelled(spark))
+    return evaluate.by_document_chars(fixtures.texts(spark, d), *_labelled(spark, d))
 
 
 @query(
@@ -338,12 +336,12 @@ WHEN EXISTS (SELECT 1 FROM f WHERE f.doc_id = g.doc_id AND f.start < g.stop AND
 EXISTS (SELECT 1 FROM f WHERE f.doc_id = g.doc_id AND f.category = g.category AND f.start <= g.start AND g.stop <= f.stop) AS concealed FROM g"""
 )
 def agg_missed(spark, d):
-    return evaluate.outcome_of_gold(*_labelled(spark))
+    return evaluate.outcome_of_gold(*_labelled(spark, d))
 
 
 @query(f"WITH g AS {_GOLD}, f AS {_FOUND} SELECT f.* FROM f ANTI JOIN g USING (doc_id, category, start, stop)")
 def agg_false_pos(spark, d):
-    return evaluate.false_positives(*_labelled(spark)).select("doc_id", "category", "start", "stop")
+    return evaluate.false_positives(*_labelled(spark, d)).select("doc_id", "category", "start", "stop")
 
 
 @query("SELECT event_type, count(value)::BIGINT AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, max(value) AS max FROM events GROUP BY 1")
@@ -421,9 +419,9 @@ o AS (SELECT *, CASE WHEN n = 1 THEN 'MASK' WHEN text = masked THEN 'RESTORE' WH
 SELECT namespace, payload_id, seq, outcome, CASE WHEN outcome IN ('MASK', 'MASK_REPLAY') THEN masked WHEN outcome = 'RESTORE' THEN first END AS result FROM o"""
 
 
-@query(f"WITH e AS (SELECT * FROM {values(fixtures.LIFECYCLE, 'namespace, payload_id, seq, text, masked_text')}), " + _LIFE)
+@query(f"WITH e AS (SELECT * FROM {fixtures.LIFECYCLE_SQL} AS r), " + _LIFE)
 def life_process(spark, d):
-    return lifecycle.process(fixtures.rows(spark, fixtures.LIFECYCLE, "namespace string, payload_id string, seq int, text string, masked_text string")).select("namespace", "payload_id", "seq", "outcome", "result")
+    return lifecycle.process(fixtures.relation(spark, d, fixtures.LIFECYCLE_SQL, "events")).select("namespace", "payload_id", "seq", "outcome", "result")
 
 
 @query("WITH e AS (SELECT role AS namespace, conv_id::VARCHAR AS payload_id, turn AS seq, text, 'masked: ' || text AS masked_text FROM conversations), " + _LIFE)
@@ -497,35 +495,35 @@ def ml_ner_window(spark, d):
     return models.windows(table(spark, d, "documents").select("doc_id", S.token_estimate(F.col("text")).alias("n_tokens")))
 
 
-@query(f"WITH p AS {values(fixtures.PREDICTIONS, 'doc_id, \"window\", token, rank, tag')} SELECT doc_id, \"window\", token, rank, tag FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, token ORDER BY rank DESC, \"window\") AS k FROM p) WHERE k = 1")
+@query(f"WITH p AS {fixtures.PREDICTIONS_SQL.replace(' AS window', ' AS "window"')} SELECT doc_id, \"window\", token, rank, tag FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, token ORDER BY rank DESC, \"window\") AS k FROM p) WHERE k = 1")
 def ml_ner_select(spark, d):
-    return models.select_predictions(fixtures.rows(spark, fixtures.PREDICTIONS, "doc_id int, window int, token int, rank int, tag string"))
+    return models.select_predictions(fixtures.relation(spark, d, fixtures.PREDICTIONS_SQL, "events"))
 
 
 @query(
-    f"""WITH t AS (SELECT *, substr(tag, 3) AS label FROM {values(fixtures.TAGS, 'doc_id, token, start, stop, tag, score')} WHERE tag <> 'O'),
+    f"""WITH t AS (SELECT *, substr(tag, 3) AS label FROM {fixtures.TAGS_SQL} AS r WHERE tag <> 'O'),
 j AS (SELECT *, CASE WHEN lag(label) OVER w = label AND lag(token) OVER w = token - 1 AND (starts_with(tag, 'I-') OR lag(stop) OVER w = start) THEN 0 ELSE 1 END AS fresh FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY start, stop)),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY start, stop) AS entity FROM j)
 SELECT doc_id, entity::BIGINT AS entity, min(start) AS start, max(stop) AS stop, any_value(label) AS label, round(avg(score::DOUBLE), 9) AS score FROM s GROUP BY doc_id, entity"""
 )
 def ml_bio_merge(spark, d):
-    return models.merge_tags(fixtures.rows(spark, fixtures.TAGS, "doc_id int, token int, start int, stop int, tag string, score double")).withColumn("score", F.round("score", 9))
+    return models.merge_tags(fixtures.relation(spark, d, fixtures.TAGS_SQL, "events")).withColumn("score", F.round("score", 9))
 
 
 @query(
-    f"""WITH s AS {values(fixtures.SCORES, 'span_id, hyp, kind, topic, entail, neutral, contra')}, q AS (SELECT *, kind = 'private' AND entail >= 0.8 AND entail - greatest(neutral, contra) >= 0.5 AND topic <> 'education' AS veto,
+    f"""WITH s AS {fixtures.SCORES_SQL}, q AS (SELECT *, kind = 'private' AND entail >= 0.8 AND entail - greatest(neutral, contra) >= 0.5 AND topic <> 'education' AS veto,
 kind = 'public' AND entail >= CASE topic WHEN 'education' THEN 0.55 ELSE 0.8 END AND entail - greatest(neutral, contra) >= CASE topic WHEN 'education' THEN 0.1 ELSE 0.5 END AS pub FROM s),
 g AS (SELECT span_id, bool_or(veto) AS veto, min(hyp) FILTER (pub) AS first FROM q GROUP BY 1)
 SELECT span_id, CASE WHEN veto OR first IS NULL THEN 'MASK' ELSE 'KEEP' END AS decision, CASE WHEN veto THEN 'private' WHEN first IS NOT NULL THEN 'public:' || first ELSE 'uncertain-protected' END AS reason FROM g"""
 )
 def sem_decide(spark, d):
-    return models.decide(fixtures.rows(spark, fixtures.SCORES, "span_id int, hyp int, kind string, topic string, entail double, neutral double, contra double"))
+    return models.decide(fixtures.relation(spark, d, fixtures.SCORES_SQL, "events"))
 
 
 # Mutations over labelled texts.
-def _gold_docs(spark: SparkSession) -> DataFrame:
-    gold = fixtures.rows(spark, fixtures.GOLD, _SPAN).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "category"))).alias("gold"))
-    return fixtures.texts(spark).join(gold, "doc_id", "left").withColumn("gold", F.coalesce(F.col("gold"), F.expr(f"cast(array() as {mutate.GOLD})")))
+def _gold_docs(spark: SparkSession, d: str) -> DataFrame:
+    gold = _labelled(spark, d)[0].groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "category"))).alias("gold"))
+    return fixtures.texts(spark, d).join(gold, "doc_id", "left").withColumn("gold", F.coalesce(F.col("gold"), F.expr(f"cast(array() as {mutate.GOLD})")))
 
 
 def _flat(docs: DataFrame) -> DataFrame:
@@ -536,23 +534,23 @@ _LT = f"WITH t AS (SELECT * FROM {TEXTS_SQL}), g AS {_GOLD} SELECT doc_id, {{tex
 for _name, _text, _start, _stop in (
     ("uppercase", "upper(text)", "start", "stop"), ("lowercase", "lower(text)", "start", "stop"), ("prefix_suffix", f"'{mutate.PREFIX}' || text || '{mutate.SUFFIX}'", f"start + {len(mutate.PREFIX)}", f"stop + {len(mutate.PREFIX)}"),
 ):
-    query(_LT.format(text=_text, start=_start, stop=_stop), f"mut_{_name}")(lambda spark, d, n=_name: _flat(mutate.ALL[n](_gold_docs(spark))))
+    query(_LT.format(text=_text, start=_start, stop=_stop), f"mut_{_name}")(lambda spark, d, n=_name: _flat(mutate.ALL[n](_gold_docs(spark, d))))
 query(
     f"WITH t AS (SELECT * FROM {TEXTS_SQL}), g AS {_GOLD} SELECT doc_id, text || chr(10) || text AS text, (start + k * (length(text) + 1))::INT AS start, (stop + k * (length(text) + 1))::INT AS stop, category FROM g JOIN t USING (doc_id), (VALUES (0), (1)) AS c(k)",
     "mut_repeat_value",
-)(lambda spark, d: _flat(mutate.repeat_value(_gold_docs(spark))))
+)(lambda spark, d: _flat(mutate.repeat_value(_gold_docs(spark, d))))
 query(
     f"WITH t AS (SELECT * FROM {TEXTS_SQL}), g AS {_GOLD}, f AS (SELECT doc_id, min(start) AS pos FROM g GROUP BY 1) SELECT doc_id, substr(text, 1, pos) || chr(10) || '---' || chr(10) || substr(text, pos + 1) AS text, (start + CASE WHEN start > pos THEN 5 ELSE 0 END)::INT AS start, (stop + CASE WHEN stop > pos THEN 5 ELSE 0 END)::INT AS stop, category FROM g JOIN t USING (doc_id) JOIN f USING (doc_id)",
     "mut_chunk_boundary",
-)(lambda spark, d: _flat(mutate.chunk_boundary(_gold_docs(spark))))
+)(lambda spark, d: _flat(mutate.chunk_boundary(_gold_docs(spark, d))))
 for _name in ("nbsp_spaces", "dash_variants", "bracket_wrap", "reorder_fields", "emoji_combining"):
-    query(None, f"mut_{_name}")(lambda spark, d, n=_name: _flat(mutate.ALL[n](_gold_docs(spark))))
+    query(None, f"mut_{_name}")(lambda spark, d, n=_name: _flat(mutate.ALL[n](_gold_docs(spark, d))))
 
 
 @query()
 def lab_action_a(spark, d):
     """Every mutation of the labelled texts masked and restored: which gold spans stay concealed."""
-    docs = mutate.mutate_all(_gold_docs(spark))
+    docs = mutate.mutate_all(_gold_docs(spark, d))
     done = core.restore(core.mask(core.resolve(core.detect(docs, ("email", "card", "inn", "driver_license", "cvv", "pin"))), KEY))
     hidden = F.size(F.filter("gold", lambda g: F.exists("resolved", lambda r: (r["start"] <= g["start"]) & (g["stop"] <= r["stop"]))))
     return done.groupBy("mutation").agg(F.sum(F.size("gold")).alias("n_gold"), F.sum(hidden).alias("n_concealed"), F.count_if(F.col("restored") != F.col("text")).alias("n_broken"))
@@ -562,7 +560,7 @@ def lab_action_a(spark, d):
 @query(f"""WITH g AS {_GOLD}, f AS {_FOUND}, o AS (SELECT g.doc_id, EXISTS (SELECT 1 FROM f WHERE f.doc_id = g.doc_id AND f.category = g.category AND f.start = g.start AND f.stop = g.stop) AS ok FROM g)
 SELECT count(*)::BIGINT AS n_docs, count(*) FILTER (bad)::BIGINT AS n_with_miss FROM (SELECT doc_id, bool_or(NOT ok) AS bad FROM o GROUP BY 1)""")
 def agg_req_miss(spark, d):
-    o = evaluate.outcome_of_gold(*_labelled(spark)).groupBy("doc_id").agg(F.max(F.col("outcome") != "exact").alias("bad"))
+    o = evaluate.outcome_of_gold(*_labelled(spark, d)).groupBy("doc_id").agg(F.max(F.col("outcome") != "exact").alias("bad"))
     return o.agg(F.count("*").alias("n_docs"), F.count_if("bad").alias("n_with_miss"))
 
 
@@ -571,13 +569,13 @@ SELECT category, count(g.p)::BIGINT AS n_gold, count(f.p)::BIGINT AS n_found, co
 FROM (SELECT category, p, true AS x FROM g) g FULL JOIN (SELECT category, p, true AS y FROM f) f USING (category, p) GROUP BY category""")
 def agg_char_cat(spark, d):
     """Character sets of a category over all documents at once, by raw offset."""
-    return evaluate.by_category_chars(*_labelled(spark))
+    return evaluate.by_category_chars(*_labelled(spark, d))
 
 
 @query(f"""WITH t AS (SELECT * FROM {TEXTS_SQL}), c AS (SELECT DISTINCT s.doc_id, p, k FROM (SELECT doc_id, unnest(range(start, stop)) AS p, 1 AS k FROM {_GOLD} UNION ALL SELECT doc_id, unnest(range(start, stop)), 2 FROM {_FOUND}) s JOIN t USING (doc_id) WHERE regexp_matches(substr(text, p + 1, 1), '[^ ]')),
 b AS (SELECT doc_id, p, sum(k) AS k FROM c GROUP BY ALL) SELECT doc_id, count(*) FILTER (k = 1)::BIGINT AS missing, count(*) FILTER (k = 2)::BIGINT AS unexpected, count(*) FILTER (k <> 3) = 0 AS exact FROM b GROUP BY 1""")
 def agg_nonspace_chars(spark, d):
-    return evaluate.nonspace_chars(fixtures.texts(spark), *_labelled(spark))
+    return evaluate.nonspace_chars(fixtures.texts(spark, d), *_labelled(spark, d))
 
 
 @query(_ISLANDS + " SELECT category, count(*)::BIGINT AS n FROM r GROUP BY 1")
@@ -603,7 +601,7 @@ def mask_oracle(spark, d):
 
 @query(f"WITH t AS (SELECT * FROM {TEXTS_SQL}), g AS {_GOLD}, n AS (SELECT *, lead(start) OVER w AS s, lead(stop) OVER w AS e FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY start)) SELECT n.doc_id, start, e AS stop FROM n JOIN t USING (doc_id) WHERE s > stop AND trim(substr(text, stop + 1, s - stop)) = ''")
 def sem_join_names(spark, d):
-    return models.join_names(_labelled(spark)[0].join(fixtures.texts(spark), "doc_id"))
+    return models.join_names(_labelled(spark, d)[0].join(fixtures.texts(spark, d), "doc_id"))
 
 
 _SEM = [(1, "Музей имени Ивана Петрова открыт."), (2, "Анкета клиента Ивана Петрова."), (3, "Учебник: теория Ивана Петрова о рефлексах."), (4, "Встретили Ивана Петрова. В газете опубликовано интервью."), (5, "В открытом каталоге указан автор Иван Петров.")]
@@ -616,7 +614,15 @@ def stub_scorer(pairs: DataFrame) -> DataFrame:
     return pairs.select("premise", "hypothesis", F.when(yes, 0.9).otherwise(0.1).alias("entail"), F.lit(0.05).alias("neutral"), F.when(yes, 0.05).otherwise(0.85).alias("contra"))
 
 
-@query(f"SELECT * FROM {values([(1, 'KEEP', 'institution-dedication'), (2, 'MASK', 'private-record'), (3, 'KEEP', 'public:0'), (4, 'MASK', 'uncertain-protected'), (5, 'KEEP', 'public-catalog-credit')], 'doc_id, decision, reason')}")
+_SEM_ANSWERS = [(1, "KEEP", "institution-dedication"), (2, "MASK", "private-record"), (3, "KEEP", "public:0"), (4, "MASK", "uncertain-protected"), (5, "KEEP", "public-catalog-credit")]
+
+
+def _sem_sql(rows: list[tuple], names: str) -> str:
+    """Five passages in turn, one for each order."""
+    return f"(SELECT o_orderkey AS doc_id, {names} FROM orders JOIN {values(rows, 'form, ' + names)} AS v ON o_orderkey % 5 + 1 = form)"
+
+
+@query(f"SELECT * FROM {_sem_sql(_SEM_ANSWERS, 'decision, reason')}")
 def sem_refine(spark, d):
-    docs = fixtures.rows(spark, _SEM, "doc_id int, text string")
-    return semantic.refine(docs, fixtures.rows(spark, _SEM_SPANS, _SPAN), stub_scorer).select("doc_id", "decision", "reason")
+    docs, spans = (fixtures.relation(spark, d, x, "orders") for x in (_sem_sql(_SEM, "text"), _sem_sql(_SEM_SPANS, "category, start, stop")))
+    return semantic.refine(docs, spans, stub_scorer).select("doc_id", "decision", "reason")
