@@ -29,14 +29,17 @@ def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
     An array that grows in aggregate() is copied at each step, so the steps run over slices of 64 values and then over the slices' totals:
     copies grow with the values times 64, not with their square."""
     step = lambda acc, v: F.concat(acc, F.array(op(F.element_at(acc, -1), v)))
-    starts = F.sequence(F.lit(1), F.size(values), F.lit(SLICE))
 
     def joined(slices: Column) -> Column:
         bases = F.aggregate(slices, F.array(F.lit(0)), lambda acc, s: step(acc, F.element_at(s, -1)))
         return F.flatten(F.zip_with(slices, F.slice(bases, F.lit(1), F.size(slices)), lambda s, b: F.transform(F.slice(s, F.lit(2), F.lit(SLICE)), lambda v: op(b, v))))
 
-    slices = F.transform(starts, lambda i: F.aggregate(F.slice(values, i, F.lit(SLICE)), F.array(F.lit(0)), step))
-    return F.when(F.size(values) == 0, F.expr("cast(array() as array<int>)")).otherwise(let(slices, joined))
+    def sliced(held: Column) -> Column:
+        # held is bound once: in the lambda below an expression would be computed anew for every slice
+        slices = F.transform(F.sequence(F.lit(1), F.size(held), F.lit(SLICE)), lambda i: F.aggregate(F.slice(held, i, F.lit(SLICE)), F.array(F.lit(0)), step))
+        return F.when(F.size(held) == 0, F.expr("cast(array() as array<int>)")).otherwise(let(slices, joined))
+
+    return let(values, sliced)
 
 
 def tiled(tiles: Sequence[str], before: str = "", behind: str = "", flags: str = ANY_CASE) -> str:
@@ -74,6 +77,25 @@ def cut_of(text: Column, start: Column, stop: Column) -> Column:
     return F.substring(text, start + 1, stop - start)
 
 
+def blocks_of(text: Column) -> Column:
+    """text in blocks of BLOCK code points."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def touched(spans: Column, others: Column) -> Column:
+    """For each span (start, stop) whether it shares a character with one of others: of those that start before its end the running maximum of ends
+    lies behind its start. Sorted once, so the work isn't that of all pairs."""
+    event = lambda at, kind, i, s: F.struct(at.alias("at"), F.lit(kind).alias("kind"), i.alias("i"), s["start"].alias("start"), s["stop"].alias("stop"))
+    events = F.concat(F.transform(spans, lambda s, i: event(s["stop"], 0, i, s)), F.transform(others, lambda s, i: event(s["start"], 1, i, s)))
+
+    def flags(ordered: Column) -> Column:
+        reach = running(F.transform(ordered, lambda e: F.when(e["kind"] == 1, e["stop"]).otherwise(0)), F.greatest)
+        hits = let(reach, lambda r: F.transform(ordered, lambda e, k: F.when(e["kind"] == 0, F.struct(e["i"].alias("i"), (F.get(r, k) > e["start"]).alias("hit")))))
+        return F.transform(F.sort_array(F.filter(hits, lambda h: h.isNotNull())), lambda h: h["hit"])
+
+    return let(F.sort_array(events), flags)
+
+
 def cuts_of(text: Column, pieces: Column) -> Column:
     """array<string> of the pieces (array<struct<start, stop>>) of text.
 
@@ -85,4 +107,4 @@ def cuts_of(text: Column, pieces: Column) -> Column:
         touched = F.slice(blocks, first + 1, F.floor(s["stop"] / BLOCK).cast("int") - first + 1)
         return F.substring(F.array_join(touched, ""), s["start"] - first * BLOCK + 1, s["stop"] - s["start"])
 
-    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), lambda blocks: F.transform(pieces, lambda s: piece(blocks, s)))
+    return let(blocks_of(text), lambda blocks: F.transform(pieces, lambda s: piece(blocks, s)))

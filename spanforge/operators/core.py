@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spanforge.functions.scalars import hmac_sha256
-from spanforge.functions.spans import cuts_of, let, running
+from spanforge.functions.spans import BLOCK, blocks_of, cuts_of, let, running
 
 from .detectors import NATIVE, NONE, RegexDetector
 
@@ -79,15 +79,51 @@ def line_of(text: Column, position: Column) -> Column:
     return F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))
 
 
+def lines_of(text: Column, positions: Column) -> Column:
+    """Newlines before each position (array<int>), from an index of the newlines before every block of the text, which is built once."""
+    count = lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
+
+    def line(blocks: Column, upto: Column, p: Column) -> Column:
+        k = F.floor(p / BLOCK).cast("int")
+        inside = count(F.substring(F.coalesce(F.get(blocks, k), F.lit("")), F.lit(1), p - k * BLOCK))
+        return F.when(k > 0, F.get(upto, k - 1)).otherwise(0) + inside
+
+    indexed = lambda blocks: let(running(F.transform(blocks, count), lambda a, b: a + b), lambda upto: F.transform(positions, lambda p: line(blocks, upto, p)))
+    return F.when(F.size(positions) == 0, F.expr("cast(array() as array<int>)")).otherwise(let(blocks_of(text), indexed))
+
+
+def unprotected(detections: Column, lines: Column, target: Column, requires: Column) -> Column:
+    """For each detection whether it is a target with no required category in its line: sorted by line, a line's required ones first, a
+    running maximum says which line had one last."""
+    entry = lambda d, i: F.struct(F.get(lines, i).alias("line"), F.when(d["category"] == requires, 0).otherwise(1).alias("after"), i.alias("i"), (d["category"] == target).alias("target"))
+
+    def flags(ordered: Column) -> Column:
+        seen = running(F.transform(ordered, lambda e: F.when(e["after"] == 0, e["line"] + 1).otherwise(0)), F.greatest)
+        back = let(seen, lambda last: F.sort_array(F.transform(ordered, lambda e, k: F.struct(e["i"].alias("i"), (e["target"] & (F.get(last, k) != e["line"] + 1)).alias("alone")))))
+        return F.transform(back, lambda x: x["alone"])
+
+    return let(F.sort_array(F.transform(detections, entry)), flags)
+
+
+_UNMASKED = "cast(array() as array<struct<start:int,stop:int>>)"
+
+
 def combine(docs: DataFrame, rules: Sequence[CombinationRule]) -> DataFrame:
     """Rules in turn: a target with no required detection in its line loses its spans and takes the rule's id (an anti join within the row)."""
-    for rule in rules:
-        if rule.action_if_absent != "keep":
-            continue
-        lines = F.transform(F.filter("detections", lambda d: d["category"] == rule.requires), lambda d: line_of(F.col("text"), d["start"]))
-        kept = lambda d: F.when((d["category"] == rule.target) & ~F.array_contains(lines, line_of(F.col("text"), d["start"])), d.withField("sensitive", F.expr("cast(array() as array<struct<start:int,stop:int>>)")).withField("rule_id", F.lit(rule.rule_id))).otherwise(d)  # noqa: E731, B023
-        docs = docs.withColumn("detections", F.transform("detections", kept))
-    return docs
+    acting = [r for r in rules if r.action_if_absent == "keep"]
+    if not acting:
+        return docs
+    text = F.col("text")
+
+    def ruled(x: Column) -> Column:
+        out = x["d"]
+        for rule in acting:
+            alone = unprotected(x["d"], x["lines"], F.lit(rule.target), F.lit(rule.requires))
+            out = F.zip_with(out, alone, lambda d, a: F.when(a, d.withField("sensitive", F.expr(_UNMASKED)).withField("rule_id", F.lit(rule.rule_id))).otherwise(d))  # noqa: B023
+        return out
+
+    with_lines = let(F.col("detections"), lambda d: F.struct(d.alias("d"), lines_of(text, F.transform(d, lambda x: x["start"])).alias("lines")))
+    return docs.withColumn("detections", let(with_lines, ruled))
 
 
 def _merged(ordered: Column) -> Column:
@@ -113,7 +149,7 @@ def resolve(docs: DataFrame) -> DataFrame:
 
     def islands(detections: Column) -> Column:
         flat = F.flatten(F.transform(detections, lambda d, i: F.transform(d["sensitive"], lambda s, k: F.struct(s["start"].alias("start"), (s["start"] - s["stop"]).alias("shorter"), i.alias("i"), k.alias("k"), s["stop"].alias("stop"), d["category"].alias("category"), d["detector_id"].alias("detector_id")))))
-        bad = lambda spans: F.exists(spans, lambda s: (s["start"] < 0) | (s["stop"] <= s["start"]) | (s["stop"] > F.length("text")))
+        bad = lambda spans: let(F.length("text"), lambda n: F.exists(spans, lambda s: (s["start"] < 0) | (s["stop"] <= s["start"]) | (s["stop"] > n)))
         return let(flat, lambda spans: F.when(bad(spans), F.raise_error(F.lit("invalid span")).cast(RESOLVED)).otherwise(_merged(F.sort_array(spans))))
 
     # a column used once: a filter pushed below the projections would otherwise copy the detectors' expressions once for each use
@@ -143,9 +179,13 @@ def token(key: bytes, namespace: Column, context: Column, category: Column, valu
     return F.concat(F.lit("⟦PII:"), category, F.lit(":"), text, F.lit("⟧"))
 
 
-def mask(docs: DataFrame, key: bytes, namespace: str = "default", context: str = "doc_id", action: str = "tokenize_full") -> DataFrame:
-    """docs with masked_text and mapping (array<struct<token, value>>, in order). action opaque_token_full numbers the spans instead."""
-    text, opaque = F.col("text"), action.strip().lower() == "opaque_token_full"
+def mask(docs: DataFrame, key: bytes, namespace: str | Column = "default", context: str = "doc_id", action: str | Column = "tokenize_full") -> DataFrame:
+    """docs with masked_text and mapping (array<struct<token, value>>, in order). action opaque_token_full numbers the spans instead.
+
+    namespace and action may be Columns, so that every row follows its own policy. A text without spans is its own masked text."""
+    text = F.col("text")
+    space = F.lit(namespace) if isinstance(namespace, str) else namespace
+    opaque = F.lower(F.trim(F.lit(action) if isinstance(action, str) else action)) == "opaque_token_full"
 
     def numbers(resolved: Column) -> Column:
         # numbers count up from the span's place, past any that the text holds or an earlier span took
@@ -154,35 +194,57 @@ def mask(docs: DataFrame, key: bytes, namespace: str = "default", context: str =
         free = let(taken, lambda t: F.array_except(F.transform(F.sequence(F.lit(0), F.size(resolved) + F.size(t)), name), t))
         return let(free, lambda f: F.transform(resolved, lambda r, i: F.get(f, i)))
 
-    def named(category: Column, value: Column) -> Column:
-        made = lambda salt: token(key, F.lit(namespace), F.concat(F.col(context).cast("string"), F.lit(salt)), category, value)
-        free = [let(made(salt), lambda t: F.when(~F.contains(text, F.lit("⟦PII:")) | ~F.contains(text, t), t)) for salt in ("", "/1", "/2")]
+    def named(planted: Column, category: Column, value: Column) -> Column:
+        made = lambda salt: token(key, space, F.concat(F.col(context).cast("string"), F.lit(salt)), category, value)
+        free = [let(made(salt), lambda t: F.when(~planted | ~F.contains(text, t), t)) for salt in ("", "/1", "/2")]
         # three digests of 128 bits in one text are no chance: somebody has planted them
         return F.coalesce(*free, F.raise_error(F.lit("the text holds all tokens of a value")).cast("string"))
 
+    def cut(r: Column) -> Column:
+        """The spans, and of the text their values and what lies between, all cut in one go."""
+        starts, stops = F.concat(F.array(F.lit(0)), F.transform(r, lambda s: s["stop"])), F.concat(F.transform(r, lambda s: s["start"]), F.array(F.length(text)))
+        pair = lambda a, b: F.struct(a.alias("start"), b.alias("stop"))
+        pieces = cuts_of(text, F.concat(F.transform(r, lambda s: pair(s["start"], s["stop"])), F.zip_with(starts, stops, pair)))
+        return let(pieces, lambda p: F.struct(r.alias("r"), F.slice(p, F.lit(1), F.size(r)).alias("v"), F.slice(p, F.size(r) + 1, F.size(r) + 1).alias("gaps"), F.contains(text, F.lit("⟦PII:")).alias("planted")))
+
     def replaced(x: Column) -> Column:
-        """From the spans and their values: the mapping and the text between the spans."""
-        tokens = numbers(x["r"]) if opaque else F.zip_with(x["v"], x["r"], lambda v, r: named(r["category"], v))
-        starts, stops = F.concat(F.array(F.lit(0)), F.transform(x["r"], lambda r: r["stop"])), F.concat(F.transform(x["r"], lambda r: r["start"]), F.array(F.length(text)))
-        gaps = cuts_of(text, F.zip_with(starts, stops, lambda a, b: F.struct(a.alias("start"), b.alias("stop"))))
-        return F.struct(F.zip_with(tokens, x["v"], lambda t, v: F.struct(t.alias("token"), v.alias("value"))).alias("mapping"), gaps.alias("gaps"))
+        tokens = F.when(opaque, numbers(x["r"])).otherwise(F.zip_with(x["v"], x["r"], lambda v, r: named(x["planted"], r["category"], v)))
+        return F.struct(F.zip_with(tokens, x["v"], lambda t, v: F.struct(t.alias("token"), v.alias("value"))).alias("mapping"), x["gaps"].alias("gaps"))
 
     def masked(y: Column) -> Column:
         whole = F.array_join(F.zip_with(y["gaps"], F.transform(y["mapping"], lambda m: m["token"]), lambda g, t: F.concat(g, F.coalesce(t, F.lit("")))), "")
         return F.struct(y["mapping"].alias("mapping"), F.when(text.isNotNull(), whole).alias("masked_text"))
 
-    made = let(let(let(F.col("resolved"), lambda r: F.struct(r.alias("r"), cuts_of(text, r).alias("v"))), replaced), masked)
+    as_it_is = F.struct(F.expr("cast(array() as array<struct<token:string,value:string>>)").alias("mapping"), text.alias("masked_text"))
+    made = let(F.col("resolved"), lambda r: F.when(F.size(r) > 0, let(let(cut(r), replaced), masked)).otherwise(as_it_is))
     rest = [c for c in docs.columns if c not in ("mapping", "masked_text")]
     return docs.withColumn("__masked", made).select(*rest, F.col("__masked.mapping").alias("mapping"), F.col("__masked.masked_text").alias("masked_text"))
 
 
+def known_values(tokens: Column, mapping: Column) -> Column:
+    """The value of each token, null if mapping has none: tokens and mapping sorted together, so that each token finds its entry before it."""
+    place = lambda t, kind, i: F.struct(t.alias("token"), F.lit(kind).alias("kind"), i.alias("i"))
+    both = F.concat(F.transform(mapping, lambda m, i: place(m["token"], 0, i)), F.transform(tokens, lambda t, i: place(t, 1, i)))
+
+    def looked_up(ordered: Column) -> Column:
+        last = running(F.transform(ordered, lambda e, k: F.when(e["kind"] == 0, k + 1).otherwise(0)), F.greatest)
+
+        def entry(e: Column, k: Column) -> Column:
+            own = F.when((k > 0) & (F.get(ordered, k - 1)["token"] == e["token"]), F.get(ordered, k - 1)["i"])
+            return F.struct(e["i"].alias("i"), F.get(mapping, own)["value"].alias("value"))
+
+        found = let(last, lambda at: F.filter(F.transform(ordered, lambda e, k: F.when(e["kind"] == 1, entry(e, F.get(at, k)))), lambda x: x.isNotNull()))
+        return F.transform(F.sort_array(found), lambda x: x["value"])
+
+    return let(F.sort_array(both), looked_up)
+
+
 def restore(docs: DataFrame, source: str = "masked_text", out: str = "restored") -> DataFrame:
     """docs with every known token of mapping replaced by its value, in one pass from the left; unknown tokens stay."""
     either = f"(?:{TOKEN}|{MARKER})"
 
     def whole(x: Column) -> Column:
-        known = lambda t: F.get(F.transform(F.filter(x["m"], lambda m: m["token"] == t), lambda m: m["value"]), F.lit(0))
-        values = F.transform(F.regexp_extract_all(x["t"], F.lit(either), F.lit(0)), lambda t: F.coalesce(known(t), t))
+        values = let(F.regexp_extract_all(x["t"], F.lit(either), F.lit(0)), lambda tokens: F.zip_with(known_values(tokens, x["m"]), tokens, lambda v, t: F.coalesce(v, t)))
         joined = F.array_join(F.zip_with(F.split(x["t"], either), values, lambda g, v: F.concat(g, F.coalesce(v, F.lit("")))), "")
         return F.when(F.size(x["m"]) == 0, x["t"]).otherwise(joined)
 

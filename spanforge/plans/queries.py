@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.functions import scalars as S
 from spanforge.functions.spans import cut_of, find
-from spanforge.operators import core, detectors, evaluate, joins, lifecycle, models, mutate, semantic
+from spanforge.operators import core, detectors, evaluate, joins, lifecycle, models, mutate, policies, semantic
 
 from . import duck, fixtures
 from .fixtures import TEXTS_SQL, values
@@ -406,12 +407,6 @@ def spark_grouping(docs: DataFrame) -> DataFrame:
     return g.select("source", "all_langs", "lang", "n", "mean_chars")
 
 
-@query("WITH a AS (SELECT count(*) FILTER (quality = 1)::BIGINT AS missed, count(*) FILTER (toxic = 1)::BIGINT AS overmasked FROM labels), c AS (SELECT count(*) FILTER (quality = 0)::BIGINT AS missed, count(*) FILTER (toxic = 1)::BIGINT AS overmasked FROM labels) SELECT c.missed - a.missed AS delta_missed, c.overmasked - a.overmasked AS delta_overmasked, CASE WHEN c.missed < a.missed THEN 'better' WHEN c.missed > a.missed THEN 'worse' ELSE 'same' END AS label_missed, CASE WHEN c.overmasked < a.overmasked THEN 'better' WHEN c.overmasked > a.overmasked THEN 'worse' ELSE 'same' END AS label_overmasked FROM a, c")
-def agg_policy_delta(spark, d):
-    labels = table(spark, d, "labels")
-    run = lambda q: labels.agg(F.count_if(F.col("quality") == q).alias("missed"), F.count_if(F.col("toxic") == 1).alias("overmasked"))
-    return evaluate.policy_delta(run(1), run(0), ["missed", "overmasked"])
-
 
 # Lifecycle.
 _LIFE = """w AS (SELECT *, first_value(text) OVER k AS first, first_value(masked_text) OVER k AS masked, row_number() OVER k AS n FROM e WINDOW k AS (PARTITION BY namespace, payload_id ORDER BY seq)),
@@ -626,3 +621,104 @@ def _sem_sql(rows: list[tuple], names: str) -> str:
 def sem_refine(spark, d):
     docs, spans = (fixtures.relation(spark, d, x, "orders") for x in (_sem_sql(_SEM, "text"), _sem_sql(_SEM_SPANS, "category, start, stop")))
     return semantic.refine(docs, spans, stub_scorer).select("doc_id", "decision", "reason")
+
+
+# Policies: consumers and versions as a dimension.
+LONG = detectors.RegexDetector("long_word", "LONG_WORD", "[a-z]{10,}")
+OPENING = detectors.RegexDetector("opening", "OPENING", "[A-Z][a-z]{1,4}[.,]")
+_KNOWN = ["LONG_WORD", "OPENING"]
+_EVENT_TYPES = ("click", "error", "purchase", "view")
+
+
+def _moment(day: int) -> datetime:
+    return datetime(2024, 1, day, tzinfo=timezone.utc)
+
+
+def event_policies(spark: SparkSession) -> DataFrame:
+    """Three versions of every event type's policy from the third, tenth and twentieth of January on, and one update of purchases."""
+    made = lambda n: [core.Policy(t, f"{t}-{n}", enabled=(t != "error" or n > 1), detect_types="all_required" if n == 3 else _KNOWN[(i + n) % 2]) for i, t in enumerate(_EVENT_TYPES)]
+    dim = policies.dimension(spark, [(_moment(3), "v1", made(1)), (_moment(10), "v2", made(2)), (_moment(20), "v3", made(3))], _KNOWN)
+    return policies.update(dim, "purchase", {"namespace": "purchase-4", "default_action": "opaque_token_full"}, _moment(25), "v4", _KNOWN)
+
+
+_EVENT_DIM = "(VALUES " + ", ".join(
+    [f"('{t}', TIMESTAMP '2024-01-{day:02d}', 'v{n}', '{t}-{n}', {t != 'error' or n > 1}, {'NULL' if n == 3 else repr(_KNOWN[(i + n) % 2])}, 'tokenize_full')" for n, day in ((1, 3), (2, 10), (3, 20)) for i, t in enumerate(_EVENT_TYPES)]
+    + ["('purchase', TIMESTAMP '2024-01-25', 'v4', 'purchase-4', true, NULL, 'opaque_token_full')"]
+) + ") AS d(consumer, valid_from, version, namespace, enabled, only_category, action)"
+
+
+@query(f"""SELECT event_id, version, namespace, only_category, action, CASE WHEN version IS NULL THEN 'unknown consumer' WHEN NOT enabled THEN 'consumer disabled' END AS error
+FROM events ASOF LEFT JOIN {_EVENT_DIM} ON events.event_type = d.consumer AND events.ts >= d.valid_from""")
+def join_policy(spark, d):
+    """The policy version in force for every event, by its type and time, with its columns."""
+    rows = policies.join(table(spark, d, "events").select("event_id", F.col("event_type").alias("consumer"), F.col("ts").cast("timestamp").alias("ts")), event_policies(spark))
+    return rows.select("event_id", "policy.version", "policy.namespace", F.get("policy.categories", F.lit(0)).alias("only_category"), "policy.action", policies.error().alias("error"))
+
+
+@query(f"SELECT consumer, coalesce(version, '-') AS version, count(*)::BIGINT AS n FROM (SELECT event_type AS consumer, version FROM events ASOF LEFT JOIN {_EVENT_DIM} ON events.event_type = d.consumer AND events.ts >= d.valid_from) GROUP BY ALL")
+def policy_update(spark, d):
+    """How many events each version decides once the update has been appended."""
+    rows = policies.join(table(spark, d, "events").select(F.col("event_type").alias("consumer"), F.col("ts").cast("timestamp").alias("ts")), event_policies(spark))
+    return rows.groupBy("consumer", F.coalesce("policy.version", F.lit("-")).alias("version")).agg(F.count("*").alias("n"))
+
+
+def _turns(spark: SparkSession, d: str) -> DataFrame:
+    """Turns of conversations with gold: words of twelve small letters or more, and openings that end in a comma."""
+    t = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.col("role").alias("consumer"), F.timestamp_seconds("conv_id").alias("ts"), "text")
+    gold = lambda pattern, category: F.transform(find(F.col("text"), (pattern,), flags=""), lambda m: F.struct(m["start"].alias("start"), m["stop"].alias("stop"), F.lit(category).alias("category")))
+    return t.withColumn("gold", F.concat(gold("[a-z]{12,}", "LONG_WORD"), gold("[A-Z][a-z]{1,4},", "OPENING")))
+
+
+def turn_policies(spark: SparkSession) -> DataFrame:
+    role = lambda name, types, action: core.Policy(name, name, detect_types=types, default_action=action)
+    start, later = datetime(1969, 1, 1, tzinfo=timezone.utc), datetime(1970, 1, 1, 0, 0, 50, tzinfo=timezone.utc)
+    return policies.dimension(spark, [(start, "active", [role("user", "LONG_WORD", "tokenize_full"), role("assistant", "all_required", "tokenize_full")]), (later, "candidate", [role("user", "all_required", "opaque_token_full"), role("assistant", "OPENING", "opaque_token_full")])], _KNOWN)
+
+
+_TURNS = "(SELECT conv_id * 1000 + turn AS doc_id, role AS consumer, conv_id, text FROM conversations)"
+_TURN_RUNS = f"""long AS ({duck.tiles(_TURNS, ('[a-z]{10,}',), (0,), 'LONG_WORD', 'r', flags='')}), opening AS ({duck.tiles(_TURNS, ('[A-Z][a-z]{1,4}[.,]',), (0,), 'OPENING', 'r', flags='')}),
+goldlong AS ({duck.tiles(_TURNS, ('[a-z]{12,}',), (0,), 'LONG_WORD', 'r', flags='')}), goldopening AS ({duck.tiles(_TURNS, ('[A-Z][a-z]{1,4},',), (0,), 'OPENING', 'r', flags='')}),
+g AS (SELECT doc_id, start, stop FROM goldlong UNION ALL SELECT doc_id, start, stop FROM goldopening), s AS (SELECT * FROM long UNION ALL SELECT * FROM opening),
+p AS (SELECT * FROM (VALUES ('active', 'user', 'LONG_WORD'), ('active', 'assistant', NULL), ('candidate', 'user', NULL), ('candidate', 'assistant', 'OPENING')) AS v(version, consumer, only_category)),
+t AS (SELECT doc_id, consumer, version, only_category, conv_id, text FROM {_TURNS} AS x JOIN p USING (consumer)),
+w AS (SELECT t.doc_id, version, consumer, s.start, s.stop, s.category, max(s.stop) OVER (PARTITION BY t.doc_id, version ORDER BY s.start, s.stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM t JOIN s ON s.doc_id = t.doc_id AND (only_category IS NULL OR only_category = s.category)),
+i AS (SELECT *, sum((reach IS NULL OR start > reach)::INT) OVER (PARTITION BY doc_id, version ORDER BY start, stop) AS seq FROM w),
+m AS (SELECT doc_id, version, consumer, seq, min(start) AS start, max(stop) AS stop FROM i GROUP BY ALL),
+missed AS (SELECT version, consumer, count(*) AS n FROM t JOIN g USING (doc_id) WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.doc_id = t.doc_id AND m.version = t.version AND m.start < g.stop AND g.start < m.stop) GROUP BY ALL),
+over AS (SELECT version, consumer, count(*) AS n FROM m WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.doc_id = m.doc_id AND m.start < g.stop AND g.start < m.stop) GROUP BY ALL),
+r AS (SELECT version, consumer, count(*)::BIGINT AS n, coalesce(any_value(missed.n), 0)::BIGINT AS missed, coalesce(any_value(over.n), 0)::BIGINT AS overmasked, 0::BIGINT AS round_trip_failures FROM t LEFT JOIN missed USING (version, consumer) LEFT JOIN over USING (version, consumer) GROUP BY version, consumer)"""
+
+
+def _turn_runs(spark: SparkSession, d: str) -> DataFrame:
+    return policies.runs(_turns(spark, d), turn_policies(spark), KEY, (LONG, OPENING))
+
+
+@query(f"WITH {_TURN_RUNS} SELECT * FROM r")
+def agg_policy_run(spark, d):
+    """Missed and overmasked spans and failed round trips of every version, by consumer, from one scan."""
+    return policies.summary(_turn_runs(spark, d), "consumer")
+
+
+_DELTA = lambda keys: f"""WITH {_TURN_RUNS}, q AS (SELECT {keys}{', ' if keys else ''}{', '.join(f"sum({m}) FILTER (version = 'candidate')::BIGINT - sum({m}) FILTER (version = 'active')::BIGINT AS delta_{m}" for m in policies.METRICS)} FROM r {'GROUP BY ' + keys if keys else ''})
+SELECT *, list_filter([{', '.join(f"CASE WHEN delta_{m} > 0 THEN '{m}' END" for m in policies.METRICS)}], lambda x: x IS NOT NULL) AS regressions, list_filter([{', '.join(f"CASE WHEN delta_{m} < 0 THEN '{m}' END" for m in policies.METRICS)}], lambda x: x IS NOT NULL) AS improvements FROM q"""
+
+
+@query(_DELTA("consumer"))
+def lab_action_b(spark, d):
+    """The candidate's policies beside the active ones on the same labelled turns, by consumer."""
+    return policies.compare(policies.summary(_turn_runs(spark, d), "consumer"), "active", "candidate", "consumer")
+
+
+@query(_DELTA(""))
+def agg_policy_delta(spark, d):
+    return policies.compare(policies.summary(_turn_runs(spark, d)), "active", "candidate")
+
+
+@query(f"""WITH RECURSIVE {_TURN_RUNS}, f AS (SELECT t.doc_id, text, CASE WHEN conv_id < 50 THEN 'active' ELSE 'candidate' END AS version FROM {_TURNS} AS t WHERE consumer IN ('user', 'assistant')),
+k AS (SELECT f.doc_id, f.version, text, m.seq, m.start, m.stop, coalesce(lag(m.stop) OVER (PARTITION BY f.doc_id ORDER BY m.seq), 0) AS cursor FROM f JOIN m ON m.doc_id = f.doc_id AND m.version = f.version),
+o AS (SELECT doc_id, count(*) AS n, string_agg(substr(text, cursor + 1, start - cursor) || '[REDACTED-' || (seq - 1)::BIGINT || ']', '' ORDER BY seq) || substr(any_value(text), max(stop) + 1) AS masked FROM k GROUP BY doc_id)
+SELECT f.doc_id, f.version, coalesce(n, 0)::BIGINT AS n_spans, CASE WHEN f.version = 'candidate' THEN sha256(coalesce(masked, text)) END AS masked_sha256 FROM f LEFT JOIN o USING (doc_id)""")
+def policy_mask(spark, d):
+    """Turns masked under the version in force at their time; the hash is compared where spans are numbered, as tokens are keyed."""
+    out = policies.apply(_turns(spark, d), turn_policies(spark), KEY, (LONG, OPENING)).filter("error IS NULL")
+    return out.select("doc_id", "policy.version", F.size("resolved").cast("long").alias("n_spans"), F.when(F.col("policy.version") == "candidate", F.sha2("masked_text", 256)).alias("masked_sha256"))

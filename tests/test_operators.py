@@ -210,3 +210,23 @@ def test_as_of_equals_a_loop(spark, forward):
         assert got == want
     assert joins.as_of(a.filter("false"), b, "k", "at", "v", forward).count() == 0
     assert joins.as_of(a, b.filter("false"), "k", "at", "v", forward).filter("v IS NULL").count() == 150
+
+
+def test_lookups_take_time_in_proportion(spark):
+    """restore and combine: four times the tokens or detections take far less than sixteen times as long."""
+    import time
+
+    def took(n):
+        docs = spark.createDataFrame([(1, "\n".join(f"m{i}@cd.org" for i in range(n)))], "doc_id int, text string")
+        masked = core.mask(core.resolve(core.detect(docs, ("email",))), b"k").select("doc_id", "masked_text", "mapping", "text")
+        masked.write.mode("overwrite").parquet(path := f"{spark.conf.get('spark.sql.warehouse.dir')}/lookups-{n}")
+        t = time.time()
+        assert core.restore(spark.read.parquet(path)).filter("restored <> text").count() == 0
+        restored, t = time.time() - t, time.time()
+        found = core.combine(core.detect(docs, ("email", "card")), (core.CombinationRule("r", "EMAIL", "CARD"),))
+        assert found.selectExpr("size(filter(detections, x -> size(x.sensitive) > 0)) AS n").first()["n"] == 0
+        return restored, time.time() - t
+
+    took(2000)
+    small, large = took(20_000), took(80_000)
+    assert all(b < 8 * max(a, 0.5) for a, b in zip(small, large)), (small, large)
