@@ -1,8 +1,11 @@
 """Interval, nearest and as-of joins over span rows.
 
-Every join has the document (or another key) as an equality, so it is a hash or merge join with a residual condition, never a product.
-As-of joins run as a union and windows over blocks instead of a range join: work grows with the rows, not with the pairs, and no task
+Every join has the document (or another key) as an equality. None of them pairs rows up: as-of, range and overlap joins are sweeps, a union of both
+sides and windows over blocks of places, with one row carried from block to block. Work grows with the rows, not with the pairs, and no task
 holds a whole key.
+
+Whether an interval that starts at or before a place reaches it, or a further end, follows from the largest end of all that start by then (reach());
+near, overlapping and contained are that comparison with different starts, ends and places.
 """
 
 from __future__ import annotations
@@ -12,23 +15,52 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def _renamed(df: DataFrame, key: str) -> DataFrame:
-    return df.select(*[F.col(c).alias(c if c == key else f"__{c}") for c in df.columns])
+def reach(left: DataFrame, starts: DataFrame, key: str, at: Column, start: Column, stop: Column, width: float = 4096) -> DataFrame:
+    """left with __reach, the largest stop of the rows of starts with the same key whose start is at or before at; null if there is none.
+
+    No task gets all rows of a key, but those of a block of width places, and of a key's blocks one row each."""
+    a = left.select(F.lit(1).alias("__side"), F.col(key).alias("__k"), at.alias("__at"), F.struct("*").alias("__row"))
+    b = starts.filter(F.col(key).isNotNull()).select(F.lit(0).alias("__side"), F.col(key).alias("__k"), start.alias("__at"), stop.alias("__stop"))
+    b = b.filter("__at IS NOT NULL AND __stop IS NOT NULL")
+    both = a.unionByName(b, allowMissingColumns=True).withColumn("__block", F.floor(F.col("__at").cast("double") / width))
+    inside = W.partitionBy("__k", "__block").orderBy("__at", "__side").rowsBetween(W.unboundedPreceding, 0)
+    seen = both.withColumn("__here", F.max("__stop").over(inside)).filter("__side = 1")
+    blocks = both.filter("__side = 0").groupBy("__k", "__block").agg(F.max("__stop").alias("__best"))
+    # blocks of both sides, as one may hold places only
+    places = both.filter("__k IS NOT NULL AND __block IS NOT NULL").select("__k", "__block").distinct().join(blocks, ["__k", "__block"], "left")
+    before = W.partitionBy("__k").orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
+    carried = places.select("__k", "__block", F.max("__best").over(before).alias("__carried")).filter("__carried IS NOT NULL")
+    return seen.join(carried, ["__k", "__block"], "left").select("__row.*", F.greatest("__here", "__carried").alias("__reach"))
+
+
+def _chosen(found: DataFrame, hit: Column, anti: bool) -> DataFrame:
+    hit = F.coalesce(hit, F.lit(False))
+    return found.filter(~hit if anti else hit).drop("__reach")
+
 
+def near(left: DataFrame, marks: DataFrame, before: int, behind: int, key: str = "doc_id", anti: bool = False, width: float = 4096) -> DataFrame:
+    """left rows whose start lies in [mark.start - before, mark.stop + behind] of some mark; with anti, of none. A null key or start is near none."""
+    return _chosen(reach(left, marks, key, F.col("start"), F.col("start") - before, F.col("stop") + behind, width), F.col("__reach") >= F.col("start"), anti)
 
-def near(left: DataFrame, marks: DataFrame, before: int, behind: int, key: str = "doc_id", anti: bool = False) -> DataFrame:
-    """left rows whose start lies in [mark.start - before, mark.stop + behind] of some mark; with anti, of none."""
-    m = _renamed(marks, key)
-    return left.join(m, (left[key] == m[key]) & left["start"].between(m["__start"] - before, m["__stop"] + behind), "left_anti" if anti else "left_semi")
 
+def near_unless(left: DataFrame, marks: DataFrame, others: DataFrame, before: int, behind: int, key: str = "doc_id", anti: bool = False, width: float = 4096) -> DataFrame:
+    """left rows whose start lies in [mark.start - before, mark.stop + behind] of some mark with no row of others between: starting behind the
+    mark's end and ending at or before the row's start. With anti, the rest.
 
-def overlapping(left: DataFrame, right: DataFrame, key: str = "doc_id", same_category: bool = False, contained: bool = False, anti: bool = False) -> DataFrame:
+    The mark with the largest end is the nearest and leaves the least room for others, so it alone decides; of the others that end by the row's
+    start the one with the largest start does."""
+    found = reach(left, marks, key, F.col("start"), F.col("start") - before, F.col("stop"), width).withColumnRenamed("__reach", "__mark")
+    between = reach(found, others, key, F.col("start"), F.col("stop"), F.col("start"), width)
+    hit = (F.col("__mark") + behind >= F.col("start")) & ~F.coalesce(F.col("__reach") > F.col("__mark"), F.lit(False))
+    return _chosen(between, hit, anti).drop("__mark")
+
+
+def overlapping(left: DataFrame, right: DataFrame, key: str = "doc_id", same_category: bool = False, contained: bool = False, anti: bool = False, width: float = 4096) -> DataFrame:
     """left rows that share a character with (or with contained, lie inside) some right row; adjacency is no overlap."""
-    r = _renamed(right, key)
-    test = (r["__start"] <= left["start"]) & (left["stop"] <= r["__stop"]) if contained else (left["start"] < r["__stop"]) & (r["__start"] < left["stop"])
-    if same_category:
-        test = test & (left["category"] == r["__category"])
-    return left.join(r, (left[key] == r[key]) & test, "left_anti" if anti else "left_semi")
+    keys = [key, "category"] if same_category else [key]
+    one = lambda df: df.withColumn("__key", F.when(F.exists(F.array(*[F.col(k).isNull() for k in keys]), lambda x: x), None).otherwise(F.struct(*keys)))
+    at, hit = (F.col("start"), F.col("__reach") >= F.col("stop")) if contained else (F.col("stop") - 1, F.col("__reach") > F.col("start"))
+    return _chosen(reach(one(left), one(right), "__key", at, F.col("start"), F.col("stop"), width), hit, anti).drop("__key")
 
 
 def exact(left: DataFrame, right: DataFrame, how: str = "inner", key: str = "doc_id") -> DataFrame:
@@ -65,17 +97,20 @@ def nearest(left: DataFrame, marks: DataFrame, key: str = "doc_id") -> DataFrame
     return both.withColumn("distance", F.least(F.col("start") - F.col("__b"), F.col("__f") - F.col("start"))).drop("__b", "__f")
 
 
+#: Abbreviations whose dot doesn't end a sentence.
+ABBREVIATIONS = ("г", "ул", "д", "кв", "стр", "корп", "им", "пр", "пер", "обл", "р", "т")
+
+
 def sentences(docs: DataFrame) -> DataFrame:
     """doc_id, start, stop of the sentences of text: cut behind [.!?;] and white space, or newlines; a dot behind one letter or an abbreviation doesn't end one."""
     from spanforge.functions.spans import find
 
-    abbreviations = "г ул д кв стр корп им пр пер обл р т".split()
     text = F.col("text")
 
     def ends(m: Column) -> Column:
         word = F.regexp_extract(F.substring(text, F.greatest(m["start"] - 11, F.lit(1)), F.least(m["start"], F.lit(12))), "([А-ЯЁа-яёA-Za-z]+)$", 1)
         dot = F.substring(text, m["start"] + 1, F.lit(1)) == "."
-        return ~(dot & ((F.length(word) == 1) | F.lower(word).isin(*abbreviations)))
+        return ~(dot & ((F.length(word) == 1) | F.lower(word).isin(*ABBREVIATIONS)))
 
     cuts = F.transform(F.filter(find(text, (r"[.!?;]\s+|\n+",), flags="(?U)"), ends), lambda m: m["stop"])
     bounds = F.zip_with(F.concat(F.array(F.lit(0)), cuts), F.concat(cuts, F.array(F.length(text))), lambda a, b: F.struct(a.alias("start"), b.alias("stop")))

@@ -278,6 +278,30 @@ def join_near_anti(spark, d):
     return joins.near(e.filter("category = 'purchase'"), e.filter("category = 'view'").select("doc_id", "start", "stop"), 0, 3600, anti=True).select("event_id")
 
 
+@query(f"""WITH e AS {_EV}, v AS (SELECT * FROM e WHERE category = 'view'), c AS (SELECT * FROM e WHERE category = 'click')
+SELECT a.event_id FROM e a WHERE category = 'purchase' AND EXISTS (SELECT 1 FROM v WHERE v.doc_id = a.doc_id AND a.start BETWEEN v.start - 5 AND v.stop + 86400 AND NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = a.doc_id AND c.start > v.stop AND c.stop <= a.start))""")
+def join_office(spark, d):
+    """Purchases within a day behind a view with no click in between: a range join with a nested not-exists."""
+    e = _events(spark, d)
+    return joins.near_unless(e.filter("category = 'purchase'"), e.filter("category = 'view'"), e.filter("category = 'click'"), 5, 86400).select("event_id")
+
+
+_WIDE = _EV.replace("+ 5 AS stop", "+ 60 + event_id % 7 * 30000 AS stop")
+
+
+def _wide(spark: SparkSession, d: str) -> DataFrame:
+    return _events(spark, d).withColumn("stop", F.col("start") + 60 + F.col("event_id") % 7 * 30000)
+
+
+for _name, _test, _args in (
+    ("join_span_overlap", "a.start < b.stop AND b.start < a.stop", {}), ("join_span_contain", "b.start <= a.start AND a.stop <= b.stop", {"contained": True}), ("join_touch", "a.start < b.stop AND b.start < a.stop", {"anti": True}),
+    ("join_concealed", "b.start <= a.start AND a.stop <= b.stop AND a.kind = b.kind", {"contained": True, "same_category": True}),
+):
+    query(f"WITH e AS (SELECT *, event_id % 3 AS kind FROM {_WIDE} AS w) SELECT a.event_id FROM e a WHERE category = 'purchase' AND {'NOT ' if 'anti' in _args else ''}EXISTS (SELECT 1 FROM e b WHERE b.category = 'view' AND b.doc_id = a.doc_id AND {_test})", _name)(
+        lambda spark, d, args=_args: joins.overlapping(*[_wide(spark, d).filter(F.col("category") == c).withColumn("category", F.col("event_id") % 3) for c in ("purchase", "view")], **args).select("event_id")
+    )
+
+
 @query(f"WITH e AS {_EV} SELECT a.event_id, max(b.start) AS start_found, max(b.event_id) FILTER (b.start = (SELECT max(c.start) FROM e c WHERE c.doc_id = a.doc_id AND c.category = 'view' AND c.start <= a.start)) AS view_id FROM e a LEFT JOIN e b ON b.doc_id = a.doc_id AND b.category = 'view' AND b.start <= a.start WHERE a.category = 'purchase' GROUP BY a.event_id, a.doc_id, a.start")
 def join_as_of(spark, d):
     e = _events(spark, d)

@@ -230,3 +230,40 @@ def test_lookups_take_time_in_proportion(spark):
     took(2000)
     small, large = took(20_000), took(80_000)
     assert all(b < 8 * max(a, 0.5) for a, b in zip(small, large)), (small, large)
+
+
+@pytest.mark.parametrize("width", [10, 4096])
+def test_range_joins_by_all_pairs(spark, width):
+    """One key holds most rows, over many blocks of which some hold one side only; keys and places are null, spans tie and nest."""
+    r = random.Random(11)
+
+    def spans(n):
+        out = []
+        for i in range(n):
+            a = r.choice([None, *range(0, 300, 3)])
+            out.append((r.choice([1, 1, 1, 2, None]), r.choice("xy"), a, None if a is None else a + r.randint(1, 40), i))
+        return out
+
+    left, right, third = spans(120), spans(30), spans(30)
+    make = lambda rows: spark.createDataFrame(rows, "doc_id int, category string, start int, stop int, row int")
+    a, b, c = make(left), make(right), make(third)
+    known = lambda rows: [x for x in rows if None not in x]
+    tests = {
+        "near": (lambda **k: joins.near(a, b, 5, 20, width=width, **k), lambda x, y: y[2] - 5 <= x[2] <= y[3] + 20),
+        "overlap": (lambda **k: joins.overlapping(a, b, width=width, **k), lambda x, y: x[2] < y[3] and y[2] < x[3]),
+        "contain": (lambda **k: joins.overlapping(a, b, contained=True, same_category=True, width=width, **k), lambda x, y: x[1] == y[1] and y[2] <= x[2] and x[3] <= y[3]),
+        "unless": (lambda **k: joins.near_unless(a, b, c, 5, 60, width=width, **k), lambda x, y: y[2] - 5 <= x[2] <= y[3] + 60 and not any(z[0] == x[0] and z[2] > y[3] and z[3] <= x[2] for z in known(third))),
+    }
+    for name, (run, test) in tests.items():
+        want = {x[4] for x in known(left) if any(x[0] == y[0] and test(x, y) for y in known(right))}
+        out = run()
+        assert {x["row"] for x in out.collect()} == want and out.columns == a.columns, name
+        assert {x["row"] for x in run(anti=True).collect()} == set(range(120)) - want, name
+
+
+def test_no_task_of_a_range_join_holds_a_key(spark):
+    """A key with all rows: windows are dealt by block, so the largest group any task sorts is a block."""
+    e = spark.range(40_000).select(F.lit(1).alias("doc_id"), (F.col("id") * 3).alias("start"), (F.col("id") * 3 + 5).alias("stop"))
+    out = joins.near(e, e.filter("start % 7 = 0"), 2, 2, width=1024)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" not in plan and "__block" in plan and out.count() + joins.near(e, e.filter("start % 7 = 0"), 2, 2, anti=True, width=1024).count() == 40_000
