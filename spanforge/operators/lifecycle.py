@@ -1,13 +1,13 @@
 """Keyed mapping lifecycle in batch: what a sequence of requests for one (namespace, payload_id) leads to.
 
 The first request of a key masks and fixes the record; it never changes afterwards, so every later outcome depends on that first row alone
-and one window by key is enough: a text equal to the masked one restores (tested first), the same original replays, anything else conflicts.
+and each row is compared with its key's first: a text equal to the masked one restores (tested first), the same original replays, anything else conflicts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from typing import Any
+from typing import Any, NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,19 +18,72 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from . import core
 
-RETENTION_SECONDS, GRACE_SECONDS = 3600, 300
+RETENTION_SECONDS, GRACE_SECONDS, LEASE_SECONDS = 3600, 300, 30
+
+
+class Record(NamedTuple):
+    """What the store holds of a key: the phase (PROCESSING, READY or RESTORED), the original, what it is masked to, who works on it, and when lease and record end."""
+
+    phase: str
+    text: str | None
+    masked: str | None
+    owner: str | None
+    lease_ms: int
+    end_ms: int
+
+
+def step(record: Record | None, action: str, owner: str | None, text: str | None, masked: str | None, now_ms: int) -> tuple[Record | None, str, str | None]:
+    """The record after a request, the outcome and the answer. A record is gone at its end, a lease can be taken over at its own.
+
+    claim starts work on a text: CLAIMED without a record, RECLAIMED from an owner whose lease is over, WAIT while it lasts. commit and release
+    finish or drop the work of their own owner only, else LOST. process masks at once. A text that equals the masked one restores, and only that shortens
+    the record's end to the grace; the same original replays, anything else conflicts; neither changes the record."""
+    if record and record.end_ms <= now_ms:
+        record = None
+    retained, leased = now_ms + 1000 * RETENTION_SECONDS, now_ms + 1000 * LEASE_SECONDS
+    mine = record is not None and record.phase == "PROCESSING" and record.owner == owner
+    if action == "commit":
+        return (Record("READY", record.text, masked, owner, 0, retained), "COMMITTED", masked) if mine else (record, "LOST", None)
+    if action == "release":
+        return (None, "RELEASED", None) if mine else (record, "LOST", None)
+    if action == "delete":
+        return None, "DELETED" if record else "MISSING", None
+    if action == "get":
+        held = record is not None and record.phase != "PROCESSING"
+        return record, "FOUND" if held else "MISSING", record.masked if held else None
+    if action not in ("claim", "process"):
+        raise ValueError(f"unknown action: {action}")
+    if record is None:
+        if action == "claim":
+            return Record("PROCESSING", text, None, owner, leased, retained), "CLAIMED", None
+        return Record("READY", text, masked, owner, 0, retained), "MASK", masked
+    if record.phase == "PROCESSING":
+        if text != record.text:
+            return record, "CONFLICT", None
+        if record.lease_ms > now_ms:
+            return record, "WAIT", None
+        return Record("PROCESSING", text, None, owner, leased, retained), "RECLAIMED", None
+    if action == "process" and text == record.masked:
+        return record._replace(phase="RESTORED", end_ms=now_ms + 1000 * GRACE_SECONDS), "RESTORE", record.text
+    if text in (record.text, record.masked):
+        return record, "MASK_REPLAY", record.masked
+    return record, "CONFLICT", None
 
 
 def process(events: DataFrame) -> DataFrame:
     """events (namespace, payload_id, seq, text, masked_text: what text would be masked to) with outcome and result."""
-    w = W.partitionBy("namespace", "payload_id").orderBy("seq").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    first, masked = F.first("text").over(w), F.first("masked_text").over(w)
-    rank = F.row_number().over(W.partitionBy("namespace", "payload_id").orderBy("seq"))
-    e = events.withColumns({"__first": first, "__masked": masked, "__rank": rank})
-    outcome = F.when(F.col("__rank") == 1, "MASK").when(F.col("text") == F.col("__masked"), "RESTORE").when(F.col("text") == F.col("__first"), "MASK_REPLAY").otherwise("CONFLICT")
+    keys = ["namespace", "payload_id"]
+    first = events.groupBy(*keys).agg(F.min_by(F.struct("text", "masked_text", F.col("seq").alias("at")), F.struct("seq", "text")).alias("__first"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    e = events.join(first.select(*[F.col(k).alias(f"__{k}") for k in keys], "__first"), same).drop(*[f"__{k}" for k in keys])
+    masked, original = F.col("__first.masked_text"), F.col("__first.text")
+    begins = F.col("seq").eqNullSafe(F.col("__first.at")) & F.col("text").eqNullSafe(original)
+    outcome = F.when(begins, "MASK").when(F.col("text") == masked, "RESTORE").when(F.col("text") == original, "MASK_REPLAY").otherwise("CONFLICT")
     out = e.withColumn("outcome", outcome)
-    result = F.when(F.col("outcome").isin("MASK", "MASK_REPLAY"), F.col("__masked")).when(F.col("outcome") == "RESTORE", F.col("__first"))
-    return out.withColumn("result", result).drop("__first", "__masked", "__rank")
+    result = F.when(F.col("outcome").isin("MASK", "MASK_REPLAY"), masked).when(F.col("outcome") == "RESTORE", original)
+    return out.withColumn("result", result).drop("__first")
 
 
 def live(writes: DataFrame, now: Column | DataFrame, ttl_seconds: int = RETENTION_SECONDS) -> DataFrame:
@@ -39,7 +92,7 @@ def live(writes: DataFrame, now: Column | DataFrame, ttl_seconds: int = RETENTIO
     now may be a table of one row and column."""
     last = writes.groupBy("namespace", "key").agg(F.max_by(F.struct("ts", "value", "size_bytes"), "ts").alias("r")).select("namespace", "key", "r.*")
     if isinstance(now, DataFrame):
-        last, now = last.join(F.broadcast(now.toDF("__now"))), F.col("__now")
+        now = now.scalar()  # an error if it has more rows than one
     return last.filter(F.col("ts") + F.make_dt_interval(secs=F.lit(float(ttl_seconds))) > now).select("namespace", "key", "ts", "value", "size_bytes")
 
 
@@ -67,6 +120,24 @@ def in_order(rows: DataFrame, keys: Sequence[str], order: str, fold: Callable[[]
     return placed.mapInArrow(run, schema)
 
 
+def store(requests: DataFrame) -> DataFrame:
+    """requests (namespace, payload_id, seq, at: timestamp, action, owner, text, masked_text) with outcome and result, in the order of at and seq."""
+
+    def fold() -> Callable[[dict], dict]:
+        held: Record | None = None
+
+        def one(row: dict) -> dict:
+            nonlocal held
+            held, outcome, result = step(held, row["action"], row["owner"], row["text"], row["masked_text"], row["__ms"])
+            return {"outcome": outcome, "result": result}
+
+        return one
+
+    timed = requests.withColumn("__ms", F.unix_millis("at")).withColumn("__order", F.struct("at", "seq"))
+    out = in_order(timed, ["namespace", "payload_id"], "__order", fold, "__o", "struct<outcome:string,result:string>")
+    return out.select(*requests.columns, "__o.outcome", "__o.result")
+
+
 def within_capacity(writes: DataFrame, max_entries: int, max_bytes: int, order: str = "seq") -> DataFrame:
     """writes (namespace, key, size_bytes) with accepted: whether entries and bytes held leave room. A rejected write changes nothing.
 

@@ -746,3 +746,42 @@ def policy_mask(spark, d):
     """Turns masked under the version in force at their time; the hash is compared where spans are numbered, as tokens are keyed."""
     out = policies.apply(_turns(spark, d), turn_policies(spark), KEY, (LONG, OPENING)).filter("error IS NULL")
     return out.select("doc_id", "policy.version", F.size("resolved").cast("long").alias("n_spans"), F.when(F.col("policy.version") == "candidate", F.sha2("masked_text", 256)).alias("masked_sha256"))
+
+
+# The store with leases, expiry and grace: the same requests as a batch fold and as a file stream.
+_REQUESTS = """(SELECT 'store' AS namespace, CAST(user_id % 5 AS STRING) AS payload_id, event_id AS seq, ts AS moment,
+CASE event_type WHEN 'view' THEN 'process' WHEN 'click' THEN 'claim' WHEN 'purchase' THEN 'commit' ELSE CASE event_id % 3 WHEN 0 THEN 'get' WHEN 1 THEN 'release' ELSE 'delete' END END AS action,
+concat('w', CAST(event_id % 2 AS STRING)) AS owner, CASE event_id % 4 WHEN 3 THEN '#v0' ELSE concat('v', CAST(event_id % 2 AS STRING)) END AS text,
+concat('#', CASE event_id % 4 WHEN 3 THEN '#v0' ELSE concat('v', CAST(event_id % 2 AS STRING)) END) AS masked_text FROM events)"""
+_RECORD = "STRUCT(phase VARCHAR, text VARCHAR, masked VARCHAR, owner VARCHAR, lease BIGINT, gone BIGINT)"
+_STORE = f"""WITH RECURSIVE e AS (SELECT *, epoch_ms(moment) AS ms, row_number() OVER (PARTITION BY payload_id ORDER BY moment, seq) AS n FROM {_REQUESTS} AS q),
+r AS (SELECT DISTINCT payload_id, 0::BIGINT AS n, NULL::{_RECORD} AS held, NULL::BIGINT AS seq, NULL::VARCHAR AS outcome, NULL::VARCHAR AS result FROM e
+UNION ALL SELECT payload_id, n, CASE WHEN outcome IN ('RELEASED', 'DELETED') THEN NULL WHEN outcome = 'COMMITTED' THEN {{'phase': 'READY', 'text': live.text, 'masked': masked_text, 'owner': owner, 'lease': 0, 'gone': ms + {1000 * lifecycle.RETENTION_SECONDS}}}::{_RECORD}
+WHEN outcome IN ('CLAIMED', 'RECLAIMED') THEN {{'phase': 'PROCESSING', 'text': text, 'masked': NULL, 'owner': owner, 'lease': ms + {1000 * lifecycle.LEASE_SECONDS}, 'gone': ms + {1000 * lifecycle.RETENTION_SECONDS}}}::{_RECORD}
+WHEN outcome = 'MASK' THEN {{'phase': 'READY', 'text': text, 'masked': masked_text, 'owner': owner, 'lease': 0, 'gone': ms + {1000 * lifecycle.RETENTION_SECONDS}}}::{_RECORD}
+WHEN outcome = 'RESTORE' THEN {{'phase': 'RESTORED', 'text': live.text, 'masked': live.masked, 'owner': live.owner, 'lease': live.lease, 'gone': ms + {1000 * lifecycle.GRACE_SECONDS}}}::{_RECORD} ELSE live END, seq, outcome,
+CASE outcome WHEN 'COMMITTED' THEN masked_text WHEN 'MASK' THEN masked_text WHEN 'FOUND' THEN live.masked WHEN 'MASK_REPLAY' THEN live.masked WHEN 'RESTORE' THEN live.text END
+FROM (SELECT *, CASE action WHEN 'commit' THEN CASE WHEN mine THEN 'COMMITTED' ELSE 'LOST' END WHEN 'release' THEN CASE WHEN mine THEN 'RELEASED' ELSE 'LOST' END WHEN 'delete' THEN CASE WHEN live IS NULL THEN 'MISSING' ELSE 'DELETED' END
+WHEN 'get' THEN CASE WHEN live IS NOT NULL AND live.phase <> 'PROCESSING' THEN 'FOUND' ELSE 'MISSING' END ELSE CASE WHEN live IS NULL THEN CASE action WHEN 'claim' THEN 'CLAIMED' ELSE 'MASK' END
+WHEN live.phase = 'PROCESSING' THEN CASE WHEN text <> live.text THEN 'CONFLICT' WHEN live.lease > ms THEN 'WAIT' ELSE 'RECLAIMED' END WHEN action = 'process' AND text = live.masked THEN 'RESTORE' WHEN text = live.text OR text = live.masked THEN 'MASK_REPLAY' ELSE 'CONFLICT' END END AS outcome
+FROM (SELECT *, coalesce(live.phase = 'PROCESSING' AND live.owner = owner, false) AS mine FROM (SELECT e.*, CASE WHEN r.held.gone > e.ms THEN r.held END AS live FROM r JOIN e ON e.payload_id = r.payload_id AND e.n = r.n + 1))))
+SELECT payload_id, seq, outcome, result FROM r WHERE n > 0"""
+
+
+def _store_requests(events: DataFrame) -> DataFrame:
+    return events.sparkSession.sql(f"SELECT * FROM {_REQUESTS.replace('FROM events', 'FROM {events}')} AS q", events=events).withColumn("at", F.col("moment").cast("timestamp")).drop("moment")
+
+
+@query(_STORE)
+def vault_store(spark, d):
+    return lifecycle.store(_store_requests(table(spark, d, "events"))).select("payload_id", "seq", "outcome", "result")
+
+
+@query(_STORE)
+def vault_stream(spark, d):
+    """The same requests read as a file stream, with state, timers and a watermark."""
+    from spanforge.functions.tables import shared_dir
+    from spanforge.streaming import vault
+
+    stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events*.parquet")
+    return vault.run_available(vault.process_stream(_store_requests(stream)), shared_dir(spark)).select("payload_id", "seq", "outcome", "result")

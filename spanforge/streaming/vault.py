@@ -1,49 +1,86 @@
-"""Structured Streaming forms: the keyed mapping store with expiry, rolling request rates, exact-retry suppression."""
+"""Structured Streaming forms: the keyed store with leases, expiry and grace, rolling request rates, exact-retry suppression."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from spanforge.operators.lifecycle import GRACE_SECONDS, RETENTION_SECONDS
-
-OUTPUT = "namespace string, payload_id string, seq long, outcome string, result string"
-STATE = "text string, masked string, restored boolean"
-
-
-def _outcome(state: tuple | None, text: str, masked: str) -> tuple[tuple, str, str | None]:
-    """The record after a request, the outcome and the answer."""
-    if state is None:
-        return (text, masked, False), "MASK", masked
-    first, hidden, restored = state
-    if text == hidden:
-        return (first, hidden, True), "RESTORE", first
-    if text == first:
-        return (first, hidden, restored), "MASK_REPLAY", hidden
-    return state, "CONFLICT", None
-
-
-def _run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    record = state.get if state.exists else None
-    out = []
-    for row in pd.concat(list(frames)).sort_values("seq").itertuples(index=False):
-        record, outcome, result = _outcome(record, row.text, row.masked_text)
-        out.append((*key, row.seq, outcome, result))
-    state.update(record)
-    state.setTimeoutDuration(1000 * (GRACE_SECONDS if record[2] else RETENTION_SECONDS))
-    yield pd.DataFrame(out, columns=["namespace", "payload_id", "seq", "outcome", "result"])
-
-
-def process_stream(events: DataFrame) -> DataFrame:
-    """The batch operator lifecycle.process on a stream (namespace, payload_id, seq, text, masked_text); records expire by processing time, restored ones sooner."""
-    return events.groupBy("namespace", "payload_id").applyInPandasWithState(_run, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from spanforge.operators.lifecycle import Record, step
+
+OUTPUT = "namespace string, payload_id string, seq long, at timestamp, outcome string, result string"
+STATE = "phase string, text string, masked string, owner string, lease_ms long, end_ms long"
+#: transformWithState keeps its state and timers in this store only.
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Store(StatefulProcessor):
+    """A record for each (namespace, payload_id), with a timer at its end.
+
+    The record's end is compared with a request's own time as well, so one whose timer hasn't fired yet isn't served. Every change of the end sets a
+    further timer; one that fires before the record's end, as it was renewed since, changes nothing."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.record = handle.getValueState("record", STATE)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
+        before = record = Record(*self.record.get()) if self.record.exists() else None
+        out = []
+        # Spark gives a key's rows of a micro-batch in any order; a batch's size bounds them
+        for r in sorted(rows, key=lambda r: (r["at"], r["seq"])):
+            record, outcome, result = step(record, r["action"], r["owner"], r["text"], r["masked_text"], round(r["at"].timestamp() * 1000))
+            out.append(Row(namespace=key[0], payload_id=key[1], seq=r["seq"], at=r["at"], outcome=outcome, result=result))
+        if record is None:
+            self.record.clear()
+        elif record != before:
+            self.record.update(tuple(record))
+            if before is None or before.end_ms != record.end_ms:
+                self.handle.registerTimer(record.end_ms)
+        yield from out
+
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802, N803
+        if self.record.exists() and Record(*self.record.get()).end_ms <= expiredTimerInfo.getExpiryTimeInMs():
+            self.record.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def process_stream(requests: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """The batch operator lifecycle.store on a stream (namespace, payload_id, seq, at, action, owner, text, masked_text) by event time.
+
+    Records are removed once the watermark, late behind the latest request, passes their end. The session's state store has to be PROVIDER."""
+    rows = requests.select("namespace", "payload_id", F.col("seq").cast("long").alias("seq"), "at", "action", "owner", "text", "masked_text")
+    return rows.withWatermark("at", late).groupBy("namespace", "payload_id").transformWithState(Store(), OUTPUT, "Append", "EventTime")
+
+
+def run_available(stream: DataFrame, folder: str) -> DataFrame:
+    """What a stream gives for all that there is now, as a table in a folder that all executors share."""
+    spark, at = stream.sparkSession, f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    conf = "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(conf, None)
+    spark.conf.set(conf, PROVIDER)
+    try:
+        stream.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(conf, was) if was else spark.conf.unset(conf)
+    return spark.read.schema(stream.schema).parquet(f"{at}/rows")
+
+
+def idempotent(write: Callable[[DataFrame, int], None], seen: Callable[[int], bool]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that does nothing for a batch that was written before."""
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        if not seen(batch_id):
+            write(batch, batch_id)
+
+    return put
 
 
 def rolling_rate(events: DataFrame, ts: str = "ts", late: str = "2 minutes", window: str = "60 seconds", slide: str = "1 second") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from spanforge.functions import scalars as S
 from spanforge.functions.spans import find
 from spanforge.operators import core, joins, lifecycle, models, mutate
-from spanforge.streaming.vault import bucket_rate, process_stream, rolling_rate
+from spanforge.streaming.vault import bucket_rate, rolling_rate
 
 
 def test_derived_key_and_keyed_digest_match_the_standard_library(spark):
@@ -72,20 +72,6 @@ def test_distinct_pairs_are_scored_once(spark):
     assert models.score_pairs(pairs, scorer).count() == 3 and seen == [2]
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    from spanforge.plans.fixtures import LIFECYCLE
-
-    schema = "namespace string, payload_id string, seq long, text string, masked_text string"
-    batch = spark.createDataFrame([tuple(x) for x in LIFECYCLE], schema)
-    batch.coalesce(1).write.json(str(tmp_path / "in"))
-    stream = process_stream(spark.readStream.schema(schema).json(str(tmp_path / "in")))
-    q = stream.writeStream.format("memory").queryName("vault_out").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = {tuple(r) for r in spark.table("vault_out").collect()}
-    want = {tuple(r) for r in lifecycle.process(batch).select("namespace", "payload_id", "seq", "outcome", "result").collect()}
-    assert got == want
-
-
 def test_rolling_rate_counts_each_event_in_every_window(spark, tmp_path):
     rows = [(i, f"2024-01-01 00:00:{i:02d}", "view") for i in range(5)]
     events = spark.createDataFrame(rows, "event_id int, t string, event_type string").select("event_id", F.col("t").cast("timestamp").alias("ts"), "event_type")
