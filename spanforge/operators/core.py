@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from spanforge.functions.scalars import hmac_sha256
 from spanforge.functions.spans import BLOCK, blocks_of, cuts_of, let, running
 
-from .detectors import NATIVE, NONE, RegexDetector
+from .detectors import NATIVE, NONE, REGISTERED, RegexDetector, TableDetector
 
 TOKEN = r"⟦PII:[A-Z_]+:[A-Za-z0-9_-]+⟧"
 MARKER = r"\[REDACTED-\d+\]"
@@ -51,13 +51,18 @@ class Policy:
         return names
 
 
-def detect(docs: DataFrame, detectors: Sequence[str | RegexDetector] = tuple(NATIVE), text: str = "text", out: str = "detections") -> DataFrame:
-    """docs with the detections of the given detectors, in their order. Names that aren't native are the Arrow detectors of operators.names."""
+def detect(docs: DataFrame, detectors: Sequence[str | RegexDetector | TableDetector] = tuple(NATIVE), text: str = "text", out: str = "detections") -> DataFrame:
+    """docs with the detections of the given detectors, in their order: native and registered ones and the Arrow detectors of operators.names by name."""
     from . import names
 
     parts: list[Column] = []
-    for d in detectors:
-        if isinstance(d, RegexDetector):
+    columns = docs.columns
+    for i, d in enumerate(detectors):
+        d = REGISTERED.get(d, d) if isinstance(d, str) else d
+        if isinstance(d, TableDetector):
+            docs = d.joined(docs, text, f"__table_{i}")
+            parts.append(F.col(f"__table_{i}"))
+        elif isinstance(d, RegexDetector):
             parts.append(d(F.col(text)))
         elif d in NATIVE:
             parts.append(NATIVE[d](F.col(text)))
@@ -66,7 +71,7 @@ def detect(docs: DataFrame, detectors: Sequence[str | RegexDetector] = tuple(NAT
         else:
             raise ValueError(f"unknown detector: {d}")
     found = F.concat(*parts) if parts else F.expr(NONE)
-    return docs.withColumn(out, F.when(F.col(text).isNull(), F.expr(NONE)).otherwise(found))
+    return docs.select(*[c for c in columns if c != out], F.when(F.col(text).isNull(), F.expr(NONE)).otherwise(found).alias(out))
 
 
 def keep_categories(docs: DataFrame, categories: Sequence[str] | None) -> DataFrame:

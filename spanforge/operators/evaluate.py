@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spanforge.functions.spans import cuts_of, let
+from spanforge.functions.tables import stored
+
 from .joins import exact, overlapping
 
 
@@ -47,21 +50,32 @@ def by_document_chars(docs: DataFrame, gold: DataFrame, found: DataFrame) -> Dat
     return n.select("doc_id", ratio(both, F.col("g")).alias("char_recall"), ratio(both, F.col("p")).alias("char_precision"), ratio(F.col("p") - both, F.col("n") - F.col("g")).alias("char_overmask"))
 
 
-def _characters(spans: DataFrame, keys: Sequence[str], mark: str) -> DataFrame:
-    return spans.select(*keys, F.explode(F.sequence("start", F.col("stop") - 1)).alias("p")).distinct().withColumn(mark, F.lit(True))
+def _segments(gold: DataFrame, found: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, at, until, g and f: the stretches between ends of spans, and how many spans of either side lie over each; a row for each end, none for a character."""
+    ends = lambda df, side: df.select(*keys, F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("d")), F.struct(F.col("stop").alias("at"), F.lit(-1).alias("d")))).alias("e")).select(*keys, "e.at", *[(F.col("e.d") if s == side else F.lit(0)).alias(s) for s in ("g", "f")])
+    steps = ends(gold, "g").unionByName(ends(found, "f")).groupBy(*keys, "at").agg(F.sum("g").alias("g"), F.sum("f").alias("f"))
+    w = W.partitionBy(*keys).orderBy("at")
+    return steps.select(*keys, "at", F.lead("at").over(w).alias("until"), *[F.sum(s).over(w.rowsBetween(W.unboundedPreceding, 0)).alias(s) for s in ("g", "f")]).filter("until IS NOT NULL AND (g > 0 OR f > 0)")
 
 
 def by_category_chars(gold: DataFrame, found: DataFrame) -> DataFrame:
     """category, n_gold, n_found, n_both of character offsets, documents thrown together."""
-    j = _characters(gold, ["category"], "g").join(_characters(found, ["category"], "f"), ["category", "p"], "full")
-    return j.groupBy("category").agg(F.count("g").alias("n_gold"), F.count("f").alias("n_found"), F.count_if(F.col("g") & F.col("f")).alias("n_both"))
+    n = F.col("until") - F.col("at")
+    of = lambda test: F.coalesce(F.sum(F.when(test, n)), F.lit(0)).cast("long")
+    g, f = F.col("g") > 0, F.col("f") > 0
+    return _segments(gold, found, ["category"]).groupBy("category").agg(of(g).alias("n_gold"), of(f).alias("n_found"), of(g & f).alias("n_both"))
 
 
 def nonspace_chars(docs: DataFrame, gold: DataFrame, found: DataFrame) -> DataFrame:
-    """doc_id, missing, unexpected, exact over characters that aren't white space."""
-    j = _characters(gold, ["doc_id"], "g").join(_characters(found, ["doc_id"], "f"), ["doc_id", "p"], "full").join(docs.select("doc_id", "text"), "doc_id")
-    j = j.filter(F.substring(F.col("text"), F.col("p") + 1, F.lit(1)).rlike(r"(?U)\S"))
-    return j.groupBy("doc_id").agg(F.count_if(F.col("f").isNull()).alias("missing"), F.count_if(F.col("g").isNull()).alias("unexpected"), (F.count_if(F.col("f").isNull() | F.col("g").isNull()) == 0).alias("exact"))
+    """doc_id, missing, unexpected, exact over characters that aren't white space: stretches on one side only, less the white space in them.
+
+    A document's stretches are gathered as an array beside its text and cut out of it in one go. Documents of which only white space is covered are left out."""
+    per = _segments(gold, found, ["doc_id"]).groupBy("doc_id").agg(F.collect_list(F.struct(F.col("at").alias("start"), F.col("until").alias("stop"), (F.col("g") > 0).alias("g"), (F.col("f") > 0).alias("f"))).alias("s"))
+    visible = lambda piece: F.length(F.regexp_replace(piece, r"(?U)\s", ""))
+    sized = per.join(docs.select("doc_id", "text"), "doc_id").withColumn("c", let(cuts_of(F.col("text"), F.col("s")), lambda cut: F.zip_with(F.col("s"), cut, lambda s, x: F.struct(s["g"].alias("g"), s["f"].alias("f"), visible(x).alias("n")))))
+    total = lambda test: F.aggregate(F.filter("c", test), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    out = sized.select("doc_id", total(lambda x: x["g"] & ~x["f"]).alias("missing"), total(lambda x: x["f"] & ~x["g"]).alias("unexpected"), total(lambda x: F.lit(True)).alias("all"))
+    return out.filter("all > 0").select("doc_id", "missing", "unexpected", ((F.col("missing") == 0) & (F.col("unexpected") == 0)).alias("exact"))
 
 
 def mask_accepted(text: Column, resolved: Column, masked: Column) -> Column:
@@ -88,25 +102,69 @@ def false_positives(gold: DataFrame, found: DataFrame) -> DataFrame:
     return exact(found, gold, "left_anti")
 
 
-def percentile_interpolated(x: str, q: float) -> Column:
-    return F.percentile(F.col(x), F.lit(q))
-
+def order_statistics(rows: DataFrame, keys: Sequence[str], x: str, ranks: Callable[[Column], Mapping[str, Column]]) -> DataFrame:
+    """keys, n (values that aren't null) and, for each name of ranks(n), the value at that rank, from 0, among a key's values in order.
 
-def percentile_nearest(x: str, q: float) -> Column:
-    """Nearest rank from above."""
-    return F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {x})")
+    Values are counted, combined before the shuffle, and laid out by ranges of (keys, value) in a table in the shared folder. Ranges' counts add
+    up to where each begins, which says in which range a rank lies; only there values are counted up. So a hot key is spread over as many
+    tasks as it has ranges, and no task holds a key's values."""
+    counts = rows.filter(F.col(x).isNotNull()).groupBy(*keys, F.col(x).alias("__x")).agg(F.count("*").alias("__c"))
+    laid = stored(counts.repartitionByRange(*keys, "__x").withColumn("__p", F.spark_partition_id()), "ranks")
+    ranges = laid.groupBy(*keys, "__p").agg(F.sum("__c").alias("__n"))
+    w = W.partitionBy(*keys)
+    begun = ranges.withColumns({"__begin": F.coalesce(F.sum("__n").over(w.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "n": F.sum("__n").over(w)})
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), r.cast("long").alias("rank")) for name, r in ranks(F.col("n")).items()])
+    asked = begun.withColumn("__w", F.explode(F.filter(wanted, lambda r: r["rank"].between(F.col("__begin"), F.col("__begin") + F.col("__n") - 1))))
+    asked = stored(asked.select(*keys, "__p", "n", "__w.name", (F.col("__w.rank") - F.col("__begin")).alias("__local")), "ranks-asked")
+    inside = laid.join(asked.select(*keys, "__p").distinct(), [*keys, "__p"], "left_semi")
+    upto = F.sum("__c").over(W.partitionBy(*keys, "__p").orderBy("__x").rowsBetween(W.unboundedPreceding, 0))
+    found = inside.withColumn("__upto", upto).join(asked, [*keys, "__p"]).filter((F.col("__local") < F.col("__upto")) & (F.col("__local") >= F.col("__upto") - F.col("__c")))
+    return found.groupBy(*keys, "n").agg(*[F.max(F.when(F.col("name") == name, F.col("__x"))).alias(name) for name in ranks(F.lit(0))])
 
 
 def percentile_floor(rows: DataFrame, keys: Sequence[str], x: str, qs: Mapping[str, float]) -> DataFrame:
-    """keys and, for each name, the value at rank min(n - 1, floor(q n)) from 0; ranks by a window, so no list of a group is gathered."""
-    w = W.partitionBy(*keys)
-    ranked = rows.filter(F.col(x).isNotNull()).select(*keys, x, (F.row_number().over(w.orderBy(x)) - 1).alias("r"), F.count("*").over(w).alias("n"))
-    at = lambda q: F.least(F.col("n") - 1, F.floor(F.lit(q) * F.col("n")))
-    return ranked.groupBy(*keys).agg(*[F.max(F.when(F.col("r") == at(q), F.col(x))).alias(name) for name, q in qs.items()])
+    """keys and, for each name, the value at rank min(n - 1, floor(q n)) from 0."""
+    return order_statistics(rows, keys, x, lambda n: {name: F.least(n - 1, F.floor(F.lit(q) * n)) for name, q in qs.items()}).drop("n")
+
+
+def percentile_nearest(rows: DataFrame, keys: Sequence[str], x: str, qs: Mapping[str, float]) -> DataFrame:
+    """keys and, for each name, the value at the nearest rank from above, ceil(q n) from 1."""
+    return order_statistics(rows, keys, x, lambda n: {name: F.greatest(F.ceil(F.lit(q) * n), F.lit(1)) - 1 for name, q in qs.items()}).drop("n")
+
+
+def percentile_interpolated(rows: DataFrame, keys: Sequence[str], x: str, qs: Mapping[str, float]) -> DataFrame:
+    """keys and, for each name, the value interpolated between the two ranks around q (n - 1)."""
+    place = lambda n, q: F.lit(q) * (n - 1)
+    got = order_statistics(rows, keys, x, lambda n: {f"{name}{side}": f(place(n, q)) for name, q in qs.items() for side, f in (("_lo", F.floor), ("_hi", F.ceil))})
+    between = lambda name, q: F.col(f"{name}_lo") + (F.col(f"{name}_hi") - F.col(f"{name}_lo")) * (place(F.col("n"), q) - F.floor(place(F.col("n"), q)))
+    return got.select(*keys, *[between(name, q).alias(name) for name, q in qs.items()])
 
 
 def timing(rows: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), *[percentile_interpolated(x, q).alias(n) for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))], F.max(x).alias("max"))
+    """keys, n, mean, p50, p95, p99 (interpolated) and max; null where a key has no value."""
+    plain = rows.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.max(x).alias("max"))
+    at = percentile_interpolated(rows, keys, x, {"p50": 0.5, "p95": 0.95, "p99": 0.99}).select(*[F.col(k).alias(f"__{k}") for k in keys], "p50", "p95", "p99")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return plain.join(at, same, "left").select(*keys, "n", "mean", "p50", "p95", "p99", "max")
+
+
+def histogram(rows: DataFrame, keys: Sequence[str], x: str, bounds: Sequence[float]) -> DataFrame:
+    """keys and a state of counts by bucket (up to each bound, and beyond the last), count and sum. States of several batches are merged by merge_histograms()."""
+    bucket = F.lit(0)
+    for b in bounds:
+        bucket = bucket + (F.col(x) > b).cast("int")
+    per = rows.filter(F.col(x).isNotNull()).groupBy(*keys).agg(*[F.count_if(bucket == i).alias(f"__{i}") for i in range(len(bounds) + 1)], F.count("*").alias("count"), F.sum(x).alias("sum"))
+    return per.select(*keys, F.array(*[F.col(f"__{i}") for i in range(len(bounds) + 1)]).alias("buckets"), "count", "sum")
+
+
+def merge_histograms(states: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
+    """One state for each key from the states of several batches, in any order. A negative count is an error."""
+    bad = F.exists("buckets", lambda c: c < 0)
+    checked = states.withColumn("buckets", F.when(bad, F.raise_error(F.lit("counts can't fall")).cast("array<bigint>")).otherwise(F.col("buckets")))
+    sums = checked.groupBy(*keys).agg(*[F.sum(F.get("buckets", F.lit(i))).alias(f"__{i}") for i in range(size)], F.sum("count").alias("count"), F.sum("sum").alias("sum"))
+    return sums.select(*keys, F.array(*[F.col(f"__{i}") for i in range(size)]).alias("buckets"), "count", "sum")
 
 
 def last_n(rows: DataFrame, keys: Sequence[str], order: Sequence[str], n: int = 8192) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -63,6 +64,15 @@ for _name, _how, _category, _rule, _gate in (
     query(_spans_sql(_PAGES, _how, _category, _rule, _gate), f"pages_{_name}_spans")(lambda spark, d, n=_name: span_rows(table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")), n))
     query(_spans_sql(TEXTS_SQL, _how, _category, _rule, _gate), f"det_{_name}")(lambda spark, d, n=_name: span_rows(fixtures.texts(spark, d), n))
 
+def _mail(text: str):
+    """E-mail addresses by Python's own expressions, as a user would write a detector."""
+    return (m.span() for m in re.finditer(detectors.EMAIL_BEFORE + detectors.EMAIL + detectors.EMAIL_BEHIND, text))
+
+
+if "registered_email" not in detectors.REGISTERED:
+    detectors.register(detectors.TableDetector("registered_email", "EMAIL", _mail, 0.95, "email-structure"))
+query(_spans_sql("documents", EMAIL_SCAN, "EMAIL", "email-structure"), "detector_extension")(lambda spark, d: span_rows(table(spark, d, "documents"), "registered_email"))
+
 # Labelled detectors over the forms of orders.
 for _name, _tiles, _at, _category, _rule in (
     ("department_code", detectors.DEPARTMENT, (1,), "DEPARTMENT_CODE", "department-code-context"), ("driver_license", detectors.LICENSE, (1,), "DRIVER_LICENSE", "driver-license-context"),
@@ -377,7 +387,7 @@ def agg_timing(spark, d):
 
 @query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1")
 def agg_pctl_nearest(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(evaluate.percentile_nearest("value", 0.5).alias("p50"), evaluate.percentile_nearest("value", 0.95).alias("p95"))
+    return evaluate.percentile_nearest(table(spark, d, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
 
 
 @query("WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, max(value) FILTER (k = least(n - 1, floor(0.5 * n))) AS p50, max(value) FILTER (k = least(n - 1, floor(0.95 * n))) AS p95 FROM r GROUP BY 1")
@@ -387,7 +397,27 @@ def agg_pctl_floor(spark, d):
 
 @query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) SELECT event_type, count(*)::BIGINT AS n, round(quantile_cont(value, 0.95), 6) AS p95 FROM r WHERE k <= 1024 GROUP BY 1")
 def win_last_n(spark, d):
-    return evaluate.last_n(table(spark, d, "events"), ["event_type"], ["ts", "event_id"], 1024).groupBy("event_type").agg(F.count("*").alias("n"), F.round(evaluate.percentile_interpolated("value", 0.95), 6).alias("p95"))
+    last = evaluate.last_n(table(spark, d, "events"), ["event_type"], ["ts", "event_id"], 1024)
+    return last.groupBy("event_type").agg(F.count("*").alias("n")).join(evaluate.percentile_interpolated(last, ["event_type"], "value", {"p95": 0.95}), "event_type").withColumn("p95", F.round("p95", 6))
+
+
+_BOUNDS = (1.0, 2.0, 5.0, 10.0, 20.0, 50.0)
+
+
+@query(f"SELECT event_type, [{', '.join(f'count(*) FILTER ({test})::BIGINT' for test in [f'value <= {_BOUNDS[0]}', *[f'value > {a} AND value <= {b}' for a, b in zip(_BOUNDS, _BOUNDS[1:])], f'value > {_BOUNDS[-1]}'])}] AS buckets, count(value)::BIGINT AS count, round(sum(value), 4) AS sum FROM events GROUP BY 1")
+def agg_hist(spark, d):
+    """Histograms of two batches merged into one."""
+    e = table(spark, d, "events")
+    states = [evaluate.histogram(e.filter(F.col("event_id") % 2 == k), ["event_type"], "value", _BOUNDS) for k in (0, 1)]
+    return evaluate.merge_histograms(states[0].unionByName(states[1]), ["event_type"], len(_BOUNDS) + 1).withColumn("sum", F.round("sum", 4))
+
+
+@query(f"WITH g AS {_GOLD}, f AS {_FOUND} SELECT count(*)::BIGINT AS n_found, count(*) FILTER (hit)::BIGINT AS n_exact, round(count(*) FILTER (hit) / count(*)::DOUBLE, 9) AS boundary FROM (SELECT EXISTS (SELECT 1 FROM g WHERE g.doc_id = f.doc_id AND g.category = f.category AND g.start = f.start AND g.stop = f.stop) AS hit FROM f)")
+def agg_boundary(spark, d):
+    """The share of found spans whose bounds and category are exactly those of a gold one."""
+    gold, found = _labelled(spark, d)
+    marked = found.join(gold.distinct().withColumn("hit", F.lit(True)), ["doc_id", "category", "start", "stop"], "left")
+    return marked.agg(F.count("*").alias("n_found"), F.count("hit").alias("n_exact"), F.round(evaluate.ratio(F.count("hit"), F.count("*")), 9).alias("boundary"))
 
 
 @query("WITH r AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rank FROM events) SELECT event_type, event_id, rank::INT AS rank FROM r WHERE rank <= 10")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanforge.operators.core import CombinationRule, Policy
-from spanforge.operators.detectors import NATIVE, RegexDetector
+from spanforge.operators.detectors import NATIVE, REGISTERED, RegexDetector
 
 _S = T.StringType()
 SCHEMAS: dict[str, T.StructType] = {
@@ -61,7 +61,7 @@ def detectors(manifest: Mapping[str, Any]) -> list[str | RegexDetector]:
             continue
         if d.get("type") == "regex":
             out.append(RegexDetector(d["id"], d["category"], d["pattern"], d.get("context"), d.get("context_window", 40)))
-        elif d["id"] in NATIVE or d["id"] in ARROW:
+        elif d["id"] in NATIVE or d["id"] in ARROW or d["id"] in REGISTERED:
             out.append(d["id"])
         else:
             raise ValueError(f"unknown detector: {d['id']}")
