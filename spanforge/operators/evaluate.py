@@ -108,18 +108,19 @@ def order_statistics(rows: DataFrame, keys: Sequence[str], x: str, ranks: Callab
     Values are counted, combined before the shuffle, and laid out by ranges of (keys, value) in a table in the shared folder. Ranges' counts add
     up to where each begins, which says in which range a rank lies; only there values are counted up. So a hot key is spread over as many
     tasks as it has ranges, and no task holds a key's values."""
-    counts = rows.filter(F.col(x).isNotNull()).groupBy(*keys, F.col(x).alias("__x")).agg(F.count("*").alias("__c"))
-    laid = stored(counts.repartitionByRange(*keys, "__x").withColumn("__p", F.spark_partition_id()), "ranks")
-    ranges = laid.groupBy(*keys, "__p").agg(F.sum("__c").alias("__n"))
-    w = W.partitionBy(*keys)
+    counts = rows.filter(F.col(x).isNotNull()).groupBy(F.struct(*keys).alias("__k"), F.col(x).alias("__x")).agg(F.count("*").alias("__c"))
+    laid = stored(counts.repartitionByRange("__k", "__x").withColumn("__p", F.spark_partition_id()), "ranks")
+    ranges = laid.groupBy("__k", "__p").agg(F.sum("__c").alias("__n"))
+    w = W.partitionBy("__k")
     begun = ranges.withColumns({"__begin": F.coalesce(F.sum("__n").over(w.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "n": F.sum("__n").over(w)})
     wanted = F.array(*[F.struct(F.lit(name).alias("name"), r.cast("long").alias("rank")) for name, r in ranks(F.col("n")).items()])
     asked = begun.withColumn("__w", F.explode(F.filter(wanted, lambda r: r["rank"].between(F.col("__begin"), F.col("__begin") + F.col("__n") - 1))))
-    asked = stored(asked.select(*keys, "__p", "n", "__w.name", (F.col("__w.rank") - F.col("__begin")).alias("__local")), "ranks-asked")
-    inside = laid.join(asked.select(*keys, "__p").distinct(), [*keys, "__p"], "left_semi")
-    upto = F.sum("__c").over(W.partitionBy(*keys, "__p").orderBy("__x").rowsBetween(W.unboundedPreceding, 0))
-    found = inside.withColumn("__upto", upto).join(asked, [*keys, "__p"]).filter((F.col("__local") < F.col("__upto")) & (F.col("__local") >= F.col("__upto") - F.col("__c")))
-    return found.groupBy(*keys, "n").agg(*[F.max(F.when(F.col("name") == name, F.col("__x"))).alias(name) for name in ranks(F.lit(0))])
+    asked = stored(asked.select("__k", "__p", "n", "__w.name", (F.col("__w.rank") - F.col("__begin")).alias("__local")), "ranks-asked")
+    inside = laid.join(asked.select("__k", "__p").distinct(), ["__k", "__p"], "left_semi")
+    upto = F.sum("__c").over(W.partitionBy("__k", "__p").orderBy("__x").rowsBetween(W.unboundedPreceding, 0))
+    found = inside.withColumn("__upto", upto).join(asked, ["__k", "__p"]).filter((F.col("__local") < F.col("__upto")) & (F.col("__local") >= F.col("__upto") - F.col("__c")))
+    out = found.groupBy("__k", "n").agg(*[F.max(F.when(F.col("name") == name, F.col("__x"))).alias(name) for name in ranks(F.lit(0))])
+    return out.select(*[F.col("__k")[k].alias(k) for k in keys], "n", *ranks(F.lit(0)))
 
 
 def percentile_floor(rows: DataFrame, keys: Sequence[str], x: str, qs: Mapping[str, float]) -> DataFrame:

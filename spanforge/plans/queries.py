@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -10,8 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.functions import scalars as S
+from spanforge.functions import tables
 from spanforge.functions.spans import cut_of, find
-from spanforge.operators import core, detectors, evaluate, joins, lifecycle, models, mutate, policies, semantic
+from spanforge.operators import core, detectors, evaluate, joins, lifecycle, models, mutate, ner, policies, semantic
+from spanforge.sources import sinks
 
 from . import duck, fixtures
 from .fixtures import TEXTS_SQL, values
@@ -810,8 +813,81 @@ def vault_store(spark, d):
 @query(_STORE)
 def vault_stream(spark, d):
     """The same requests read as a file stream, with state, timers and a watermark."""
-    from spanforge.functions.tables import shared_dir
     from spanforge.streaming import vault
 
     stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events*.parquet")
-    return vault.run_available(vault.process_stream(_store_requests(stream)), shared_dir(spark)).select("payload_id", "seq", "outcome", "result")
+    return vault.run_available(vault.process_stream(_store_requests(stream)), tables.shared_dir(spark)).select("payload_id", "seq", "outcome", "result")
+
+
+# Token windows, candidates and the rewrite of detections.
+LABELS = ("O", "B-PER", "I-PER", "B-LOC")
+
+
+def stub_classifier():
+    """A stated scorer: a token's label follows from its id alone, its certainty from the id's last digit."""
+    import numpy as np
+
+    def score(ids, mask):
+        out = np.zeros((*ids.shape, len(LABELS)))
+        np.put_along_axis(out, (ids % 7 // 2)[..., None] % len(LABELS), (1 + ids % 10)[..., None].astype(float), axis=2)
+        return out
+
+    return score
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """The place of a public tokenizer's file; callers of operators.ner pass any other."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query()
+def ner_windows(spark, d):
+    """Windows over the tokenizer's own tokens, with the characters that each covers."""
+    w = ner.token_windows(table(spark, d, "documents"), tokenizer_path())
+    return w.select("doc_id", "window", "first", "last", "n_tokens", F.element_at("starts", 1).alias("start"), F.element_at("stops", -1).alias("stop"))
+
+
+@query()
+def ner_entities(spark, d):
+    return ner.entities(ner.predict(ner.token_windows(table(spark, d, "documents"), tokenizer_path()), stub_classifier, LABELS))
+
+
+@query()
+def sem_ner_candidates(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    found = ner.entities(ner.predict(ner.token_windows(docs, tokenizer_path()), stub_classifier, LABELS))
+    return ner.candidates(found, docs, span_rows(docs, "email", "phone"))
+
+
+@query(f"WITH s AS (SELECT doc_id, category, start, stop FROM ({_spans_sql('documents', EMAIL_SCAN, 'EMAIL', 'r')}) UNION ALL SELECT doc_id, category, start, stop FROM ({_spans_sql('documents', PHONE_SCAN, 'PHONE', 'r')}) UNION ALL SELECT doc_id, category, start, stop FROM ({_spans_sql('documents', CARD_SCAN, 'CARD', 'card-digits', True)})) "
+       "SELECT doc_id, category, start, stop, CASE WHEN category = 'CARD' OR start % 2 = 1 THEN 'MASK' ELSE 'KEEP' END AS decision, CASE WHEN category = 'CARD' THEN 'card-digits' WHEN start % 2 = 1 THEN 'semantic-private-record' ELSE 'semantic-public-context' END AS rule_id FROM s")
+def sem_rewrite(spark, d):
+    """Detections of e-mail addresses, phones and cards, of which the ones at even places are released; cards aren't eligible."""
+    found = core.detect(table(spark, d, "documents").select("doc_id", "text"), ("email", "phone", "card"))
+    decisions = F.flatten(F.transform("detections", lambda x: F.transform(x["sensitive"], lambda s: F.struct(x["category"].alias("category"), s["start"].alias("start"), s["stop"].alias("stop"), F.when(s["start"] % 2 == 0, "public-context").otherwise("private-record").alias("reason"), F.lit(0.9).alias("score")))))
+    out = found.withColumn("decisions", decisions).withColumn("detections", ner.rewrite(F.col("detections"), F.col("decisions"))).select("doc_id", F.explode("detections").alias("x"))
+    return out.select("doc_id", "x.category", "x.start", "x.stop", F.when(F.size("x.sensitive") > 0, "MASK").otherwise("KEEP").alias("decision"), "x.rule_id")
+
+
+@query("SELECT octet_length(encode(coalesce(text, ''))) > 4096 AS rejected, count(*)::BIGINT AS n, sum(octet_length(encode(coalesce(text, ''))))::BIGINT AS bytes FROM documents GROUP BY 1")
+def body_limit(spark, d):
+    """Accepted and rejected documents, written and counted in one scan, and read back."""
+    path = f"{tables.shared_dir(spark)}/spanforge/requests-{uuid.uuid4().hex}"
+    counts = sinks.split_by_size(table(spark, d, "documents"), 4096, path)
+    back = spark.read.parquet(path).withColumn("rejected", F.col("rejected").cast("boolean"))
+    out = back.groupBy("rejected").agg(F.count("*").alias("n"), F.sum(F.octet_length(F.coalesce("text", F.lit("")))).cast("long").alias("bytes"))
+    return out.filter((F.col("n") == F.when(F.col("rejected"), counts["rejected"]).otherwise(counts["accepted"])) | F.raise_error(F.lit("counts differ from what was written")).cast("boolean"))
+
+
+@query("SELECT event_type AS namespace, user_id AS key, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY ALL")
+def snk_vault(spark, d):
+    """The last write of every key, put by batches of a file stream of which one is delivered twice."""
+    rows = table(spark, d, "events").select(F.col("event_type").alias("namespace"), F.col("user_id").alias("key"), "ts", "event_id", "value")
+    path = f"{tables.shared_dir(spark)}/spanforge/vault-{uuid.uuid4().hex}"
+    middle = rows.agg(F.percentile_approx("ts", 0.5)).first()[0]
+    put = sinks.upsert(path, ["namespace", "key"], ["ts", "event_id"])
+    for batch_id, part in ((0, F.col("ts") <= F.lit(middle)), (1, F.col("ts") > F.lit(middle)), (0, F.col("ts") <= F.lit(middle))):
+        put(rows.filter(part), batch_id)
+    return sinks.current(spark, path, ["namespace", "key"]).select("namespace", "key", "event_id", "value")
