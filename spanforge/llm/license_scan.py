@@ -3,18 +3,19 @@
 Cue words are chosen from the wordings: of each, so many that no match can do without all of them (a match may lack a tenth of the
 words). Spark passes on the texts that have a cue, and a block is the words around one, as many on either side as the longest match spans,
 with overlapping blocks joined. So every match lies in a block, wherever the text has its line breaks, and a block is never cut short.
-Within a block every wording of which enough words are there (an exact bound: no other can match)
-is aligned word by word from each place where it can begin, and matches if at least MATCHED of its words appear in order within a stretch
-that has few others. The stretch is then compressed with the template as a zstandard raw dictionary: the bytes this saves over
-compressing it alone, as a share of what the template itself takes up, are reported and decide between wordings that match equally well.
-Only stretches are compressed, never a whole block, so the figures don't depend on how long a block is and no match hangs on them. Of
-overlapping matches the one with most words counts, and of those the one with fewest differences; the report names the differing words.
-Confirmed words are taken out of the block and the rest is tried again, so a block may hold several licenses.
+Of a block the wordings of which enough words are there (an exact bound: no other can match) are its candidates. The block is compressed
+alone and with each candidate as a zstandard raw dictionary, and the candidates are ranked by the bytes that this saves. In that order they are
+confirmed by their exact differences: a wording is aligned word by word from each place where it can begin, and matches if at least MATCHED of its words
+appear in order within a stretch that has few others. The first confirmed one wins, so of two wordings that both match, as of two versions of a license, the
+one that explains the block best is reported; ranking goes on until every candidate has been tried, so a bad rank loses no match.
+
+The winner's stretch parts the block in two, each of which is ranked and searched again by itself: no match reaches across a
+stretch that is taken. The report names the differing words, and the share of the template that it saves on its own stretch.
 
 Templates are short notices and the openings of common licenses; callers may pass their own.
 
-Edge cases: a null or empty text has no blocks; ties go to the match that comes first, then to the
-template that comes first by id; rows that repeat an id are reported each; an empty table gives no rows; extra columns are ignored.
+Edge cases: a null or empty text has no blocks; of candidates that save equally much the match with fewest differences counts, then that of more words,
+the first in the text and the template that comes first by id; so do a winner's places among themselves; rows that repeat an id are reported each; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 import difflib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -129,7 +130,8 @@ class Scanner:
         self.items = []
         for name in sorted(templates):
             for wording in templates[name]:
-                raw, words = wording.lower().encode(), tuple(w for w, _, _ in words_at(wording))
+                words = tuple(w for w, _, _ in words_at(wording))
+                raw = " ".join(words).encode()
                 if not words:
                     continue
                 own = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
@@ -152,56 +154,65 @@ class Scanner:
         if hi:
             yield words[lo:hi]
 
-    def saved(self, item: int, stretch: str) -> float:
-        """The share of the template's size that it saves on the stretch."""
-        raw = stretch.lower().encode("utf-8", "surrogatepass")
-        return (len(self.plain.compress(raw)) - len(self.items[item].own.compress(raw))) / self.items[item].size
-
-    def matches(self, have: list[str]) -> Iterator[Match]:
-        """Every stretch of the words that a wording matches, one at most for each place where it can begin."""
-        at: dict[str, list[int]] = {}
-        for i, w in enumerate(have):
-            at.setdefault(w, []).append(i)
-        for item, x in enumerate(self.items):
-            if sum(min(n, len(at.get(w, ()))) for w, n in x.counts.items()) < x.need:
+    def saving(self, item: int, have: Sequence[str]) -> int:
+        """The bytes that the wording as a dictionary saves on compressing words, wherever the text breaks its lines."""
+        raw = " ".join(have).encode("utf-8", "surrogatepass")
+        return len(self.plain.compress(raw)) - len(self.items[item].own.compress(raw))
+
+    def candidates(self, have: list[str]) -> list[int]:
+        """The wordings of which enough words are among those of a block; no other can match in it."""
+        there = Counter(have)
+        return [i for i, x in enumerate(self.items) if sum(min(n, there[w]) for w, n in x.counts.items()) >= x.need]
+
+    def ranked(self, have: list[str]) -> list[list[int]]:
+        """A block's candidates by what they save on it, those that save equally much together."""
+        by: dict[int, list[int]] = {}
+        for i in self.candidates(have):
+            by.setdefault(self.saving(i, have), []).append(i)
+        return [by[k] for k in sorted(by, reverse=True)]
+
+    def matches(self, item: int, have: list[str]) -> Iterator[Match]:
+        """Every stretch of the words that the wording matches, one at most for each place where it can begin."""
+        x = self.items[item]
+        for a in (i for i, w in enumerate(have) if w in x.first):
+            part = have[a : a + x.reach]
+            if sum(w in x.counts for w in part) < x.need:
                 continue
-            for a in sorted(i for w in x.first for i in at.get(w, ())):
-                part = have[a : a + x.reach]
-                if sum(w in x.counts for w in part) < x.need:
-                    continue
-                runs = [m for m in difflib.SequenceMatcher(None, x.words, part, autojunk=False).get_matching_blocks() if m.size]
-                hit = sum(m.size for m in runs)
-                if hit < x.need:
-                    continue
-                lo, hi = runs[0].b, runs[-1].b + runs[-1].size
-                if hi - lo - hit > MAX_EXTRA * len(x.words):
-                    continue
-                seen = {i for m in runs for i in range(m.a, m.a + m.size)}
-                used = {i for m in runs for i in range(m.b, m.b + m.size)}
-                yield Match(item, a + lo, a + hi, [w for i, w in enumerate(x.words) if i not in seen], [part[i] for i in range(lo, hi) if i not in used])
+            runs = [m for m in difflib.SequenceMatcher(None, x.words, part, autojunk=False).get_matching_blocks() if m.size]
+            hit = sum(m.size for m in runs)
+            if hit < x.need:
+                continue
+            lo, hi = runs[0].b, runs[-1].b + runs[-1].size
+            if hi - lo - hit > MAX_EXTRA * len(x.words):
+                continue
+            seen = {i for m in runs for i in range(m.a, m.a + m.size)}
+            used = {i for m in runs for i in range(m.b, m.b + m.size)}
+            yield Match(item, a + lo, a + hi, [w for i, w in enumerate(x.words) if i not in seen], [part[i] for i in range(lo, hi) if i not in used])
+
+    def winner(self, have: list[str]) -> Match | None:
+        """The best place of the first ranked wording that its differences confirm."""
+        for items in self.ranked(have):
+            found = min((m for i in items for m in self.matches(i, have)), key=lambda m: (len(m.missing) + len(m.extra), -len(self.items[m.item].words), m.lo, m.item), default=None)
+            if found:
+                return found
+        return None
 
     def scan(self, text: str) -> Iterator[dict]:
         """The licenses of a text: license, start, stop (code points), saved share, missing and extra words."""
         for words in self.blocks(text):
-            yield from self.scan_block(text, words)
-
-    def scan_block(self, text: str, words: list[tuple[str, int, int]]) -> Iterator[dict]:
-        while True:
-            ranked = []
-            for m in self.matches([w for w, _, _ in words]):
-                share = self.saved(m.item, text[words[m.lo][1] : words[m.hi - 1][2]])
-                # the wording of which most words are there, and of those the one with fewest differences
-                ranked.append(((len(m.missing) - len(self.items[m.item].words), len(m.missing) + len(m.extra), -share, m.lo, m.item), share, m))
-            if not ranked:
-                return
-            taken = bytearray(len(words))
-            for _, share, m in sorted(ranked, key=lambda x: x[0]):
-                if any(taken[m.lo : m.hi]):
-                    continue
-                taken[m.lo : m.hi] = b"\1" * (m.hi - m.lo)
-                yield {"license": self.items[m.item].name, "start": words[m.lo][1], "stop": words[m.hi - 1][2], "saved": round(share, 4), "missing": m.missing, "extra": m.extra}
-            # what is confirmed is taken out
-            words = [w for w, t in zip(words, taken) if not t]
+            yield from self.scan_block(words)
+
+    def scan_block(self, words: list[tuple[str, int, int]]) -> Iterator[dict]:
+        waiting = [words]
+        while waiting:
+            part = waiting.pop()
+            have = [w for w, _, _ in part]
+            m = self.winner(have)
+            if m is None:
+                continue
+            share = self.saving(m.item, have[m.lo : m.hi]) / self.items[m.item].size
+            yield {"license": self.items[m.item].name, "start": part[m.lo][1], "stop": part[m.hi - 1][2], "saved": round(share, 4), "missing": m.missing, "extra": m.extra}
+            waiting += [part[m.hi :], part[: m.lo]]
 
 
 def has_cue(text: Column, scanner: Scanner) -> Column:
