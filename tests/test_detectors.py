@@ -126,3 +126,22 @@ def test_egress_reasons(spark):
     assert rows == {1: [], 2: []}
     bad = core.egress_reasons(docs.withColumn("masked_text", F.col("text")), ok, "other", ("detect",), detectors=("email",)).filter("doc_id = 1").first()["reasons"]
     assert len(bad) == 5
+
+
+@pytest.mark.parametrize(
+    ("word", "part"),
+    [(w, "last") for w in ("Иванов", "Иванову", "Ивановым", "Ивановых", "Иванова", "Ивановой", "Ивановою", "Ивановами", "Семёнов", "Шевченко")]
+    + [(w, "patronymic") for w in ("Иванович", "Ивановича", "Ивановичем", "Ивановна", "Ивановне", "Ивановной", "Ивановною", "Петровичами", "Петровичах", "Ильинична", "Ильиничною")]
+    + [(w, "first") for w in ("Иван", "Ивану", "Иванами", "Анною", "Марией", "Мариею", "Льва", "Льву", "Львом", "Игорем", "Фёдор")],
+)
+def test_forms_have_their_part(word, part):
+    assert part in names.roles(word)
+
+
+def test_every_form_of_the_paradigm_is_known():
+    for part, bases in (("first", names.FIRST_NAMES), ("patronymic", names.PATRONYMICS), ("last", names.SURNAMES)):
+        for base in bases:
+            for gender in {base, names.feminine(base) if part != "first" else base} - {None}:
+                for form in names.forms(gender):
+                    assert (part, gender) in names.KNOWN[form] and part in names.roles(form)
+    assert names.roles("стол") == frozenset() and names.roles("И.") == {"initial"}
