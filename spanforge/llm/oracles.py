@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .quality_rules import DEFAULT as RULES
 from .quality_rules import SEQUENCE
+from .vector_codes import ENTRIES, PARTS, ROUNDS, SCALE
 
 #: Words, base metrics and base verdict of every document; ends in the relation base.
 QUALITY_BASE = r"""
@@ -101,3 +102,44 @@ ud AS (SELECT un.*, t.text, md5(array_to_string(list_slice(norms, i, j), ' ')) A
 ur AS (SELECT *, row_number() OVER w AS k, first_value(doc_id) OVER w AS kept_doc_id, first_value(start) OVER w AS kept_start, first_value(rid) OVER w AS kept_rid, first_value(stop) OVER w AS kept_stop FROM ud WINDOW w AS (PARTITION BY digest ORDER BY doc_id NULLS LAST, start))
 SELECT doc_id, start::BIGINT AS start, stop::BIGINT AS stop, digest, kept_doc_id, kept_start::BIGINT AS kept_start FROM ur WHERE rid <> kept_rid OR start >= kept_stop
 """.replace("{least}", "16")
+
+#: Every window of 50 bytes with the least id of its documents, the runs of those that have a smaller one, and what lies between.
+OP11 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT rid, doc_id, i, array_slice(b, i, i + 49) AS s FROM (SELECT rid, doc_id, b, unnest(range(1, octet_length(b) - 48)) AS i FROM d WHERE octet_length(b) >= 50)),
+m AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+g AS (SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS before FROM w JOIN m USING (s) WHERE first < doc_id OR (doc_id IS NULL AND first IS NOT NULL)),
+k AS (SELECT rid, i, sum(CASE WHEN i <= before + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY i) AS run FROM g),
+r AS (SELECT rid, run, min(i) AS a, max(i) + 49 AS z FROM k GROUP BY rid, run),
+p AS (SELECT *, coalesce(lag(z) OVER (PARTITION BY rid ORDER BY a), 0) AS upto FROM r),
+o AS (SELECT rid, sum(z - a + 1)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans, string_agg(CASE WHEN a > upto + 1 THEN hex(array_slice(b, upto + 1, a - 1)) ELSE '' END, '' ORDER BY a) || CASE WHEN max(z) < octet_length(any_value(b)) THEN hex(array_slice(any_value(b), max(z) + 1, octet_length(any_value(b)))) ELSE '' END AS kept FROM p JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(CASE WHEN o.rid IS NULL THEN b ELSE unhex(kept) END) AS kept_sha256 FROM d LEFT JOIN o USING (rid)
+"""
+
+
+def _rounds() -> str:
+    """Assignment and means of each round; the squared distance is compared without the point's own square."""
+    near = "arg_min(e, {'d': list_inner_product(c, c) - 2 * list_inner_product(y, c), 'e': e}) AS e"
+    out = []
+    for r in range(ROUNDS + 1):
+        out.append(f"a{r} AS MATERIALIZED (SELECT rid, pt.p AS p, {near} FROM pt JOIN b{r} ON pt.p = b{r}.p GROUP BY rid, pt.p)")
+        if r < ROUNDS:
+            out.append(f"m{r} AS (SELECT a.p AS p, a.e AS e, j, floor(sum(y[j]) / count(*)) AS m FROM a{r} a JOIN pt ON pt.rid = a.rid AND pt.p = a.p, (SELECT unnest(range(1, (SELECT max(len(y)) FROM pt) + 1)) AS j) GROUP BY ALL)")
+            out.append(f"b{r + 1} AS MATERIALIZED (SELECT b.e AS e, b.p AS p, coalesce(n.c, b.c) AS c FROM b{r} b LEFT JOIN (SELECT p, e, list(m ORDER BY j) AS c FROM m{r} GROUP BY p, e) n ON n.p = b.p AND n.e = b.e)")
+    return ",\n".join(out)
+
+
+OP13 = f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda c: floor({SCALE} * c::DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c::DOUBLE))) = 0),
+q AS (SELECT unnest(range({PARTS})) AS p),
+pt AS MATERIALIZED (SELECT rid, p, x[p * (len(x) // {PARTS}) + 1 : (p + 1) * (len(x) // {PARTS})] AS y FROM v, q),
+s AS (SELECT rid, row_number() OVER (ORDER BY vec_id NULLS LAST, x) - 1 AS e FROM v QUALIFY e < {ENTRIES}),
+b0 AS MATERIALIZED (SELECT e, p, y AS c FROM s JOIN pt USING (rid)),
+{_rounds()},
+f AS (SELECT rid, string_agg(lower(lpad(to_hex(a.e), 2, '0')), '' ORDER BY a.p) AS code, sum(list_inner_product(list_transform(list_zip(y, c), lambda z: z[1] - z[2]), list_transform(list_zip(y, c), lambda z: z[1] - z[2])))::BIGINT AS error
+  FROM a{ROUNDS} a JOIN b{ROUNDS} b ON a.p = b.p AND a.e = b.e JOIN pt USING (rid) WHERE pt.p = a.p GROUP BY rid)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(k::BIGINT::VARCHAR, ',' ORDER BY p, e, j)) FROM (SELECT p, e, unnest(c) AS k, unnest(range(len(c))) AS j FROM b{ROUNDS})) AS codebooks_sha256
+FROM f JOIN v USING (rid)
+"""

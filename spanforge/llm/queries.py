@@ -42,4 +42,6 @@ ORACLES: dict[str, str] = {
     "op9_quality_rules": oracles.OP9,
     "op5_decontaminate": oracles.OP5,
     "op2_unit_dedup": oracles.OP2,
+    "op11_suffix_dedup": oracles.OP11,
+    "op13_vector_codes": oracles.OP13,
 }
