@@ -8,12 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanforge.functions.spans import let
 
+from . import names
+
 WINDOW, OVERLAP = 254, 48
 PRIVATE = (0.80, 0.50)  # least entailment, least margin over the other two
 PUBLIC = {"default": (0.80, 0.50), "education": (0.55, 0.10)}
@@ -56,12 +60,22 @@ def argmax(x: Column) -> Column:
     return F.array_position(x, F.array_max(x)) - 1
 
 
+@F.pandas_udf(T.BooleanType())
+def plausible(words: pd.Series) -> pd.Series:
+    """Whether words, parted by white space, read as one name: parts in a known order, at most one of them an unknown capitalised word."""
+    return pd.Series([bool(names.readings(w.split()) & {"whole", "open"}) for w in words], dtype=bool)
+
+
 def join_names(spans: DataFrame, text: str = "text") -> DataFrame:
-    """Neighbouring name spans with only white space between, as one span each (in addition to the parts)."""
-    w = W.partitionBy("doc_id").orderBy("start")
-    nxt = spans.withColumns({"__s": F.lead("start").over(w), "__e": F.lead("stop").over(w)}).filter(F.col("__s").isNotNull())
-    gap = F.substring(F.col(text), F.col("stop") + 1, F.col("__s") - F.col("stop"))
-    return nxt.filter((F.col("__s") > F.col("stop")) & (F.btrim(gap) == "")).select("doc_id", "start", F.col("__e").alias("stop"))
+    """Neighbouring name spans with only white space between that are one name of two or three words, as one span each (in addition to the parts).
+
+    Two whole people are never joined: their words don't read as one name."""
+    w = W.partitionBy("doc_id").orderBy("start", "stop")
+    nxt = spans.withColumns({"__s": F.lead("start").over(w), "__e": F.lead("stop").over(w)}).filter(F.col("__s") > F.col("stop"))
+    piece = lambda a, b: F.substring(F.col(text), a + 1, b - a)
+    near = nxt.filter(piece(F.col("stop"), F.col("__s")).rlike(r"(?U)^\s+$")).withColumn("__v", piece(F.col("start"), F.col("__e")))
+    short = near.filter(F.size(F.split(F.col("__v"), r"(?U)\s+")).between(2, 3))
+    return short.filter(plausible("__v")).select("doc_id", "start", F.col("__e").alias("stop"))
 
 
 def decide(scores: DataFrame) -> DataFrame:

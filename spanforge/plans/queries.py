@@ -651,9 +651,14 @@ def mask_oracle(spark, d):
     return masked.select("doc_id", evaluate.mask_accepted(F.col("text"), F.col("resolved"), F.col("masked_text")).alias("accepted"))
 
 
-@query(f"WITH t AS (SELECT * FROM {TEXTS_SQL}), g AS {_GOLD}, n AS (SELECT *, lead(start) OVER w AS s, lead(stop) OVER w AS e FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY start)) SELECT n.doc_id, start, e AS stop FROM n JOIN t USING (doc_id) WHERE s > stop AND trim(substr(text, stop + 1, s - stop)) = ''")
+#: Names' words in the forms, and a word behind a comma.
+_NAME_WORDS = [(25, 7, 11), (25, 12, 20), (25, 21, 27), (26, 5, 14), (26, 15, 24), (27, 5, 13), (27, 14, 18), (27, 19, 27), (27, 29, 38)]
+
+
+@query(f"SELECT o_orderkey AS doc_id, a::INT AS start, b::INT AS stop FROM orders JOIN (VALUES (25, 7, 20), (25, 12, 27), (26, 5, 24), (27, 5, 18), (27, 14, 27)) AS v(form, a, b) ON o_orderkey % {len(fixtures.TEXTS)} = form")
 def sem_join_names(spark, d):
-    return models.join_names(_labelled(spark, d)[0].join(fixtures.texts(spark, d), "doc_id"))
+    spans = fixtures.relation(spark, d, fixtures.of_forms("doc_id", _NAME_WORDS, "doc_id, start, stop"), "orders")
+    return models.join_names(spans.join(fixtures.texts(spark, d), "doc_id"))
 
 
 _SEM = [(1, "Музей имени Ивана Петрова открыт."), (2, "Анкета клиента Ивана Петрова."), (3, "Учебник: теория Ивана Петрова о рефлексах."), (4, "Встретили Ивана Петрова. В газете опубликовано интервью."), (5, "В открытом каталоге указан автор Иван Петров.")]

@@ -253,3 +253,13 @@ def test_no_task_of_a_range_join_holds_a_key(spark):
     out = joins.near(e, e.filter("start % 7 = 0"), 2, 2, width=1024)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Inner" not in plan and "__block" in plan and out.count() + joins.near(e, e.filter("start % 7 = 0"), 2, 2, anti=True, width=1024).count() == 40_000
+
+
+def test_only_words_that_read_as_one_name_are_joined(spark):
+    text = "Иван Петров Анна Смирнова, дом окно"
+    at = lambda *words: [(1, text.index(w), text.index(w) + len(w)) for w in words]
+    spans = lambda rows: spark.createDataFrame([(*r, text) for r in rows], "doc_id int, start int, stop int, text string")
+    joined = lambda rows: {text[r["start"] : r["stop"]] for r in models.join_names(spans(rows)).collect()}
+    assert joined(at("Иван", "Петров")) == {"Иван Петров"}
+    assert joined(at("Иван Петров", "Анна Смирнова")) == set()
+    assert joined(at("Смирнова", "дом")) == set() and joined(at("дом", "окно")) == set()
