@@ -644,11 +644,14 @@ def agg_roundtrip(spark, d):
     return out.agg(F.count("*").alias("n"), F.avg((F.col("restored") == F.col("text")).cast("double")).alias("share_restored"))
 
 
-@query(_ISLANDS + " SELECT doc_id, true AS accepted FROM (SELECT DISTINCT doc_id FROM r)")
+@query(_ISLANDS + " SELECT doc_id, doc_id % 3 = 0 AS accepted FROM (SELECT DISTINCT doc_id FROM r)")
 def mask_oracle(spark, d):
-    """Whether a masked text is the original with each value replaced by tokens, by a pattern made for each row."""
+    """Whether a masked text is the original with each value replaced by tokens, by a pattern made for each row. Two thirds of the texts are spoiled first: by a
+    further character at the end, or by a value that is put back in the place of its token."""
     masked = core.mask(_resolved(spark, d), KEY).filter("size(resolved) > 0")
-    return masked.select("doc_id", evaluate.mask_accepted(F.col("text"), F.col("resolved"), F.col("masked_text")).alias("accepted"))
+    put_back = F.replace(F.col("masked_text"), F.get("mapping", F.lit(0))["token"], F.get("mapping", F.lit(0))["value"])
+    seen = F.when(F.col("doc_id") % 3 == 0, F.col("masked_text")).when(F.col("doc_id") % 3 == 1, F.concat("masked_text", F.lit("x"))).otherwise(put_back)
+    return masked.select("doc_id", evaluate.mask_accepted(F.col("text"), F.col("resolved"), seen).alias("accepted"))
 
 
 #: Names' words in the forms, and a word behind a comma.
