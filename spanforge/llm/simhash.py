@@ -156,11 +156,10 @@ def representatives(docs: DataFrame) -> DataFrame:
     """One row of docs for each group: the one with the least id (a null one last), of several texts under it the one with the least hash.
 
     A row belongs to the group of its own text, whatever else its id names; of rows equal in id and text any one stays."""
-    named = docs.withColumn("__h", F.xxhash64("text"))
-    of = cut(fingerprints(named.select(F.struct("doc_id", "__h").alias("doc_id"), "text")).select("doc_id.*", "fp"), "simhash-fp")
+    packed = docs.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").alias("__d"), F.xxhash64("text").alias("__h"))
+    of = cut(fingerprints(packed.select(F.struct(F.col("__d").alias("doc_id"), "__h").alias("doc_id"), F.col("__row.text").alias("text"))).select("doc_id.*", "fp"), "simhash-fp")
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__h")
     chosen = cut(of.join(groups(of), "fp").groupBy("label").agg(F.min(rank).alias("r")).select(F.col("r.doc_id").alias("__id"), F.col("r.__h").alias("__own")), "simhash-chosen")
-    packed = named.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").alias("__d"), "__h")
     kept = packed.join(chosen, (F.col("__h") == F.col("__own")) & F.col("__d").eqNullSafe(F.col("__id")), "left_semi")
     return kept.groupBy("__d", "__h").agg(F.first("__row").alias("__row")).select("__row.*")
 

@@ -103,3 +103,11 @@ def test_empty_and_extra_columns(simple):
     assert simhash.near_duplicates(docs).count() == 1
     assert simhash.representatives(docs).first()["fp"] == "mine"
     assert simhash.near_duplicates(docs.filter("false")).count() == 0
+
+
+def test_representatives_keep_columns_of_any_name(simple):
+    text = "one two three four five six seven eight nine ten"
+    docs = simple([text, text, "quite another text that has nothing in common with the first"]).selectExpr("*", "'mine' AS __h", "doc_id * 10 AS __d", "'row' AS __row", "7 AS fp", "8 AS label")
+    out = simhash.representatives(docs)
+    assert out.columns == docs.columns
+    assert sorted((r["doc_id"], r["__h"], r["__d"], r["__row"], r["fp"], r["label"]) for r in out.collect()) == [(0, "mine", 0, "row", 7, 8), (2, "mine", 20, "row", 7, 8)]
