@@ -103,15 +103,23 @@ ABBREVIATIONS = ("г", "ул", "д", "кв", "стр", "корп", "им", "пр
 
 def sentences(docs: DataFrame) -> DataFrame:
     """doc_id, start, stop of the sentences of text: cut behind [.!?;] and white space, or newlines; a dot behind one letter or an abbreviation doesn't end one."""
-    from spanforge.functions.spans import find
+    from spanforge.functions.spans import let, running
 
-    text = F.col("text")
+    text, sign = F.col("text"), r"(?U)[.!?;]\s+|\n+"
 
-    def ends(m: Column) -> Column:
-        word = F.regexp_extract(F.substring(text, F.greatest(m["start"] - 11, F.lit(1)), F.least(m["start"], F.lit(12))), "([А-ЯЁа-яёA-Za-z]+)$", 1)
-        dot = F.substring(text, m["start"] + 1, F.lit(1)) == "."
-        return ~(dot & ((F.length(word) == 1) | F.lower(word).isin(*ABBREVIATIONS)))
+    def ends(x: Column) -> Column:
+        # the word before a sign is the end of the piece before it, so that nothing walks through the text again
+        def one(gap: Column, m: Column) -> Column:
+            word = F.when(m.startswith("."), F.regexp_extract(F.substring(gap, F.greatest(F.length(gap) - 11, F.lit(1)), F.lit(12)), "([А-ЯЁа-яёA-Za-z]+)$", 1)).otherwise("")
+            size = F.length(gap) + F.length(m)
+            return F.struct(size.alias("n"), ((F.length(word) != 1) & ~F.lower(word).isin(*ABBREVIATIONS)).alias("ends"))
 
-    cuts = F.transform(F.filter(find(text, (r"[.!?;]\s+|\n+",), flags="(?U)"), ends), lambda m: m["stop"])
-    bounds = F.zip_with(F.concat(F.array(F.lit(0)), cuts), F.concat(cuts, F.array(F.length(text))), lambda a, b: F.struct(a.alias("start"), b.alias("stop")))
+        pieces = F.zip_with(F.slice(x["gaps"], F.lit(1), F.size(x["signs"])), x["signs"], one)
+        at = lambda p: let(running(F.transform(p, lambda y: y["n"]), lambda a, b: a + b), lambda upto: F.transform(p, lambda y, i: F.when(y["ends"], F.get(upto, i))))
+        return F.array_compact(let(pieces, at))
+
+    cuts = let(F.struct(F.split(text, sign).alias("gaps"), F.regexp_extract_all(text, F.lit(sign), F.lit(0)).alias("signs")), ends)
+    whole = let(F.length(text), lambda n: F.filter(F.array(F.struct(F.lit(0).alias("start"), n.alias("stop"))), lambda s: s["stop"] > 0))
+    between = let(cuts, lambda c: F.zip_with(F.concat(F.array(F.lit(0)), c), F.concat(c, F.array(F.length(text))), lambda a, b: F.struct(a.alias("start"), b.alias("stop"))))
+    bounds = F.when(text.rlike(sign), between).otherwise(whole)
     return docs.select("doc_id", F.explode(F.filter(bounds, lambda s: s["start"] < s["stop"])).alias("s")).select("doc_id", "s.start", "s.stop")

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -263,3 +264,19 @@ def test_only_words_that_read_as_one_name_are_joined(spark):
     assert joined(at("Иван", "Петров")) == {"Иван Петров"}
     assert joined(at("Иван Петров", "Анна Смирнова")) == set()
     assert joined(at("Смирнова", "дом")) == set() and joined(at("дом", "окно")) == set()
+
+
+def test_sentences_of_a_long_text_take_time_in_proportion(spark):
+    """Words before a dot come from the piece before it, not from a walk through the whole text for every sign."""
+    one = "Он жил в г. Москве, ул. Мира. Да! A. B\n\nКонец; точка. "
+
+    def took(n):
+        best = []
+        for _ in range(2):
+            began = time.time()
+            got = joins.sentences(spark.createDataFrame([(1, one * n)], "doc_id int, text string")).agg(F.count("*"), F.max("stop")).first()
+            best.append(time.time() - began)
+        assert tuple(got) == (5 * n, len(one) * n)
+        return min(best)
+
+    assert took(8000) < 8 * took(2000) + 1
