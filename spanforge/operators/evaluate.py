@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanforge.functions.spans import cuts_of, let
 from spanforge.functions.tables import stored
@@ -78,14 +81,58 @@ def nonspace_chars(docs: DataFrame, gold: DataFrame, found: DataFrame) -> DataFr
     return out.filter("all > 0").select("doc_id", "missing", "unexpected", ((F.col("missing") == 0) & (F.col("unexpected") == 0)).alias("exact"))
 
 
+_TOKEN = r"⟦PII:[A-Z_]+:[A-Za-z0-9_-]+⟧"
+_FIRST, _NEXT = re.compile(_TOKEN), re.compile(rf"[ \t\n\x0b\f\r]*{_TOKEN}")
+
+
+def _ends(text: str, at: int) -> bool:
+    """Whether text ends at a place, give or take one line end."""
+    return text[at:] in ("", "\n", "\r\n", "\r", "\x85", "\u2028", "\u2029") and not text[max(at - 1, 0) :] == "\r\n"
+
+
+def accepted(text: str, spans: Sequence[tuple[int, int]], masked: str) -> bool:
+    """mask_accepted() of one text, without backtracking: the places that can be reached behind each piece, piece by piece.
+
+    Neighbouring tokens can be dealt to the spans in exponentially many ways. But where a piece without a token's bracket is reached, and a token behind it,
+    further tokens of that row of tokens reach nothing that the next span's tokens don't, so the first such place stands for all."""
+    edges = [0, *(x for s in spans for x in s), len(text)]
+    gaps = [text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]
+    if not masked.startswith(gaps[0]):
+        return False
+    if not spans:
+        return _ends(masked, len(gaps[0]))
+    seen = {len(gaps[0])}
+    for gap in gaps[1:-1]:
+        reached, tried = set(), set()
+        for p in seen:
+            m = _FIRST.match(masked, p)
+            while m and (q := m.end()) not in tried:
+                tried.add(q)
+                if masked.startswith(gap, q) and _FIRST.match(masked, q + len(gap)):
+                    reached.add(q + len(gap))
+                    if "⟦" not in gap:
+                        break
+                m = _NEXT.match(masked, q)
+        seen = reached
+    tried = set()
+    for p in seen:
+        m = _FIRST.match(masked, p)
+        while m and (q := m.end()) not in tried:
+            tried.add(q)
+            if masked.startswith(gaps[-1], q) and _ends(masked, q + len(gaps[-1])):
+                return True
+            m = _NEXT.match(masked, q)
+    return False
+
+
+@F.pandas_udf(T.BooleanType())
+def _accepted(text: pd.Series, starts: pd.Series, stops: pd.Series, masked: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None or a is None or m is None else accepted(t, list(zip(a, b, strict=True)), m) for t, a, b, m in zip(text, starts, stops, masked, strict=True)], dtype=object)
+
+
 def mask_accepted(text: Column, resolved: Column, masked: Column) -> Column:
     """Whether masked is text with every resolved span replaced by one or more tokens, white space between them allowed."""
-    starts = F.concat(F.array(F.lit(0)), F.transform(resolved, lambda r: r["stop"]))
-    stops = F.concat(F.transform(resolved, lambda r: r["start"]), F.array(F.length(text)))
-    quoted = lambda x: F.concat(F.lit("\\Q"), F.replace(x, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    gaps = F.zip_with(starts, stops, lambda a, b: quoted(F.substring(text, a + 1, b - a)))
-    token = r"⟦PII:[A-Z_]+:[A-Za-z0-9_-]+⟧"
-    return F.regexp_like(masked, F.concat(F.lit("^"), F.array_join(gaps, rf"{token}(?:\s*{token})*"), F.lit("$")))
+    return _accepted(text, F.transform(resolved, lambda r: r["start"]), F.transform(resolved, lambda r: r["stop"]), masked)
 
 
 def outcome_of_gold(gold: DataFrame, found: DataFrame) -> DataFrame:

@@ -280,3 +280,28 @@ def test_sentences_of_a_long_text_take_time_in_proportion(spark):
         return min(best)
 
     assert took(8000) < 8 * took(2000) + 1
+
+
+def test_a_row_of_neighbouring_tokens_is_tested_without_backtracking():
+    """Of 40 values in a row the text is spoiled at its end: a pattern tried all ways to deal the tokens to the spans."""
+    from spanforge.operators.evaluate import accepted
+
+    t = "⟦PII:CARD:a-1⟧"
+    spans = [(5 * i, 5 * i + 4) for i in range(40)]
+    text, masked = " ".join(["1234"] * 40), " ".join([t] * 40)
+    assert accepted(text, spans, masked) and accepted(text, spans, masked + "\n") and accepted(text, spans, masked + " " + t)
+    assert not accepted(text, spans, masked + "x") and not accepted(text, spans, masked[len(t) + 1 :]) and not accepted(text, spans, masked.replace(" ", "", 1))
+    # by the pattern itself, on short rows of tokens, planted ones too
+    import re
+
+    r = random.Random(3)
+    for _ in range(3000):
+        gaps = ["".join(r.choice(["", " ", "\n", "x", t]) for _ in range(r.randint(0, 2))) for _ in range(r.randint(1, 4))]
+        at, spans = 0, []
+        for g in gaps[:-1]:
+            spans.append((at + len(g), at + len(g) + 2))
+            at += len(g) + 2
+        text = "12".join(gaps)
+        masked = "".join(g + (" " if r.random() < 0.3 else "").join([t] * r.randint(0 if r.random() < 0.1 else 1, 3)) for g in gaps[:-1]) + gaps[-1] + r.choice(["", "", "x", "\n"])
+        run = rf"{t}(?:\s*{t})*"
+        assert accepted(text, spans, masked) == (re.match("^" + run.join(re.escape(g) for g in gaps) + "$", masked) is not None), (text, spans, masked)
