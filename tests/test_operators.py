@@ -305,3 +305,14 @@ def test_a_row_of_neighbouring_tokens_is_tested_without_backtracking():
         masked = "".join(g + (" " if r.random() < 0.3 else "").join([t] * r.randint(0 if r.random() < 0.1 else 1, 3)) for g in gaps[:-1]) + gaps[-1] + r.choice(["", "", "x", "\n"])
         run = rf"{t}(?:\s*{t})*"
         assert accepted(text, spans, masked) == (re.match("^" + run.join(re.escape(g) for g in gaps) + "$", masked) is not None), (text, spans, masked)
+
+
+def test_refine_works_a_passage_out_once(spark, sf):
+    """Guards and labels at names are read from a table by all that follows; rows are those of the SQL."""
+    from spanforge.plans import fixtures
+    from spanforge.plans import queries as Q
+
+    out = Q.sem_refine(spark, sf)
+    assert "kinds_at" not in out._jdf.queryExecution().optimizedPlan().toString()
+    want = fixtures.relation(spark, sf, Q._sem_sql(Q._SEM_ANSWERS, "decision, reason"), "orders").select("doc_id", "decision", "reason")
+    assert out.exceptAll(want).isEmpty() and want.exceptAll(out).isEmpty()
