@@ -820,11 +820,11 @@ def vault_store(spark, d):
 
 @query(_STORE)
 def vault_stream(spark, d):
-    """The same requests read as a file stream, with state, timers and a watermark."""
+    """The same requests replayed as a file stream in the order of their times, with state, timers and a watermark."""
     from spanforge.streaming import vault
 
-    stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events*.parquet")
-    return vault.run_available(vault.process_stream(_store_requests(stream)), tables.shared_dir(spark)).select("payload_id", "seq", "outcome", "result")
+    stream = vault.replayed(_store_requests(table(spark, d, "events")), tables.shared_dir(spark))
+    return vault.run_available(vault.process_stream(stream), tables.shared_dir(spark)).select("payload_id", "seq", "outcome", "result")
 
 
 # Token windows, candidates and the rewrite of detections.

@@ -60,6 +60,28 @@ def process_stream(requests: DataFrame, late: str = "10 minutes") -> DataFrame:
     return rows.withWatermark("at", late).groupBy("namespace", "payload_id").transformWithState(Store(), OUTPUT, "Append", "EventTime")
 
 
+#: Requests in a micro-batch of replayed(): a key's rows of one batch are sorted in a Python worker's memory.
+BATCH_ROWS = 1_000_000
+
+
+def replayed(requests: DataFrame, folder: str, rows: int = BATCH_ROWS) -> DataFrame:
+    """Requests at hand (at: their event time) as a stream of about so many rows in a micro-batch, in the order of their times.
+
+    They are dealt by range of time, and the ranges are written to the stream's folder one after the other, a file each, so that its files' times have
+    the order of the requests' times: no batch holds requests from before an earlier one, and the watermark drops none. Rows of one moment stay together;
+    more than so many at one moment make a larger batch. Rows without a time come first."""
+    spark, base = requests.sparkSession, f"{folder.rstrip('/')}/replay-{uuid.uuid4().hex}"
+    n = max(1, -(-requests.count() // rows))
+    cuts = requests.select(F.col("at").cast("double").alias("at")).approxQuantile("at", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else []
+    place = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col("at").cast("double"))) if cuts else F.lit(0)
+    # null times compare as null, which filter() leaves out: range 0
+    requests.withColumn("__range", place).repartition("__range").write.partitionBy("__range").parquet(f"{base}/ranges")
+    kept = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in requests.schema)}, __range int").parquet(f"{base}/ranges")
+    for i in range(len(set(cuts)) + 1):
+        kept.filter(F.col("__range") == i).drop("__range").coalesce(1).write.mode("append").parquet(f"{base}/in")
+    return spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+
+
 def run_available(stream: DataFrame, folder: str) -> DataFrame:
     """What a stream gives for all that there is now, as a table in a folder that all executors share."""
     spark, at = stream.sparkSession, f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"

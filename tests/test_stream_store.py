@@ -81,3 +81,16 @@ def test_the_store_is_read_at_one_time(spark):
     writes = spark.createDataFrame([("n", "k", START, 1.0, 8), ("n", "l", START + timedelta(seconds=7200), 2.0, 8)], "namespace string, key string, ts timestamp, value double, size_bytes int")
     now = writes.agg(F.max("ts"))
     assert [r["key"] for r in lifecycle.live(writes, now).collect()] == ["l"]
+
+
+def test_replayed_requests_come_in_bounded_batches_in_order_of_time(spark, tmp_path):
+    """Requests that lie in any order, over more time than the watermark allows for, give what the fold gives; no batch holds them all."""
+    actions = ["process", "claim", "commit", "get", "release", "process"]
+    rows = [request(i, (i * 7919) % 40_000, actions[i % 6], ["a@b.org", "other", "[X]"][i % 3], f"w{i % 2}", f"p{i % 2}") for i in range(400)]
+    requests = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    stream = vault.replayed(requests, str(tmp_path), rows=100)
+    sizes = [r["count"] for r in spark.read.parquet(str(next(tmp_path.glob("replay-*/in")))).groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) == 4 and max(sizes) <= 150
+    got = vault.run_available(vault.process_stream(stream), str(tmp_path)).select("payload_id", "seq", "outcome", "result")
+    want = lifecycle.store(requests).select("payload_id", "seq", "outcome", "result")
+    assert got.count() == 400 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
