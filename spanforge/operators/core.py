@@ -163,7 +163,9 @@ def resolve(docs: DataFrame) -> DataFrame:
 
 def spans(docs: DataFrame) -> DataFrame:
     """A row for each sensitive span: doc_id, text, ord (its place in detection order), category, detector_id, rule_id, score, start, stop."""
-    d = docs.select("doc_id", "text", F.posexplode("detections").alias("i", "d"))
+    # outer: of an inner explode Spark infers a filter on the array, which it pushes below the projections that make array and text. There the
+    # detectors are worked out a second and third time, with the text's own expression copied into every place that uses it
+    d = docs.select("doc_id", "text", F.posexplode_outer("detections").alias("i", "d")).filter("d IS NOT NULL")
     s = d.select("doc_id", "text", "i", "d", F.posexplode("d.sensitive").alias("k", "s"))
     return s.select("doc_id", "text", "i", "k", "d.category", "d.detector_id", "d.rule_id", "d.score", "s.start", "s.stop")
 
@@ -270,7 +272,7 @@ def guard_output(docs: DataFrame, key: bytes, detectors: Sequence[str | RegexDet
 
 def category_counts(docs: DataFrame) -> DataFrame:
     """doc_id, category and n of the resolved spans."""
-    return docs.select("doc_id", F.explode("resolved").alias("r")).groupBy("doc_id", F.col("r.category").alias("category")).agg(F.count("*").alias("n"))
+    return docs.select("doc_id", F.explode_outer("resolved").alias("r")).filter("r IS NOT NULL").groupBy("doc_id", F.col("r.category").alias("category")).agg(F.count("*").alias("n"))
 
 
 def apply_policy(docs: DataFrame, policy: Policy, key: bytes, detectors: Sequence[str | RegexDetector] = tuple(NATIVE)) -> DataFrame:

@@ -180,7 +180,7 @@ def mask_all_categories(spark, d):
     _ISLANDS + ", x AS (SELECT r.doc_id, start, length(substr(text, 1, start)) - length(replace(substr(text, 1, start), chr(10), '')) AS line FROM r JOIN documents USING (doc_id)) SELECT doc_id, start, line::INT AS line FROM x"
 )
 def record_index(spark, d):
-    r = _resolved(spark, d).select("doc_id", "text", F.explode("resolved").alias("r"))
+    r = _resolved(spark, d).select("doc_id", "text", F.explode_outer("resolved").alias("r")).filter("r IS NOT NULL")
     return r.select("doc_id", F.col("r.start").alias("start"), core.line_of(F.col("text"), F.col("r.start")).alias("line"))
 
 
@@ -192,8 +192,8 @@ def record_index(spark, d):
 def core_combination(spark, d):
     found = core.detect(fixtures.texts(spark, d), ("card", "pin"))
     after = core.combine(found, (core.CombinationRule("pin_requires_related_card", "PIN", "CARD"),))
-    before = found.select("doc_id", F.explode("detections").alias("d")).filter("d.category = 'PIN'").select("doc_id", F.col("d.start").alias("at"), F.col("d.sensitive")[0].alias("s"))
-    now = after.select("doc_id", F.explode("detections").alias("d")).filter("d.category = 'PIN'").select("doc_id", F.col("d.start").alias("at"), (F.size("d.sensitive") > 0).alias("masked"))
+    before = found.select("doc_id", F.explode_outer("detections").alias("d")).filter("d.category = 'PIN'").select("doc_id", F.col("d.start").alias("at"), F.col("d.sensitive")[0].alias("s"))
+    now = after.select("doc_id", F.explode_outer("detections").alias("d")).filter("d.category = 'PIN'").select("doc_id", F.col("d.start").alias("at"), (F.size("d.sensitive") > 0).alias("masked"))
     return before.join(now, ["doc_id", "at"]).select("doc_id", "s.start", "s.stop", "masked")
 
 
@@ -635,7 +635,7 @@ def token_category_count(spark, d):
     """Categories counted from the tokens that stand in the masked texts."""
     masked = core.mask(_resolved(spark, d), KEY)
     names = F.regexp_extract_all("masked_text", F.lit("⟦PII:([A-Z_]+):[A-Za-z0-9_-]+⟧"), F.lit(1))
-    return masked.select(F.explode(names).alias("category")).groupBy("category").agg(F.count("*").alias("n"))
+    return masked.select(F.explode_outer(names).alias("category")).filter("category IS NOT NULL").groupBy("category").agg(F.count("*").alias("n"))
 
 
 @query("SELECT count(*)::BIGINT AS n, 1.0::DOUBLE AS share_restored FROM documents")

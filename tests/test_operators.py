@@ -316,3 +316,19 @@ def test_refine_works_a_passage_out_once(spark, sf):
     assert "kinds_at" not in out._jdf.queryExecution().optimizedPlan().toString()
     want = fixtures.relation(spark, sf, Q._sem_sql(Q._SEM_ANSWERS, "decision, reason"), "orders").select("doc_id", "decision", "reason")
     assert out.exceptAll(want).isEmpty() and want.exceptAll(out).isEmpty()
+
+
+def test_spans_work_the_detectors_out_once(spark, sf, capsys):
+    from spanforge.plans import fixtures, queries
+
+    found = queries.span_rows(fixtures.texts(spark, sf), "inn")
+    found.explain("extended")
+    plan = capsys.readouterr().out.partition("Optimized Logical Plan")[2].partition("Physical Plan")[0]
+    assert plan and "RLIKE(CASE" not in plan and "isnotnull(CASE" not in plan
+
+
+def test_empty_and_null_detections_give_no_spans(spark):
+    docs = spark.createDataFrame([(1, "a@b.com and c@d.org"), (2, "nothing"), (3, None), (4, "")], "doc_id int, text string")
+    found = core.detect(docs, ("email", "phone"))
+    assert [(r["doc_id"], r["start"], r["stop"]) for r in core.spans(found).orderBy("doc_id", "start").collect()] == [(1, 0, 7), (1, 12, 19)]
+    assert [tuple(r) for r in core.category_counts(core.resolve(found)).collect()] == [(1, "EMAIL", 2)]
