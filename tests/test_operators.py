@@ -332,3 +332,22 @@ def test_empty_and_null_detections_give_no_spans(spark):
     found = core.detect(docs, ("email", "phone"))
     assert [(r["doc_id"], r["start"], r["stop"]) for r in core.spans(found).orderBy("doc_id", "start").collect()] == [(1, 0, 7), (1, 12, 19)]
     assert [tuple(r) for r in core.category_counts(core.resolve(found)).collect()] == [(1, "EMAIL", 2)]
+
+
+def test_mutations_of_whole_texts_equal_those_by_character(spark):
+    texts = ["ΣΑΣ ΣΟΦΟΣ İß ŉ, ﬁ 😀Σ", "", None, "Иван, ab-c, Σ", "one field", "a, b"]
+    docs = spark.createDataFrame([(i, t, g) for i, t in enumerate(texts) for g in ([], [(0, 3, "X"), (2, 4, "Y")])], "doc_id int, text string, gold " + mutate.GOLD)
+    rows = lambda df: [(r["doc_id"], r["text"], r["gold"]) for r in df.orderBy("doc_id", F.size("gold")).collect()]
+    assert rows(mutate.uppercase(docs)) == rows(mutate._rewritten(docs, lambda c, i: F.upper(c)))
+    assert rows(mutate.lowercase(docs)) == rows(mutate._rewritten(docs, lambda c, i: F.lower(c)))
+    for name in ("bracket_wrap", "emoji_combining", "reorder_fields"):
+        for r in mutate.ALL[name](docs).filter("size(gold) = 0").collect():
+            want = texts[r["doc_id"]]
+            assert r["text"] == want or name == "reorder_fields" and sorted(r["text"].split(", ")) == sorted(want.split(", "))
+
+
+def test_mutations_read_stored_labelled_texts(spark, sf, capsys):
+    from spanforge.plans import queries
+
+    queries.lab_action_a(spark, sf).explain("extended")
+    assert "Join" not in capsys.readouterr().out.partition("Optimized Logical Plan")[2]
