@@ -42,12 +42,6 @@ class Recent(dict):
     def __init__(self, limit: int):
         self.limit, self.older = limit, {}
 
-    def __missing__(self, key: str) -> bytes | None:
-        ids = self.older.get(key)
-        if ids is not None:
-            self[key] = ids
-        return ids
-
     def trim(self) -> None:
         if len(self) >= self.limit:
             self.older = dict(self)
@@ -78,10 +72,14 @@ class Encoder:
 
     def _bpe(self, word: str, space: str) -> bytes:
         key = space + (word if self.spaced else word.lower())
-        ids = self.words[key]
+        words = self.words
+        ids = words.get(key)
         if ids is None:
-            mapped = key if word.isascii() else space + "".join([self.bytes[b] for b in key[len(space) :].encode()])
-            ids = self.words[key] = array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
+            ids = words.older.get(key)
+            if ids is None:
+                mapped = key if word.isascii() else space + "".join([self.bytes[b] for b in key[len(space) :].encode()])
+                ids = array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
+            words[key] = ids
         return ids
 
     def _simple(self, word: str, sign: str, space: str) -> bytes:
@@ -97,12 +95,14 @@ class Encoder:
         cache, lead = self.cache, " " if self.spaced else ""
         cache.trim()
         self.words.trim()
-        out: list[bytes | None] = [cache[p] for p in pieces]
+        out: list[bytes | None] = list(map(cache.get, pieces))
         missing = [i for i, x in enumerate(out) if x is None]
-        hard = []
+        hard, older = [], cache.older.get
         for i in missing:
             p = pieces[i]
-            if (p or not self.spaced) and (m := _SIMPLE.fullmatch(p)):
+            if (ids := older(p)) is not None:
+                cache[p] = out[i] = ids
+            elif (p or not self.spaced) and (m := _SIMPLE.fullmatch(p)):
                 cache[p] = out[i] = self._simple(m[1], m[2], self.space)
             elif p[:2] == NEWLINE:
                 if len(p) > 2 and (m := _SIMPLE.fullmatch(p, 2)):
@@ -123,7 +123,8 @@ class Encoder:
         starts = split.offsets.to_numpy().astype(np.int64)
         coded = split.flatten().dictionary_encode()
         index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        found = self._pieces(coded.dictionary.to_pylist())
+        # by way of numpy: to_pylist() makes a scalar object for every piece first
+        found = self._pieces(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         n = len(found)
         if self.spaced:  # first pieces have no space before them; they follow the others in the table
             firsts = [t.partition(" ")[0] for t in marked]

@@ -183,3 +183,16 @@ def test_windows_keep_the_mixture(make):
 def test_sequences_are_padded(simple):
     seqs = packing.sequences(packing.pack(simple(["a b c d e"] * 9), window=32), 32).collect()
     assert {len(r["ids"]) for r in seqs[:-1]} <= {128}
+
+
+def test_a_piece_known_from_before_the_trim_is_looked_up_without_a_call(monkeypatch):
+    from spanforge.llm import tokens
+
+    coder = tokens.Encoder(__import__("public_tokenizers").path("word_bpe_49k.json"), False)
+    text = "the cat, a cat\nИ кот ß the"
+    coder.cache.limit = coder.words.limit = 1
+    want = coder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert coder.encode([text])[0].tolist() == want
+    monkeypatch.setattr(coder, "_simple", None)  # nothing is worked out again
+    assert coder.encode([text])[0].tolist() == want
+    assert not hasattr(tokens.Recent, "__missing__")
