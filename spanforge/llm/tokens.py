@@ -1,8 +1,8 @@
 """Exact batch encoding with a public tokenizer of the tokenizers library, each distinct piece of text encoded once.
 
-Texts are cut at single spaces and newlines, where both tokenizers used here part tokens anyway, and the distinct pieces of a batch are looked up in a
-bounded cache; only misses reach the tokenizer. Pieces of Latin letters with ASCII signs behind (no apostrophe) go straight to its BPE model (pre-tokenizing
-and normalizing change nothing in them but the case), all others through the whole tokenizer. Texts in which the cut isn't known to be
+Texts are cut at single spaces and newlines, where both tokenizers used here part tokens anyway. The distinct pieces of a batch that are Latin letters
+with ASCII signs behind (no apostrophe) are cut into word and signs in one go, and the distinct words looked up in a bounded cache; only misses reach the
+tokenizer, straight at its BPE model (pre-tokenizing and normalizing change nothing in them but the case). All other pieces go through the whole tokenizer. Texts in which the cut isn't known to be
 safe (spaces beside other white space, NULs, strings of special tokens) are encoded whole. Tests hold the result against Tokenizer.encode.
 """
 
@@ -16,14 +16,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Ids of up to twice this many distinct pieces are held, and of as many words.
-CACHE_PIECES = 200_000
+#: Ids of up to twice this many distinct words are held, and of an eighth as many other pieces.
+CACHE_PIECES = 300_000
 BATCH_CHARS = 3_000_000
 END_ID = 1
 #: Stands for a newline and no space before a piece; texts that hold a NUL are encoded whole.
 NEWLINE = "\0n"
 #: Letters that the word tokenizer only lower-cases; I with a dot above and its like aren't among them.
-_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
+_LETTERS, _SIGNS = r"[A-Za-zÀ-ÖØ-öø-ÿ]*", r"[!-&(-/:-@\[-`{-~]*"
+_SIMPLE = re.compile(f"({_LETTERS})({_SIGNS})")
+#: The same for a column of pieces, perhaps with a newline before.
+_PARTS = rf"^(?P<line>(?:\x00n)?)(?P<word>{_LETTERS})(?P<sign>{_SIGNS})$"
+#: Stands before a word that follows no space.
+BARE = "\0"
 
 
 def _byte_chars() -> list[str]:
@@ -48,6 +53,15 @@ class Recent(dict):
             self.clear()
 
 
+def _gather(blob: np.ndarray, lens: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """The stretches of blob by index, end to end. Stretch i is lens[i] long and follows the one before it."""
+    took = lens[index]
+    at = (np.cumsum(lens) - lens)[index] - (np.cumsum(took) - took)
+    place = np.repeat(at.astype(np.int32), took)
+    place += np.arange(len(place), dtype=np.int32)
+    return blob[place]
+
+
 class Encoder:
     """encode(texts) gives the ids of every text as one array, and how many each text has."""
 
@@ -67,54 +81,87 @@ class Encoder:
         self.space = self.bytes[0x20] if spaced else ""
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.newline = self._whole(["\n"])[0]
-        self.cache, self.words = Recent(pieces), Recent(pieces)
+        self.cache, self.words = Recent(max(1, pieces // 8)), Recent(pieces)
         self.code = "H" if self.kind is np.uint16 else "I"
 
-    def _bpe(self, word: str, space: str) -> bytes:
-        key = space + (word if self.spaced else word.lower())
+    def _bpe(self, key: str) -> bytes:
+        """Ids of a word or of signs with the space before it, or without one where BARE stands before."""
+        bare = key[:1] == BARE
+        word = key[bare:]
+        space = "" if bare else self.space
+        mapped = word if word.isascii() else "".join([self.bytes[b] for b in word.encode()])
+        return array(self.code, [t.id for t in self.model.tokenize(space + mapped)]).tobytes() if word else b""
+
+    def _words(self, keys: list[str]) -> list[bytes]:
         words = self.words
-        ids = words.get(key)
-        if ids is None:
-            ids = words.older.get(key)
+        words.trim()
+        older = words.older.get
+        out = list(map(words.get, keys))
+        for i, ids in enumerate(out):
             if ids is None:
-                mapped = key if word.isascii() else space + "".join([self.bytes[b] for b in key[len(space) :].encode()])
-                ids = array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
-            words[key] = ids
-        return ids
+                k = keys[i]
+                ids = older(k)
+                words[k] = out[i] = self._bpe(k) if ids is None else ids
+        return out
 
-    def _simple(self, word: str, sign: str, space: str) -> bytes:
-        if not sign:
-            return self._bpe(word, space)
-        return self._bpe(word, space) + self._bpe(sign, "") if word else self._bpe(sign, space)
+    def _simple(self, word: str, sign: str) -> bytes:
+        """Ids of a text's first piece."""
+        return b"".join(self._words([BARE + (x if self.spaced else x.lower()) for x in (word, sign) if x]))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, pieces: list[str]) -> list[bytes | None]:
-        """Ids of each piece with the space before it; None where the cut isn't known to be safe."""
+    def _hard(self, pieces: list[str]) -> list[bytes | None]:
+        """Ids of pieces that aren't letters and signs; None where the cut isn't known to be safe."""
         cache, lead = self.cache, " " if self.spaced else ""
         cache.trim()
-        self.words.trim()
         out: list[bytes | None] = list(map(cache.get, pieces))
-        missing = [i for i, x in enumerate(out) if x is None]
-        hard, older = [], cache.older.get
-        for i in missing:
-            p = pieces[i]
-            if (ids := older(p)) is not None:
-                cache[p] = out[i] = ids
-            elif (p or not self.spaced) and (m := _SIMPLE.fullmatch(p)):
-                cache[p] = out[i] = self._simple(m[1], m[2], self.space)
-            elif p[:2] == NEWLINE:
-                if len(p) > 2 and (m := _SIMPLE.fullmatch(p, 2)):
-                    cache[p] = out[i] = self.newline + self._simple(m[1], m[2], "")
-            elif self.spaced and (not p or p[0].isspace() or p[-1].isspace()):
-                pass
-            else:
-                hard.append(i)
-        for i, ids in zip(hard, self._whole([lead + pieces[i] for i in hard]), strict=True):
+        new = []
+        for i, p in enumerate(pieces):
+            if out[i] is None and not (p[:2] == NEWLINE or self.spaced and (not p or p[0].isspace() or p[-1].isspace())):
+                if (ids := cache.older.get(p)) is not None:
+                    cache[p] = out[i] = ids
+                else:
+                    new.append(i)
+        for i, ids in zip(new, self._whole([lead + pieces[i] for i in new]), strict=True):
             cache[pieces[i]] = out[i] = ids
         return out
 
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all pieces with the space before them, end to end; how many each has; and for which the cut isn't known to be safe."""
+        parts = pc.extract_regex(pieces, _PARTS)
+        none, mark = pa.scalar("", pieces.type), pa.scalar(BARE, pieces.type)
+        line, word, sign = (pc.fill_null(pc.struct_field(parts, n), none) for n in ("line", "word", "sign"))
+        simple = parts.is_valid()
+        if self.spaced:  # nothing between two spaces, or behind a newline
+            simple = pc.and_(simple, pc.or_(pc.not_equal(word, none), pc.not_equal(sign, none)))
+        else:
+            word = pc.utf8_lower(word)
+        alone = pc.equal(word, none)  # signs without a word take the space
+        word, sign = pc.if_else(alone, sign, word), pc.if_else(alone, none, sign)
+        bare = pc.if_else(pc.equal(line, none), none, mark)
+        words = pc.binary_join_element_wise(bare, word, none).dictionary_encode()
+        signs = pc.binary_join_element_wise(mark, sign, none).dictionary_encode()
+        hard = np.flatnonzero(~simple.to_numpy(zero_copy_only=False))
+        rest = self._hard(pieces.take(pa.array(hard)).to_pylist())
+        first = self._words(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        atoms = [b"", self.newline, *first, *self._words(signs.dictionary.to_numpy(zero_copy_only=False).tolist()), *(x or b"" for x in rest)]
+        table = np.zeros((len(pieces), 3), dtype=np.int64)
+        table[:, 0] = pc.not_equal(line, none).to_numpy(zero_copy_only=False)
+        table[:, 1] = words.indices.to_numpy() + 2
+        table[:, 2] = signs.indices.to_numpy() + (2 + len(first))
+        table[hard] = 0
+        table[hard, 1] = len(atoms) - len(rest) + np.arange(len(rest))
+        bad = np.zeros(len(pieces), dtype=bool)
+        bad[hard] = [x is None for x in rest]
+        blob, lens = self._joined(atoms)
+        flat = table.ravel()
+        return _gather(blob, lens, flat), lens[table].sum(axis=1), bad
+
+    def _joined(self, atoms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        lens = np.fromiter(map(len, atoms), dtype=np.int64, count=len(atoms)) // np.dtype(self.kind).itemsize
+        return np.frombuffer(b"".join(atoms), dtype=self.kind), lens
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text. A text may have none."""
         odd = np.array(["\0" in t or any(x in t for x in self.specials) for t in texts], dtype=bool)
@@ -123,29 +170,18 @@ class Encoder:
         starts = split.offsets.to_numpy().astype(np.int64)
         coded = split.flatten().dictionary_encode()
         index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        # by way of numpy: to_pylist() makes a scalar object for every piece first
-        found = self._pieces(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
-        n = len(found)
+        blob, lens, bad = self._pieces(coded.dictionary)
         if self.spaced:  # first pieces have no space before them; they follow the others in the table
             firsts = [t.partition(" ")[0] for t in marked]
-            index[starts[:-1]] = n + np.arange(len(texts))
+            index[starts[:-1]] = len(lens) + np.arange(len(texts))
             kinds = [_SIMPLE.fullmatch(p) for p in firsts]
             whole = iter(self._whole([p for p, m in zip(firsts, kinds, strict=True) if m is None]))
             bad_first = [bool(p) and p[-1].isspace() or not p and bool(t) for p, t in zip(firsts, marked, strict=True)]
-            found += [self._simple(m[1], m[2], "") if m else next(whole) for m in kinds]
-            bad = np.array([x is None for x in found[:n]] + bad_first, dtype=bool)
-        else:
-            bad = np.zeros(n, dtype=bool)
-        size = np.dtype(self.kind).itemsize
-        lens = np.array([len(x) // size if x else 0 for x in found], dtype=np.int64)
-        blob = np.frombuffer(b"".join(x for x in found if x), dtype=self.kind)
-        at = np.concatenate(([0], np.cumsum(lens)))[:-1]
-        took = lens[index]
-        ends = np.concatenate(([0], np.cumsum(took)))
+            more, more_lens = self._joined([self._simple(m[1], m[2]) if m else next(whole) for m in kinds])
+            blob, lens, bad = np.concatenate([blob, more]), np.concatenate([lens, more_lens]), np.concatenate([bad, np.array(bad_first, dtype=bool)])
+        ends = np.concatenate(([0], np.cumsum(lens[index])))
         counts = ends[starts[1:]] - ends[starts[:-1]]
-        place = np.repeat((at[index] - ends[:-1]).astype(np.int32), took) if len(index) else np.zeros(0, dtype=np.int32)
-        place += np.arange(len(place), dtype=np.int32)
-        ids = blob[place]
+        ids = _gather(blob, lens, index)
         unsafe = odd
         if bad.any():
             hits = np.flatnonzero(bad[index])

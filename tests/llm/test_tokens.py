@@ -196,3 +196,12 @@ def test_a_piece_known_from_before_the_trim_is_looked_up_without_a_call(monkeypa
     monkeypatch.setattr(coder, "_simple", None)  # nothing is worked out again
     assert coder.encode([text])[0].tolist() == want
     assert not hasattr(tokens.Recent, "__missing__")
+
+
+@pytest.mark.parametrize(("name", "spaced"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_a_word_is_held_once_whatever_signs_follow(name, spaced):
+    texts = ["so bar, bar! bar? bar bar.\nbar; (x) ... \n... é, é", "bar"]
+    coder, plain = Encoder(public_tokenizers.path(name), spaced), Tokenizer.from_file(public_tokenizers.path(name))
+    for t in texts:
+        assert coder.encode([t])[0].tolist() == plain.encode(t, add_special_tokens=False).ids
+    assert sum("bar" in w for w in coder.words) == 1 + spaced and not any("bar" in p for p in coder.cache)
