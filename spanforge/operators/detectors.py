@@ -7,6 +7,7 @@ document's row, so that detecting, resolving and masking need no shuffle and no
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -101,16 +102,28 @@ def span(start: Column, stop: Column) -> Column:
     return F.struct(start.cast("int").alias("start"), stop.cast("int").alias("stop"))
 
 
-def labelled(text: Column, tiles: tuple[str, ...], values: tuple[int, ...], category: str, detector_id: str, rule_id: str, score: float, mark: str, before: str = "", behind: str = "", flags: str = "(?iU)", evidence_tiles: int | None = None) -> Column:
-    """Detections of a pattern of which the tiles in values (from 0) are sensitive and the whole, or the first evidence_tiles, is evidence."""
+def holds(text: Column, *words: str) -> Column:
+    """Whether text holds one of words (upper case), in whatever case: a plain search that spares texts without any of them the patterns that need one.
+
+    It has to find all that a pattern with (?iU) does, which takes letters as equal by the lower case of their upper case. Beside upper-case letters that
+    is only more for i, as there is an upper-case one with a dot."""
+    folded = F.upper(text)
+    return functools.reduce(lambda a, b: a | b, [F.contains(folded, F.lit(w)) for w in words])
+
+
+def labelled(text: Column, tiles: tuple[str, ...], values: tuple[int, ...], category: str, detector_id: str, rule_id: str, score: float, mark: str, before: str = "", behind: str = "", flags: str = "(?iU)", evidence_tiles: int | None = None, needs: tuple[str, ...] = ()) -> Column:
+    """Detections of a pattern of which the tiles in values (from 0) are sensitive and the whole, or the first evidence_tiles, is evidence.
+
+    A match has one of the words in needs."""
     edge = lambda m, i: m["start"] if i == 0 else m["cuts"][i - 1]  # noqa: E731, B023
     made = lambda m: detection(category, detector_id, rule_id, score, m["start"], m["stop"] if evidence_tiles is None else edge(m, evidence_tiles), F.array(*[span(edge(m, i), m["cuts"][i]) for i in values]), signals((mark, 1.0)))  # noqa: E731, B023
-    return F.transform(find(text, tiles, before, behind, flags), made)
+    found = F.transform(find(text, tiles, before, behind, flags), made)
+    return F.when(holds(text, *needs), found).otherwise(F.expr(NONE)) if needs else found
 
 
 def outside_orders(text: Column, found: Column) -> Column:
     """Matches that don't start within 40 characters behind an order or document label (a range anti join on arrays)."""
-    return F.when(F.size(found) == 0, found).otherwise(let(find(text, (ORDER_LABEL,)), lambda orders: F.filter(found, lambda m: ~F.exists(orders, lambda o: m["start"].between(o["stop"], o["stop"] + 40)))))
+    return F.when((F.size(found) == 0) | ~holds(text, "ЗАКАЗ", "НОМЕР"), found).otherwise(let(find(text, (ORDER_LABEL,)), lambda orders: F.filter(found, lambda m: ~F.exists(orders, lambda o: m["start"].between(o["stop"], o["stop"] + 40)))))
 
 
 def with_values(text: Column, found: Column, made: Callable[[Column, Column], Column]) -> Column:
@@ -119,7 +132,7 @@ def with_values(text: Column, found: Column, made: Callable[[Column, Column], Co
 
 
 def email(text: Column) -> Column:
-    return labelled(text, (EMAIL,), (0,), "EMAIL", "email", "email-structure", 0.95, "email_structure", EMAIL_BEFORE, EMAIL_BEHIND, "")
+    return labelled(text, (EMAIL,), (0,), "EMAIL", "email", "email-structure", 0.95, "email_structure", EMAIL_BEFORE, EMAIL_BEHIND, "", needs=("@",))
 
 
 def phone(text: Column) -> Column:
@@ -144,35 +157,35 @@ def inn(text: Column) -> Column:
 
 def passport(text: Column) -> Column:
     forms = (
-        labelled(text, PASSPORT_LABEL, (1, 3), "PASSPORT", "passport", "passport-series-number", 0.95, "passport_context"),
-        labelled(text, PASSPORT_BARE, (1, 3), "PASSPORT", "passport", "passport-bare-label", 0.9, "passport_context"),
+        labelled(text, PASSPORT_LABEL, (1, 3), "PASSPORT", "passport", "passport-series-number", 0.95, "passport_context", needs=("СЕРИ",)),
+        labelled(text, PASSPORT_BARE, (1, 3), "PASSPORT", "passport", "passport-bare-label", 0.9, "passport_context", needs=("ПАСПОРТ",)),
         labelled(text, PASSPORT_RAW, (0, 2), "PASSPORT", "passport", "passport-raw-series-number", 0.7, "passport_structure", r"(?<!\d)", r"(?!\d)"),
     )
     return F.concat(*forms)
 
 
 def department_code(text: Column) -> Column:
-    return labelled(text, DEPARTMENT, (1,), "DEPARTMENT_CODE", "department_code", "department-code-context", 0.9, "department_code_context")
+    return labelled(text, DEPARTMENT, (1,), "DEPARTMENT_CODE", "department_code", "department-code-context", 0.9, "department_code_context", needs=("ПОДРАЗДЕЛЕНИЯ",))
 
 
 def driver_license(text: Column) -> Column:
-    return labelled(text, LICENSE, (1,), "DRIVER_LICENSE", "driver_license", "driver-license-context", 0.9, "driver_license_context")
+    return labelled(text, LICENSE, (1,), "DRIVER_LICENSE", "driver_license", "driver-license-context", 0.9, "driver_license_context", needs=("ВОДИТЕЛ", "ВУ"))
 
 
 def cvv(text: Column) -> Column:
-    return labelled(text, CVV, (1,), "CVV", "cvv", "cvv-context", 0.9, "cvv_context")
+    return labelled(text, CVV, (1,), "CVV", "cvv", "cvv-context", 0.9, "cvv_context", needs=("CV", "КОД"))
 
 
 def pin(text: Column) -> Column:
-    return labelled(text, PIN, (1,), "PIN", "pin", "pin-context", 0.9, "pin_context")
+    return labelled(text, PIN, (1,), "PIN", "pin", "pin-context", 0.9, "pin_context", needs=("PI", "Pİ", "ПИ"))
 
 
 def citizenship(text: Column) -> Column:
-    return labelled(text, CITIZENSHIP, (1,), "CITIZENSHIP", "citizenship", "citizenship-context", 0.9, "citizenship_context")
+    return labelled(text, CITIZENSHIP, (1,), "CITIZENSHIP", "citizenship", "citizenship-context", 0.9, "citizenship_context", needs=("ГРАЖДАН",))
 
 
 def client_id(text: Column) -> Column:
-    return labelled(text, CLIENT_ID, (2,), "SYNTHETIC_CLIENT_ID", "synthetic_client_id", "", 0.95, "signed_internal_id", evidence_tiles=1)
+    return labelled(text, CLIENT_ID, (2,), "SYNTHETIC_CLIENT_ID", "synthetic_client_id", "", 0.95, "signed_internal_id", evidence_tiles=1, needs=("КЛИЕНТСКИЙ",))
 
 
 def passport_issuer(text: Column) -> Column:
@@ -184,7 +197,8 @@ def passport_issuer(text: Column) -> Column:
         stop = m["cuts"][0] + F.length(kept)
         return detection("PASSPORT_ISSUER", "passport_issuer", "passport-issuer-context", 0.85, m["start"], stop, F.array(span(m["cuts"][0], stop)), signals(("issuer_context", 1.0)))
 
-    return F.filter(F.transform(find(text, ISSUER), made), lambda d: d["sensitive"][0]["stop"] > d["sensitive"][0]["start"])
+    found = F.filter(F.transform(find(text, ISSUER), made), lambda d: d["sensitive"][0]["stop"] > d["sensitive"][0]["start"])
+    return F.when(holds(text, "ВЫДА"), found).otherwise(F.expr(NONE))
 
 
 def dated(text: Column, tiles: tuple[str, ...], kind: str) -> Column:
@@ -212,7 +226,7 @@ def passport_issue_date(text: Column) -> Column:
     # the finds stand beside each other in one struct: inside gated() each of them would be analysed again at every level of functions
     near = [find(text, (p,)).alias(n) for n, p in (("issue", ISSUE_NEAR), ("birth", BIRTH_NEAR), ("neutral", NEUTRAL_NEAR))]
     marks = F.struct(*near, *[dated(text, tiles, kind).alias(kind) for kind, tiles in kinds.items()])
-    return F.when(text.rlike("(?iU)" + ISSUE_NEAR), let(marks, gated)).otherwise(F.expr(NONE))
+    return F.when(holds(text, "ВЫДА") & text.rlike("(?iU)" + ISSUE_NEAR), let(marks, gated)).otherwise(F.expr(NONE))
 
 
 def address(text: Column) -> Column:
@@ -226,7 +240,7 @@ def address(text: Column) -> Column:
 
     near = [find(text, (p,)).alias(n) for n, p in (("near", ADDRESS_NEAR), ("office", OFFICE_NEAR), ("personal", PERSONAL_NEAR))]
     marks = F.struct(*near, *[find(text, *part).alias(f"part{i}") for i, part in enumerate(ADDRESS_PARTS)])
-    return F.when(text.rlike("(?iU)" + ADDRESS_NEAR), let(marks, one)).otherwise(F.expr(NONE))
+    return F.when(holds(text, "АДРЕС", "ПРОЖИВА", "РЕГИСТРИРОВАН", "МЕСТО", "ДОМА") & text.rlike("(?iU)" + ADDRESS_NEAR), let(marks, one)).otherwise(F.expr(NONE))
 
 
 @dataclass(frozen=True)
