@@ -857,9 +857,14 @@ def ner_windows(spark, d):
     return w.select("doc_id", "window", "first", "last", "n_tokens", F.element_at("starts", 1).alias("start"), F.element_at("stops", -1).alias("stop"))
 
 
+def _recognized(spark: SparkSession, d: str) -> DataFrame:
+    return ner.recognize(table(spark, d, "documents"), tokenizer_path(), stub_classifier, LABELS)
+
+
 @query()
 def ner_entities(spark, d):
-    return ner.entities(ner.predict(ner.token_windows(table(spark, d, "documents"), tokenizer_path()), stub_classifier, LABELS))
+    # outer: of an inner explode Spark infers a filter that looks through the array first
+    return _recognized(spark, d).select("doc_id", F.explode_outer("entities").alias("e")).filter("e IS NOT NULL").select("doc_id", "e.*")
 
 
 @query()
