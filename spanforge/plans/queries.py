@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from spanforge.functions import scalars as S
 from spanforge.functions import tables
-from spanforge.functions.spans import cut_of, find
+from spanforge.functions.spans import cut_of, find, let
 from spanforge.operators import core, detectors, evaluate, joins, lifecycle, models, mutate, ner, policies, semantic
 from spanforge.sources import sinks
 
@@ -869,9 +869,11 @@ def ner_entities(spark, d):
 
 @query()
 def sem_ner_candidates(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    found = ner.entities(ner.predict(ner.token_windows(docs, tokenizer_path()), stub_classifier, LABELS))
-    return ner.candidates(found, docs, span_rows(docs, "email", "phone"))
+    """Entities that are new names beside e-mail addresses and phones."""
+    found = core.detect(_recognized(spark, d), ("email", "phone"))
+    spans = F.flatten(F.transform("detections", lambda x: F.transform(x["sensitive"], lambda s: F.struct(x["category"].alias("category"), s["start"].alias("start"), s["stop"].alias("stop")))))
+    found = found.select("doc_id", F.explode_outer(let(spans, lambda s: ner.new_names(F.col("text"), F.col("entities"), s))).alias("e"))
+    return found.filter("e IS NOT NULL").select("doc_id", "e.*")
 
 
 @query(f"WITH s AS (SELECT doc_id, category, start, stop FROM ({_spans_sql('documents', EMAIL_SCAN, 'EMAIL', 'r')}) UNION ALL SELECT doc_id, category, start, stop FROM ({_spans_sql('documents', PHONE_SCAN, 'PHONE', 'r')}) UNION ALL SELECT doc_id, category, start, stop FROM ({_spans_sql('documents', CARD_SCAN, 'CARD', 'card-digits', True)})) "

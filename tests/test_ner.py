@@ -174,7 +174,7 @@ def test_recognized_entities_are_those_of_the_windows_rows(spark, sf, name):
 
 
 def test_entities_are_found_without_a_shuffle(spark, sf, capsys):
-    for q in (Q.ner_entities,):
+    for q in (Q.ner_entities, Q.sem_ner_candidates):
         q(spark, sf).explain()
         plan = capsys.readouterr().out
         assert "MapInArrow" in plan and "Exchange" not in plan
