@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from spanforge.functions import scalars as S
 from spanforge.functions import tables
 from spanforge.functions.spans import cut_of, find, let
-from spanforge.operators import core, detectors, evaluate, joins, lifecycle, models, mutate, ner, policies, semantic
+from spanforge.operators import core, detectors, evaluate, joins, lifecycle, models, mutate, names, ner, policies, semantic
 from spanforge.sources import sinks
 
 from . import duck, fixtures
@@ -869,8 +869,8 @@ def ner_entities(spark, d):
 
 @query()
 def sem_ner_candidates(spark, d):
-    """Entities that are new names beside e-mail addresses and phones."""
-    found = core.detect(_recognized(spark, d), ("email", "phone"))
+    """Entities that are new names beside what all detectors find, the one for full names too."""
+    found = core.detect(_recognized(spark, d), (*detectors.NATIVE, *names.ARROW))
     spans = F.flatten(F.transform("detections", lambda x: F.transform(x["sensitive"], lambda s: F.struct(x["category"].alias("category"), s["start"].alias("start"), s["stop"].alias("stop")))))
     found = found.select("doc_id", F.explode_outer(let(spans, lambda s: ner.new_names(F.col("text"), F.col("entities"), s))).alias("e"))
     return found.filter("e IS NOT NULL").select("doc_id", "e.*")

@@ -180,6 +180,21 @@ def test_entities_are_found_without_a_shuffle(spark, sf, capsys):
         assert "MapInArrow" in plan and "Exchange" not in plan
 
 
+def test_candidates_lie_in_no_full_name(spark, tmp_path):
+    """The spans beside which candidates are new are those of all detectors: full names, too, and cards."""
+    words = ["Клиент А. Г. Петров", "Клиент А. Д. Орлов", "Клиент А. Е. Иванов", "Cardholder: John Smith", "карта 4276 1890 7414 4957", "обычный текст"]
+    texts = [f"{a}. {b}, one two. {c}" for a in words for b in words for c in words]
+    texts += ["one two three four five six seven eight nine ten eleven twelve"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    spans = Q.span_rows(docs, "full_name").select("doc_id", F.col("start").alias("a"), F.col("stop").alias("b"))
+    inside = lambda rows: rows.join(spans, "doc_id").filter("a <= start AND stop <= b").count()
+    e = ner.recognize(docs, Q.tokenizer_path(), Q.stub_classifier, Q.LABELS).select("doc_id", F.explode("entities").alias("e")).select("doc_id", "e.*")
+    assert inside(ner.candidates(e, docs, Q.span_rows(docs, "email", "phone"))) > 0
+    got = Q.sem_ner_candidates(spark, str(tmp_path))
+    assert inside(got) == 0 and not got.isEmpty()
+
+
 def test_spans_in_others(spark):
     from spanforge.functions.spans import touched
 
