@@ -6,6 +6,8 @@ holds a whole key.
 
 Whether an interval that starts at or before a place reaches it, or a further end, follows from the largest end of all that start by then (reach());
 near, overlapping and contained are that comparison with different starts, ends and places.
+
+Sentences are cut and joined with spans within the text's row (in_sentences).
 """
 
 from __future__ import annotations
@@ -101,11 +103,11 @@ def nearest(left: DataFrame, marks: DataFrame, key: str = "doc_id") -> DataFrame
 ABBREVIATIONS = ("г", "ул", "д", "кв", "стр", "корп", "им", "пр", "пер", "обл", "р", "т")
 
 
-def sentences(docs: DataFrame) -> DataFrame:
-    """doc_id, start, stop of the sentences of text: cut behind [.!?;] and white space, or newlines; a dot behind one letter or an abbreviation doesn't end one."""
+def bounds(text: Column) -> Column:
+    """array<struct<start, stop>> of the sentences of text: cut behind [.!?;] and white space, or newlines; a dot behind one letter or an abbreviation doesn't end one."""
     from spanforge.functions.spans import let, running
 
-    text, sign = F.col("text"), r"(?U)[.!?;]\s+|\n+"
+    sign = r"(?U)[.!?;][\s\x1c-\x1f]+|\n+"
 
     def ends(x: Column) -> Column:
         # the word before a sign is the end of the piece before it, so that nothing walks through the text again
@@ -121,5 +123,38 @@ def sentences(docs: DataFrame) -> DataFrame:
     cuts = let(F.struct(F.split(text, sign).alias("gaps"), F.regexp_extract_all(text, F.lit(sign), F.lit(0)).alias("signs")), ends)
     whole = let(F.length(text), lambda n: F.filter(F.array(F.struct(F.lit(0).alias("start"), n.alias("stop"))), lambda s: s["stop"] > 0))
     between = let(cuts, lambda c: F.zip_with(F.concat(F.array(F.lit(0)), c), F.concat(c, F.array(F.length(text))), lambda a, b: F.struct(a.alias("start"), b.alias("stop"))))
-    bounds = F.when(text.rlike(sign), between).otherwise(whole)
-    return docs.select("doc_id", F.explode(F.filter(bounds, lambda s: s["start"] < s["stop"])).alias("s")).select("doc_id", "s.start", "s.stop")
+    return F.filter(F.when(text.rlike(sign), between).otherwise(whole), lambda s: s["start"] < s["stop"])
+
+
+def sentences(docs: DataFrame) -> DataFrame:
+    """doc_id, start, stop of the sentences of docs (doc_id, text)."""
+    # outer: of an inner explode Spark infers a filter that cuts the text a second time
+    return docs.select("doc_id", F.explode_outer(bounds(F.col("text"))).alias("s")).filter("s IS NOT NULL").select("doc_id", "s.start", "s.stop")
+
+
+def in_sentences(text: Column, spans: Column) -> Column:
+    """The sentences of text, each with every one of spans (array<struct<category, start, stop>>) that starts in it: array<struct<start, stop, category,
+    span_start, span_stop>>, a sentence without spans once with nulls. Of the sentences that start at or before a span it has the last.
+
+    Starts of both are sorted once and swept, so the work isn't that of all pairs, and nothing leaves the text's row."""
+    from spanforge.functions.spans import let, running
+
+    row = "struct<start:int,stop:int,category:string,span_start:int,span_stop:int>"
+    made = lambda b, x: F.struct(b["start"].alias("start"), b["stop"].alias("stop"), x[0].alias("category"), x[1].alias("span_start"), x[2].alias("span_stop"))
+    alone = lambda b: made(b, (F.lit(None).cast("string"), F.lit(None).cast("int"), F.lit(None).cast("int")))
+    event = lambda at, kind, i: F.struct(at["start"].alias("at"), F.lit(kind).alias("kind"), i.alias("i"))
+
+    def joined(b: Column) -> Column:
+        def found(ordered: Column) -> Column:
+            last = running(F.transform(ordered, lambda e: F.when(e["kind"] == 0, e["i"]).otherwise(0)), F.greatest)
+            return let(last, lambda at: F.filter(F.transform(ordered, lambda e, k: F.when(e["kind"] == 1, F.struct(e["i"].alias("i"), F.get(at, k).alias("own")))), lambda x: x.isNotNull()))
+
+        def rows(own: Column) -> Column:
+            with_spans = F.transform(own, lambda o: let(F.get(spans, o["i"]), lambda s: made(F.get(b, o["own"]), (s["category"], s["start"], s["stop"]))))
+            rest = F.array_except(F.sequence(F.lit(0), F.size(b) - 1), F.transform(own, lambda o: o["own"]))
+            return F.concat(with_spans.cast(f"array<{row}>"), F.transform(rest, lambda i: alone(F.get(b, i))).cast(f"array<{row}>"))
+
+        events = F.concat(F.transform(b, lambda x, i: event(x, 0, i)), F.transform(spans, lambda x, i: event(x, 1, i)))
+        return F.when((F.size(spans) == 0) | (F.size(b) == 0), F.transform(b, alone).cast(f"array<{row}>")).otherwise(let(let(F.sort_array(events), found), rows))
+
+    return let(bounds(text), joined)

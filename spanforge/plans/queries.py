@@ -43,6 +43,11 @@ def span_rows(docs: DataFrame, *names) -> DataFrame:
     return found.select("doc_id", "category", "rule_id", "start", "stop", cut_of(F.col("text"), F.col("start"), F.col("stop")).alias("value"))
 
 
+def _sensitive() -> Column:
+    """category, start and stop of every sensitive span of a row's detections."""
+    return F.flatten(F.transform("detections", lambda x: F.transform(x["sensitive"], lambda s: F.struct(x["category"].alias("category"), s["start"].alias("start"), s["stop"].alias("stop")))))
+
+
 # Spans over documents and pages.
 _D = r"[0-9]"
 _DASH = r"[\s\-–—]"
@@ -330,7 +335,10 @@ def join_nearest(spark, d):
 
 @query()
 def join_sentence(spark, d):
-    return joins.sentences(table(spark, d, "documents").select("doc_id", "text")).withColumns({"start": F.col("start").cast("long"), "stop": F.col("stop").cast("long")})
+    """The sentences of documents with the spans that start in them, of the categories whose sentence is looked at; sentences without spans, too."""
+    docs = core.detect(table(spark, d, "documents").select("doc_id", "text"), [c.lower() for c in semantic.ELIGIBLE])
+    found = docs.select("doc_id", F.explode_outer(let(_sensitive(), lambda s: joins.in_sentences(F.col("text"), s))).alias("x")).filter("x IS NOT NULL")
+    return found.select("doc_id", F.col("x.start").cast("long").alias("start"), F.col("x.stop").cast("long").alias("stop"), "x.category", F.col("x.span_start").cast("long").alias("span_start"), F.col("x.span_stop").cast("long").alias("span_stop"))
 
 
 # Evaluation over labelled spans.
@@ -871,8 +879,7 @@ def ner_entities(spark, d):
 def sem_ner_candidates(spark, d):
     """Entities that are new names beside what all detectors find, the one for full names too."""
     found = core.detect(_recognized(spark, d), (*detectors.NATIVE, *names.ARROW))
-    spans = F.flatten(F.transform("detections", lambda x: F.transform(x["sensitive"], lambda s: F.struct(x["category"].alias("category"), s["start"].alias("start"), s["stop"].alias("stop")))))
-    found = found.select("doc_id", F.explode_outer(let(spans, lambda s: ner.new_names(F.col("text"), F.col("entities"), s))).alias("e"))
+    found = found.select("doc_id", F.explode_outer(let(_sensitive(), lambda s: ner.new_names(F.col("text"), F.col("entities"), s))).alias("e"))
     return found.filter("e IS NOT NULL").select("doc_id", "e.*")
 
 

@@ -351,3 +351,38 @@ def test_mutations_read_stored_labelled_texts(spark, sf, capsys):
 
     queries.lab_action_a(spark, sf).explain("extended")
     assert "Join" not in capsys.readouterr().out.partition("Optimized Logical Plan")[2]
+
+
+def test_spans_are_joined_with_their_sentences(spark, tmp_path):
+    """By a loop: sentences by Python's own expression, and for each span the last one that starts at or before it; a sentence without spans stays."""
+    import bisect
+    import random
+    import re
+
+    from spanforge.operators import joins
+    from spanforge.plans import queries
+
+    def cut(text):
+        at = [0]
+        for m in re.finditer(r"[.!?;]\s+|\n+", text):
+            word = re.search(r"([А-ЯЁа-яёA-Za-z]+)$", text[max(0, m.start() - 12) : m.start()]) if m.group().startswith(".") else None
+            if not (word and (len(word.group()) == 1 or word.group().lower() in joins.ABBREVIATIONS)):
+                at.append(m.end())
+        return [(a, b) for a, b in zip(at, [*at[1:], len(text)]) if a < b]
+
+    r = random.Random(11)
+    words = ["Иван", "г", "a@b.org", "c.d@e.com", ". ", "! ", "; ", "\n", "\n\n", ".\x1c", "? ", " ", "x", "+7 912 345-67-89", "Адрес: г. Пермь, ул. Мира, дом 3", "😀"]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 25))) for _ in range(80)] + ["", None, "\n", "a@b.org", ("a@b.org. " * 700)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spans = {}
+    for x in queries.span_rows(spark.read.parquet(f"{tmp_path}/documents.parquet"), *[c.lower() for c in queries.semantic.ELIGIBLE]).collect():
+        spans.setdefault(x["doc_id"], []).append((x["category"], x["start"], x["stop"]))
+    want = []
+    for i, t in enumerate(texts):
+        own = cut(t or "")
+        starts = [a for a, _ in own]
+        at = [max(0, bisect.bisect_right(starts, s[1]) - 1) for s in spans.get(i, [])]
+        want += [(i, *own[k], *s) for k, s in zip(at, spans.get(i, []))] + [(i, *b, None, None, None) for k, b in enumerate(own) if k not in at]
+    got = [tuple(x) for x in queries.join_sentence(spark, str(tmp_path)).collect()]
+    key = lambda x: tuple(str(v) for v in x)
+    assert sorted(got, key=key) == sorted(want, key=key) and len({x[3] for x in got}) > 2
